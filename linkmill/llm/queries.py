@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, simhash, substring_dedup, url_filter
+from . import language, line_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -34,5 +34,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_substring_dedup, op4_packing, op6_simhash, op7_url_filter)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_substring_dedup, op4_packing, op6_simhash, op7_url_filter, op8_quality_rules, op9_toxicity, op10_language_id)}
 ORACLES = {"op2_line_dedup": line_dedup.SQL, "op7_url_filter": url_filter.sql()}
