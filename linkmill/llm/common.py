@@ -35,6 +35,14 @@ def in_fold(modulus: int, remainder: int, id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % modulus == remainder
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores so that no column of ``df`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
     """Uses the cluster's shared checkpoint folder; one of our own only where none is set (tests)."""
     context = spark.sparkContext

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, WHITE, ascii_lower, documents
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_lines, n_dropped, kept_text``.
+def lost_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``lost_id, lost_row`` (hash of the text) and ``lost``, the positions of the lines that go."""
+    rows = documents(docs).withColumn("row", F.xxhash64(_text("text")))
+    line = rows.select("doc_id", "row", F.posexplode(F.split(_text("text"), "\n", -1)).alias("pos", "line"))
+    keyed = line.select("doc_id", "row", "pos", ascii_lower(F.btrim("line", F.lit(WHITE))).alias("key"))
+    keyed = keyed.filter(F.char_length("key") >= min_chars).select("doc_id", "row", "pos", F.unhex(F.md5("key")).alias("key"))
+    shared = keyed.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+    shared = shared.filter(F.col("n") >= min_docs).select("key", "keeper")
+    lost = keyed.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # repeated rows bring each position several times
+    return lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("row").alias("lost_row")).agg(F.collect_set("pos").alias("lost"))
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_lines, n_dropped, kept_text``, and the other columns named in ``keep``.
 
     Lines are exploded with their position, keyed by the hash of the stripped, lower-cased line, and the distinct
     documents of each key are counted. A key of at least ``min_chars`` code points in at least ``min_docs`` documents
@@ -23,16 +40,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     not count as a document; a key found only there is kept. Rows with the same id and different texts are judged each
     by its own lines; repeated rows get the same result. An empty table gives an empty result.
     """
-    rows = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    line = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keyed = line.select("doc_id", "row", "pos", ascii_lower(F.btrim("line", F.lit(WHITE))).alias("key"))
-    keyed = keyed.filter(F.char_length("key") >= min_chars).select("doc_id", "row", "pos", F.unhex(F.md5("key")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-    shared = shared.filter(F.col("n") >= min_docs).select("key", "keeper")
-    lost = keyed.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    # repeated rows bring each position several times
-    lost = lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("row").alias("lost_row")).agg(F.collect_set("pos").alias("lost"))
-    on = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("row") == F.col("lost_row"))
+    lost = lost_lines(docs, min_chars, min_docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text("text").alias("text"), F.struct(*(keep or ["doc_id"])).alias("kept"))
+    on = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_row"))
     lines = F.split("text", "\n", -1)
     lost_pos = F.coalesce("lost", F.array().cast("array<int>"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost_pos), lambda i: F.get(lines, i))
@@ -41,9 +51,19 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
         F.size(lines).cast("long").alias("n_lines"),
         F.size(lost_pos).cast("long").alias("n_dropped"),
         F.array_join(kept, "\n").alias("kept_text"),
+        *(F.col("kept")[c].alias(c) for c in keep or []),
     )
 
 
+def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """``docs`` with the kept lines as ``text``, and ``n_chars``, if it has that column, counted anew."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = line_dedup(docs, min_chars, min_docs, ["doc_id", *rest]) if rest else line_dedup(docs, min_chars, min_docs)
+    value = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return found.toDF(*(["doc_id", "n_lines", "n_dropped", "kept_text", "_id", *[f"_{i}" for i in range(len(rest))]] if rest else found.columns)).select(
+        *[value.get(c, F.col(f"_{rest.index(c)}") if c in rest else None).alias(c) for c in docs.columns])
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from . import decontamination, html_text, language, line_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
@@ -26,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.simhash_groups(table(spark, sf_dir, "documents")))
 
@@ -46,5 +54,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_substring_dedup, op4_packing, op6_simhash, op7_url_filter, op8_quality_rules, op9_toxicity, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_line_dedup, op3_substring_dedup, op4_packing, op5_html_text,
+        op6_simhash, op7_url_filter, op8_quality_rules, op9_toxicity, op10_language_id,
+    )
+}
 ORACLES = {"op2_line_dedup": line_dedup.SQL, "op7_url_filter": url_filter.sql()}

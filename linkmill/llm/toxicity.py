@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, in_fold
 from .learning import balanced_ids, fit_dense, sampled, sigmoid
@@ -237,18 +238,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of ``keep`` and ``score`` for each row, from its whole text."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double")
+def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``name`` from 0 to 1 for each row, from its whole text."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    at_text = docs.columns.index(text_col)
 
     def per_batch(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(model.scores(b.column(len(keep)).to_pylist()))], schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column(at_text).to_pylist()))], schema.names)
 
-    return rows.mapInArrow(per_batch, schema)
+    return docs.mapInArrow(per_batch, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> DataFrame:
@@ -260,4 +261,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> DataFr
     """
     model = fit(docs, labels.filter(~in_fold(5, 0)), per_class)
     rows = documents(docs).withColumn("held_out", in_fold(5, 0))
-    return score(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(rows, model).select("doc_id", "held_out", "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
