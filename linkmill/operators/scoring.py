@@ -274,7 +274,8 @@ def errors_table(runs: DataFrame, entities: DataFrame, others: list[str]) -> Dat
     wide = runs.filter(F.col("run").isin(others)).groupBy(F.col("id").cast("string").alias("id")).pivot("run", others).agg(F.max("qid"))
     steps = F.filter("trace", lambda t: t["step"] == "verify")
     checks = F.array_join(F.flatten(F.transform(steps, lambda t: F.transform(t["issues"], lambda i: i["check"]))), ",")
+    named = lambda p: [F.coalesce(c, F.lit("")).alias(c) for c in (f"{p}_label", f"{p}_desc")]
     return bad.join(wide, "id", "left").select(
-        "run", "id", "mention", "type", "gold", "gold_label", "gold_desc", "agent", "agent_label", "agent_desc", F.col("initial_qid").alias("initial"), "flagged",
+        "run", "id", "mention", "type", "gold", *named("gold"), "agent", *named("agent"), F.col("initial_qid").alias("initial"), "flagged",
         F.coalesce(F.array_contains("candidates", F.col("gold")), F.lit(False)).alias("gold_in_candidates"), F.coalesce(checks, F.lit("")).alias("checks_fired"),
         F.col("reason").alias("agent_reason"), *[F.coalesce(f"`{o}`", F.lit("")).alias(o) for o in others], "category")

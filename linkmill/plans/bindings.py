@@ -88,7 +88,7 @@ def _select(columns: dict[str, str]) -> str:
 
 
 REVIEW_SQL = f"b_review AS (SELECT o_orderkey AS k, {_select(REVIEW_COLUMNS)}, {_GOLD} AS gold, {_NEXT} AS nxt FROM orders WHERE {_REVIEW_ROWS})"
-LABEL_SQL = """b_labels AS (SELECT id, status = 'unclear' AS unclear, CASE WHEN status = 'done' THEN list_distinct(list_filter(string_split(accepted, '|'), x -> x <> '')) END AS accepted
+LABEL_SQL = """b_labels AS (SELECT id, status = 'unclear' AS unclear, CASE WHEN status = 'done' THEN list_distinct(list_filter(string_split(accepted, '|'), lambda x: x <> '')) END AS accepted
   FROM b_review WHERE status IN ('done', 'unclear'))"""
 SINGLE_SQL = f"b_single AS (SELECT o_orderkey AS k, {_select(SINGLE_COLUMNS)} FROM orders)"
 
