@@ -55,11 +55,14 @@ def _as_struct(schema: str) -> str:
 
 
 def sniff_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, format`` of each file, judged by its first bytes: gzip, zip, json, html, conll, empty or unknown."""
+    """``path, length, format`` of each file, judged by its first bytes: gzip, zip, json, html, conll, empty (white space only) or unknown.
+
+    Files of no bytes at all are not listed, as Spark gives them no task.
+    """
     head = F.substring(F.col("content"), 1, SNIFFED)
     text = F.regexp_replace(F.decode(head, "UTF-8"), r"^[\x{FEFF}\s]+", "")
     low = F.lower(text)
-    kind = (F.when(F.col("length") == 0, "empty").when(F.startswith(F.hex(head), F.lit("1F8B")), "gzip").when(F.startswith(F.hex(head), F.lit("504B0304")), "zip").when(text == "", "empty")
+    kind = (F.when(F.startswith(F.hex(head), F.lit("1F8B")), "gzip").when(F.startswith(F.hex(head), F.lit("504B0304")), "zip").when(text == "", "empty")
             .when(F.startswith(low, F.lit("<!doctype")) | F.startswith(low, F.lit("<html")), "html").when(text.rlike(r"^[\[{]"), "json")
             .when(text.rlike(r"(?m)^\S+[\t ]+(?:\S+[\t ]+)*(?:O|[BIES]-\S+)(?:[\t ]|$)"), "conll").otherwise("unknown"))
     return spark.read.format("binaryFile").load(path).select("path", "length", kind.alias("format"))
