@@ -253,3 +253,28 @@ oracle("read_review", 'SELECT id, "group", options, sources, status, accepted, c
 oracle("stream_profile", f"SELECT type, count(*) AS mentions, count(*) FILTER (gold = 'NIL') AS nil, count(*) FILTER ({_SCRIPT} <> 'arabic') AS latin FROM b_mentions GROUP BY type", MENTION)
 oracle("stream_runs", "SELECT run, id, qid FROM b_runs", RUNS)
 oracle("stream_sample", "SELECT doc_id FROM documents ORDER BY md5(concat('13-', doc_id)), doc_id LIMIT 100")
+
+# --- longer chains ---------------------------------------------------------------------------------------------------
+
+_ART = "CASE WHEN starts_with({0}, 'لل') AND length({0}) > 4 THEN concat('ال', substring({0}, 3)) WHEN length({0}) > 4 AND substring({0}, 1, 1) IN ('ب', 'ك', 'ف') AND substring({0}, 2, 2) = 'ال' THEN substring({0}, 2) END"
+_FIRST_SEEN = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_USABLE = "list_filter(list_transform({0}, lambda w: " + strip("w") + "), lambda w: length(w) >= 2)"
+oracle("search_variants", f"SELECT id, array_to_string(prim, '|') AS prim, array_to_string(list_filter({_FIRST_SEEN.format('f2')}, lambda x: NOT list_contains(prim, x)), '|') AS fall FROM v4", MENTION,
+       f"v0 AS (SELECT id, concat(['', 'و', 'لل', 'بال', 'ل'][CAST(pos % 5 + 1 AS INT)], translate(mention, '{b.LATIN}', '{b.ARABIC_LETTERS}')) AS m FROM b_mentions)",
+       f"v1 AS (SELECT id, {strip(f'regexp_replace(regexp_replace({strip(chr(109))}, {quoted(t.LEFT_EDGE)}, {quoted(str())}), {quoted(t.RIGHT_EDGE)}, {quoted(str())})')} AS name FROM (SELECT id, regexp_replace(m, {quoted(t.MARKS)}, '', 'g') AS m FROM v0))",
+       "v2 AS (SELECT *, ws[1] AS f, CASE WHEN len(ws) > 1 THEN concat(' ', array_to_string(ws[2:], ' ')) ELSE '' END AS rest, CASE WHEN length(ws[1]) > 3 AND substring(ws[1], 1, 1) IN ('و', 'ف') THEN substring(ws[1], 2) END AS j FROM (SELECT *, list_filter(regexp_split_to_array(name, '\\s+'), lambda w: w <> '') AS ws FROM v1))",
+       f"v3 AS (SELECT *, list_filter([f, j, {_ART.format('f')}, {_ART.format('j')}], lambda w: w IS NOT NULL) AS forms FROM v2)",
+       f"v4 AS (SELECT id, {_FIRST_SEEN.format('p2')} AS prim, f2 FROM (SELECT id, {_USABLE.format('p1')} AS p2, {_USABLE.format('f1')} AS f2 FROM (SELECT id, list_concat([name], list_transform(forms[2:], lambda w: concat(w, rest))) AS p1, "
+       "list_transform(list_filter(forms, lambda w: length(w) > 3 AND substring(w, 1, 1) IN ('ب', 'ل', 'ك') AND NOT starts_with(w, 'ال') AND NOT starts_with(w, 'لل')), lambda w: concat(substring(w, 2), rest)) AS f1 FROM v3)))")
+oracle("read_conll", "SELECT len(ws) AS n_tokens, len(list_filter(range(len(ws)), lambda i: i % 7 NOT IN (2, 5))) AS n_tagged, (len(ws) + 2) // 3 AS n_items FROM (SELECT list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM documents) WHERE len(ws) > 0")
+_CANDS = (KB, ASKED, PAGE, _NAMES, _HITS, _TITLED, "b_way AS (SELECT DISTINCT mention, final_title FROM b_titled)",
+          """b_first AS (SELECT mention, qid, min(rank) AS rank FROM (SELECT query AS mention, qid, rank FROM b_hits WHERE rank <= 7 UNION ALL SELECT w.mention, p.qid, 0 FROM b_way w JOIN b_page p ON w.final_title = p.title WHERE NOT p.is_disambiguation) GROUP BY ALL)""",
+          "b_kept AS (SELECT * FROM (SELECT f.mention, row_number() OVER (PARTITION BY f.mention ORDER BY f.rank, f.qid) AS pos, f.qid, k.sitelinks FROM b_first f JOIN b_kb k ON f.qid = k.qid) WHERE pos <= 10)",
+          """b_more AS (SELECT w.mention, l.qid, k.sitelinks FROM b_way w JOIN (SELECT * FROM (SELECT d.title, p.qid, row_number() OVER (PARTITION BY d.title ORDER BY l.pos, l.to_title) AS nth FROM b_page d JOIN b_link l ON d.title = l.from_title JOIN b_page p ON l.to_title = p.title WHERE d.is_disambiguation AND NOT p.is_disambiguation) WHERE nth <= 30) l
+ ON w.final_title = l.title JOIN b_kb k ON l.qid = k.qid WHERE NOT EXISTS (SELECT 1 FROM b_kept x WHERE x.mention = w.mention AND x.qid = l.qid))""",
+          """b_all AS (SELECT mention, pos, qid, sitelinks FROM b_kept UNION ALL SELECT * FROM (SELECT m.mention, coalesce((SELECT max(pos) FROM b_kept x WHERE x.mention = m.mention), 0) + row_number() OVER (PARTITION BY m.mention ORDER BY m.sitelinks DESC, m.qid) AS pos, m.qid, m.sitelinks FROM b_more m) WHERE pos <= 10)""",
+          f"""b_match AS (SELECT c.*, list_contains([{tokens('k.label')}, {tokens('k.alias')}], {tokens('c.mention')}) AS exact, list_has_all({tokens('k.label')}, {tokens('c.mention')}) OR list_has_all({tokens('k.alias')}, {tokens('c.mention')}) AS loose FROM b_all c JOIN b_kb k ON c.qid = k.qid)""")
+oracle("generate_candidates", "SELECT mention, pos, qid, sitelinks FROM b_all", *_CANDS)
+oracle("link_popularity", "SELECT a.id, coalesce(c.qid, 'NIL') AS qid FROM b_asked a LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY sitelinks DESC, pos) AS nth FROM b_all) WHERE nth = 1) c ON a.mention = c.mention", *_CANDS)
+oracle("link_exact_popularity", "SELECT a.id, coalesce(c.qid, 'NIL') AS qid FROM b_asked a LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY exact DESC, sitelinks DESC, pos) AS nth FROM b_match) WHERE nth = 1) c ON a.mention = c.mention", *_CANDS)
+oracle("needs_expansion", "SELECT m.mention, coalesce(c.n, 0) AS n_candidates, coalesce(c.n, 0) < 3 OR NOT coalesce(c.hit, false) AS weak FROM (SELECT DISTINCT mention FROM b_asked) m LEFT JOIN (SELECT mention, count(*) AS n, bool_or(loose) AS hit FROM b_match GROUP BY mention) c ON m.mention = c.mention", *_CANDS)
