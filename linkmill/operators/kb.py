@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import all_variants, edge_trim, has_latin, let, name_tokens, norm_type, normalize_text, search_variants, token_key
+from .lineage import cut_lineage
 
 # Classes that define the entity types, and classes of pages that are no entities.
 _PLACES = ["Q2221906", "Q618123", "Q56061", "Q486972", "Q6256", "Q17334923", "Q1048835"]
@@ -112,19 +113,19 @@ def disambiguation_links(titles: DataFrame, wp_link: DataFrame, wp_page: DataFra
 def class_closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 64, every: int = 4) -> DataFrame:
     """``class, root`` of all classes at or under the roots (column ``root``), walking down from them; cycles are harmless.
 
-    Only the classes found in the last round are joined with the edges again. Lineage is cut every few rounds in the
-    checkpoint folder, where one is set.
+    Only the classes found in the last round are joined with the edges again. Each round, and every few rounds all that
+    was found, goes to the checkpoint folder, so that plans stay short.
     """
-    edges = edges.select(F.col("class").alias("child"), "parent").distinct()
-    found = front = roots.select(F.col("root").alias("class"), "root").distinct()
-    keep = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    for i in range(max_rounds):
-        new = front.join(edges, F.col("class") == F.col("parent")).select(F.col("child").alias("class"), "root").distinct().join(found, ["class", "root"], "left_anti")
-        front = new.checkpoint() if keep and i % every == every - 1 else new.persist()
+    edges = cut_lineage(edges.select("class", "parent").distinct()).select(F.col("class").alias("child"), "parent")
+    found = front = cut_lineage(roots.select("root").distinct()).select(F.col("root").alias("class"), "root")
+    for i in range(1, max_rounds + 1):
+        new = front.join(edges, F.col("class") == F.col("parent")).select(F.col("child").alias("class"), "root").distinct()
+        front = cut_lineage(new.join(found, ["class", "root"], "left_anti"))
         if front.isEmpty():
-            break
+            return found
         found = found.unionByName(front)
-    return found
+        found = found if i % every else cut_lineage(found)
+    raise RuntimeError(f"classes go on under {max_rounds} levels")
 
 
 def is_instance_of(pairs: DataFrame, entities: DataFrame, closure: DataFrame, roots: DataFrame) -> DataFrame:

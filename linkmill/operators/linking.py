@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import all_variants, norm_gold, norm_type, token_key
 from .kb import BAD_CLASSES, TYPE_ROOTS, is_instance_of, label_match, name_index, search_names
+from .lineage import cut_lineage
 
 KEPT = ("qid", "label", "initial_qid", "corrected", "flagged", "rounds", "confidence", "reason", "candidates", "llm_calls", "seconds", "trace")
 _SUGGEST = "struct<q: string, lang: string>"
@@ -118,7 +119,6 @@ def correction_loop(decisions: DataFrame, cands: DataFrame, entities: DataFrame,
     """
     base = ["id", "mention", "type", "action", "qid", "confidence"]
     open_ = decisions.select(*base, F.when(F.col("action") == "select", F.col("qid")).otherwise("NIL").alias("initial_qid"), *(["extra"] if "extra" in decisions.columns else []))
-    keep = decisions.sparkSession.sparkContext.getCheckpointDir() is not None
     closed = None
     hard = F.exists("issues", lambda i: i["hard"])
 
@@ -132,13 +132,13 @@ def correction_loop(decisions: DataFrame, cands: DataFrame, entities: DataFrame,
         rows = verify_answers(open_, cands, entities, closure, roots)
         if "extra" in rows.columns:
             rows = rows.withColumn("issues", F.concat("issues", F.transform("extra", lambda m: _issue("COHERENCE", m)))).drop("extra")
-        rows = rows.checkpoint() if keep else rows.persist()
+        rows = cut_lineage(rows)
         close(rows.filter(F.size("issues") == 0), n)
         rest = rows.filter(F.size("issues") > 0)
         if rest.isEmpty():
             return closed
         new = rest.join(decide(rest).select("id", "new_action", "new_qid", "new_confidence"), "id", "left")
-        new = new.withColumn("_confirm", F.col("new_action") == "confirm")
+        new = cut_lineage(new.withColumn("_confirm", F.col("new_action") == "confirm"))  # the decider runs once a round
         none = F.filter("issues", lambda i: F.lit(False))
         close(new.filter(F.col("_confirm") & ~hard).withColumn("issues", none), n)
         still = new.filter(~(F.coalesce("_confirm", F.lit(False)) & ~hard))
