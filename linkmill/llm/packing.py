@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -13,32 +14,63 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, documents
 
 END = np.array([1], dtype="<u4").tobytes()
-#: Entries of a worker's cache from word to ids, after which it starts anew.
-CACHE = 300_000
+#: Entries of a worker's caches from words to ids, after which they start anew.
+CACHE = 600_000
+#: Punctuation that the vocabulary always splits from a letter or digit before it, as one run.
+_SUFFIX = re.compile(rb"[*$#%&!.,|;:?]+\Z")
+_tokens: dict[str, Tokens] = {}
 
 
 class Tokens:
-    """Ids of texts. The vocabulary drops white space and never joins across it, so words are looked up one by one."""
+    """Ids of texts. The vocabulary drops white space and never joins across it, so words are looked up one by one.
+
+    New words are looked up again without closing punctuation and case, which the vocabulary splits off and ignores.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def split(word: bytes) -> tuple[bytes, bytes]:
+        if b"<" in word:  # may hold a special token, which has case
+            return word, b""
+        m = _SUFFIX.search(word)
+        if m and m.start() and word[: m.start()].decode()[-1].isalnum():
+            return word[: m.start()].lower(), m[0]
+        return word.lower(), b""
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the closing id."""
         split = [(t or "").encode().split() for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        known, parts = self.known, self.parts
+        new = set().union(*split).difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list({w for words in split for w in words})
-        encoded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+            new = set().union(*split)
+        cut = {w: self.split(w) for w in new}
+        fresh = {p for pair in cut.values() for p in pair if p}.difference(parts)
+        if len(parts) + len(fresh) > CACHE:
+            parts.clear()
+            fresh = {p for pair in cut.values() for p in pair if p}
+        fresh = list(fresh)
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+        parts.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(fresh, encoded, strict=True))
+        parts[b""] = b""
+        known.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
         return [b"".join([known[w] for w in words]) + END for words in split]
 
 
+def tokens_of(vocabulary: str) -> Tokens:
+    """One instance a worker, so that tasks share its caches."""
+    if vocabulary not in _tokens:
+        _tokens[vocabulary] = Tokens(vocabulary)
+    return _tokens[vocabulary]
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """``start, length`` of the pieces of ``n`` ids: full ones, then the rest."""
     return [(at, min(size, n - at)) for at in range(0, n, size)]
@@ -52,7 +84,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, with_ids: bool =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = Tokens(vocabulary)
+        tokens = tokens_of(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
