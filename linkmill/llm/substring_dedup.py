@@ -37,13 +37,14 @@ def _join(parts: list[np.ndarray], dtype) -> np.ndarray:
 
 
 def _anchors(size: int):
-    """Anchor rows ``h, key, row, pos, sure``; of an anchor repeated in the batch one undecided row is sent, the rest are sure."""
+    """Anchor rows ``h, key, at``: ``at`` is four times the position plus 1 for an anchor alone in its batch, 2 for the first
+    row of one that repeats in it (which also tells the other batches), 3 for its other rows, which need no meeting."""
     length = size - PERIOD + 1
 
     def per_batch(batches):
         for b in batches:
             hashes, docs, places = [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            for i, text in enumerate(b.column(1).to_pylist()):
                 found = window_hashes(_words(text)[3], length)
                 at = _anchor_positions(len(found))
                 hashes.append(found[at])
@@ -54,12 +55,10 @@ def _anchors(size: int):
             sure = (n > 1)[back]
             alone = np.zeros(len(h), dtype=bool)
             alone[first] = True
-            # all rows of a repeated anchor are known to repeat; its first row also tells the other batches
-            key, row = np.asarray(b.column(0)), np.asarray(b.column(1))
-            spread = mix(np.arange(len(h), dtype=np.uint64) + np.uint64(len(h)))  # sure rows need no meeting: any key does
             known = sure & ~alone
-            h = np.where(known, spread, h)
-            yield _batch(["h", "key", "row", "pos", "n"], [h.view(np.int64), key[doc], row[doc], pos.astype(np.int32), np.where(known, 3, np.where(sure, 2, 1)).astype(np.int8)])
+            h = np.where(known, mix(np.arange(len(h), dtype=np.uint64) + np.uint64(len(h))), h)  # any key does for known ones
+            at = 4 * pos + np.where(known, 3, np.where(sure, 2, 1))
+            yield _batch(["h", "key", "at"], [h.view(np.int64), np.asarray(b.column(0))[doc], at.astype(np.int32)])
 
     return per_batch
 
@@ -83,6 +82,7 @@ def _windows(size: int):
                 if n <= 0:
                     continue
                 at = np.asarray(anchors[i], dtype=np.int64)
+                at = at[at < len(words)]  # of other rows with this id
                 # an anchor at p lies at the start of the window p and up to size - length places further in others
                 first = np.maximum(at - (size - length), 0)
                 near = np.zeros(len(words) + 1, dtype=np.int64)
@@ -165,21 +165,24 @@ def substring_dedup(docs: DataFrame, size: int = 20, with_text: bool = True) ->
     owner = texts.groupBy("digest").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1")
     copies = texts.join(owner, "digest").filter("key <> owner").select(F.col("key").alias("k"), F.col("row").alias("r")).distinct()
 
-    def beside(small: DataFrame, how: str) -> DataFrame:
-        return rows.join(small, (F.col("key") == F.col("k")) & (F.col("row") == F.col("r")), how)
-
-    once = beside(copies, "left_anti").select("key", "row", "text")
-    anchors = once.mapInArrow(_anchors(size), "h long, key long, row long, pos int, n byte")
-    repeated = anchors.withColumn("seen", F.sum(F.least("n", F.lit(2))).over(W.partitionBy("h"))).filter("seen > 1")
-    repeated = repeated.groupBy(F.col("key").alias("k"), F.col("row").alias("r")).agg(F.collect_list("pos").alias("anchors"))
-    windows = beside(repeated, "inner").select("key", "row", "text", "anchors").mapInArrow(
+    def beside(small: DataFrame) -> DataFrame:
+        return rows.join(small, F.col("key") == F.col("k"), "left")
+
+    # ids are joined alone, as the same exchange of texts serves all three joins; rows of one id are told apart after them
+    gone = copies.groupBy("k").agg(F.collect_set("r").alias("gone"))
+    once = beside(gone).filter(~F.coalesce(F.array_contains("gone", F.col("row")), F.lit(False))).select("key", "text")
+    anchors = once.mapInArrow(_anchors(size), "h long, key long, at int")
+    repeated = anchors.withColumn("seen", F.sum(F.least(F.col("at") % 4, F.lit(2))).over(W.partitionBy("h"))).filter("seen > 1")
+    repeated = repeated.groupBy(F.col("key").alias("k")).agg(F.collect_list((F.col("at") / 4).cast("int")).alias("anchors")).join(gone, "k", "left")
+    found = beside(repeated).filter(F.col("anchors").isNotNull() & ~F.coalesce(F.array_contains("gone", F.col("row")), F.lit(False)))
+    windows = found.select("key", "row", "text", "anchors").mapInArrow(
         _windows(size), "h1 long, h2 long, key long, row long, pos int, run int")
     order = W.partitionBy("h1", "h2").orderBy("key", "row", "pos")
     late = windows.withColumn("nth", F.rank().over(order)).filter("run > 0 OR nth > 1")  # repeated rows tie
     packed = lambda pos, run: F.shiftleft(pos.cast("long"), 32).bitwiseOR(run.cast("long")).alias("at")
     late = late.select(F.col("key").alias("k"), F.col("row").alias("r"), packed(F.col("pos"), F.greatest("run", F.lit(1))))
-    late = late.unionByName(copies.select("k", "r", packed(F.lit(0), F.lit(0))))
-    late = beside(late.groupBy("k", "r").agg(F.collect_list("at").alias("at")), "left")
+    late = late.unionByName(copies.select("k", "r", packed(F.lit(0), F.lit(0)))).groupBy("k").agg(F.collect_list(F.struct("r", "at")).alias("late"))
+    late = beside(late).withColumn("at", F.transform(F.filter("late", lambda x: x["r"] == F.col("row")), lambda x: x["at"]))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return late.select(F.when(F.col("key") != _LEAST, F.col("key")).alias("doc_id"), "text", "at").mapInArrow(_kept(size, with_text), schema)
 
