@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontamination, line_dedup, packing, simhash, toxicity
+from linkmill.llm import decontamination, line_dedup, near_copies, packing, toxicity
 from linkmill.llm.common import cut_lineage, free_name, in_fold, table
 from linkmill.llm.queries import vocabulary
 
@@ -27,8 +27,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; rows without an id stay."""
-    groups = simhash.simhash_groups(docs)
+    """Keeps the document with the smallest id of each group of near copies (similar five-word shingles); rows without an id stay."""
+    groups = near_copies.near_copies(docs)
     lost = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     return docs.join(lost, docs["doc_id"] == F.col("_lost"), "left_anti")
 
