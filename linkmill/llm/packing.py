@@ -39,7 +39,7 @@ class Tokens:
         if b"<" in word:  # may hold a special token, which has case
             return word, b""
         m = _SUFFIX.search(word)
-        if m and m.start() and word[: m.start()].decode()[-1].isalnum():
+        if m and m.start() and word[: m.start()].decode()[-1].lower()[-1].isalnum():  # lower case of U+0130 ends in a combining dot
             return word[: m.start()].lower(), m[0]
         return word.lower(), b""
 

@@ -119,6 +119,15 @@ def test_tokens_are_those_of_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
 
 
+def test_tokens_of_words_whose_lower_case_ends_in_a_mark():
+    from tokenizers import Tokenizer
+
+    texts = ["BELEDİYESİ, KAPADOKYA'DA.", "İ, İ! aİ?: İx, xİ1.", "İ"]
+    tokenizer, tokens = Tokenizer.from_file(vocabulary()), packing.Tokens(vocabulary())
+    for t, ids in zip(texts, tokens.of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
 def test_histogram_packs():
     rng = np.random.default_rng(1)
     counts = np.append(0, rng.integers(0, 50, 256))
