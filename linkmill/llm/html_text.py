@@ -15,13 +15,24 @@ from .html_pages import labelled_pages
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?:[\s=>]|\Z)|display\s*:\s*none""", re.I)
+_ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 # Tag names of the HTML standard by how they shape text.
 DROPPED = {"script", "style", "template", "noscript", "head", "title", "svg", "iframe", "object", "canvas", "textarea", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
+#: In place of the names of a hidden element, which ends where its end tag or the parser closes it.
+HIDDEN = ("hidden",)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether a start tag has the attribute ``hidden`` or a style without display; other attributes' values don't count."""
+    if not _HIDDEN.search(attributes):
+        return False
+    return any(name.lower() == "hidden" or name.lower() == "style" and _NO_DISPLAY.search(value) for name, value in _ATTRIBUTES.findall(attributes))
+
+
 def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     """Leaf text blocks of a page in order: text, ancestors (as ``tag`` and ``.name`` of class, id or role), share of link text.
 
@@ -49,7 +60,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     while at < size:
         m = _TOKEN.search(html, at)
         begin = m.start() if m else size
-        if begin > at:
+        if begin > at and not any(names is HIDDEN for _, names in stack):
             parts.append(html[at:begin])
             if links:
                 linked += begin - at
@@ -77,7 +88,10 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], float]]:
                     links = 0
                     break
             continue
-        if tag in DROPPED or _HIDDEN.search(m[3]):
+        hidden = is_hidden(m[3])
+        if hidden and (tag in VOID or m[3].endswith("/")):
+            continue
+        if tag in DROPPED:
             if m[3].endswith("/"):
                 continue
             if tag in VOID:
@@ -110,7 +124,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if tag == "a":
             links += 1
         names = tuple(f".{t}" for a in _NAMES.findall(m[3]) for t in "".join(a).lower().split()) if m[3] else ()
-        stack.append((tag, names))
+        stack.append((tag, HIDDEN if hidden else names))
     flush()
     return out
 

@@ -344,3 +344,10 @@ def test_language_id(spark):
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[903].lang_pred == "xx" and 0 <= got[903].score <= 1
     assert language.language_id(df.limit(0)).count() == 0
     assert {r.lang_pred for r in language.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_only_hidden_elements_are_left_out():
+    said = lambda html: [t for t, *_ in html_text.blocks(html)]
+    assert said('<div class="content hidden md:block"><p>a</p></div><p data-note="a hidden gem, display:none">b</p>') == ["a", "b"]
+    assert said("<div><p hidden>x<p>a</div><p>b") == ["a", "b"]
+    assert said("<div><div hidden>x<div>y</div>z</div>a</div><p>b <span style='display: none'>x</span>c</p><ul><li hidden>x<li>d</ul>") == ["a", "b c", "d"]
