@@ -50,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> None:
         if folder := context.getConf().get("spark.checkpoint.dir"):
             context.setCheckpointDir(folder)
         else:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))

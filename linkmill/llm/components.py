@@ -42,3 +42,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     star = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return star.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def apart(rows: DataFrame, parts: DataFrame, member: str, keys: list[str]) -> DataFrame:
+    """``rows`` of the keys whose members lie in more than one component, with ``component`` and the key's ``largest`` one.
+
+    A member that ``parts`` (``node, component``) doesn't name is a component of its own. Counts are combined by key and
+    component before the shuffle by key.
+    """
+    placed = rows.join(parts.withColumnRenamed("node", member), member, "left").withColumn("component", F.coalesce("component", member))
+    placed = cut_lineage(placed)
+    sizes = placed.groupBy(*keys, "component").count()
+    sizes = sizes.groupBy(*keys).agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("several"))
+    return placed.join(sizes.filter("several > 1").drop("several"), keys)

@@ -1,4 +1,9 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 0.8, and their components."""
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 0.8, and their components.
+
+SimHash links (:mod:`.simhash`) bring the nearest copies together. At a similarity of 0.8 fingerprints differ by ten bits
+and more, where no index of one-wildcard segments tells copies from others, so what they leave apart is found by an
+exact prefix filter over the same shingles. Every candidate is compared by its whole sets.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +12,24 @@ import gc
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, cut_lineage, documents, window_hashes, word_hashes, word_spans
-from .components import connected_components
+from .components import apart, connected_components
+from .simhash import joining_links, majority
 
 #: Least similarity as a fraction, so that all bounds are whole numbers.
 SHARE = (4, 5)
-#: Texts of the sample that shows which shingles are common, and the characters read of each.
-SAMPLE, HEAD = 2000, 5000
+#: Texts asked for by candidates are broadcast as ids up to this number (24 bytes each), and joined by shuffle beyond it.
+FEW = 100_000
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``words`` words; of all words together if there are fewer; none without words."""
+    """Sorted distinct hashes (64 bits, signed) of the runs of ``words`` words; of all words together if there are fewer; none without words."""
     hashes = word_hashes(*word_spans((text or "").encode().translate(ASCII_LOWER)))
-    return np.unique(window_hashes(hashes, min(words, len(hashes)))) if len(hashes) else np.zeros(0, dtype=np.uint64)
+    return np.unique(window_hashes(hashes, min(words, len(hashes))).view(np.int64)) if len(hashes) else np.zeros(0, dtype=np.int64)
 
 
 def prefix_size(n: int, share: tuple[int, int] = SHARE) -> int:
@@ -31,18 +38,29 @@ def prefix_size(n: int, share: tuple[int, int] = SHARE) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SHARE) -> bool:
+    if share[1] * min(len(a), len(b)) < share[0] * max(len(a), len(b)):
+        return False
     same = len(np.intersect1d(a, b, assume_unique=True))
     return share[1] * same >= share[0] * (len(a) + len(b) - same)
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a bounded sample holds in two texts or more, and in how many. They set only the order of shingles."""
-    hashed = docs.select("text", F.xxhash64("text").alias("h"))
-    last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # hashes alone are ranked
-    heads = hashed.filter(F.col("h") <= F.lit(last)).select(F.substring("text", 1, HEAD).alias("text")).limit(SAMPLE).collect()
-    found = [shingles(r.text, words) for r in heads]
-    values, n = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.uint64), return_counts=True)
-    return values[n > 1], n[n > 1]
+def frequent(docs: DataFrame, words: int, least: int = 8, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and how often they repeat: counted over all documents wherever a batch holds one twice.
+
+    They only rank shingles, so that a passage of many documents comes last in every set; no result depends on them.
+    """
+
+    def per_batch(batches):
+        for b in batches:
+            found = [shingles(t, words) for t in b.column(0).to_pylist()]
+            values, n = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], ["token", "n"])
+
+    counted = documents(docs).select("text").mapInArrow(per_batch, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    values, n = np.asarray(top["token"]), np.asarray(top["n"])
+    order = np.argsort(values)
+    return values[order], n[order]
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -54,48 +72,99 @@ def _settled(df: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """``doc_id, key, sid, n, prefix`` per row: hashes of its text and of its set, the set's size, and its rarest members in order."""
-    known, counts = common_shingles(docs, words)
+    """Per row: ``doc_id``, hashes of its text (``key``) and of its set (``sid``), the set's size ``n``, its SimHash ``fp``, its
+    rarest members in order (``prefix``), and the place of the last of these in the order of all shingles (``often, last``)."""
+    known, counts = frequent(docs, words)
 
     def per_batch(batches):
         for b in batches:
-            sid, n, prefix = [], [], []
+            sid, n, fp, prefix, ends = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, words)
                 often = np.zeros(len(s), dtype=np.int64)
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     often = np.where(known[at] == s, counts[at], 0)
+                order = np.argsort(often, kind="stable")[: prefix_size(len(s), share)]
                 sid.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 n.append(len(s))
-                prefix.append(s[np.argsort(often, kind="stable")[: prefix_size(len(s), share)]].view(np.int64))
-            columns = [pa.array(np.array(sid, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "key", "sid", "n", "prefix"])
+                fp.append(majority(s.view(np.uint64)))
+                prefix.append(s[order])
+                ends.append((often[order[-1]], s[order[-1]]) if len(s) else (0, 0))
+            columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sid, fp)]
+            columns += [pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), *(pa.array([e[i] for e in ends], pa.int64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "key", "sid", "fp", "n", "prefix", "often", "last"])
 
     rows = documents(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(per_batch, "doc_id long, key long, sid long, n long, prefix array<long>")
+    return rows.mapInArrow(per_batch, "doc_id long, key long, sid long, fp long, n long, prefix array<long>, often long, last long")
+
+
+def shared_tokens(folded: DataFrame) -> DataFrame:
+    """``token, sid``: members of prefixes that at least two sets have in theirs. Similar sets always share one."""
+    tokens = folded.select("sid", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").count().filter("count > 1").select("token")
+    return tokens.join(shared, "token", "left_semi").select("token", "sid")
 
 
-def candidates(folded: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """``a, b``: all pairs of distinct sets (``sid, n, prefix``) that share a member of their prefixes, unless sizes and places rule them out.
+def possible(counted: DataFrame, folded: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Those of ``a, b, same`` (how many tokens their prefixes share) that sizes and counts leave possible.
 
-    Behind the places of a shared member only the rest of both sets can be shared too. This bound counts from the first
-    shared member, so of the members that a similar pair shares at least one emits it.
+    Whichever prefix ends first in the common order, behind its end only the rest of its set can be shared too.
     """
     p, q = share
-    tokens = folded.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
-    x, y = tokens.alias("x"), tokens.alias("y")
-    left = lambda s: F.col(f"{s}.n") - F.col(f"{s}.pos")
-    sizes = F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p
-    places = F.least(left("x"), left("y")) * (p + q) >= (F.col("x.n") + F.col("y.n")) * p
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & sizes & places
-    return x.join(y, on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    facts = folded.select("sid", "n", "often", "last")
+    side = lambda s: facts.select(*(F.col(c).alias(f"{s}_{c}") for c in facts.columns))
+    both = counted.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid"))
+    rest = lambda s: F.floor((F.col(f"{s}_n") * p + (q - 1)) / q) - 1  # noqa: E731  # the set without its prefix
+    behind = F.when(F.struct("a_often", "a_last") <= F.struct("b_often", "b_last"), rest("a")).otherwise(rest("b"))
+    sizes = F.least("a_n", "b_n") * q >= F.greatest("a_n", "b_n") * p
+    return both.filter(sizes & ((F.col("same") + behind) * (p + q) >= (F.col("a_n") + F.col("b_n")) * p)).select("a", "b")
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
+    """``a, b, same``: in how many tokens sets of ``x`` and ``y`` meet."""
+    met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & on)
+    return met.groupBy(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).agg(F.count("*").alias("same"))
 
 
-def links(texts: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose texts (``sid, text``) are similar, each compared by its whole sets."""
-    asked = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
-    both = pairs.join(asked.select(F.col("sid").alias("a"), F.col("text").alias("s")), "a").join(asked.select(F.col("sid").alias("b"), F.col("text").alias("t")), "b")
+def led_pairs(tokens: DataFrame, leaders: int) -> DataFrame:
+    """``a, b, same`` of sets with the ``leaders`` first sets of each token: a bounded number of partners in any group."""
+    first = tokens.withColumn("nth", F.row_number().over(W.partitionBy("token").orderBy("sid"))).filter(F.col("nth") <= leaders)
+    return _pairs(first.select("token", "sid"), tokens, F.col("x.sid") < F.col("y.sid"))
+
+
+def left_pairs(tokens: DataFrame, parts: DataFrame) -> DataFrame:
+    """``a, b, same`` of all sets that share a token and lie in different components: members outside a token's largest component meet the rest."""
+    rest = apart(tokens, parts, "sid", ["token"])
+    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.sid") < F.col("y.sid"))
+    return _pairs(rest.filter("component <> largest"), rest, (F.col("x.component") != F.col("y.component")) & once)
+
+
+def simhash_pairs(folded: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``a, b``: sets with equal or linked fingerprints, by way of one set for each fingerprint.
+
+    Only sets that share a token of their prefixes are indexed; no other can be similar to any.
+    """
+    rows = folded.join(tokens.select("sid").distinct(), "sid", "left_semi").select("sid", "fp")
+    heads = rows.groupBy("fp").agg(F.min("sid").alias("head"))
+    equal = rows.join(heads, "fp").filter("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    linked = joining_links(heads.select("fp"))
+    of = lambda s: heads.select(F.col("fp").alias(s), F.col("head").alias(f"{s}_head"))
+    linked = linked.join(of("a"), "a").join(of("b"), "b").select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
+    return equal.unionByName(linked)
+
+
+def links(docs: DataFrame, folded: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """``u, v``: those of ``pairs`` (``a, b``) whose texts are similar, each compared by its whole sets."""
+    pairs = _settled(pairs.distinct())
+    asked = folded.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
+    asked = cut_lineage(asked.select("sid", F.col("least.doc_id").alias("i"), F.col("least.key").alias("k")))
+    asked = F.broadcast(asked) if asked.count() <= FEW else asked
+    rows = documents(docs).withColumn("k", F.xxhash64("text"))
+    texts = rows.join(asked, rows["doc_id"].eqNullSafe(asked["i"]) & (rows["k"] == asked["k"])).select("sid", "text").dropDuplicates(["sid"])
+    texts = _settled(texts)
+    of = lambda s, t: texts.select(F.col("sid").alias(s), F.col("text").alias(t))
+    both = pairs.join(of("a", "s"), "a").join(of("b", "t"), "b")
 
     def per_batch(batches):
         for b in batches:
@@ -108,31 +177,38 @@ def links(texts: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]
                 keep.append(similar(seen[a], seen[c], share))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "s", "t").mapInArrow(per_batch, "u long, v long")
+    return _settled(both.select("a", "b", "s", "t").mapInArrow(per_batch, "u long, v long"))
 
 
-def near_copies(docs: DataFrame, words: int = 5, share: tuple[int, int] = SHARE) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, key, component_id`` (the smallest ``doc_id`` reachable over links, itself included).
+def near_copies(docs: DataFrame, words: int = 5, share: tuple[int, int] = SHARE, leaders: int = 16) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, key, component_id`` (the smallest ``doc_id`` reachable over links, itself included), ``head``.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles (A-Z in lower case) is at least ``share``;
-    shorter texts are one shingle. Rows of equal sets are folded first, so exact copies are never paired. Every pair that
-    similar shares one of its rarest shingles (:func:`prefix_size`), so none is lost; all others fail the comparison
-    of whole sets. Sets and shingles are told apart by 64-bit hashes.
+    shorter texts are one shingle. Rows of equal sets are folded first, so exact copies are never paired.
+
+    1. Candidates are SimHash links, and sets that share rare shingles with the ``leaders`` first sets that have them. Those
+       that hold by their whole sets join most of each group, at a bounded number of partners for each set.
+    2. Then all sets that share a rare shingle and still lie in different components meet (:func:`left_pairs`). Every
+       pair similar enough shares one (:func:`prefix_size`), so no link between components is lost.
 
-    ``key`` is the 64-bit hash of the text. Null and empty texts have the empty set and are copies of each other. Rows with
-    a null ``doc_id`` link too but never name a component, whose id is null only if all its ids are. An empty table gives
-    an empty result.
+    Sets and shingles are told apart by 64-bit hashes. ``key`` is the 64-bit hash of the text; ``head`` marks the row with the
+    smallest (``doc_id``, ``key``) of its group, repeated rows alike. Null and empty texts have the empty set and are copies of each
+    other. Rows with a null ``doc_id`` link too but never name a component, whose id is null only if all its ids are. An
+    empty table gives an empty result.
     """
     found = _settled(sets(docs, words, share))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    folded = found.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), least)
-    folded = _settled(folded.select("sid", "n", "prefix", "least"))
-    pairs = _settled(candidates(folded, share))
-    asked = folded.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", F.col("least.doc_id").alias("i"), F.col("least.key").alias("k"))
-    rows = documents(docs).withColumn("k", F.xxhash64("text"))
-    texts = rows.join(asked, rows["doc_id"].eqNullSafe(asked["i"]) & (rows["k"] == asked["k"])).select("sid", "text").dropDuplicates(["sid"])
-    parts = connected_components(_settled(links(_settled(texts), pairs, words, share)))
-    grouped = folded.join(parts, folded.sid == parts.node, "left").select("sid", F.col("least.doc_id").alias("least"), F.coalesce("component", "sid").alias("component"))
-    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(named, "component").select("sid", "component_id")
-    return found.join(named, "sid").select("doc_id", "key", "component_id")
+    facts = [F.any_value(c).alias(c) for c in ("n", "fp", "prefix", "often", "last")]
+    folded = _settled(found.groupBy("sid").agg(*facts, least))
+    tokens = _settled(shared_tokens(folded))
+    near = possible(led_pairs(tokens, leaders), folded, share).unionByName(simhash_pairs(folded, tokens))
+    joined = links(docs, folded, near, words, share)
+    parts = cut_lineage(connected_components(joined))
+    left = cut_lineage(possible(left_pairs(tokens, parts), folded, share))
+    if not left.isEmpty():
+        parts = connected_components(joined.unionByName(links(docs, folded, left, words, share)))
+    grouped = folded.join(parts, folded.sid == parts.node, "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
+    named = grouped.groupBy("component").agg(F.min("least").alias("first"))
+    named = grouped.join(named, "component").select("sid", "first")
+    head = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    return found.join(named, "sid").select("doc_id", "key", F.col("first.doc_id").alias("component_id"), head.alias("head"))
