@@ -27,10 +27,21 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (similar five-word shingles); rows without an id stay."""
-    groups = near_copies.near_copies(docs)
-    lost = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == F.col("_lost"), "left_anti")
+    """Keeps one document of each group of near copies (similar five-word shingles): that with the smallest id, ties by text hash.
+
+    Rows are judged by id and text, so rows of one id with different texts each by their own; of repeated rows (same id and
+    text) any one stays. Null and empty texts are copies of each other. Rows without an id come last in their group.
+    """
+    groups = cut_lineage(near_copies.near_copies(docs))
+    key, i, k = (free_name(docs, c) for c in ("_key", "_lost_id", "_lost_key"))
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    same = rows["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k))
+    pick = lambda df: df.select(F.col("doc_id").alias(i), F.col("key").alias(k)).distinct()
+    kept = rows.join(pick(groups.filter("NOT head")), same, "left_anti")
+    again = cut_lineage(pick(groups.filter("head").groupBy("doc_id", "key").count().filter("count > 1")))
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
