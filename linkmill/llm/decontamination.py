@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut_lineage, documents
 
 #: Code points of item text handled in one pass over the documents; larger benchmarks take several passes.
 BLOCK = 4_000_000
@@ -106,6 +107,17 @@ class Matcher:
         return out
 
 
+#: The last matcher of a worker, by the name of its block of items, so that tasks need not build it again.
+_matcher: dict[tuple[str, float], Matcher] = {}
+
+
+def matcher_of(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+    if (name, rate) not in _matcher:
+        _matcher.clear()
+        _matcher[name, rate] = Matcher(items, rate)
+    return _matcher[name, rate]
+
+
 def blocks(benchmark: DataFrame, size: int = BLOCK):
     """The benchmark's items, normalised, in lists of at most about ``size`` code points; items without text are left out."""
     block, total = [], 0
@@ -122,42 +134,50 @@ def blocks(benchmark: DataFrame, size: int = BLOCK):
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, min_chars: int = 40, block: int = BLOCK) -> DataFrame:
-    """``doc_id, item_id, distance, end``: each item found in each row of ``docs``, at its best place.
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block: int = BLOCK) -> DataFrame:
+    """``doc_id, key`` (hash of the text), ``item_id, distance, end``: each item found in each row of ``docs``, at its best place.
 
     Texts are compared in lower case by letters and digits alone. An item of ``n`` characters may differ in ``rate * n``
-    insertions, deletions or replacements. By the pigeonhole principle one of budget-plus-one pieces of it then occurs
-    unchanged: an Aho-Corasick automaton finds all pieces of all items in one pass over the whole text, and Myers'
-    bit-parallel distance reads only the places that the hits leave open. Items under ``min_chars`` must occur exactly.
+    insertions, deletions or replacements, rounded down. By the pigeonhole principle one of budget-plus-one pieces of it
+    then occurs unchanged: an Aho-Corasick automaton finds all pieces of all items in one pass over the whole text, and
+    Myers' bit-parallel distance reads only the places that the hits leave open.
 
-    The benchmark is sent to the tasks in blocks of bounded size, with one pass over the documents for each; documents
-    are never shuffled or paired. ``end`` counts characters of the normalised text. Null and empty texts match nothing,
+    The benchmark is sent to the tasks in blocks of bounded size, with one pass over the documents for each; documents are
+    never shuffled or paired. Of several blocks each is searched, its finds written to the checkpoint folder, and
+    released before the next is read. ``end`` counts characters of the normalised text. Null and empty texts match nothing,
     items without letters or digits are never found, items with the same id are searched each (the least distance counts),
     repeated rows give repeated results, and an empty table or benchmark gives an empty result.
     """
-    rows = documents(docs)
-    schema = "doc_id long, item_id long, distance int, end int"
+    rows = documents(docs).withColumn("key", F.xxhash64("text"))
+    schema = "doc_id long, key long, item_id long, distance int, end int"
     out = None
-    for items in blocks(benchmark, block):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    left = blocks(benchmark, block)
+    items = next(left, None)
+    while items:
+        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def per_batch(batches, shared=shared):
-            short = [x for x in shared.value if len(x[1]) < min_chars]
-            matchers = [Matcher([x for x in shared.value if len(x[1]) >= min_chars], rate), Matcher(short, 0.0)]
+        def per_batch(batches, shared=shared, name=name):
+            matcher = matcher_of(name, shared.value, rate)
             for b in batches:
                 found = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    clean = normalise(text)
+                for doc, text, key in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     best: dict[int, tuple[int, int]] = {}
-                    for m in matchers:
-                        for item, *at in m.find(clean):
-                            best[item] = min(best.get(item, (1 << 30, 0)), tuple(at))
-                    found += [(doc, item, *at) for item, at in best.items()]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["doc_id", "item_id", "distance", "end"])
+                    for item, *at in matcher.find(normalise(text)):
+                        best[item] = min(best.get(item, (1 << 30, 0)), tuple(at))
+                    found += [(doc, key, item, *at) for item, at in best.items()]
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["doc_id", "key", "item_id", "distance", "end"])
 
         part = rows.mapInArrow(per_batch, schema)
+        items = next(left, None)
+        if items or out is not None:
+            part = cut_lineage(part)
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
     return out
+
+
+def digest(result: DataFrame) -> DataFrame:
+    return result.select("doc_id", "item_id", "distance", "end")

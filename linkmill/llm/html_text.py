@@ -18,11 +18,15 @@ _HIDDEN = re.compile(r"""\shidden(?:[\s=>]|\Z)|display\s*:\s*none""", re.I)
 _ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 # Tag names of the HTML standard by how they shape text.
-DROPPED = {"script", "style", "template", "noscript", "head", "title", "svg", "iframe", "object", "canvas", "textarea", "select"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+DROPPED = {"template", "noscript", "svg", "object", "canvas", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
-#: In place of the names of a hidden element, which ends where its end tag or the parser closes it.
+#: In place of the names of a hidden or dropped element, which ends where its end tag or the parser closes it.
 HIDDEN = ("hidden",)
+#: Dropped elements that cannot hold other blocks, so that the start of one ends them.
+SHALLOW = {"svg", "select"}
+BLOCKS = {"address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
@@ -37,7 +41,8 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     """Leaf text blocks of a page in order: text, ancestors (as ``tag`` and ``.name`` of class, id or role), share of link text.
 
     Inline markup and ``br`` don't end a block; any other tag does. Comments, hidden parts and the contents of scripts,
-    styles and the like are left out. Unclosed and stray tags are tolerated.
+    styles and the like are left out. Unclosed and stray tags are tolerated: a hidden or dropped element ends with its end
+    tag, with that of its parent, or where HTML implies its end; only raw text (scripts, styles) may run to the end of the page.
     """
     html = html or ""
     out: list[tuple[str, tuple[str, ...], float]] = []
@@ -91,23 +96,24 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         hidden = is_hidden(m[3])
         if hidden and (tag in VOID or m[3].endswith("/")):
             continue
+        if tag in RAW or tag == "head":
+            flush()
+            if not m[3].endswith("/"):
+                at = _head_end(html, at) if tag == "head" else _raw_end(html, at, tag)
+            continue
         if tag in DROPPED:
             if m[3].endswith("/"):
                 continue
-            if tag in VOID:
-                continue
-            if tag == "head":
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
-                at = (end.start() if end[0][1] != "/" else end.end()) if end else at
-            else:
-                at = _skip(html, at, tag)
-            if tag not in INLINE:
-                flush()
-            continue
+            hidden = True
         if tag not in INLINE:
             flush()
             if tag in VOID:
                 continue
+            if tag in BLOCKS:
+                for k, (t, _) in enumerate(stack):
+                    if t in SHALLOW:  # the parser leaves it for a block
+                        del stack[k:]
+                        break
             shut = CLOSES.get(tag, ()) if tag in CLOSES else {"p"}
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in shut:
@@ -129,14 +135,16 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     return out
 
 
-def _skip(html: str, at: int, tag: str) -> int:
-    """Behind the end tag that belongs to a dropped start tag; for raw text the first one."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(html, at):
-        depth += -1 if m[1] else (0 if tag in ("script", "style", "textarea", "title") else 1)
-        if depth == 0:
-            return m.end()
-    return len(html)
+def _raw_end(html: str, at: int, tag: str) -> int:
+    """Behind the first end tag of raw text, which holds no markup."""
+    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+    return end.end() if end else len(html)
+
+
+def _head_end(html: str, at: int) -> int:
+    """Behind ``</head>``, or at the body; a head with neither is read on, as its own elements are dropped by their tags."""
+    end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
+    return at if not end else end.end() if end[0][1] == "/" else end.start()
 
 
 def _level(x: float, steps: tuple) -> int:

@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_fold, word_hashes, word_spans
-from .learning import balanced_ids, byte_grams, sampled, word_grams
+from .learning import byte_grams, chunks, sample, word_grams
 
 BITS, WIDTH = 15, 16
-_CHUNK = 1 << 20
-
-
-def subwords(text: str) -> np.ndarray:
-    """Buckets of the words and of runs of 2 to 4 bytes of the lower-cased text; white space counts as one space."""
-    data = b" " + b" ".join(text.lower().encode().split()) + b" "
-    values, starts, ends = word_spans(data)
-    words = word_grams(word_hashes(values, starts, ends), 1, BITS)
-    return np.concatenate([words, *(byte_grams(values, n, BITS) for n in (2, 3, 4))])
+_WHITE = re.compile(rb"[ \t\n\x0b\x0c\r]+")
 
 
 def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the whole text and the share of each; in chunks of bounded memory."""
+    """Buckets of the words and of runs of 2 to 4 bytes of the whole lower-cased text, and the share of each; white space counts as one space.
+
+    Long texts are counted in parts that overlap, with the same result.
+    """
+    data = b" " + _WHITE.sub(b" ", text.lower().encode("utf-8", "surrogatepass")).strip(b" ") + b" "
+    values, starts, ends = word_spans(data)
     n = np.zeros(1 << BITS, dtype=np.int64)
-    for at in range(0, len(text), _CHUNK):
-        n += np.bincount(subwords(text[at : at + _CHUNK]), minlength=len(n))
+    for a, b in chunks(len(starts)):
+        n += np.bincount(word_grams(word_hashes(values[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]), 1, BITS), minlength=len(n)) if b > a else 0
+    for size in (2, 3, 4):
+        for a, b in chunks(len(values), size - 1):
+            n += np.bincount(byte_grams(values[a:b], size, BITS), minlength=len(n))
     index = np.flatnonzero(n)
     return index, (n[index] / max(1, n.sum())).astype(np.float32)
 
@@ -97,7 +99,7 @@ def _calibrate(model: Model, held: list[tuple[np.ndarray, np.ndarray, int]], max
 
 
 def fit(docs: DataFrame, per_lang: int = 400, max_error: float = 0.01) -> Model:
-    """Learns from at most ``per_lang`` documents of each non-null ``lang``.
+    """Learns from at most ``per_lang`` documents of each non-null ``lang``; an id counts once (:func:`.learning.sample`).
 
     The driver gets their hashed counts, not their texts. Each whole text is an example, and so are some short runs of its
     words, as short texts occur too. A tenth of the texts is held back for the temperature and the rejection threshold.
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, per_lang: int = 400, max_error: float = 0.01) -> Model:
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["lang", "h", "k", "i", "s"])
 
-    rows = sampled(docs.select("doc_id", "text").filter("text IS NOT NULL"), balanced_ids(docs, "lang", per_lang))
+    rows = sample(docs.select("doc_id", "text"), docs, "lang", per_lang)
     found = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(per_batch, "lang string, h long, k int, i array<int>, s array<float>")
     table = found.toArrow().sort_by([("h", "ascending"), ("k", "ascending")])
     names, hashes = table["lang"].to_pylist(), table["h"].to_pylist()

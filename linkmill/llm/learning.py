@@ -10,19 +10,32 @@ from pyspark.sql import functions as F
 from .common import mix
 
 
-def balanced_ids(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """``doc_id`` and label of at most ``per_class`` rows of each class: those with the smallest id hashes.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """``doc_id, text`` and ``label`` of at most ``per_class`` documents of each class: those with the smallest id hashes.
+
+    ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``label``. An id counts once, with its largest label and, of
+    several texts, that with the smallest hash. Ids and labels that are null, and ids without a document, are left out
+    before ranking. So the bound holds whatever repeats, and every class with documents is filled.
 
     Only ids and labels are ranked, and a rank limit is applied before the shuffle, so a class with most of the rows
-    sends ``per_class`` rows a partition.
+    sends ``per_class`` rows a partition. Of an id with very many rows each partition sends one text.
     """
+    ids = labels.select("doc_id", label).na.drop().groupBy("doc_id").agg(F.max(label).alias(label))
+    ids = ids.join(docs.filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
     order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.select("doc_id", label).filter(F.col(label).isNotNull()).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).drop("nth")
+    ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).drop("nth")
+    found = docs.filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")  # per_class rows of each class at most
+    return found.groupBy("doc_id", label).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+#: Bytes of a text whose n-grams are held at once.
+CHUNK = 1 << 20
 
 
-def sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of a bounded sample; its size is bound by ``per_class`` times the number of classes."""
-    return docs.join(F.broadcast(ids), "doc_id")
+def chunks(n: int, overlap: int = 0):
+    """``begin, end`` of parts of ``n`` places, each with the next ``overlap`` places, so that no run over a cut is lost or counted twice."""
+    for at in range(0, max(1, n - overlap), CHUNK):
+        yield at, min(n, at + CHUNK + overlap)
 
 
 def byte_grams(values: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -47,11 +60,6 @@ def word_grams(words: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def counted(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, n = np.unique(index, return_counts=True)
-    return found, n / max(1, len(index))
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

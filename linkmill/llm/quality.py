@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, documents, window_hashes, word_hashes, word_spans
-from .learning import Sparse, balanced_ids, byte_grams, counted, fit_dense, fit_logistic, sampled, sigmoid, word_grams
+from .learning import Sparse, byte_grams, chunks, fit_dense, fit_logistic, sample, sigmoid, word_grams
 
 BITS = 15
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 FAMILIES = 4
-_CHUNK = 1 << 20
 
 
 class Text:
@@ -41,10 +40,23 @@ def counts(t: Text, window: int = 8) -> tuple[int, int, int, int, int]:
     return n, chars, int(_SYMBOL[t.values].sum()), len(lines) - len(set(lines)), repeats
 
 
-def features(t: Text) -> list[np.ndarray]:
-    """Buckets of words, word pairs, and runs of 3 and 4 bytes, each family in a range of its own."""
-    families = (word_grams(t.words, 1, BITS), word_grams(t.words, 2, BITS), byte_grams(t.values, 3, BITS), byte_grams(t.values, 4, BITS))
-    return [f + (k << BITS) for k, f in enumerate(families)]
+def features(t: Text):
+    """Family by family, in parts of bounded size: its number, and buckets of words, word pairs, and runs of 3 and 4 bytes,
+    each family in a range of its own."""
+    for family, (grams, values, n) in enumerate(((word_grams, t.words, 1), (word_grams, t.words, 2), (byte_grams, t.values, 3), (byte_grams, t.values, 4))):
+        for a, b in chunks(len(values), n - 1):
+            yield family, grams(values[a:b], n, BITS) + (family << BITS)
+
+
+def shares(t: Text) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the whole text, and the share of each in its family."""
+    n = np.zeros(FAMILIES << BITS)
+    for _, index in features(t):
+        n += np.bincount(index, minlength=len(n))
+    n = n.reshape(FAMILIES, -1)
+    n = (n / np.maximum(1, n.sum(1, keepdims=True))).ravel()
+    index = np.flatnonzero(n)
+    return index, n[index]
 
 
 class Model:
@@ -54,7 +66,11 @@ class Model:
         self.weights, self.bias, self.scale, self.shift = weights, bias, scale, shift
 
     def probability(self, t: Text) -> float:
-        z = self.bias + sum(float(self.weights[f].mean()) for f in features(t) if len(f))
+        total, n = np.zeros(FAMILIES), np.zeros(FAMILIES)
+        for family, index in features(t):
+            total[family] += self.weights[index].sum(dtype=np.float64)
+            n[family] += len(index)
+        z = self.bias + float((total / np.maximum(1, n)).sum())
         return float(sigmoid(np.array(self.scale * z + self.shift)))
 
 
@@ -65,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, prior: float
     for calibration to the share of good documents among the labels (or ``prior``).
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")
-    rows = sampled(documents(docs), balanced_ids(labels, "quality", per_class))
+    rows = sample(documents(docs), labels, "quality", per_class)
     if prior is None:
         prior = labels.agg(F.avg("quality")).first()[0]
 
@@ -73,9 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, prior: float
         for b in batches:
             out = [], []
             for text in b.column(0).to_pylist():
-                parts = [counted(f) for f in features(Text(text))]
-                out[0].append(np.concatenate([p[0] for p in parts]).astype(np.int32))
-                out[1].append(np.concatenate([p[1] for p in parts]).astype(np.float32))
+                index, share = shares(Text(text))
+                out[0].append(index.astype(np.int32))
+                out[1].append(share.astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float32())), b.column(1), b.column(2)], ["i", "v", "y", "h"])
 
     found = rows.select("text", "quality", F.xxhash64("doc_id").alias("h")).mapInArrow(per_batch, "i array<int>, v array<float>, y int, h long")

@@ -147,7 +147,7 @@ def joining_links(prints: DataFrame, distance: int = 4, hot: int = LIGHT_KEY, le
     rows = variants(prints, distance)
     heavy = cut_lineage(rows.groupBy(*KEYS).count().filter(F.col("count") > hot).select(*KEYS))
     light = rows.join(heavy, KEYS, "left_anti")
-    pair = [F.col("x.fp").alias("a"), F.col("y.fp").alias("b")]
+    pair = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
     ordered = F.col("x.fp") < F.col("y.fp")
     found = light.alias("x").join(light.alias("y"), _same(*KEYS) & ordered & _meets_once(distance, False)).select(*pair)
     if heavy.isEmpty():

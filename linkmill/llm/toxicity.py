@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, in_fold
-from .learning import balanced_ids, fit_dense, sampled, sigmoid
+from .learning import fit_dense, sample, sigmoid
 
 SPAN, DECAY, BITS = 6, 0.6, 17
-#: Longer words are read in overlapping windows of this many characters, half of it apart.
-LONGEST = 24
+#: Characters whose subsequences are held at once.
+CHUNK = 1 << 18
 #: Entries of a worker's cache from unit to margin, after which it starts anew.
 CACHE = 400_000
 FEATURES = 4
@@ -36,44 +36,66 @@ def units(text: str | None) -> list[str]:
             run.append(word)
             continue
         if len(run) > 2:
-            out += windows("".join(run))
+            out.append("".join(run))
         run = []
         if word:
-            out += windows(word)
-    return out + (windows("".join(run)) if len(run) > 2 else [])
+            out.append(word)
+    return out + (["".join(run)] if len(run) > 2 else [])
 
 
-def windows(word: str) -> list[str]:
-    if len(word) <= LONGEST:
-        return [word]
-    step = LONGEST // 2
-    return [word[at : at + LONGEST] for at in range(0, len(word) - step, step)]
+def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, hashed features and values of the unit kernel vectors of strings, flat; begin and end of a string are characters.
 
+    Strings are taken together up to ``CHUNK`` characters; a longer one is read in parts that overlap, with the same result.
+    """
+    out, at = [], 0
+    while at < len(strings):
+        end, size = at, 0
+        while end < len(strings) and (end == at or size + len(strings[end]) <= CHUNK):
+            size += len(strings[end])
+            end += 1
+        row, feature, value = _summed(_places(strings[at:end]) if size <= CHUNK else _long(strings[at]))
+        norm = np.sqrt(np.bincount(row, value**2, minlength=end - at))
+        out.append((row + at, feature, value / np.maximum(norm[row], 1e-12)))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _long(string: str):
+    """As :func:`_places` for one long string, part by part; a run belongs to the part in which it begins."""
+    whole = "\x02" + string + "\x03"
+    kept = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+    for at in range(0, len(whole), CHUNK):
+        found = _places([whole[at : at + CHUNK + SPAN]], marked=True, begins=CHUNK)
+        kept = list(_summed([np.concatenate(x) for x in zip(kept, found, strict=True)]))
+    return kept
+
+
+def _summed(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, feature, value = found
+    key, back = np.unique(row << BITS | feature, return_inverse=True)
+    return key >> BITS, key & ((1 << BITS) - 1), np.bincount(back, value, minlength=len(key))
 
-def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, hashed features and values of the unit kernel vectors of strings, flat; begin and end of a string are characters."""
-    length = np.fromiter((len(s) + 2 for s in strings), dtype=np.int64, count=len(strings))
-    begin = np.cumsum(length + SPAN) - length - SPAN
-    codes = np.frombuffer("".join("\x02" + s + "\x03" + "\x00" * SPAN for s in strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+def _places(strings: list[str], marked: bool = False, begins: int | None = None) -> list[np.ndarray]:
+    """Row, feature and value of every run of three characters with gaps; ``begins`` limits where they begin."""
+    if not marked:
+        strings = ["\x02" + s + "\x03" for s in strings]
+    length = np.fromiter((len(s) for s in strings), dtype=np.int64, count=len(strings))
+    codes = np.frombuffer("".join(s + "\x00" * SPAN for s in strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     owner = np.repeat(np.arange(len(strings)), length + SPAN)
-    at = np.flatnonzero(codes != 0)
+    inside = np.ones(len(codes), dtype=bool)  # not the filling, which a text may hold as a character
+    inside[(np.cumsum(length + SPAN)[:, None] - SPAN + np.arange(SPAN)).ravel()] = False
+    at = np.flatnonzero(inside[:begins] if begins else inside)
     rows, features, values = [], [], []
     for a, b in _GAPS:
-        c1, c2 = codes[at + a], codes[at + b]
-        ok = (c1 != 0) & (c2 != 0) & (owner[at + b] == owner[at])
-        here = at[ok]
-        h = (codes[here] * np.uint32(0x9E3779B1) + c1[ok]) * np.uint32(0x85EBCA77) + c2[ok]
+        here = at[inside[at + a] & inside[at + b] & (owner[at + b] == owner[at])]
+        h = (codes[here] * np.uint32(0x9E3779B1) + codes[here + a]) * np.uint32(0x85EBCA77) + codes[here + b]
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
         rows.append(owner[here])
         features.append((h >> np.uint32(32 - BITS)).astype(np.int64))
         values.append(np.full(len(here), DECAY ** (b + 1)))
-    del begin
-    row, feature, value = (np.concatenate(x) for x in (rows, features, values))
-    key, back = np.unique(row << BITS | feature, return_inverse=True)
-    value = np.bincount(back, value, minlength=len(key))
-    row, feature = key >> BITS, key & ((1 << BITS) - 1)
-    norm = np.sqrt(np.bincount(row, value**2, minlength=len(strings)))
-    return row, feature, value / np.maximum(norm[row], 1e-12)
+    return [np.concatenate(x) for x in (rows, features, values)]
 
 
 def kernel(strings: list[str], landmarks: np.ndarray) -> np.ndarray:
@@ -215,10 +237,11 @@ def train_units(toxic: list[set[str]], clean: list[set[str]], most: int = 48, n_
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model:
     """Learns ``toxic`` from at most ``per_class`` labelled documents of each class (the bound on what reaches the driver).
 
-    Two thirds of them, as sets of different words, teach the unit machine; the rest sets the scale of scores.
+    Two thirds of them, as sets of different words, teach the unit machine; the rest, which it has not seen, sets the scale of
+    scores (all of them, if the rest lacks a class).
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
-    rows = sampled(documents(docs), balanced_ids(labels, "toxic", per_class))
+    rows = sample(documents(docs), labels, "toxic", per_class)
 
     def per_batch(batches):
         for b in batches:
@@ -231,10 +254,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model:
     learn = [r for k, r in enumerate(rows) if k % 3 < 2]
     weights, bias = train_units([u for _, y, u in learn if y], [u for _, y, u in learn if not y])
     model = Model(weights, bias, np.append(np.zeros(FEATURES), np.log((prior + 1e-3) / (1 - prior + 1e-3))))
-    y = np.array([y for _, y, _ in rows], dtype=float)
-    if len(set(y.tolist())) == 2:
-        x = model.describe([" ".join(sorted(u)) for *_, u in rows])
-        model.top = fit_dense(x, y, l2=1e-3, prior=prior)
+    for scale in ([r for k, r in enumerate(rows) if k % 3 == 2], rows):
+        y = np.array([y for _, y, _ in scale], dtype=float)
+        if len(set(y.tolist())) == 2:
+            model.top = fit_dense(model.describe([" ".join(sorted(u)) for *_, u in scale]), y, l2=1e-3, prior=prior)
+            break
     return model
 
 

@@ -16,7 +16,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 URL = r"://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+#: Targets on other hosts of anchors; other elements and attributes that end in href don't count.
+LINK = r"""(?i)<a\s(?:[^<>]*\s)?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:

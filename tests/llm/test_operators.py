@@ -65,6 +65,18 @@ def test_line_dedup(docs, nothing):
     assert any(w[2] for w in want) and line_dedup.line_dedup(nothing).count() == 0
     dropped = line_dedup.drop_lines(docs)
     assert dropped.columns == docs.columns and dropped.count() == docs.count()
+    odd = docs.withColumns({"a.b": F.lit(1), "n_chars": F.length("text")}).withColumnRenamed("text", "Text")
+    again = line_dedup.drop_lines(odd)
+    assert again.columns == odd.columns and again.schema.simpleString() == odd.schema.simpleString()
+    texts = {r.doc_id: r.Text for r in again.collect()}
+    assert texts[1] is None and texts[2] == "" and sorted(map(tuple, line_dedup.line_dedup(docs).select("doc_id", "kept_text").na.drop().collect())) == sorted((r.doc_id, r.Text or "") for r in again.collect())
+
+
+def test_line_dedup_of_null_ids(spark):
+    rows = [(None, LONG_LINE), (None, "x"), *((i, f"{i}\n{LONG_LINE}") for i in range(5)), (7, None)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_dropped, r.kept_text) for r in got) == [
+        (-1, 0, "x"), (-1, 1, ""), *((i, 1, str(i)) for i in range(4)), (4, 0, f"4\n{LONG_LINE}"), (7, 0, "")]
 
 
 def test_substring_dedup(docs, nothing):
@@ -128,6 +140,34 @@ def test_tokens_of_words_whose_lower_case_ends_in_a_mark():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_tokens_of_all_letters_before_punctuation():
+    from tokenizers import Tokenizer
+
+    letters = [c for c in map(chr, range(0x110000)) if c.isalnum()]
+    tokenizer, tokens = Tokenizer.from_file(vocabulary()), packing.Tokens(vocabulary())
+    texts = [f"ab{x}. {x}, {x.upper()}!! cd{x}?" for x in letters] + ["T\u0308. J\u030c! y\u030a, <|endoftext|>. <a>T."]
+    wrong = [t for at in range(0, len(texts), 5000) for t, ids in zip(texts[at : at + 5000], tokens.of(texts[at : at + 5000]), strict=True)
+             if np.frombuffer(ids, "<u4").tolist() != tokenizer.encode(t, add_special_tokens=False).ids + [1]]
+    assert not wrong
+
+
+@pytest.mark.parametrize("per_bucket", [3, 100_000])
+def test_packing_of_repeated_rows_and_many_buckets(docs, per_bucket):
+    rows = packing.pack(docs, vocabulary(), size=64, per_bucket=per_bucket).collect()
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    for (s, at, n), (t, to, _) in zip(taken, taken[1:], strict=False):
+        assert to == (at + n if s == t else 0) and s <= t <= s + 1
+    tokens = packing.Tokens(vocabulary())
+    want = defaultdict(int)
+    for (i, _), ids in zip(corpus(), tokens.of([t for _, t in corpus()]), strict=True):
+        for start, n in packing.cut(len(ids) // 4, 64):
+            want[i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4] += 1
+    got = defaultdict(int)
+    for r in rows:
+        got[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+    assert got == want and max(want.values()) > 1
+
+
 def test_histogram_packs():
     rng = np.random.default_rng(1)
     counts = np.append(0, rng.integers(0, 50, 256))
@@ -164,6 +204,29 @@ def test_simhash(docs, nothing):
     assert simhash.simhash_groups(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot, leaders", [(64, 16), (2, 1), (5, 3)])
+def test_joining_links_connect_what_all_links_connect(spark, hot, leaders):
+    rng = random.Random(6)
+    prints = {rng.getrandbits(64) for _ in range(40)}
+    for p in list(prints)[:5]:  # chains and dense groups
+        for _ in range(60):
+            q = rng.choice([x for x in prints if (x ^ p).bit_count() < 9])
+            prints.add(q ^ sum(1 << b for b in rng.sample(range(40), rng.randint(1, 4))))
+    signed = [p - (1 << 64) * (p >> 63) for p in prints]
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    got = {tuple(r) for r in simhash.joining_links(df, hot=hot, leaders=leaders).collect()}
+    part = lambda edges: dict(map(tuple, connected_components(spark.createDataFrame(sorted(edges), "u long, v long")).collect()))
+    assert got <= want and part(got) == part(want) and len(want) > 500
+
+
+def test_simhash_of_repeated_and_null_ids(spark):
+    text = " ".join(WORDS)
+    rows = [(9, text), (9, "other words entirely " * 9), (9, text), (None, text), (4, text), (None, "alone " + " ".join(reversed(WORDS)))]
+    got = sorted(map(tuple, simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(9, 4), (9, 9), (9, 4), (None, 4), (4, 4), (None, None)], key=str)
+
+
 @pytest.mark.parametrize("hot", [512, 2])
 def test_links_are_all_found_once(spark, hot):
     rng = random.Random(5)
@@ -219,8 +282,11 @@ def test_myers_and_pieces():
 def test_contamination(spark, docs, nothing):
     bench = spark.createDataFrame([(1, ITEM), (2, "short item here"), (3, None), (4, " !! ")], "item_id long, text string")
     rows = [(1, "x " * 50 + ITEM.upper() + " y"), (2, "***" + ITEM.replace(" ", "\n* ").replace("seven", "sevn") + "?"), (3, "about a short item here, yes"), (4, "a short itm here"), (5, None), (6, ITEM[: len(ITEM) // 2])]
+    rows += [(7, "word " * 50_000 + ITEM), (3, "about a short item here, yes"), (3, "nothing of it")]
     got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench)
-    assert {(r.doc_id, r.item_id): r.distance for r in got.collect()} == {(1, 1): 0, (2, 1): 1, (3, 2): 0}
+    # the rate alone sets the budget: one edit of the 17 characters of item 2
+    assert {(r.doc_id, r.item_id): r.distance for r in got.collect()} == {(1, 1): 0, (2, 1): 1, (3, 2): 0, (4, 2): 1, (7, 1): 0}
+    assert got.filter("doc_id = 3").count() == 2 and got.filter("doc_id = 3").select("key").distinct().count() == 1
     small = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, block=20)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, got.collect()))
     assert decontamination.contamination(docs, bench.limit(0)).count() == decontamination.contamination(nothing, bench).count() == 0
@@ -267,6 +333,55 @@ def test_blocks_match_their_labels():
     assert same > 85
 
 
+def test_unclosed_elements_lose_no_text():
+    said = lambda html: [t for t, *_ in html_text.blocks(html)]
+    assert said("<p hidden>x<p>Real text.<div>More</div>") == ["Real text.", "More"]
+    assert said('<p style="display:none">x<p>Body one.') == ["Body one."]
+    assert said("<article><select><option>a<option>b<p>one</p></article><p>two") == ["one", "two"]
+    assert said("<div><svg><path d='x'><text>no</text></div><p>yes") == said("<svg><circle/><p>yes</p>") == ["yes"]
+    assert said("<table><tr><td hidden>x<td>y<tr><td>z</table>") == ["y", "z"]
+    assert said("<noscript><p>x</noscript><p>y<template><div>x</div></template>z<script>a<p>b</script>c") == ["y", "z", "c"]
+    assert said("<head><title>t</title><p>no body tag") == ["no body tag"] and said("a<script>b<p>c") == ["a"]
+
+
+# Pages by hand, not from the generator: html and the article's text.
+PAGES = (
+    ("<html><body><div id=nav><a href=/>Home</a> <a href=/b>Blog</a></div><div id=content><h1>Bread</h1><p>Mix flour and water. Let it rest for an hour before you bake it.</p></div></body></html>",
+     "Bread\nMix flour and water. Let it rest for an hour before you bake it."),
+    ("<body><header><a href=/>Daily</a></header><main><article><h2>Rain</h2><p>It rained all week in the north, and the rivers rose.<p>Farmers were glad of it, as the spring had been dry.</article></main><footer>© 2020 Daily</footer>",
+     "Rain\nIt rained all week in the north, and the rivers rose.\nFarmers were glad of it, as the spring had been dry."),
+    ("<body><div class=cookie-banner>We use cookies. <button>OK</button></div><article class=post><p>The bridge was opened in 1932 after seven years of work.</p><blockquote>It is a fine bridge, said the mayor.</blockquote></article><div class=comments><p>Nice!</p></div>",
+     "The bridge was opened in 1932 after seven years of work.\nIt is a fine bridge, said the mayor."),
+    ("<body><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><section class=entry-content><h1>Bees &amp; wasps</h1><p>Bees eat pollen.\n   Wasps eat other insects, and fruit.</p><ul><li>Bees are furry animals.</li><li>Wasps are smooth ones.</li></ul></section><aside class=sidebar><h3>Popular</h3><a href=3>Ants</a></aside>",
+     "Bees & wasps\nBees eat pollen. Wasps eat other insects, and fruit.\nBees are furry animals.\nWasps are smooth ones."),
+    ("<body><form class=search><label>Search</label><input></form><div class=article-body><p>She walked home slowly that night, thinking of the sea.</p><div class=ad>Buy now!</div><p>In the morning the boat was gone.</p></div><div class=footer>Terms</div>",
+     "She walked home slowly that night, thinking of the sea.\nIn the morning the boat was gone."),
+    ("<body><div class=share><a href=x>Share</a><a href=y>Tweet</a></div><main><p>Salt keeps food from rotting, which was known long ago.</p></main><div class=newsletter><p>Sign up for our letter.</p></div>",
+     "Salt keeps food from rotting, which was known long ago."),
+)
+
+
+def test_pages_outside_the_generator():
+    field = html_text.train()
+    got = [html_text.main_text(html, field) for html, _ in PAGES]
+    assert got == [text for _, text in PAGES]
+
+
+def test_html_of_a_very_long_page(field):
+    html = "<article>" + "<p>One more line of this long text, which goes on and on.</p>" * 20_000 + "</article><footer>© me</footer>"
+    assert html_text.main_text(html, field).count("\n") == 19_999
+
+
+def test_rank_crosses_hosts(spark):
+    link = lambda to: f'<p><a class="x" href="https://{to}/1">x</a>'
+    rows = [(1, "http://bad.com/de/1", None), (2, "http://one.net/", link("bad.com")), (3, "http://two.net/", link("one.net")), (4, "http://three.net/", link("two.net")),
+            (5, "http://far.net/", '<link rel=stylesheet href="//bad.com/x"><a data-href="//bad.com/y">'), (6, "http://both.net/", link("bad.com") + link("good.org")), (7, "http://good.org/", link("both.net"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.url_filter(df).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
+    name, verdict = url_filter.rule_of(F.lit("a.b"), F.lit("/x"), (("allow", "a.b", "/"), ("block", "a.b", "/")))
+    assert tuple(spark.range(1).select(name, verdict).first()) == ("a.b/", "block")
+
+
 def test_url_filter(spark):
     rows = [(1, "http://a.org/x", None), (2, "https://m.example.org/es/1?q", None), (3, "http://example.org/en/12#t", ""), (4, "http://example.org/en/2", None), (5, "http://a.com/de/1", '<a href="http://b.net/">'),
             (6, "http://b.net/1", '<a href="http://a.com/de/1">x'), (7, None, None), (8, "no scheme", None), (9, "HTTP://C.NET?x", None), (10, "http://notorg/x", None), (11, "http://a.com/de/1", None)]
@@ -286,6 +401,54 @@ def test_quality_counts():
     assert quality.counts(quality.Text(None)) == (0, 0, 0, 0, 0)
 
 
+def brute_counts(text):
+    words = (text or "").encode().split()
+    windows = defaultdict(list)
+    for i in range(len(words) - 7):
+        windows[tuple(words[i : i + 8])].append(i)
+    again = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality_counts_against_brute_force(spark, docs):
+    rng = random.Random(12)
+    rows = corpus() + [(70 + i, "\n".join(" ".join(rng.choices(["a", "#b", "wörd", "<c>"], k=rng.randint(0, 30))) for _ in range(rng.randint(1, 8)))) for i in range(30)]
+    rows += [(200, " ".join(rng.choices(WORDS, k=300_000)))]  # longer than a part
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kept": F.lit("x"), "quality": F.lit(2), "a.b": F.lit(0)})
+    got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.quality_rules(df, df.select("doc_id", F.lit(None).alias("quality"))).collect())
+    want = [(i, *brute_counts(t)) for i, t in rows]
+    assert got == sorted((*w, w[1] < 20 or 100 * w[5] > 30 * w[1]) for w in want)
+
+
+def test_features_of_long_texts_do_not_depend_on_parts(monkeypatch):
+    from linkmill.llm import learning
+
+    text = "Ein längerer Text, der öfter geteilt wird. " * 40
+    model = quality.Model(np.random.default_rng(1).normal(size=quality.FAMILIES << quality.BITS).astype(np.float32), 0.1)
+    want = quality.shares(quality.Text(text)), model.probability(quality.Text(text)), language.shares(text)
+    monkeypatch.setattr(learning, "CHUNK", 64)
+    got = quality.shares(quality.Text(text)), model.probability(quality.Text(text)), language.shares(text)
+    for a, b in ((want[0], got[0]), (want[2], got[2])):
+        assert (a[0] == b[0]).all() and np.allclose(a[1], b[1])
+    assert want[1] == pytest.approx(got[1])
+
+
+def test_samples_are_bounded_and_hold_both_classes(spark):
+    from linkmill.llm import learning
+
+    rows = [(1, f"text {i}") for i in range(300)] + [(i, f"word {i}") for i in range(2, 60)] + [(None, "x"), (70, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = [(1, 0)] * 300 + [(i, i % 2) for i in range(2, 60)] + [(1000 + i, 1) for i in range(400)] + [(None, 1), (5, None), (70, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, y int")
+    for cap in (20, 100):
+        got = [tuple(r) for r in learning.sample(docs, labels, "y", cap).select("doc_id", "y", "text").collect()]
+        n = [sum(y == k for _, y, _ in got) for k in (0, 1)]
+        assert n == [min(cap, 30), min(cap, 29)] and len({i for i, *_ in got}) == len(got)
+    assert [t for i, _, t in got if i == 1] == [min((t for i, t in rows if i == 1), key=lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64))]
+    assert learning.sample(docs, labels.limit(0), "y", 5).count() == learning.sample(docs.limit(0), labels, "y", 5).count() == 0
+
+
 def labelled(spark, n=240):
     rng = random.Random(8)
     rows, labels = [], []
@@ -323,6 +486,38 @@ def test_toxicity(spark):
     assert {round(r.score, 6) for r in toxicity.toxicity(docs, labels.filter("toxic = 0")).collect()} and toxicity.toxicity(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_kernel_against_enumeration(monkeypatch):
+    from itertools import combinations
+
+    def vector(word):
+        word, out = "\x02" + word + "\x03", defaultdict(float)
+        for at in combinations(range(len(word)), 3):
+            if at[2] - at[0] < toxicity.SPAN:
+                out[tuple(word[i] for i in at)] += toxicity.DECAY ** (at[2] - at[0] + 1)
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {k: v / norm for k, v in out.items()}
+
+    words = ["idiot", "idxiot", "a", "ab", "banana", "i.d.i.o.t", "straßenbahn", "x\x00y", "moron" * 30]
+    row, feature, value = toxicity.subsequences(words)
+    flat = np.zeros((len(words), 1 << toxicity.BITS))
+    flat[row, feature] = value
+    want = np.array([[sum(v * vector(b).get(k, 0) for k, v in vector(a).items()) for b in words] for a in words])
+    assert np.abs(flat @ flat.T - want).max() < 0.02  # hashed features may meet
+    monkeypatch.setattr(toxicity, "CHUNK", 16)
+    row, feature, value = toxicity.subsequences(words)
+    parts = np.zeros_like(flat)
+    parts[row, feature] = value
+    assert np.allclose(flat, parts)
+
+
+def test_toxicity_of_long_texts_and_clashing_columns(spark):
+    docs, labels = labelled(spark)
+    rows = docs.unionByName(spark.createDataFrame([(2000, "w1 " * 200_000 + "idiot moron"), (2001, "x" * 700_000), (3, "a second text"), (None, "idiot")], "doc_id long, text string"))
+    rows = rows.withColumns({"held_out": F.lit(1), "a.b": F.lit(2), "toxic": F.lit(1)})
+    got = toxicity.toxicity(rows, labels.withColumn("text", F.lit("x"))).collect()
+    assert len(got) == rows.count() and {r.predicted for r in got if r.doc_id == 2001} == {0} and all(0 <= r.score <= 1 for r in got)
+
+
 def test_kernel_tolerates_insertions():
     marks = toxicity.dense(["idiot"])
     near, gap, far = toxicity.kernel(["idiots", "idxiot", "banana"], marks)[:, 0]
