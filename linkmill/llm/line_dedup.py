@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, WHITE, ascii_lower, documents
+from .common import UPPER, WHITE, ascii_lower, cut_lineage, documents
 
 
 def lost_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """``lost_id, lost_row`` (hash of the text) and ``lost``, the positions of the lines that go."""
-    rows = documents(docs).withColumn("row", F.xxhash64(_text("text")))
-    line = rows.select("doc_id", "row", F.posexplode(F.split(_text("text"), "\n", -1)).alias("pos", "line"))
-    keyed = line.select("doc_id", "row", "pos", ascii_lower(F.btrim("line", F.lit(WHITE))).alias("key"))
-    keyed = keyed.filter(F.char_length("key") >= min_chars).select("doc_id", "row", "pos", F.unhex(F.md5("key")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-    shared = shared.filter(F.col("n") >= min_docs).select("key", "keeper")
-    lost = keyed.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    rows = documents(docs).filter(F.octet_length("text") >= min_chars).select("doc_id", F.xxhash64("text").alias("row"), ascii_lower(F.col("text")).alias("text"))
+    line = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.octet_length("line") >= min_chars)
+    line = line.select("doc_id", "row", "pos", F.btrim("line", F.lit(WHITE)).alias("line")).filter(F.char_length("line") >= min_chars)
+    # both uses below read the keys from the shared folder instead of cutting the texts again
+    keyed = cut_lineage(line.select("doc_id", "row", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")))
+    shared = keyed.groupBy("k1", "k2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+    shared = shared.filter(F.col("n") >= min_docs).select("k1", "k2", "keeper")
+    lost = keyed.join(shared, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # repeated rows bring each position several times
     return lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("row").alias("lost_row")).agg(F.collect_set("pos").alias("lost"))
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def _cut(rows: DataFrame, lost: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+    """``rows`` with ``lost``, the positions that go (null if none), by id and text hash."""
+    return rows.join(lost, doc_id.cast("long").eqNullSafe(F.col("lost_id")) & (F.xxhash64(text) == F.col("lost_row")), "left")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_lines, n_dropped, kept_text``, and the other columns named in ``keep``.
+def _kept(text: Column) -> Column:
+    """The lines of a text that are not at the positions ``lost``, in their order."""
+    lines = F.split(text, "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lost"), lambda i: F.get(lines, i))
+    return F.when(F.col("lost").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
-    Lines are exploded with their position, keyed by the hash of the stripped, lower-cased line, and the distinct
+
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_lines, n_dropped, kept_text``.
+
+    Lines are exploded with their position, keyed by 128 bits of hash of the stripped, lower-cased line, and the distinct
     documents of each key are counted. A key of at least ``min_chars`` code points in at least ``min_docs`` documents
     loses its lines everywhere but in the largest ``doc_id`` that holds it. Only keys and positions are shuffled by
     line; the text crosses the network once, to meet its own positions, and is put together again by position.
@@ -40,28 +49,32 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: li
     not count as a document; a key found only there is kept. Rows with the same id and different texts are judged each
     by its own lines; repeated rows get the same result. An empty table gives an empty result.
     """
-    lost = lost_lines(docs, min_chars, min_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text("text").alias("text"), F.struct(*(keep or ["doc_id"])).alias("kept"))
-    on = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_row"))
-    lines = F.split("text", "\n", -1)
-    lost_pos = F.coalesce("lost", F.array().cast("array<int>"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost_pos), lambda i: F.get(lines, i))
-    return rows.join(lost, on, "left").select(
+    rows = documents(docs)
+    found = _cut(rows, lost_lines(docs, min_chars, min_docs), rows["doc_id"], rows["text"])
+    text = F.coalesce("text", F.lit(""))
+    return found.select(
         "doc_id",
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size(lost_pos).cast("long").alias("n_dropped"),
-        F.array_join(kept, "\n").alias("kept_text"),
-        *(F.col("kept")[c].alias(c) for c in keep or []),
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        _kept(text).alias("kept_text"),
     )
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with the kept lines as ``text``, and ``n_chars``, if it has that column, counted anew."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = line_dedup(docs, min_chars, min_docs, ["doc_id", *rest]) if rest else line_dedup(docs, min_chars, min_docs)
-    value = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return found.toDF(*(["doc_id", "n_lines", "n_dropped", "kept_text", "_id", *[f"_{i}" for i in range(len(rest))]] if rest else found.columns)).select(
-        *[value.get(c, F.col(f"_{rest.index(c)}") if c in rest else None).alias(c) for c in docs.columns])
+    """``docs`` with the kept lines as ``text``, and ``n_chars``, if it has that column, counted anew where lines go.
+
+    All columns keep their names, whatever these are, and their types. Null texts stay null, null ids are judged as in
+    :func:`line_dedup`, repeated rows all stay, and an empty table gives an empty one.
+    """
+    names = [c.lower() for c in docs.columns]
+    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    found = _cut(flat, lost_lines(docs, min_chars, min_docs), doc_id, text)
+    new = {"text": _kept(text)}
+    if "n_chars" in names:
+        n = F.col(f"c{names.index('n_chars')}")
+        new["n_chars"] = F.when(F.col("lost").isNull(), n).otherwise(F.char_length(new["text"]).cast(docs.schema[names.index("n_chars")].dataType))
+    return found.select(*(new.get(c, F.col(f"c{i}")).alias(docs.columns[i]) for i, c in enumerate(names)))
 
 
 def digest(result: DataFrame) -> DataFrame:
