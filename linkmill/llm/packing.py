@@ -17,7 +17,9 @@ END = np.array([1], dtype="<u4").tobytes()
 #: Entries of a worker's caches from words to ids, after which they start anew.
 CACHE = 600_000
 #: Punctuation that the vocabulary always splits from a letter or digit before it, as one run.
-_SUFFIX = re.compile(rb"[*$#%&!.,|;:?]+\Z")
+_SUFFIX = b"*$#%&!.,|;:?"
+#: Words of these are one unit of the vocabulary each; no composition or case changes them.
+_SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+\Z")
 _tokens: dict[str, Tokens] = {}
 
 
@@ -31,21 +33,48 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(names.values()) + 1, dtype=bool)  # ids that end a unit
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def words(text: str | None) -> list[bytes]:
+        """The words with A-Z lower-cased, but for those that may hold a special token, which has case, or a mark (U+0300 to U+033F), which
+        the vocabulary composes first: T with a diaeresis has no composed capital, t has."""
+        data = (text or "").encode()
+        if b"<" not in data and b"\xcc" not in data:
+            return data.lower().split()
+        return [w if b"<" in w or b"\xcc" in w else w.lower() for w in data.split()]
+
     @staticmethod
     def split(word: bytes) -> tuple[bytes, bytes]:
-        if b"<" in word:  # may hold a special token, which has case
-            return word, b""
-        m = _SUFFIX.search(word)
-        if m and m.start() and word[: m.start()].decode()[-1].lower()[-1].isalnum():  # lower case of U+0130 ends in a combining dot
-            return word[: m.start()].lower(), m[0]
-        return word.lower(), b""
+        """The word without closing punctuation, and that. Only ASCII letters and digits, and words of Latin letters, are safe before the cut:
+        other letters may be composed or lower-cased to a mark, which the vocabulary joins to the punctuation."""
+        base = word.rstrip(_SUFFIX)
+        if len(base) < len(word) and base and b"<" not in word and (base[-1:].isalnum() or _SIMPLE.match(base)):
+            return base, word[len(base) :]
+        return word, b""
+
+    def encode(self, words: list[bytes]) -> None:
+        """Adds words to ``parts``. Simple ones go through the tokenizer many at a time, told apart by the ids that close them."""
+        simple = [w for w in words if _SIMPLE.match(w)]
+        for at in range(0, len(simple), 2000):
+            some = simple[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                self.parts[w] = raw[begin:end]
+                begin = end
+        rest = [w for w in words if not _SIMPLE.match(w)]
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        self.parts.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, encoded, strict=True))
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the closing id."""
-        split = [(t or "").encode().split() for t in texts]
+        split = [self.words(t) for t in texts]
         known, parts = self.known, self.parts
         new = set().union(*split).difference(known)
         if len(known) + len(new) > CACHE:
@@ -56,9 +85,7 @@ class Tokens:
         if len(parts) + len(fresh) > CACHE:
             parts.clear()
             fresh = {p for pair in cut.values() for p in pair if p}
-        fresh = list(fresh)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        parts.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(fresh, encoded, strict=True))
+        self.encode(list(fresh))
         parts[b""] = b""
         known.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
         return [b"".join([known[w] for w in words]) + END for words in split]
@@ -152,28 +179,34 @@ def plan(counts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarr
     return {length: tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) for length, rows in slots.items()}
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, buckets: int = 64, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 2048, per_bucket: int = 100_000, with_ids: bool = False) -> DataFrame:
     """Per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
     Documents are tokenised once, closed by id 1 and cut at multiples of ``size``; the pieces go to the checkpoint folder.
-    The driver sees only the number of pieces by length and hash bucket (at most ``size * buckets`` numbers, whatever the
-    input) and packs that histogram. A piece finds its slot by its rank among pieces of its length: the rank in its bucket
-    plus the pieces of earlier buckets, so that a length with a third of all pieces is ranked in many tasks.
+    The driver sees only the number of pieces of each length (``size`` numbers, whatever the input) and packs that
+    histogram. A piece finds its slot by its rank among pieces of its length: the rank in its hash bucket plus the pieces
+    of earlier buckets. There are so many buckets that one holds about ``per_bucket`` pieces of the most frequent length,
+    so a length with a third of all pieces is ranked in many tasks.
 
     Null and empty texts have only the closing id. Repeated rows are packed each. An empty table gives an empty result.
     """
     found = cut_lineage(pieces(docs, vocabulary, size, with_ids))
-    found = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
-    table = np.zeros((size + 1, buckets), dtype=np.int64)
-    for length, bucket, n in found.groupBy("length", "bucket").count().collect():
-        table[length, bucket] = n
-    before = np.cumsum(table, axis=1) - table
-    slots = plan(table.sum(axis=1))
+    counts = np.zeros(size + 1, dtype=np.int64)
+    for length, n in found.groupBy("length").count().collect():
+        counts[length] = n
+    slots = plan(counts)
+    buckets = int(counts.max()) // per_bucket + 1
+    found = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    ranked = found.withColumn("nth", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")).cast("long"))
+    if buckets > 1:
+        before = F.sum("count").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+        sizes = found.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+        ranked = ranked.join(sizes, ["length", "bucket"]).withColumn("nth", F.col("nth") + F.col("before")).select(*found.columns, "nth")
 
     def per_batch(batches):
         for b in batches:
-            length, bucket, rank = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("length", "bucket", "nth"))
-            rank = rank - 1 + before[length, bucket]
+            length, rank = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("length", "nth"))
+            rank = rank - 1
             sequence, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
             for one in np.unique(length).tolist():
                 here = np.flatnonzero(length == one)
@@ -184,6 +217,5 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, buckets: int = 64,
             keep = [i for i, c in enumerate(b.schema.names) if c not in ("bucket", "nth")]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + [pa.array(sequence), pa.array(offset)], [b.schema.names[i] for i in keep] + ["sequence_id", "offset"])
 
-    ranked = found.withColumn("nth", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")).cast("long"))
     out = found.drop("bucket").schema.add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(per_batch, out)
