@@ -24,6 +24,8 @@ from .simhash import joining_links, majority
 SHARE = (4, 5)
 #: Texts asked for by candidates are broadcast as ids up to this number (24 bytes each), and joined by shuffle beyond it.
 FEW = 100_000
+#: Rows of a batch that are held as Python objects at once.
+SLICE = 2000
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -51,7 +53,7 @@ def frequent(docs: DataFrame, words: int, least: int = 8, most: int = 200_000) -
     """
 
     def per_batch(batches):
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             found = [shingles(t, words) for t in b.column(0).to_pylist()]
             values, n = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], ["token", "n"])
@@ -77,7 +79,7 @@ def sets(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     known, counts = frequent(docs, words)
 
     def per_batch(batches):
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             sid, n, fp, prefix, ends = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, words)
@@ -167,7 +169,7 @@ def links(docs: DataFrame, folded: DataFrame, pairs: DataFrame, words: int, shar
     both = pairs.join(of("a", "s"), "a").join(of("b", "t"), "b")
 
     def per_batch(batches):
-        for b in batches:
+        for b in (whole.slice(at, SLICE // 4) for whole in batches for at in range(0, whole.num_rows, SLICE // 4)):
             seen: dict[int, np.ndarray] = {}
             keep = []
             for a, c, s, t in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):

@@ -15,7 +15,7 @@ from .common import cut_lineage, documents
 
 END = np.array([1], dtype="<u4").tobytes()
 #: Entries of a worker's caches from words to ids, after which they start anew.
-CACHE = 600_000
+CACHE = 300_000
 #: Punctuation that the vocabulary always splits from a letter or digit before it, as one run.
 _SUFFIX = b"*$#%&!.,|;:?"
 #: Words of these are one unit of the vocabulary each; no composition or case changes them.

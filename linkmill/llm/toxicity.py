@@ -98,9 +98,13 @@ def _places(strings: list[str], marked: bool = False, begins: int | None = None)
     return [np.concatenate(x) for x in (rows, features, values)]
 
 
-def kernel(strings: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values with landmarks given as a dense matrix (landmark by feature)."""
+def kernel(strings: list[str], landmarks: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
+    """Kernel values with landmarks given as a dense matrix (landmark by feature, or by those of ``columns``, sorted)."""
     row, feature, value = subsequences(strings)
+    if columns is not None:
+        at = np.minimum(np.searchsorted(columns, feature), len(columns) - 1)
+        known = columns[at] == feature
+        row, feature, value = row[known], at[known], value[known]
     out = np.zeros((len(strings), len(landmarks)))
     for k, landmark in enumerate(landmarks):
         out[:, k] = np.bincount(row, value * landmark[feature], minlength=len(strings))
@@ -168,12 +172,16 @@ class Model:
 def seeds(toxic: list[set[str]], clean: list[set[str]], most: int, ratio: float = 5.0, least: int = 4) -> list[str]:
     """Strings that mark toxic texts: words and word beginnings (ended by ``*``) that far more toxic than clean texts have."""
 
-    def forms(words: set[str]) -> set[str]:
-        return words | {w[:n] + "*" for w in words for n in range(5, 9) if len(w) > n}
+    def forms(words: set[str], n: int) -> set[str]:
+        return {w[: n + 4] + "*" for w in words if len(w) > n + 4} if n else words
 
-    bad, good = (Counter(f for words in texts for f in forms(words)) for texts in (toxic, clean))
+    bad: Counter[str] = Counter()
+    for n in range(5):  # one kind of form at a time, as most are found once
+        some = Counter(f for words in toxic for f in forms(words, n))
+        bad.update({f: k for f, k in some.items() if k >= least})
+    good = Counter(f for words in clean for n in range(5) for f in forms(words, n) if f in bad)
     rate = lambda f: (bad[f] / len(toxic)) / ((good[f] + 0.5) / len(clean))
-    found = sorted((f for f in bad if bad[f] >= least and rate(f) >= ratio), key=lambda f: (-bad[f] * np.log(rate(f)), f))
+    found = sorted((f for f in bad if rate(f) >= ratio), key=lambda f: (-bad[f] * np.log(rate(f)), f))
     out: list[str] = []
     for f in found:  # a form adds nothing to a more telling one that begins alike
         if not any(f.startswith(o.rstrip("*")) or o.startswith(f.rstrip("*")) for o in out):
@@ -203,7 +211,10 @@ def train_units(toxic: list[set[str]], clean: list[set[str]], most: int = 48, n_
     common = sorted(good, key=lambda u: (-often[u], u))[: n_clean // 4]
     negative = common + pool[:n_clean]
     base = [m.rstrip("*") for m in marks] + pool[: 2 * most]
-    landmarks = dense(base)
+    row, feature, value = subsequences(base)
+    columns, back = np.unique(feature, return_inverse=True)  # only features of landmarks matter
+    landmarks = np.zeros((len(base), len(columns)))
+    landmarks[row, back] = value
     gram = landmarks @ landmarks.T
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(len(base)))
     half = vector / np.sqrt(np.maximum(value, 1e-6))
@@ -221,8 +232,8 @@ def train_units(toxic: list[set[str]], clean: list[set[str]], most: int = 48, n_
         weight *= 0.5 / weight.sum()
         clean_weight = np.sqrt([often[u] for u in negative])
         weight[len(y) - len(negative) :] = 0.5 * clean_weight / max(1.0, clean_weight.sum())
-        w, bias = fit_svm(kernel(strings, landmarks) @ half, y, weight)
-        weights = (half @ w) @ landmarks
+        w, bias = fit_svm(kernel(strings, landmarks, columns) @ half, y, weight)
+        weights[columns] = (half @ w) @ landmarks
         if r == rounds:
             break
         model = Model(weights, bias, np.zeros(FEATURES + 1))
