@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def apart(rows: DataFrame, parts: DataFrame, member: str, keys: list[str]) -> DataFrame:
-    """``rows`` of the keys whose members lie in more than one component, with ``component`` and the key's ``largest`` one.
+    """``rows`` of the keys whose members lie in more than one component, with ``component``, the key's ``largest`` one and its ``members``.
 
     A member that ``parts`` (``node, component``) doesn't name is a component of its own. Counts are combined by key and
     component before the shuffle by key.
@@ -53,5 +53,5 @@ def apart(rows: DataFrame, parts: DataFrame, member: str, keys: list[str]) -> Da
     placed = rows.join(parts.withColumnRenamed("node", member), member, "left").withColumn("component", F.coalesce("component", member))
     placed = cut_lineage(placed)
     sizes = placed.groupBy(*keys, "component").count()
-    sizes = sizes.groupBy(*keys).agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("several"))
+    sizes = sizes.groupBy(*keys).agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("several"), F.sum("count").alias("members"))
     return placed.join(sizes.filter("several > 1").drop("several"), keys)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,8 @@ from .simhash import joining_links, majority
 SHARE = (4, 5)
 #: Texts asked for by candidates are broadcast as ids up to this number (24 bytes each), and joined by shuffle beyond it.
 FEW = 100_000
+#: Tokens with more sets than this have them compared in blocks of about so many.
+HOT_TOKEN, BLOCK = 64, 256
 #: Rows of a batch that are held as Python objects at once.
 SLICE = 2000
 
@@ -135,11 +138,62 @@ def led_pairs(tokens: DataFrame, leaders: int) -> DataFrame:
     return _pairs(first.select("token", "sid"), tokens, F.col("x.sid") < F.col("y.sid"))
 
 
-def left_pairs(tokens: DataFrame, parts: DataFrame) -> DataFrame:
-    """``a, b, same`` of all sets that share a token and lie in different components: members outside a token's largest component meet the rest."""
+def left_pairs(tokens: DataFrame, parts: DataFrame, folded: DataFrame, share: tuple[int, int], hot: int = HOT_TOKEN, block: int = BLOCK) -> DataFrame:
+    """``a, b``: the possible pairs among all sets that share a token and lie in different components.
+
+    Tokens with up to ``hot`` members pair them in a join: those outside the token's largest component with the rest. Members
+    of the others, which are dense groups just under the threshold, meet in blocks by that component: blocks of its own
+    members with blocks of the others, and the latter among themselves. A block pair counts whole prefixes in one task
+    and returns possible pairs only, so the rows made are about ``block`` times fewer than the pairs compared. A pair that
+    shares any token of the second kind is counted there in full, any other in the join.
+    """
     rest = apart(tokens, parts, "sid", ["token"])
+    cold = rest.filter(F.col("members") <= hot)
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.sid") < F.col("y.sid"))
-    return _pairs(rest.filter("component <> largest"), rest, (F.col("x.component") != F.col("y.component")) & once)
+    few = _pairs(cold.filter("component <> largest"), cold, (F.col("x.component") != F.col("y.component")) & once)
+    few = possible(few, folded, share)
+    group = cut_lineage(rest.filter(F.col("members") > hot).select("largest", "sid", "component").distinct())
+    if group.isEmpty():
+        return few
+    inner = F.col("component") == F.col("largest")
+    sizes = group.groupBy("largest").agg(F.ceil(F.count_if(inner) / block).cast("int").alias("inside"), F.ceil(F.count_if(~inner) / block).cast("int").alias("outside"))
+    dealt = group.join(sizes, "largest").filter("outside > 0").withColumn("at", F.pmod(F.xxhash64("sid"), F.when(inner, F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    mixed = F.transform(upto("outside"), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("at").alias("j")))
+    across = F.transform(F.when(F.col("inside") > 0, upto("inside")).otherwise(F.array().cast("array<int>")), lambda j: F.struct(F.lit(0).alias("kind"), F.col("at").alias("i"), j.alias("j")))
+    among = F.transform(upto("outside"), lambda j: F.struct(F.lit(1).alias("kind"), F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
+    facts = folded.select("sid", "n", "often", "last", "prefix")
+    rows = dealt.select("largest", "sid", "component", F.explode(F.when(inner, mixed).otherwise(F.concat(across, among))).alias("meet")).join(facts, "sid")
+    met = rows.groupBy("largest", "meet").applyInPandas(_met(share), "a long, b long")
+    return few.unionByName(met).distinct()
+
+
+def _met(share: tuple[int, int]):
+    """The possible pairs of different components among the sets of one block pair, by counts of shared prefix members."""
+    p, q = share
+
+    def compare(pdf):
+        prefix, n, component, sid = pdf["prefix"].tolist(), pdf["n"].to_numpy(), pdf["component"].to_numpy(), pdf["sid"].to_numpy()
+        owner = np.repeat(np.arange(len(pdf)), [len(x) for x in prefix])
+        _, token, times = np.unique(np.concatenate(prefix), return_inverse=True, return_counts=True)
+        shared = times[token] > 1
+        owner, token = owner[shared], np.unique(token[shared], return_inverse=True)[1]
+        same = np.zeros((len(pdf), len(pdf)), dtype=np.float32)
+        for at in range(0, int(token.max(initial=-1)) + 1, 4096):
+            here = (token >= at) & (token < at + 4096)
+            has = np.zeros((len(pdf), 4096), dtype=np.float32)
+            has[owner[here], token[here] - at] = 1
+            same += has @ has.T
+        _, rank = np.unique(np.stack([pdf["often"].to_numpy(), pdf["last"].to_numpy()], 1), axis=0, return_inverse=True)
+        rank, rest = rank.ravel(), -(-p * n // q) - 1
+        behind = np.where(rank[:, None] <= rank[None, :], rest[:, None], rest[None, :])
+        total = n[:, None] + n[None, :]
+        good = (component[:, None] != component[None, :]) & (same > 0) & ((same + behind) * (p + q) >= total * p)
+        good &= np.minimum(n[:, None], n[None, :]) * q >= np.maximum(n[:, None], n[None, :]) * p
+        x, y = np.nonzero(np.triu(good, 1))
+        return pd.DataFrame({"a": np.minimum(sid[x], sid[y]), "b": np.maximum(sid[x], sid[y])})
+
+    return compare
 
 
 def simhash_pairs(folded: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -182,7 +236,7 @@ def links(docs: DataFrame, folded: DataFrame, pairs: DataFrame, words: int, shar
     return _settled(both.select("a", "b", "s", "t").mapInArrow(per_batch, "u long, v long"))
 
 
-def near_copies(docs: DataFrame, words: int = 5, share: tuple[int, int] = SHARE, leaders: int = 16) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, share: tuple[int, int] = SHARE, leaders: int = 16, hot: int = HOT_TOKEN, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs``: ``doc_id, key, component_id`` (the smallest ``doc_id`` reachable over links, itself included), ``head``.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles (A-Z in lower case) is at least ``share``;
@@ -206,7 +260,7 @@ def near_copies(docs: DataFrame, words: int = 5, share: tuple[int, int] = SHARE,
     near = possible(led_pairs(tokens, leaders), folded, share).unionByName(simhash_pairs(folded, tokens))
     joined = links(docs, folded, near, words, share)
     parts = cut_lineage(connected_components(joined))
-    left = cut_lineage(possible(left_pairs(tokens, parts), folded, share))
+    left = cut_lineage(left_pairs(tokens, parts, folded, share, hot, block))
     if not left.isEmpty():
         parts = connected_components(joined.unionByName(links(docs, folded, left, words, share)))
     grouped = folded.join(parts, folded.sid == parts.node, "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))

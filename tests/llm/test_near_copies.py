@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from linkmill.llm import near_copies
 
@@ -56,3 +58,30 @@ def test_stage_drops_all_copies_at_four_fifths(spark):
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     want = {min(i for (i, _), h in zip(rows, group, strict=True) if h == g) for g in group}
     assert {r.doc_id for r in kept.collect()} == want
+
+
+@pytest.mark.parametrize(("leaders", "hot", "block"), [(1, 1, 2), (2, 3, 4), (1, 100, 256)])
+def test_dense_groups_at_the_threshold(spark, leaders, hot, block):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(copy)))
+    group = brute(rows)
+    least = {g: min(i for (i, _), h in zip(rows, group, strict=True) if h == g) for g in group}
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), leaders=leaders, hot=hot, block=block)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: least[g] for (i, _), g in zip(rows, group, strict=True)}
+    assert 3 < len(set(group)) < 60
+
+
+def test_stage_judges_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, "another text of the same id"), (1, text), (2, text + " more"), (None, text), (None, "alone here"), (3, None), (4, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, `a.b` int")
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, text), (1, rows[1][1]), (None, "alone here"), (3, None)]))
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
