@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import lgamma, log
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -17,12 +17,17 @@ def ratio(a: Column | str, b: Column | str, digits: int = 4) -> Column:
 
 
 def sign_p(b: int, c: int) -> float:
-    """Two-sided exact binomial p at one half, by a log-space sum of the smaller tail."""
+    """Two-sided exact binomial p at one half, by a sum of the smaller tail from its largest term, until terms vanish."""
     n, k = b + c, min(b, c)
     if n == 0:
         return 1.0
-    terms = np.array([lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in range(k + 1)]) - n * log(2)
-    return round(min(1.0, 2 * float(np.exp(terms).sum())), 6)
+    term = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2))  # the largest; the others follow from it downwards
+    total, i = term, k
+    while i and term > total * 1e-17:
+        term *= i / (n - i + 1)
+        total += term
+        i -= 1
+    return round(min(1.0, 2 * total), 6)
 
 
 def exact_sign_p(b: Column | str, c: Column | str) -> Column:

@@ -33,6 +33,13 @@ def _field(row: Column | None, roles: dict, name: str) -> Column:
     return row[field] if row is not None else F.col(field)
 
 
+def doc_name(roles: dict, text: Column) -> Column:
+    """The id field as a string; where it is missing or null, the text's hash. Rows have no numbers in a distributed table, and
+    the hash stays the same however the records are read."""
+    by_text = F.md5(F.coalesce(text.cast("string"), F.lit("")))
+    return F.coalesce(F.col(roles["id"]).cast("string"), by_text) if roles.get("id") else by_text
+
+
 def _row(entity: Column | None, roles: dict, source: str | None) -> list[Column]:
     start, end = (_field(entity, roles, n).cast("int") for n in ("start", "end"))
     mention = F.coalesce(F.nullif(_field(entity, roles, "mention").cast("string"), F.lit("")), F.substring(F.col("text"), start + 1, end - start))
@@ -41,15 +48,17 @@ def _row(entity: Column | None, roles: dict, source: str | None) -> list[Column]
 
 
 def mentions_from_nested(df: DataFrame, roles: dict, source: str | None = None) -> DataFrame:
-    """One row per entity of each document; a missing mention is cut out by its offsets; rows without text or mention go."""
-    docs = df.select(F.col(roles["id"]).cast("string").alias("doc_id"), F.col(roles["text"]).alias("text"), F.posexplode(roles["entities"]).alias("k", "e"))
+    """One row per entity of each document; a missing mention is cut out by its offsets; rows without text or mention go.
+
+    A record without an id is named by its text (:func:`doc_name`).
+    """
+    docs = df.select(doc_name(roles, F.col(roles["text"])).alias("doc_id"), F.col(roles["text"]).alias("text"), F.posexplode(roles["entities"]).alias("k", "e"))
     return docs.filter(r"text RLIKE '\\S'").select(*_row(F.col("e"), roles, source)).filter("mention <> ''")
 
 
 def mentions_from_flat(df: DataFrame, roles: dict, source: str | None = None) -> DataFrame:
-    """One row per record; without an id field, the text's hash is the document."""
-    doc = F.col(roles["id"]).cast("string") if roles.get("id") else F.md5(F.col(roles["text"]))
-    docs = df.withColumns({"doc_id": doc, "text": F.col(roles["text"]), "k": F.lit(0)})
+    """One row per record; a record without an id is named by its text (:func:`doc_name`)."""
+    docs = df.withColumns({"doc_id": doc_name(roles, F.col(roles["text"])), "text": F.col(roles["text"]), "k": F.lit(0)})
     return docs.filter(r"text RLIKE '\\S'").select(*_row(None, roles, source)).filter("mention <> ''")
 
 
@@ -57,25 +66,32 @@ def mentions_from_bio(df: DataFrame, roles: dict, source: str | None = None) ->
     """Spans of tagged tokens, with offsets in the tokens joined by spaces.
 
     ``B-`` and ``S-`` open a span, as do ``I-`` and ``E-`` after nothing or after another type; the span's item is the
-    first item id among its tokens. Windows run inside one document.
+    first item id among its tokens. Spans are cut inside the row by one fold over its tokens: nothing is shuffled, the text
+    stays where it is, and rows with the same id don't mix. A record without an id is named by its text.
     """
-    rows = df.select(F.col(roles["id"]).cast("string").alias("doc_id"), F.array_join(roles["tokens"], " ").alias("text"),
-                     F.posexplode(F.arrays_zip(F.col(roles["tokens"]).alias("t"), F.col(roles["tags"]).alias("g"), F.col(roles["qids"]).alias("q"))).alias("pos", "z"))
-    rows = rows.select("doc_id", "text", "pos", F.col("z")["t"].alias("token"), F.coalesce(F.col("z")["g"], F.lit("O")).alias("tag"), F.col("z")["q"].alias("q"))
-    order = W.partitionBy("doc_id").orderBy("pos")
-    mark, kind = F.substring("tag", 1, 2), F.substring("tag", 3, 1 << 30)
-    inside = mark.isin("B-", "S-", "I-", "E-")
-    before = F.lag(F.when(inside, kind)).over(order)
-    opens = mark.isin("B-", "S-") | (mark.isin("I-", "E-") & ~F.coalesce(before == kind, F.lit(False)))
-    rows = rows.withColumns({"inside": inside, "kind": kind, "opens": opens, "begin": F.coalesce(F.sum(F.char_length("token") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")})
-    rows = rows.withColumn("span", F.sum(F.col("opens").cast("int")).over(order)).filter("inside")
-    item = F.when(F.trim("q").rlike(ITEM), F.col("q"))
-    spans = rows.groupBy("doc_id", "span").agg(
-        F.min("begin").alias("start"), F.max(F.col("begin") + F.char_length("token")).alias("end"), F.first("kind").alias("type"), F.first("text").alias("text"),
-        F.min(F.when(item.isNotNull(), F.struct("pos", item.alias("q")))).alias("item"))
-    return spans.select(
-        F.concat("doc_id", F.lit("-"), F.col("span") - 1).alias("id"), "doc_id", "text", F.expr("substring(text, start + 1, end - start)").alias("mention"), "type", "start", "end",
-        norm_gold(F.col("item")["q"]).alias("gold"), F.lit(source).cast("string").alias("source"))
+    text = F.array_join(roles["tokens"], " ")
+    tokens = F.arrays_zip(F.col(roles["tokens"]).alias("t"), F.col(roles["tags"]).alias("g"), F.col(roles["qids"]).alias("q"))
+    span = "struct<start: int, end: int, type: string, q: string>"
+    begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("kind"), F.array().cast(f"array<{span}>").alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        tag = F.coalesce(x["g"], F.lit("O"))
+        mark, kind = F.substring(tag, 1, 2), F.substring(tag, 3, 1 << 30)
+        inside = mark.isin("B-", "S-", "I-", "E-")
+        opens = mark.isin("B-", "S-") | (inside & ~F.coalesce(acc["kind"] == kind, F.lit(False)))
+        end = (acc["at"] + F.char_length(x["t"])).cast("int")
+        item = F.when(F.trim(x["q"]).rlike(ITEM), x["q"])
+        new = lambda start, kind, q: F.array(F.struct(start.alias("start"), end.alias("end"), kind.alias("type"), q.alias("q")).cast(span))
+        last = F.element_at(acc["spans"], -1)
+        longer = F.concat(F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1), new(last["start"], last["type"], F.coalesce(last["q"], item)))
+        spans = F.when(opens, F.concat(acc["spans"], new(acc["at"], kind, item))).when(inside, longer).otherwise(acc["spans"])
+        return F.struct((end + 1).cast("int").alias("at"), F.when(inside, kind).alias("kind"), spans.alias("spans"))
+
+    found = F.aggregate(tokens, begin, step, lambda acc: acc["spans"])
+    rows = df.select(doc_name(roles, text).alias("doc_id"), text.alias("text"), F.posexplode(found).alias("k", "s"))
+    return rows.select(
+        F.concat("doc_id", F.lit("-"), F.col("k")).alias("id"), "doc_id", "text", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("mention"), "s.type", "s.start", "s.end",
+        norm_gold(F.col("s.q")).alias("gold"), F.lit(source).cast("string").alias("source"))
 
 
 def detect_roles(df: DataFrame, n: int = 300) -> dict:
@@ -268,12 +284,22 @@ def coverage_check(sample: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def split_by_doc(rows: DataFrame, dev_frac: float = 0.2, seed: int = 13) -> tuple[DataFrame, DataFrame]:
-    """Development and test rows; all mentions of a document stay together. The former get ``max(1, int(n * dev_frac))`` documents."""
+    """Development and test rows; all mentions of a document stay together. The former get ``max(1, int(n * dev_frac))`` documents.
+
+    Documents are counted by the first hexadecimal digits of their hash (4,096 counts reach the driver); the digits in which
+    the border lies are found there, and only the documents with those digits are ranked. All others are told by their hash.
+    """
     rows = rows.withColumn("_key", doc_key(F.col("doc_id"), F.col("text")))
-    keys = rows.select("_key").distinct()
-    n_dev = max(1, int(keys.count() * dev_frac))
-    dev = keys.orderBy(draw(seed, "_key"), "_key").limit(n_dev)
-    return rows.join(dev, "_key", "left_semi").drop("_key"), rows.join(dev, "_key", "left_anti").drop("_key")
+    keys = rows.select("_key").distinct().select("_key", draw(seed, "_key").alias("_draw")).withColumn("_head", F.substring("_draw", 1, 3))
+    counts = sorted(map(tuple, keys.groupBy("_head").count().collect()))
+    left, border = max(1, int(sum(n for _, n in counts) * dev_frac)), ""
+    for border, n in counts:
+        if n >= left:
+            break
+        left -= n
+    first = keys.filter(F.col("_head") == border).orderBy("_draw", "_key").limit(left).select("_key", F.lit(True).alias("_dev"))
+    rows = rows.join(first, "_key", "left").withColumn("_dev", F.coalesce("_dev", F.substring(draw(seed, "_key"), 1, 3) < border))
+    return rows.filter("_dev").drop("_key", "_dev"), rows.filter("NOT _dev").drop("_key", "_dev")
 
 
 def sample_by_doc(rows: DataFrame, n: int, max_per_doc: int = 5, linked_only: bool = False, seed: int = 13, order: str = "id") -> DataFrame:

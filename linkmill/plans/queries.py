@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A fresh folder beside the checkpoints, which all executors see."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -623,9 +625,9 @@ def read_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     for name in ("alpha", "dev_beta", "gamma@r2"):
         rows = b.runs(spark, sf_dir).filter("run = 'alpha'" if name == "alpha" else "run = 'full_beta'").drop("run", "ord")
-        rows.write.json(f"{folder}/{name}")
-    parts = [spark.read.schema(readers.RUN).json(f"{folder}/{n}").select("id", "gold", "qid", F.size("trace").alias("steps"), F.lit(n).alias("run")) for n in ("alpha", "gamma@r2")]
-    return reduce(DataFrame.unionByName, parts).groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("qid") == "ERROR").alias("errors"), F.count_if(F.col("steps") > 0).alias("traced"))
+        readers.write_run(rows, folder, name)
+    got = readers.read_runs(spark, folder, ["id", "qid", "trace"]).withColumn("steps", F.size("trace"))
+    return got.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("qid") == "ERROR").alias("errors"), F.count_if(F.col("steps") > 0).alias("traced"))
 
 
 @query

@@ -17,16 +17,17 @@ CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "encoding
 SNIFFED = 4096
 ITEM = re.compile(r"^(?:https?://(?:www\.)?wikidata\.org/(?:wiki|entity)/)?(Q\d+)$")
 TAG = re.compile(r"^(?:O|[BIES]-.+)$")
+TAGGED = re.compile(rb"(?:^|\s)[BIES]-[A-Za-z]")
 
 
 def read_runs(spark: SparkSession, path: str, columns: list[str] | None = None, least: int | None = None) -> DataFrame:
-    """All run files of a folder: their rows with ``run`` (the file's name) and ``ord`` (the row's place).
+    """All run files of a folder: their rows with ``run`` (the name of the file, or of its folder) and ``ord`` (the row's place).
 
     Development runs stay out; of a plain and a packed file of one run the packed one counts. ``columns`` prunes the
     schema before reading; with ``least``, runs with fewer rows that didn't fail are left out.
     """
-    name = F.regexp_extract("_metadata.file_name", r"^(.*?)\.jsonl(\.gz)?$", 1)
-    rows = spark.read.schema(RUN).option("pathGlobFilter", "*.jsonl*").json(path)
+    name = F.url_decode(F.regexp_extract("_metadata.file_path", r"/([^/]+?)\.jsonl(?:\.gz)?(?:/part-[^/]*)?$", 1))
+    rows = spark.read.schema(RUN).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(path)
     rows = rows.select(*(columns or ["*"]), name.alias("run"), F.endswith("_metadata.file_name", F.lit(".gz")).alias("_packed"), F.monotonically_increasing_id().alias("ord"))
     rows = rows.filter("run <> '' AND NOT startswith(run, 'dev_')")
     use = rows.groupBy("run").agg(F.bool_or("_packed").alias("_packed"))
@@ -36,6 +37,11 @@ def read_runs(spark: SparkSession, path: str, columns: list[str] | None = None,
     return rows
 
 
+def write_run(rows: DataFrame, folder: str, run: str) -> None:
+    """A run's rows as packed JSON lines in ``<run>.jsonl.gz`` parts under ``folder``, which :func:`read_runs` finds by the folder's name."""
+    rows.write.mode("overwrite").json(f"{folder}/{run}.jsonl", compression="gzip")
+
+
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines, JSON (an array, or an object with the rows in ``data``), CSV or TSV, packed or not, by the path's ending."""
     plain = path.removesuffix(".gz")
@@ -54,98 +60,174 @@ def _as_struct(schema: str) -> str:
     return StructType.fromDDL(schema).simpleString().removeprefix("struct<").removesuffix(">")
 
 
+def _format(head: bytes) -> str:
+    """What a file is by its first bytes: gzip, zip, empty (white space only), json, html, conll (tabs or a tag) or unknown."""
+    if head.startswith(b"\x1f\x8b"):
+        return "gzip"
+    if head.startswith(b"PK\x03\x04"):
+        return "zip"
+    text = head.lstrip(b"\xef\xbb\xbf \t\r\n")
+    if not text:
+        return "empty"
+    marks = {b"[": "json", b"{": "json", b"<": "html"}
+    return marks.get(text[:1]) or ("conll" if b"\t" in text or TAGGED.search(text) else "unknown")
+
+
 def sniff_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, format`` of each file, judged by its first bytes: gzip, zip, json, html, conll, empty (white space only) or unknown.
+    """``path, length, format`` of each file, judged by its first bytes (:func:`_format`).
 
-    Files of no bytes at all are not listed, as Spark gives them no task.
+    Only the first bytes are judged, but Spark hands over whole files. Files of no bytes at all are not listed, as
+    Spark gives them no task.
     """
     head = F.substring(F.col("content"), 1, SNIFFED)
-    text = F.regexp_replace(F.decode(head, "UTF-8"), r"^[\x{FEFF}\s]+", "")
-    low = F.lower(text)
+    text = F.regexp_replace(F.decode(head, "ISO-8859-1"), r"^[\x{EF}\x{BB}\x{BF} \t\r\n]+", "")
+    first = F.substring(text, 1, 1)
     kind = (F.when(F.startswith(F.hex(head), F.lit("1F8B")), "gzip").when(F.startswith(F.hex(head), F.lit("504B0304")), "zip").when(text == "", "empty")
-            .when(F.startswith(low, F.lit("<!doctype")) | F.startswith(low, F.lit("<html")), "html").when(text.rlike(r"^[\[{]"), "json")
-            .when(text.rlike(r"(?m)^\S+[\t ]+(?:\S+[\t ]+)*(?:O|[BIES]-\S+)(?:[\t ]|$)"), "conll").otherwise("unknown"))
+            .when(first.isin("[", "{"), "json").when(first == "<", "html").when(F.contains(text, F.lit("\t")) | text.rlike(r"(?:^|\s)[BIES]-[A-Za-z]"), "conll").otherwise("unknown"))
     return spark.read.format("binaryFile").load(path).select("path", "length", kind.alias("format"))
 
 
-def _values(text: str) -> Iterator[object]:
-    """The records of a text of JSON values one after another; what follows a broken one is left out."""
-    text = text.lstrip("﻿")
-    decode, at = json.JSONDecoder().raw_decode, 0
-    while True:
-        while at < len(text) and text[at] in " \t\r\n,":
+def _values(text: str, name: str) -> Iterator[dict]:
+    """The records of JSON values one after another.
+
+    Arrays give their objects. A value that stands alone in the file may be a wrapper (:func:`_unwrapped`); of several, each
+    object is a record as it is. Text that breaks off in its last fiftieth counts as far as it goes; any other break raises
+    with its place. A file that is one Python literal is read as such.
+    """
+    decode, end, found = json.JSONDecoder().raw_decode, len(text), 0
+
+    def after(at: int) -> int:
+        while at < end and text[at] in " \t\r\n,":
             at += 1
-        if at >= len(text):
+        return at
+
+    at = after(0)
+    try:
+        while at < end:
+            inside = text[at] == "["
+            if inside:
+                at = after(at + 1)
+            while at < end and not (inside and text[at] == "]"):
+                value, at = decode(text, at)
+                at = after(at)
+                alone = not inside and not found and at >= end
+                for record in [value] if isinstance(value, dict) and not alone else _unwrapped(value):
+                    found += 1
+                    yield record
+                if not inside:
+                    break
+            if inside:
+                at = after(at + 1)
+    except json.JSONDecodeError as e:
+        if found and e.pos > 0.98 * end:
             return
-        try:
-            value, at = decode(text, at)
-        except ValueError:
-            if text[at] == "[":  # an array that breaks off: its elements count one by one
-                at += 1
-                continue
-            if text[at] == "]":
-                at += 1
-                continue
-            line = text[at:].split("\n", 1)[0]
-            try:  # a record written as a Python literal
-                value, at = ast.literal_eval(line.strip().rstrip(",")), at + len(line)
-            except (ValueError, SyntaxError):
+        if not found:
+            try:
+                value = ast.literal_eval(text.strip())
+            except (ValueError, SyntaxError, MemoryError, RecursionError):
+                pass
+            else:
+                yield from _unwrapped(value)
                 return
-        yield from _unwrapped(value)
+        around = text[max(0, e.pos - 80) : e.pos + 80]
+        raise ValueError(f"{name}: invalid JSON at line {e.lineno}, column {e.colno}, after {found} records: {e.msg} in {around!r}") from None
 
 
 def _unwrapped(value: object) -> Iterator[dict]:
+    """The records of a value that stands alone: an object with a long text is one; else its longest list of objects, or its
+    values if all are objects, or itself."""
     if isinstance(value, list):
-        for v in value:
-            yield from _unwrapped(v)
-    elif isinstance(value, dict):
-        lists = [v for v in value.values() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)]
-        if len(value) <= 3 and len(lists) == 1 and not any(isinstance(v, str) and len(v) > 20 for v in value.values()):
-            yield from lists[0]
-        elif len(value) > 1 and all(isinstance(v, dict) for v in value.values()):
-            yield from value.values()
-        else:
-            yield value
-
-
-def _unpacked(data: bytes) -> str:
+        yield from (x for x in value if isinstance(x, dict))
+    if not isinstance(value, dict):
+        return
+    inner = list(value.values())
+    lists = [x for x in inner if isinstance(x, list) and x and all(isinstance(y, dict) for y in x)]
+    if any(isinstance(x, str) and len(x) > 20 for x in inner) or not lists and not all(isinstance(x, dict) for x in inner):
+        yield value
+    else:
+        yield from max(lists, key=len) if lists else inner
+
+
+def _unpacked(data: bytes) -> bytes:
+    """Packed bytes as far as they go; others as they are."""
     import gzip
     import zlib
 
-    if data[:2] == b"\x1f\x8b":
-        try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError, zlib.error):  # broken off: as far as it goes
-            data = zlib.decompressobj(31).decompress(data)
-    return data.decode("utf-8-sig", "replace")
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    try:
+        return gzip.decompress(data)
+    except (OSError, EOFError, zlib.error):
+        return zlib.decompressobj(31).decompress(data)
+
+
+#: What keeps a file from being read, by its format.
+REFUSED = {
+    "zip": "is a ZIP archive, not a data file: unpack it first",
+    "html": "is an HTML web page, not data: a download has saved a login or error page",
+    "empty": "is empty", "unknown": "has no known format",
+}
+
+
+def _records_of(name: str, data: bytes) -> Iterator[dict]:
+    data = _unpacked(data)
+    kind = _format(data[:SNIFFED])
+    if kind in REFUSED or kind == "gzip":
+        raise ValueError(f"{name} {REFUSED.get(kind, 'is packed twice')}")
+    text = data.decode("utf-8-sig")
+    if kind == "json":
+        yield from _values(text, name)
+    else:
+        yield from _sentences(text)
 
 
 def read_records(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
-    """Corpus records from JSON of any form: arrays, objects or arrays one after another, lines, wrapped lists, an object of
-    objects, Python literals, with a byte order mark, packed, or broken off (what stands before the break counts).
+    """Corpus records by what a file holds: JSON of any form (:func:`_values`), token lines (``tokens, tags, qids``), CSV and TSV (by
+    the path's ending), packed or not, with or without a byte order mark.
 
-    ``lines`` says that it is JSON lines, which Spark reads in pieces. Other forms are read a file a task; convert large
-    corpora to Parquet once.
+    Archives, web pages, empty files, unknown formats and text that is broken before its end raise an error that names the
+    file. ``lines`` says that it is JSON lines, which Spark reads in pieces. Other forms are read a file a task; convert
+    large corpora to Parquet once.
     """
     if lines:
         return spark.read.schema(schema).json(path)
+    if path.removesuffix(".gz").endswith((".csv", ".tsv")):
+        return read_rows(spark, path, schema)
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for data in pdf["content"]:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 out = []
-                for record in _values(_unpacked(bytes(data))):
-                    if isinstance(record, dict):
-                        out.append(json.dumps(record, ensure_ascii=False, default=str))
+                for record in _records_of(name.rsplit("/", 1)[-1], bytes(data)):
+                    out.append(json.dumps(record, ensure_ascii=False, default=str))
                     if len(out) == 5000:
                         yield pd.DataFrame({"json": out})
                         out = []
                 yield pd.DataFrame({"json": out}, dtype="object")
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(per_batch, "json string")
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(per_batch, "json string")
     return rows.select(F.inline(F.array(F.from_json("json", schema))))
 
 
+def _sentences(text: str) -> Iterator[dict]:
+    """Token lines as records; columns have one role in a whole file here too (:func:`read_conll`)."""
+    split = _token_lines(text)
+    tags, qids = _roles([r for s in split for r in s])
+    for s in split:
+        items = [r[qids] if qids is not None and qids < len(r) and ITEM.match(r[qids]) else None for r in s]
+        yield {"tokens": [r[0] for r in s], "tags": [_cell(r, tags, "O") for r in s], "qids": items}
+
+
+def _token_lines(text: str) -> list[list[list[str]]]:
+    """Sentences of token lines, each split into cells; comments are left out."""
+    split = [[line.split("\t") if "\t" in line else line.split() for line in s.splitlines() if line.strip() and not line.startswith("#")] for s in re.split(r"\n[^\S\n]*\n", text.replace("\r", ""))]
+    return [s for s in split if s]
+
+
+def _cell(row: list[str], c: int | None, empty: str | None) -> str | None:
+    return row[c] if c is not None and c < len(row) and row[c] else empty
+
+
 def _roles(rows: list[list[str]]) -> tuple[int | None, int | None]:
     """The columns of tags (the first one, but the tokens', in which all cells are tags) and of item ids (the first other one with any)."""
     width = max(map(len, rows), default=0)
@@ -165,12 +247,10 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             out = []
             for name, text in zip(pdf["path"], pdf["value"], strict=True):
-                split = [[line.split("\t") if "\t" in line else line.split() for line in s.splitlines() if line.strip() and not line.startswith("#")] for s in re.split(r"\n[^\S\n]*\n", text.replace("\r", ""))]
-                split = [s for s in split if s]
+                split = _token_lines(text)
                 tags, qids = _roles([r for s in split for r in s])
-                cell = lambda r, c, empty: (r[c] if c is not None and c < len(r) and r[c] else empty)
                 for k, s in enumerate(split):
-                    out.append((f"{name.rsplit('/', 1)[-1]}-{k}", [r[0] for r in s], [cell(r, tags, "O") for r in s], [cell(r, qids, None) for r in s]))
+                    out.append((f"{name.rsplit('/', 1)[-1]}-{k}", [r[0] for r in s], [_cell(r, tags, "O") for r in s], [_cell(r, qids, None) for r in s]))
             yield pd.DataFrame(out, columns=["id", "tokens", "tags", "qids"])
 
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")

@@ -195,19 +195,76 @@ RECORDS = [{"id": 1, "text": "a"}, {"id": 2, "text": "b ] } ,"}]
 
 @pytest.mark.parametrize(("name", "text", "n"), [
     ("array", json.dumps(RECORDS), 2), ("arrays", json.dumps(RECORDS) + json.dumps(RECORDS), 4), ("lines", "\n".join(map(json.dumps, RECORDS)), 2), ("pretty", "\n".join(json.dumps(r, indent=2) for r in RECORDS), 2),
-    ("wrapped", json.dumps({"data": RECORDS}), 2), ("keyed", json.dumps({"x": RECORDS[0], "y": RECORDS[1]}), 2), ("marked", "﻿" + json.dumps(RECORDS), 2), ("cut", json.dumps(RECORDS)[:-12], 1), ("literal", "\n".join(map(str, RECORDS)), 2), ("empty", "", 0)])
+    ("wrapped", json.dumps({"data": RECORDS}), 2), ("keyed", json.dumps({"x": RECORDS[0], "y": RECORDS[1]}), 2), ("marked", "﻿" + json.dumps(RECORDS), 2), ("cut", json.dumps(RECORDS * 100)[:-3], 199), ("literal", str(RECORDS), 2)])
 def test_odd_json(spark, tmp_path, name, text, n):
     (tmp_path / "x.json").write_bytes(gzip.compress(text.encode()) if name in ("array", "cut") else text.encode())
     rows = readers.read_records(spark, str(tmp_path / "x.json"), "id int, text string").collect()
     assert len(rows) == n and all(r.text for r in rows)
 
 
+def records(spark, tmp_path, data, schema="id string, sentence string", name="x.json"):
+    (tmp_path / name).write_bytes(data if isinstance(data, bytes) else data.encode())
+    return [tuple(r) for r in readers.read_records(spark, str(tmp_path / name), schema).collect()]
+
+
+def test_lines_with_lists_are_records(spark, tmp_path):
+    rows = [{"id": str(i), "qid": "Q1", "trace": [{"step": "verify", "issues": []}]} for i in range(3)]
+    schema, want = "id string, qid string", [(str(i), "Q1") for i in range(3)]
+    text = "\n".join(map(json.dumps, rows))
+    assert records(spark, tmp_path, text, schema) == records(spark, tmp_path, gzip.compress(text.encode()), schema) == want
+    assert records(spark, tmp_path, json.dumps(rows), schema) == records(spark, tmp_path, json.dumps({"meta": {"v": 1}, "data": rows}), schema) == want
+
+
+def test_broken_and_foreign_files_raise(spark, tmp_path):
+    rows = [{"id": f"e{i}", "sentence": f"a sentence of number {i} that says something"} for i in range(6)]
+    pretty = json.dumps(rows, indent=2)
+    assert len(records(spark, tmp_path, pretty[:-6])) == 5
+    for data, said in (
+        (pretty.replace('"sentence": "a sentence of number 2', '"sentence": a sentence of number 2', 1), "after 2 records"), (b"PK\x03\x04rest", "ZIP archive"),
+        ("\r\n<!DOCTYPE html><html></html>", "HTML web page"), ("\n\n", "is empty"), ("plain words", "no known format")):
+        with pytest.raises(Exception, match=said):
+            records(spark, tmp_path, data)
+
+
+def test_records_by_content(spark, tmp_path):
+    tokens = "# s\nMessi\tB-PER\tQ615\nmarka\tO\t_\nPSG\tB-ORG\tQ483020\n\nx\tO\tO\nS\tB-ORG\tQ1090717\n"
+    schema = "tokens array<string>, tags array<string>, qids array<string>"
+    want = [(["Messi", "marka", "PSG"], ["B-PER", "O", "B-ORG"], ["Q615", None, "Q483020"]), (["x", "S"], ["O", "B-ORG"], [None, "Q1090717"])]
+    assert records(spark, tmp_path, tokens, schema, "f.txt") == records(spark, tmp_path, gzip.compress(tokens.encode()), schema, "g.conll.gz") == want
+    assert records(spark, tmp_path, "id,sentence\n1,\"a, b\"\n", name="c.csv") == records(spark, tmp_path, "id\tsentence\n1\ta, b\n", name="c.tsv") == [("1", "a, b")]
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    nested = spark.createDataFrame([("PSG won", [("PSG", "Q1")])], "sentence string, entities array<struct<text: string, wikidata: string>>")
+    roles = {"id": None, "text": "sentence", "entities": "entities", "mention": "text", "qid": "wikidata"}
+    (row,) = corpus.mentions_from_nested(nested, roles).collect()
+    assert row.mention == "PSG" and len(row.doc_id) == 32 and row.id == row.doc_id + "-0"
+    flat = spark.createDataFrame([(None, "a b", "a", "Q1"), ("7", "a b", "b", "Q2")], "id string, text string, mention string, qid string")
+    assert [len(r.doc_id) for r in corpus.mentions_from_flat(flat, {k: k for k in ("id", "text", "mention", "qid")}).orderBy("mention").collect()] == [32, 1]
+    one = ("7", ["a", "b", "c"], ["B-PER", "I-PER", "I-LOC"], ["Q1", None, "x"])
+    bio = spark.createDataFrame([one, one, (None, ["z"], ["S-ORG"], [None]), ("8", [], [], [])], "id string, tokens array<string>, tags array<string>, qids array<string>")
+    got = [(r.id, r.mention, r.type, r.gold) for r in corpus.mentions_from_bio(bio, {k: k for k in ("id", "tokens", "tags", "qids")}).collect()]
+    assert sorted(got)[:4] == [("7-0", "a b", "PER", "Q1")] * 2 + [("7-1", "c", "LOC", "NIL")] * 2 and got[-1][1:] == ("z", "ORG", "NIL") and len(got) == 5
+
+
+def test_split_is_the_first_of_all_by_hash(spark):
+    import hashlib
+
+    names = [f"d{i}" for i in range(500)]
+    rows = spark.createDataFrame([(f"{d}-{k}", d, "text") for d in names for k in range(2)], "id string, doc_id string, text string")
+    for share in (0.0, 0.2, 0.5, 1.0):
+        dev, test = corpus.split_by_doc(rows, share)
+        n = max(1, int(500 * share))
+        want = sorted(names, key=lambda d: (hashlib.md5(f"13-{d}".encode()).hexdigest(), d))
+        assert {r.doc_id for r in dev.collect()} == set(want[:n]) and {r.doc_id for r in test.collect()} == set(want[n:]) and dev.count() == 2 * n
+
+
 def test_files(spark, tmp_path):
     tokens = "# c\nle\tO\t-\nPSG\tB-ORG\tQ1\n\nx\tO\n"
-    for name, data in {"a.conll": tokens.encode(), "b.gz": gzip.compress(b"x"), "c.json": b' [{"a": 1}]', "d.html": b"<!DOCTYPE html><p>", "e.txt": b" \n", "none.txt": b"", "f.zip": b"PK\x03\x04x", "g.txt": b"plain words"}.items():
+    for name, data in {"a.conll": tokens.encode(), "b.gz": gzip.compress(b"x"), "c.json": b' [{"a": 1}]', "d.html": b"<!DOCTYPE html><p>", "e.txt": b" \n", "none.txt": b"", "f.zip": b"PK\x03\x04x", "g.txt": b"plain words", "h.txt": b"a\tb\n", "i.htm": b"\xef\xbb\xbf <div>x", "j.txt": b"x B-PER"}.items():
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[-1]: r.format for r in readers.sniff_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.conll": "conll", "b.gz": "gzip", "c.json": "json", "d.html": "html", "e.txt": "empty", "f.zip": "zip", "g.txt": "unknown"}
+    assert got == {"a.conll": "conll", "b.gz": "gzip", "c.json": "json", "d.html": "html", "e.txt": "empty", "f.zip": "zip", "g.txt": "unknown", "h.txt": "conll", "i.htm": "html", "j.txt": "conll"}
     rows = readers.read_conll(spark, str(tmp_path / "a.conll")).orderBy("id").collect()
     assert [(r.tokens, r.tags, r.qids) for r in rows] == [(["le", "PSG"], ["O", "B-ORG"], ["-", "Q1"]), (["x"], ["O"], [None])]
 

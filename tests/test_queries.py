@@ -8,7 +8,7 @@ from linkmill.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"mentions_from_bio", "detect_roles"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
