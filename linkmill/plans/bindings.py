@@ -171,7 +171,8 @@ b_mentions AS (SELECT concat(doc_id, '-', pos) AS id, CAST(doc_id AS STRING) AS
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(F.split("text", " ")).alias("p", "mention")).filter("mention <> ''")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")  # a file of long texts is many words
+    docs = docs.select("doc_id", "text", F.posexplode(F.split("text", " ")).alias("p", "mention")).filter("mention <> ''")
     return docs.selectExpr(
         "concat(doc_id, '-', p + 1) AS id", "CAST(doc_id AS STRING) AS doc_id", "text", "mention", "p + 1 AS pos", "CAST(NULL AS INT) AS start", "CAST(NULL AS INT) AS end",
         "CASE doc_id % 5 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOC' WHEN 2 THEN 'ORG' WHEN 3 THEN 'DATE' ELSE 'B-GPE' END AS type",
