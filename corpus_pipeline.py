@@ -45,10 +45,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item; rows without an id stay."""
+    """Drops rows whose text holds a benchmark item, judged by id and text; null and empty texts stay, rows without an id are judged too."""
+    key, i, k = (free_name(docs, c) for c in ("_key", "_lost_id", "_lost_key"))
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    lost = found.select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == F.col("_lost"), "left_anti")
+    lost = found.select(F.col("doc_id").alias(i), F.col("key").alias(k)).distinct()
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    return rows.join(lost, rows["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)), "left_anti").drop(key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
