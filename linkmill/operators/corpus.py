@@ -263,15 +263,20 @@ def corpus_profile(rows: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     m = rows.agg(F.count("*").alias("mentions"), F.count_if(F.col("gold") == "NIL").alias("nil"), F.count_if(mention_script(F.col("mention")) != "arabic").alias("latin"), F.countDistinct("doc_id").alias("with_mentions"))
     texts = docs.filter(r"text RLIKE '\\S'") if docs is not None else rows.groupBy(doc_key(F.col("doc_id"), F.col("text")).alias("doc")).agg(F.min("text").alias("text"))
     s = texts.agg(F.count("*").alias("sentences"), F.count_if(~F.col("text").rlike(ARABIC)).alias("no_arabic"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars"))
-    one = m.crossJoin(s)  # one row by one row
+    types = rows.groupBy(F.coalesce("type", F.lit("None")).alias("t")).agg(F.count("*").alias("c"))
+    return profile_measures(m.crossJoin(s), types, docs is not None)  # one row by one row
+
+
+def profile_measures(one: DataFrame, types: DataFrame, per_sentence: bool) -> DataFrame:
+    """``measure, value`` from one row of counters and from counts ``c`` by entity type ``t``."""
     n, k = F.greatest("sentences", F.lit(1)), F.greatest("mentions", F.lit(1))
     values = [("sentences", F.col("sentences").cast("double")), ("mentions", F.col("mentions").cast("double")), ("share of mentions labeled NIL", F.bround(F.col("nil") / k, 4)),
               ("share of mentions in Latin script", F.bround(F.col("latin") / k, 4)), ("share of sentences without Arabic script", F.bround(F.col("no_arabic") / n, 4)), ("mean sentence length (chars)", F.bround(F.col("chars") / n, 1))]
-    if docs is not None:
+    if per_sentence:
         values.append(("mentions per sentence with mentions", F.bround(F.col("mentions") / F.greatest("with_mentions", F.lit(1)), 3)))
     head = one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("measure"), b.alias("value")) for a, b in values])))
-    types = rows.groupBy(F.coalesce("type", F.lit("None")).alias("t")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "t").limit(10)
-    return head.unionByName(types.crossJoin(m.select("mentions")).select(F.concat(F.lit("type "), "t").alias("measure"), F.bround(F.col("c") / F.col("mentions"), 4).alias("value")))
+    top = types.orderBy(F.desc("c"), "t").limit(10)
+    return head.unionByName(top.crossJoin(one.select("mentions")).select(F.concat(F.lit("type "), "t").alias("measure"), F.bround(F.col("c") / F.col("mentions"), 4).alias("value")))
 
 
 def coverage_check(sample: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -78,19 +78,19 @@ def name_index(entities: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "name_norm", "qid").agg(F.min("name_key").alias("name_key"), F.bool_or("is_label").alias("is_label"), F.max("sitelinks").alias("sitelinks"))
 
 
-def search_names(queries: DataFrame, index: DataFrame, limit: int = 7, bucket: int = 3) -> DataFrame:
-    """``lang, query`` and its hits ``qid, rank``: names that begin with the query, most site links first, at most ``limit``.
+def search_names(queries: DataFrame, index: DataFrame, limit: int = 7) -> DataFrame:
+    """``lang, query`` and its hits ``qid, sitelinks, rank``: names that begin with the query, most site links first, at most ``limit``.
 
-    Names and queries meet on language and their first ``bucket`` characters; queries shorter than that meet names on
-    prefixes of their own length, of which names have one row each. Only the best ``limit`` leave the join's task.
+    A name stands once under each of its prefixes, an entity once under each prefix of its names. Tasks keep the best
+    ``limit`` of a prefix before the exchange, so a prefix that many names share costs no more than others, and queries
+    meet at most ``limit`` rows by equality.
     """
-    asked = queries.select("lang", "query", normalize_text(F.col("query")).alias("q")).filter("q <> ''").distinct()
-    asked = asked.withColumn("bucket", F.substring("q", 1, bucket))
-    names = index.select("lang", "name_norm", "qid", "sitelinks", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(bucket)), lambda n: F.substring("name_norm", F.lit(1), n)))).alias("bucket"))
-    hits = asked.join(names, ["lang", "bucket"]).filter(F.startswith("name_norm", F.col("q")))
-    hits = hits.groupBy("lang", "query", "qid").agg(F.max("sitelinks").alias("sitelinks"))
-    order = W.partitionBy("lang", "query").orderBy(F.col("sitelinks").desc(), "qid")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    asked = queries.select("lang", "query", normalize_text(F.col("query")).alias("prefix")).filter("prefix <> ''").distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.char_length("name_norm")), lambda n: F.substring("name_norm", F.lit(1), n))
+    held = index.groupBy("lang", "qid").agg(F.max("sitelinks").alias("sitelinks"), F.array_distinct(F.flatten(F.collect_list(prefixes))).alias("prefixes"))
+    order = W.partitionBy("lang", "prefix").orderBy(F.col("sitelinks").desc(), "qid")
+    best = held.select("lang", F.explode("prefixes").alias("prefix"), "qid", "sitelinks").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return asked.join(best, ["lang", "prefix"]).select("lang", "query", "qid", "sitelinks", "rank")
 
 
 def resolve_titles(df: DataFrame, wp_page: DataFrame, wp_redirect: DataFrame, title: str = "title") -> DataFrame:

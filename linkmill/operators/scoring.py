@@ -73,13 +73,18 @@ def answered_by_all(runs: DataFrame, exclude: DataFrame | None = None, min_cover
     each value of ``by``. Rows are dealt out by mention once; deduplication, intersection and pairing reuse that.
     ``ref_run`` is ``ref``, or the first remaining run by name where ``ref`` is missing.
     """
+    rows = _complete(runs, min_coverage, by, ref).filter("_have = _runs")
+    return _without(rows.drop("_have", "_runs"), exclude)
+
+
+def _complete(runs: DataFrame, min_coverage: float, by: tuple[str, ...] = (), ref: str | None = None) -> DataFrame:
+    """The last answers of complete runs, with the number of runs that answered the mention (``_have``) and of all (``_runs``)."""
     last = W.partitionBy(*by, "id", "run").orderBy(F.col("ord").desc())
     rows = _answered(runs).repartition("id").withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_nth")
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     kept = rows.groupBy(*by, "run").count().withColumn("_top", F.max("count").over(group)).filter(F.col("count") >= min_coverage * F.col("_top"))
     kept = kept.select(*by, "run", F.count("*").over(group).alias("_runs"), F.coalesce(F.max(F.when(F.col("run") == ref, F.col("run"))).over(group), F.min("run").over(group)).alias("ref_run"))
-    rows = rows.join(kept, [*by, "run"]).withColumn("_have", F.count("*").over(W.partitionBy(*by, "id"))).filter("_have = _runs")
-    return _without(rows.drop("_have", "_runs"), exclude)
+    return rows.join(kept, [*by, "run"]).withColumn("_have", F.count("*").over(W.partitionBy(*by, "id")))
 
 
 def common_mentions(runs: DataFrame, exclude: DataFrame | None = None, min_coverage: float = 0.9) -> DataFrame:
@@ -87,6 +92,15 @@ def common_mentions(runs: DataFrame, exclude: DataFrame | None = None, min_cover
     return answered_by_all(runs, exclude, min_coverage).select("id").distinct()
 
 
+def common_mention_counts(runs: DataFrame, exclude: DataFrame | None = None, min_coverage: float = 0.9) -> DataFrame:
+    """One row: ``n_runs`` compared, ``n_union`` mentions that any of them answered, ``n_common`` of those compared, ``n_dropped`` of those not."""
+    ids = _complete(runs, min_coverage).groupBy("id").agg(F.max("_runs").alias("_runs"), F.max("_have").alias("_have")).withColumn("_in", F.col("_have") == F.col("_runs"))
+    if exclude is not None:
+        ids = ids.join(exclude.select(F.col("id").cast("string"), F.lit(True).alias("_out")).distinct(), "id", "left").withColumn("_in", F.col("_in") & F.col("_out").isNull())
+    got = ids.agg(F.coalesce(F.max("_runs"), F.lit(0)).alias("n_runs"), F.count("*").alias("n_union"), F.count_if("_in").alias("n_common"))
+    return got.withColumn("n_dropped", F.col("n_union") - F.col("n_common"))
+
+
 def answer_correctness(runs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Adds ``ok`` and ``init_ok``. An empty accepted set makes every answer wrong; a missing row leaves it to ``gold``."""
     runs = runs.withColumn("id", F.col("id").cast("string"))

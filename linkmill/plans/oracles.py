@@ -55,6 +55,7 @@ _METRICS = f"""count(*) FILTER ({_live}) AS n, count(*) FILTER ({_live} AND qid
 oracle("run_metrics", f"SELECT run, {_METRICS}, round(round_even(sum(seconds) FILTER ({_live}) / count(*) FILTER ({_live}), 4), 3) AS avg_seconds FROM b_runs GROUP BY run", RUNS)
 oracle("metrics_by", f"SELECT run, CASE WHEN grouping(g) = 1 THEN 'ALL' ELSE g END AS \"group\", {_METRICS} FROM (SELECT *, coalesce(nullif(category, ''), '-') AS g FROM b_runs) GROUP BY GROUPING SETS ((run, g), (run))", RUNS)
 oracle("common_mentions", "SELECT DISTINCT id FROM b_common", RUNS, common())
+oracle("common_mention_counts", "SELECT *, n_union - n_common AS n_dropped FROM (SELECT (SELECT count(*) FROM b_kept) AS n_runs, (SELECT count(DISTINCT id) FROM b_in) AS n_union, (SELECT count(DISTINCT id) FROM b_common) AS n_common)", RUNS, REVIEW, LABELS, common(exclude=_NOT_UNCLEAR))
 oracle("answer_correctness", "SELECT run, id, ok, init_ok FROM b_ok", RUNS, REVIEW, LABELS, judged("b_runs", True))
 oracle("paired_table", f"SELECT run, {_COUNTS}, {_WINS} FROM b_ref GROUP BY run", RUNS, REVIEW, LABELS, common(exclude=_NOT_UNCLEAR), judged("b_common", True), referenced())
 _GROUPED = "b_src AS (SELECT *, category AS g FROM b_runs WHERE category <> '')"
@@ -250,7 +251,7 @@ oracle("read_runs", """SELECT CASE run WHEN 'alpha' THEN 'alpha' ELSE 'gamma@r2'
 oracle("read_rows", "SELECT id, mention, gold FROM b_mentions", MENTION)
 oracle("read_records", "SELECT doc_id, length(text) AS n_chars FROM documents")
 oracle("read_review", 'SELECT id, "group", options, sources, status, accepted, carried FROM b_review', REVIEW)
-oracle("stream_profile", f"SELECT type, count(*) AS mentions, count(*) FILTER (gold = 'NIL') AS nil, count(*) FILTER ({_SCRIPT} <> 'arabic') AS latin FROM b_mentions GROUP BY type", MENTION)
+ORACLES["stream_profile"] = ORACLES["corpus_profile"]
 oracle("stream_runs", "SELECT run, id, qid FROM b_runs", RUNS)
 oracle("stream_sample", "SELECT doc_id FROM documents ORDER BY md5(concat('13-', doc_id)), doc_id LIMIT 100")
 

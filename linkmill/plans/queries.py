@@ -62,6 +62,12 @@ def common_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.common_mentions(b.runs(spark, sf_dir))
 
 
+@query
+def common_mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = review.pooled_labels(b.review(spark, sf_dir))
+    return scoring.common_mention_counts(b.runs(spark, sf_dir), labels.filter("unclear"))
+
+
 @query
 def answer_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = review.pooled_labels(b.review(spark, sf_dir)).filter("NOT unclear")
@@ -687,10 +693,10 @@ def _landed(rows: DataFrame, spark: SparkSession) -> tuple[str, StructType]:
 
 @query
 def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, schema = _landed(b.mentions(spark, sf_dir).select("id", "mention", "type", "gold"), spark)
-    name = "profile_" + uuid.uuid4().hex
-    jobs.stream_profile(spark, f"{folder}/in", schema, name, f"{folder}/state").awaitTermination()
-    return spark.table(name)
+    docs = b.mentions(spark, sf_dir).groupBy("doc_id").agg(F.min("text").alias("text"), F.collect_list(F.struct("mention", "type", "gold")).alias("mentions"))
+    folder, schema = _landed(docs.select("text", "mentions"), spark)
+    jobs.stream_profile(spark, f"{folder}/in", schema, f"{folder}/table", f"{folder}/state").awaitTermination()
+    return jobs.read_profile(spark, f"{folder}/table").select("measure", F.round("value", 2).alias("value"))
 
 
 @query

@@ -1,12 +1,13 @@
 """Growing inputs: profiles, runs and samples kept up to date by Structured Streaming.
 
-The sources have no event time and no late rows, so nothing waits for a watermark; state is a table (or counters by
-type), never a window. Each job reads what is there and stops (``availableNow``); started again with the same checkpoint it
+The sources have no event time and no late rows, so nothing waits for a watermark; state is a table,
+never a window. Each job reads what is there and stops (``availableNow``); started again with the same checkpoint it
 goes on where it was.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,23 +15,58 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.text import mention_script
-from ..operators.corpus import draw
+from ..operators.corpus import ARABIC, draw, profile_measures
 
 
 def _source(spark: SparkSession, in_dir: str, schema: StructType | str, fmt: str) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).load(in_dir)
 
 
-def profile_counts(rows: DataFrame) -> DataFrame:
-    """Mentions, NIL and Latin-script mentions by type: counters that a stream can keep."""
-    return rows.groupBy(F.coalesce("type", F.lit("None")).alias("type")).agg(
-        F.count("*").alias("mentions"), F.count_if(F.col("gold") == "NIL").alias("nil"), F.count_if(mention_script(F.col("mention")) != "arabic").alias("latin"))
+PROFILED = "text string, mentions array<struct<mention: string, type: string, gold: string>>"
+_COUNTERS = ("sentences", "with_mentions", "no_arabic", "chars", "mentions", "nil", "latin")
 
 
-def stream_profile(spark: SparkSession, in_dir: str, schema: StructType | str, name: str, checkpoint: str, fmt: str = "json") -> StreamingQuery:
-    """Counters over a growing folder, as the in-memory table ``name`` (one row a type)."""
-    rows = profile_counts(_source(spark, in_dir, schema, fmt))
-    return rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def profile_counts(docs: DataFrame) -> DataFrame:
+    """``kind, key, n``: the counters of a corpus profile over annotated texts (:data:`PROFILED`), and mentions by type; blank texts don't count.
+
+    All of them add up over batches, and come from one pass: each text becomes a few counters, which are summed.
+    """
+    m = F.coalesce("mentions", F.array().cast("array<struct<mention: string, type: string, gold: string>>"))
+    n_if = lambda f: F.size(F.filter(m, f))
+    values = (F.lit(1), (F.size(m) > 0), ~F.col("text").rlike(ARABIC), F.char_length("text"), F.size(m), n_if(lambda x: x["gold"] == "NIL"), n_if(lambda x: mention_script(x["mention"]) != "arabic"))
+    entry = lambda kind, key, n: F.struct(F.lit(kind).alias("kind"), key.alias("key"), n.cast("long").alias("n"))
+    counters = F.array(*[entry("counter", F.lit(c), v) for c, v in zip(_COUNTERS, values, strict=True)])
+    types = F.transform(m, lambda x: entry("type", F.coalesce(x["type"], F.lit("None")), F.lit(1)))
+    return docs.filter(r"text RLIKE '\\S'").select(F.inline(F.concat(counters, types))).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def stream_profile(spark: SparkSession, in_dir: str, schema: StructType | str, table: str, checkpoint: str, fmt: str = "json") -> StreamingQuery:
+    """Adds the counters of each batch to the table ``table`` (a path), partitioned by batch; :func:`read_profile` sums them.
+
+    Each batch overwrites its own partition, so one that runs twice counts once.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        profile_counts(batch).coalesce(1).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")  # a row a counter and type
+
+    return _source(spark, in_dir, schema, fmt).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_profile(spark: SparkSession, table: str) -> DataFrame:
+    """``measure, value`` of all batches so far, as :func:`linkmill.operators.corpus.corpus_profile` gives them."""
+    rows = spark.read.schema("kind string, key string, n long").parquet(table).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    one = rows.filter("kind = 'counter'").agg(*[F.coalesce(F.max(F.when(F.col("key") == c, F.col("n"))), F.lit(0)).alias(c) for c in _COUNTERS])
+    return profile_measures(one, rows.filter("kind = 'type'").select(F.col("key").alias("t"), F.col("n").alias("c")), True)
+
+
+def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What earlier batches stored; None before the first one."""
+    try:
+        return spark.read.parquet(path).filter(F.col("batch") < batch_id)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def new_answers(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -47,13 +83,7 @@ def stream_runs(spark: SparkSession, in_dir: str, schema: StructType | str, tabl
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(table).filter(F.col("batch") < batch_id)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = None  # nothing has been stored yet
+        stored = _stored(batch.sparkSession, table, batch_id)
         new_answers(batch, stored).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return _source(spark, in_dir, schema, fmt).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -63,15 +93,10 @@ def stream_sample(spark: SparkSession, in_dir: str, schema: StructType | str, k:
     """The ``k`` rows with the smallest hashes of all so far, in a folder a batch under ``out``; the newest folder counts."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        try:
-            kept = spark.read.parquet(out).filter(F.col("batch") < batch_id)
-            newest = kept.agg(F.max("batch")).first()[0]
-            rows = batch.unionByName(kept.filter(F.col("batch") == newest).drop("batch")) if newest is not None else batch
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        kept, rows = _stored(batch.sparkSession, out, batch_id), batch
+        newest = None if kept is None else kept.agg(F.max("batch")).first()[0]
+        if newest is not None:
+            rows = batch.unionByName(kept.filter(F.col("batch") == newest).drop("batch"))
         rows.orderBy(draw(seed, key), key).limit(k).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _source(spark, in_dir, schema, fmt).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

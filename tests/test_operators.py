@@ -302,5 +302,29 @@ def test_streams(spark, tmp_path):
     assert sorted((r.id, r.qid) for r in stored.collect()) == [("1", "Q1"), ("2", "ERROR"), ("2", "Q2"), ("3", "Q3")]
     kept = spark.read.parquet(str(tmp_path / "kept"))
     assert kept.filter(F.col("batch") == kept.agg(F.max("batch")).first()[0]).count() == 2
-    jobs.stream_profile(spark, str(source), "id string, type string, gold string, mention string", "prof", str(tmp_path / "c3")).awaitTermination()
-    assert spark.table("prof").agg(F.sum("mentions")).first()[0] == 5
+
+
+def test_stream_profile(spark, tmp_path):
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    source.mkdir()
+
+    def add(name, *rows):
+        (source / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+        jobs.stream_profile(spark, str(source), jobs.PROFILED, table, str(tmp_path / "state")).awaitTermination()
+
+    add("1.json", {"text": "PSG in باريس", "mentions": [{"mention": "PSG", "type": "ORG", "gold": "NIL"}, {"mention": "باريس", "gold": "Q90"}]}, {"text": " "}, {})
+    add("2.json", {"text": "none"})
+    assert {r.measure: r.value for r in jobs.read_profile(spark, table).collect()} == {
+        "sentences": 2, "mentions": 2, "share of mentions labeled NIL": 0.5, "share of mentions in Latin script": 0.5, "share of sentences without Arabic script": 0.5,
+        "mean sentence length (chars)": 8, "mentions per sentence with mentions": 2, "type ORG": 0.5, "type None": 0.5}
+    assert jobs.profile_counts(spark.createDataFrame([], jobs.PROFILED)).count() == 0
+
+
+def test_search_under_a_shared_prefix(spark):
+    names = [(f"the long shared name {i}", f"Q{i}", i % 1000) for i in range(20_000)] + [("the", "Q7", 7)]
+    index = spark.createDataFrame([("en", n, q, s) for n, q, s in names], "lang string, name_norm string, qid string, sitelinks int").repartition(8)
+    asked = ["the", "The  long", "the long shared name 1999", "the long shared name 19999", "the long shared name 199990", "th", "name", " "]
+    got = kb.search_names(spark.createDataFrame([("en", q) for q in asked], "lang string, query string"), index).orderBy("query", "rank").collect()
+    for q in asked:
+        found = {(-s, i) for n, i, s in names if q.strip() and n.startswith(" ".join(q.lower().split()))}
+        assert [(-r.sitelinks, r.qid) for r in got if r.query == q] == sorted(found)[:7], q

@@ -44,6 +44,9 @@ def test_common_mentions_and_pairs(spark):
     got = {r.run: r for r in scoring.paired_table(runs(spark, rows), "a", n_boot=50).collect()}
     assert set(got) == {"a", "b"} and got["a"].n == got["b"].n == 9
     assert (got["b"].wins, got["b"].losses, got["a"].wins) == (1, 0, 0)
+    out = spark.createDataFrame([("0",), ("0",), ("9",), ("x",)], "id string")
+    assert [tuple(scoring.common_mention_counts(runs(spark, rows), e).first()) for e in (None, out)] == [(2, 10, 9, 1), (2, 10, 8, 2)]
+    assert tuple(scoring.common_mention_counts(runs(spark, rows).limit(0)).first()) == (0, 0, 0, 0)
 
 
 def test_last_record_counts(spark):
