@@ -84,7 +84,7 @@ def _variants(name: Column, words: Column) -> Column:
     joined = F.when((n(first) > 3) & begins(first, "وف"), F.substring(first, 2, 1 << 30))
     plain = F.filter(F.array(first, joined), lambda w: w.isNotNull())
     forms = let(plain, lambda p: F.concat(p, F.filter(F.transform(p, article), lambda w: w.isNotNull())))
-    rest = F.when(F.size(words) > 1, F.concat(F.lit(" "), F.array_join(F.slice(words, 2, 10_000), " "))).otherwise("")
+    rest = F.when(F.size(words) > 1, F.concat(F.lit(" "), F.array_join(F.slice(words, F.lit(2), F.size(words)), " "))).otherwise("")
     return let(F.struct(forms.alias("forms"), rest.alias("rest")), lambda x: with_forms(x["forms"], x["rest"]))
 
 

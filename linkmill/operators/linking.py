@@ -63,8 +63,8 @@ def apply_nil_rule(runs: DataFrame, entities: DataFrame, closure: DataFrame, roo
     return out.withColumns({"initial_qid": F.when(fired, "NIL").otherwise(F.col("initial_qid")), "qid": F.when(fired, F.col("_rule")).otherwise(F.col("qid")), "trace": F.when(fired, note).otherwise(F.col("trace"))}).drop("_rule")
 
 
-def _issue(check: str, msg: Column, hard: bool = False) -> Column:
-    return F.struct(F.lit(check).alias("check"), msg.alias("msg"), F.lit(hard).alias("hard"), F.lit(None).cast(_SUGGEST).alias("suggest"))
+def _issue(check: str, msg: Column, hard: bool = False, suggest: Column | None = None) -> Column:
+    return F.struct(F.lit(check).alias("check"), msg.alias("msg"), F.lit(hard).alias("hard"), (F.lit(None) if suggest is None else suggest).cast(_SUGGEST).alias("suggest"))
 
 
 def verify_answers(decisions: DataFrame, cands: DataFrame, entities: DataFrame, closure: DataFrame, roots: DataFrame, sure: float = 0.7) -> DataFrame:
@@ -109,14 +109,40 @@ def needs_expansion(mentions: DataFrame, cands: DataFrame, entities: DataFrame,
 Decider = Callable[[DataFrame], DataFrame]
 
 
-def correction_loop(decisions: DataFrame, cands: DataFrame, entities: DataFrame, closure: DataFrame, roots: DataFrame, decide: Decider, max_rounds: int = 3) -> DataFrame:
+def criticised(rows: DataFrame, critic: Decider) -> DataFrame:
+    """Adds a soft CRITIC issue to the answers without hard issues that ``critic`` objects to (``id, msg, suggest``, a search)."""
+    rows = cut_lineage(rows)
+    asked = rows.filter(F.col("action").isin("select", "nil") & ~F.exists("issues", lambda i: i["hard"]))
+    said = critic(asked).select("id", F.array(_issue("CRITIC", F.col("msg"), suggest=F.col("suggest"))).alias("_said"))
+    return rows.join(said, "id", "left").withColumn("issues", F.when(F.col("_said").isNull(), F.col("issues")).otherwise(F.concat("issues", "_said"))).drop("_said")
+
+
+def suggested_candidates(rows: DataFrame, cands: DataFrame, index: DataFrame, entities: DataFrame, limit: int = 7, most: int = 5) -> DataFrame:
+    """``id, pos, qid``: what the searches that issues suggest add after the candidates that a row has.
+
+    Each search adds its first ``most`` hits that are known entities, no pages, and no candidates yet; a hit of several
+    searches counts in the first. Distinct searches run once.
+    """
+    asks = rows.select("id", F.posexplode("issues").alias("nth", "i")).select("id", "nth", F.coalesce("i.suggest.lang", F.lit("ar")).alias("lang"), F.col("i.suggest.q").alias("query")).filter("query <> ''")
+    hits = asks.join(search_names(asks, index, limit), ["lang", "query"]).select("id", "nth", "rank", "qid")
+    page = F.exists(F.coalesce("p31", F.array().cast("array<string>")), lambda c: c.isin(*BAD_CLASSES))
+    new = hits.join(entities.filter(~page).select("qid"), "qid").join(cands.select("id", "qid"), ["id", "qid"], "left_anti")
+    new = new.withColumn("k", F.row_number().over(W.partitionBy("id", "nth").orderBy("rank"))).filter(F.col("k") <= most)
+    new = new.groupBy("id", "qid").agg(F.min(F.struct("nth", "rank")).alias("at")).join(cands.groupBy("id").agg(F.max("pos").alias("last")), "id", "left")
+    return new.select("id", (F.coalesce("last", F.lit(-1)) + F.row_number().over(W.partitionBy("id").orderBy("at"))).cast("int").alias("pos"), "qid")
+
+
+def correction_loop(decisions: DataFrame, cands: DataFrame, entities: DataFrame, closure: DataFrame, roots: DataFrame, decide: Decider, max_rounds: int = 3, critic: Decider | None = None, index: DataFrame | None = None) -> DataFrame:
     """Verifies and re-decides until clean, confirmed, or out of rounds: ``id, qid, initial_qid, corrected, flagged, rounds, n_issues``.
 
     ``decide`` takes the open rows with their ``issues`` and returns ``id, new_action, new_qid, new_confidence`` (a
     ``mapInPandas`` around the user's batch scorer, say). Issues that came with a decision (column ``extra``) count in the
     first round only. ``confirm`` clears soft issues and closes the row; on hard ones the old decision stays open. After the
     last round one more verification judges; a row whose issues are still hard becomes NIL. Closed rows never travel again.
+    ``critic`` objects to answers that pass the rules (:func:`criticised`). With a name ``index``, the searches that issues
+    suggest are made before re-deciding; what they find joins the candidates, and ``decide`` sees it in ``added``.
     """
+    cands = cands.select("id", F.col("pos").cast("int").alias("pos"), "qid")
     base = ["id", "mention", "type", "action", "qid", "confidence"]
     open_ = decisions.select(*base, F.when(F.col("action") == "select", F.col("qid")).otherwise("NIL").alias("initial_qid"), *(["extra"] if "extra" in decisions.columns else []))
     closed = None
@@ -128,8 +154,12 @@ def correction_loop(decisions: DataFrame, cands: DataFrame, entities: DataFrame,
         done = rows.select("id", final.alias("qid"), "initial_qid", (final != F.col("initial_qid")).alias("corrected"), (F.size("issues") > 0).alias("flagged"), F.lit(n).alias("rounds"), F.size("issues").alias("n_issues"))
         closed = done if closed is None else closed.unionByName(done)
 
-    for n in range(1, max_rounds + 1):
+    def verified() -> DataFrame:
         rows = verify_answers(open_, cands, entities, closure, roots)
+        return rows if critic is None else criticised(rows, critic)
+
+    for n in range(1, max_rounds + 1):
+        rows = verified()
         if "extra" in rows.columns:
             rows = rows.withColumn("issues", F.concat("issues", F.transform("extra", lambda m: _issue("COHERENCE", m)))).drop("extra")
         rows = cut_lineage(rows)
@@ -137,6 +167,11 @@ def correction_loop(decisions: DataFrame, cands: DataFrame, entities: DataFrame,
         rest = rows.filter(F.size("issues") > 0)
         if rest.isEmpty():
             return closed
+        if index is not None:
+            more = cut_lineage(suggested_candidates(rest, cands, index, entities))
+            cands = cut_lineage(cands.unionByName(more))
+            found = more.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "qid"))), lambda x: x["qid"]).alias("added"))
+            rest = rest.join(found, "id", "left")
         new = rest.join(decide(rest).select("id", "new_action", "new_qid", "new_confidence"), "id", "left")
         new = cut_lineage(new.withColumn("_confirm", F.col("new_action") == "confirm"))  # the decider runs once a round
         none = F.filter("issues", lambda i: F.lit(False))
@@ -144,7 +179,7 @@ def correction_loop(decisions: DataFrame, cands: DataFrame, entities: DataFrame,
         still = new.filter(~(F.coalesce("_confirm", F.lit(False)) & ~hard))
         use = ~F.coalesce("_confirm", F.lit(True))
         open_ = still.select("id", "mention", "type", *[F.when(use, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("action", "qid", "confidence")], "initial_qid")
-    close(verify_answers(open_, cands, entities, closure, roots), max_rounds)
+    close(verified(), max_rounds)
     return closed
 
 

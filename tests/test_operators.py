@@ -95,6 +95,26 @@ def test_verification_and_loop(spark, snapshot):
     assert (out["1"].rounds, out["2"].flagged, out["5"].flagged, out["3"].corrected) == (1, False, True, True)
 
 
+def test_searches_that_a_critic_suggests(spark, snapshot):
+    entities, *_, closure, roots = snapshot
+    d = spark.createDataFrame([(i, "باريس", "LOC", "select", "Q90", 0.9) for i in "12"], "id string, mention string, type string, action string, qid string, confidence double")
+    cands = spark.createDataFrame([(i, p, q) for i in "12" for p, q in enumerate(("Q90", "Q47899"))], "id string, pos int, qid string")
+
+    def critic(rows):
+        return rows.filter("id = '1' AND qid = 'Q90'").selectExpr("id", "'another one' AS msg", "named_struct('q', 'أمازون', 'lang', CAST(NULL AS STRING)) AS suggest")
+
+    def decide(rows):
+        return rows.select("id", F.when(F.size("added") > 0, "select").otherwise("confirm").alias("new_action"), F.get("added", 0).alias("new_qid"), F.lit(0.95).alias("new_confidence"))
+
+    index = kb.name_index(entities)
+    out = {r.id: r for r in linking.correction_loop(d, cands, entities, closure, roots, decide, critic=critic, index=index).collect()}
+    assert {i: (r.qid, r.corrected, r.rounds, r.flagged) for i, r in out.items()} == {"1": ("Q3783", True, 2, False), "2": ("Q90", False, 1, False)}
+    rows = linking.criticised(linking.verify_answers(d, cands, entities, closure, roots), critic)
+    more = linking.suggested_candidates(rows, cands.filter("qid <> 'Q47899'"), index, entities).orderBy("pos").collect()
+    assert [tuple(r) for r in more] == [("1", 1, "Q3783"), ("1", 2, "Q3884")]
+    assert linking.suggested_candidates(rows, cands, index, entities, most=1).count() == 1
+
+
 def test_hints_cases_and_resuming(spark):
     cases = spark.createDataFrame([(k, "a", "Q1", f"Q{k}", "") for k in range(5)], "seq long, mention string, wrong string, right string, why string").withColumn("key", token_key(F.col("mention")))
     assert [h.right for h in linking.correction_hints(mentions(spark, ("A", None)), cases).first().hints] == ["Q2", "Q3", "Q4"]
