@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as t
+from ..operators.kb import FACTS
 from . import bindings as b
 
 ORACLES: dict[str, str] = {}
@@ -16,6 +17,27 @@ RUNS, CHECK, REVIEW, LABELS, SINGLE = b.RUN_SQL, b.CHECK_SQL, b.REVIEW_SQL, b.LA
 KB, ASKED, CLASS, PAGE, MENTION = b.KB_SQL, b.ASKED_SQL, b.CLASS_SQL, b.PAGE_SQL, b.MENTION_SQL
 
 
+def rate(a: str, b: str, digits: int = 4) -> str:
+    """The ratio of two whole numbers, rounded half to even by integers alone; null over 0."""
+    one, q, r = 10**digits, f"(({a}) * {10**digits} // ({b}))", f"(({a}) * {10**digits} % ({b}))"
+    return f"CASE WHEN ({b}) <> 0 THEN ({q} + CASE WHEN 2 * {r} > ({b}) OR (2 * {r} = ({b}) AND {q} % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / {one} END"
+
+
+def sign_p(x: str, y: str) -> str:
+    """Two-sided exact binomial p at one half."""
+    terms = f"list_transform(range(least({x}, {y}) + 1), lambda i: exp(lgamma({x} + {y} + 1) - lgamma(i + 1) - lgamma({x} + {y} - i + 1) - ({x} + {y}) * ln(2)))"
+    return f"CASE WHEN {x} + {y} = 0 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, 2 * list_sum({terms})), 6) END"
+
+
+def wilson(k: str, n: str) -> str:
+    """``low, high`` of the 95 % interval of a share."""
+    z, p = "(1.96::DOUBLE * 1.96::DOUBLE)", f"({k}::DOUBLE / {n})"
+    d = f"(1 + {z} / {n})"
+    h = f"1.96::DOUBLE * sqrt({p} * (1 - {p}) / {n} + {z} / (4::DOUBLE * {n} * {n})) / {d}"
+    side = lambda f, s, edge: f"CASE WHEN {n} <> 0 THEN round_even({f}({edge}::DOUBLE, ({p} + {z} / (2::DOUBLE * {n})) / {d} {s} {h}), 4) END"
+    return f"{side('greatest', '-', 0)} AS low, {side('least', '+', 1)} AS high"
+
+
 def common(source: str = "b_runs", by: str = "", exclude: str = "") -> str:
     """``b_common``: the answers of complete runs to mentions that all of them answered, inside each value of ``by``."""
     g = f"{by}, " if by else ""
@@ -36,6 +58,10 @@ def judged(source: str, labels: bool) -> str:
 
 
 _COUNTS = "count(*) AS n, count(*) FILTER (ok) AS n_right, count(*) FILTER (init_ok) AS n_initial_right, count(*) FILTER (NOT init_ok AND ok) AS fixed, count(*) FILTER (init_ok AND NOT ok) AS broken"
+_ACCURACY = f"{rate('n_right', 'n')} AS accuracy, {rate('n_initial_right', 'n')} AS initial_accuracy"
+_SIGN = f"{sign_p('fixed', 'broken')} AS sign_test_p"
+_PAIRS = f"{_ACCURACY}, {_SIGN}, {sign_p('wins', 'losses')} AS p_vs_ref, {rate('calls', 'n')} AS avg_llm_calls"
+_CALLS = "sum(llm_calls)::BIGINT AS calls"
 _WINS = "count(*) FILTER (ok AND NOT ref_ok) AS wins, count(*) FILTER (NOT ok AND ref_ok) AS losses"
 
 
@@ -52,38 +78,47 @@ _METRICS = f"""count(*) FILTER ({_live}) AS n, count(*) FILTER ({_live} AND qid
  count(*) FILTER ({_live} AND gold <> 'NIL') AS n_non_nil, count(*) FILTER ({_live} AND gold <> 'NIL' AND list_contains(candidates, gold)) AS n_in_candidates,
  count(*) FILTER (qid = 'NIL') AS n_said_nil, count(*) FILTER ({_live} AND gold = 'NIL') AS n_gold_nil, count(*) FILTER (qid = 'NIL' AND gold = 'NIL') AS n_nil_right,
  count(*) FILTER ({_live} AND flagged) AS n_flagged, count(*) FILTER (qid = 'ERROR') AS errors"""
-oracle("run_metrics", f"SELECT run, {_METRICS}, round(round_even(sum(seconds) FILTER ({_live}) / count(*) FILTER ({_live}), 4), 3) AS avg_seconds FROM b_runs GROUP BY run", RUNS)
-oracle("metrics_by", f"SELECT run, CASE WHEN grouping(g) = 1 THEN 'ALL' ELSE g END AS \"group\", {_METRICS} FROM (SELECT *, coalesce(nullif(category, ''), '-') AS g FROM b_runs) GROUP BY GROUPING SETS ((run, g), (run))", RUNS)
+_MORE = f"""count(*) FILTER ({_live} AND gold <> 'NIL' AND qid = gold) AS non_nil_right, count(*) FILTER ({_live} AND gold <> 'NIL' AND list_contains(candidates, gold) AND qid = gold) AS in_right,
+ count(*) FILTER ({_live} AND flagged AND qid = gold) AS flagged_right, coalesce(sum(llm_calls) FILTER ({_live}), 0)::BIGINT AS calls, coalesce(sum(2 * seconds) FILTER ({_live}), 0)::BIGINT AS halves"""
+_MEASURES = ", ".join(f"{rate(x, y)} AS {name}" for name, x, y in (
+    ("acc_non_nil", "non_nil_right", "n_non_nil"), ("candidate_recall", "n_in_candidates", "n_non_nil"), ("acc_when_gold_in_candidates", "in_right", "n_in_candidates"), ("nil_precision", "n_nil_right", "n_said_nil"),
+    ("nil_recall", "n_nil_right", "n_gold_nil"), ("flagged_rate", "n_flagged", "n"), ("acc_unflagged", "n_right - flagged_right", "n - n_flagged"), ("acc_flagged", "flagged_right", "n_flagged"), ("avg_llm_calls", "calls", "n"), ("avg_seconds", "halves", "2 * n")))
+_MEASURED = f"SELECT * EXCLUDE (non_nil_right, in_right, flagged_right, calls, halves), {_ACCURACY}, {_SIGN}, {_MEASURES}"
+oracle("run_metrics", f"{_MEASURED} FROM (SELECT run, {_METRICS}, {_MORE} FROM b_runs GROUP BY run)", RUNS)
+oracle("metrics_by", f"{_MEASURED} FROM (SELECT run, CASE WHEN grouping(g) = 1 THEN 'ALL' ELSE g END AS \"group\", {_METRICS}, {_MORE} FROM (SELECT *, coalesce(nullif(category, ''), '-') AS g FROM b_runs) GROUP BY GROUPING SETS ((run, g), (run)))", RUNS)
 oracle("common_mentions", "SELECT DISTINCT id FROM b_common", RUNS, common())
 oracle("common_mention_counts", "SELECT *, n_union - n_common AS n_dropped FROM (SELECT (SELECT count(*) FROM b_kept) AS n_runs, (SELECT count(DISTINCT id) FROM b_in) AS n_union, (SELECT count(DISTINCT id) FROM b_common) AS n_common)", RUNS, REVIEW, LABELS, common(exclude=_NOT_UNCLEAR))
 oracle("answer_correctness", "SELECT run, id, ok, init_ok FROM b_ok", RUNS, REVIEW, LABELS, judged("b_runs", True))
-oracle("paired_table", f"SELECT run, {_COUNTS}, {_WINS} FROM b_ref GROUP BY run", RUNS, REVIEW, LABELS, common(exclude=_NOT_UNCLEAR), judged("b_common", True), referenced())
+oracle("paired_table", f"SELECT * EXCLUDE (calls), {_PAIRS} FROM (SELECT run, {_COUNTS}, {_WINS}, {_CALLS} FROM b_ref GROUP BY run)", RUNS, REVIEW, LABELS, common(exclude=_NOT_UNCLEAR), judged("b_common", True), referenced())
 _GROUPED = "b_src AS (SELECT *, category AS g FROM b_runs WHERE category <> '')"
 _SCRIPT = "CASE WHEN regexp_matches(mention, '[A-Za-z]') AND regexp_matches(mention, '[\\x{0600}-\\x{06FF}]') THEN 'mixed' WHEN regexp_matches(mention, '[A-Za-z]') THEN 'latin' ELSE 'arabic' END"
 for name, source in (("paired_by", _GROUPED), ("by_script", f"b_src AS (SELECT *, {_SCRIPT} AS g FROM b_runs)")):
-    oracle(name, f'SELECT g AS "group", run, {_COUNTS} FROM b_ok GROUP BY g, run', RUNS, source, common("b_src", "g"), judged("b_common", False))
-oracle("within_run", f"SELECT run, {_COUNTS} FROM b_ok GROUP BY run", RUNS, REVIEW, LABELS, f"b_src AS (SELECT * FROM b_runs WHERE {_live} AND regexp_matches(run, '^(full|grounded|critic)') {_NOT_UNCLEAR})", judged("b_src", True))
+    oracle(name, f'SELECT *, {_ACCURACY} FROM (SELECT g AS "group", run, {_COUNTS} FROM b_ok GROUP BY g, run)', RUNS, source, common("b_src", "g"), judged("b_common", False))
+oracle("within_run", f"SELECT *, {_ACCURACY}, {_SIGN} FROM (SELECT run, {_COUNTS} FROM b_ok GROUP BY run)", RUNS, REVIEW, LABELS, f"b_src AS (SELECT * FROM b_runs WHERE {_live} AND regexp_matches(run, '^(full|grounded|critic)') {_NOT_UNCLEAR})", judged("b_src", True))
 oracle("llm_only_spread", """SELECT run, round(value, 6) AS value FROM (SELECT run, value FROM b_per UNION ALL SELECT 'count', count(*)::DOUBLE FROM b_per UNION ALL SELECT 'mean', avg(value) FROM b_per UNION ALL SELECT 'std', stddev_samp(value) FROM b_per
  UNION ALL SELECT 'min', min(value) FROM b_per UNION ALL SELECT '25%', quantile_cont(value, 0.25) FROM b_per UNION ALL SELECT '50%', quantile_cont(value, 0.5) FROM b_per UNION ALL SELECT '75%', quantile_cont(value, 0.75) FROM b_per UNION ALL SELECT 'max', max(value) FROM b_per)""",
        RUNS, "b_src AS (SELECT * FROM b_runs WHERE NOT contains(run, '@') OR regexp_matches(run, '@r[0-9]+$'))", common("b_src"), judged("b_common", False), "b_per AS (SELECT run, round_even(count(*) FILTER (init_ok) / count(*), 4) AS value FROM b_ok GROUP BY run)")
 _TAGGED = "b_src AS (SELECT * REPLACE (string_split(run, '@')[1] AS run), coalesce(string_split(run, '@')[2], '(first)') AS tag FROM b_runs)"
-_MULTI = (RUNS, _TAGGED, common("b_src", "tag"), judged("b_common", False), referenced("tag"), f"b_per AS (SELECT run AS system, tag, {_COUNTS}, {_WINS} FROM b_ref GROUP BY run, tag)")
-oracle("multi_run_runs", "SELECT system, tag, n, fixed, broken, wins, losses FROM b_per", *_MULTI)
-oracle("multi_run_summary", "SELECT system, count(*) AS runs, sum(fixed)::BIGINT AS fixed_total, sum(broken)::BIGINT AS broken_total FROM b_per GROUP BY system", *_MULTI)
-oracle("check_attribution", f"""SELECT run, check_name AS "check", count(*) AS fired, count(*) FILTER (pos = 0) AS fired_first, count(*) FILTER (qid <> initial_qid) AS changed_answer, count(*) FILTER (NOT init_ok AND ok) AS fixed,
- count(*) FILTER (init_ok AND NOT ok) AS broken, count(*) FILTER (init_ok AND ok) AS kept_right, count(*) FILTER (NOT init_ok AND NOT ok) AS still_wrong FROM b_ok JOIN b_checks ON k % 5 = m WHERE {_live} GROUP BY run, check_name""", RUNS, CHECK, judged("b_runs", False))
+_MULTI = (RUNS, _TAGGED, common("b_src", "tag"), judged("b_common", False), referenced("tag"), f"b_per AS (SELECT *, {_PAIRS} FROM (SELECT run AS system, tag, {_COUNTS}, {_WINS}, {_CALLS} FROM b_ref GROUP BY run, tag))",
+          "b_diff AS (SELECT *, accuracy - max(CASE WHEN system = 'alpha' THEN accuracy END) OVER (PARTITION BY tag) AS diff_vs_ref FROM b_per)")
+oracle("multi_run_runs", "SELECT * EXCLUDE (n_right, n_initial_right, calls) FROM b_diff", *_MULTI)
+_FOUR = ", ".join(f"round_even({x}, 4) AS {name}" for name, x in (
+    ("acc_mean", "avg(accuracy)"), ("acc_sd", "stddev_samp(accuracy)"), ("acc_min", "min(accuracy)"), ("acc_max", "max(accuracy)"), ("diff_vs_ref_mean", "avg(diff_vs_ref)"), ("diff_vs_ref_sd", "stddev_samp(diff_vs_ref)"), ("calls", "avg(avg_llm_calls)")))
+oracle("multi_run_summary", f"SELECT system, count(*) AS runs, {_FOUR}, sum(fixed)::BIGINT AS fixed_total, sum(broken)::BIGINT AS broken_total FROM b_diff GROUP BY system", *_MULTI)
+oracle("check_attribution", f"""SELECT *, {rate('fixed', 'fired', 3)} AS fix_rate, {rate('broken', 'fired', 3)} AS break_rate FROM (SELECT run, check_name AS "check", count(*) AS fired, count(*) FILTER (pos = 0) AS fired_first, count(*) FILTER (qid <> initial_qid) AS changed_answer, count(*) FILTER (NOT init_ok AND ok) AS fixed,
+ count(*) FILTER (init_ok AND NOT ok) AS broken, count(*) FILTER (init_ok AND ok) AS kept_right, count(*) FILTER (NOT init_ok AND NOT ok) AS still_wrong FROM b_ok JOIN b_checks ON k % 5 = m WHERE {_live} GROUP BY run, check_name)""", RUNS, CHECK, judged("b_runs", False))
 oracle("gold_source_check", """SELECT pattern, count(id) AS mentions FROM (VALUES ('all three agree'), ('gold = agent ≠ search'), ('gold = search ≠ agent'), ('agent = search ≠ gold'), ('all differ')) p(pattern) LEFT JOIN (
  SELECT a.id, CASE WHEN a.qid = a.gold AND s.qid = a.gold THEN 'all three agree' WHEN s.qid = a.gold THEN 'gold = search ≠ agent' WHEN a.qid = a.gold THEN 'gold = agent ≠ search' WHEN a.qid = s.qid THEN 'agent = search ≠ gold' ELSE 'all differ' END AS pattern
  FROM b_runs a JOIN b_runs s ON a.id = s.id WHERE a.run = 'alpha' AND s.run = 'full_beta' AND a.qid <> 'ERROR' AND s.qid <> 'ERROR') USING (pattern) GROUP BY pattern""", RUNS)
 _SIDE = "CASE WHEN {0} = 'NIL' THEN 'NIL' ELSE 'QID' END"
-oracle("answer_changes", f"SELECT run, CASE WHEN ok THEN 'fixed' ELSE 'broken' END AS change, concat({_SIDE.format('initial_qid')}, '→', {_SIDE.format('qid')}) AS kind, count(*) AS mentions FROM b_ok WHERE {_live} AND ok <> init_ok GROUP BY ALL", RUNS, judged("b_runs", False))
+oracle("answer_changes", f"SELECT run, id, mention, gold, initial_qid AS initial, qid AS final, gold AS accepted, CASE WHEN ok THEN 'fixed' ELSE 'broken' END AS change, concat({_SIDE.format('initial_qid')}, '→', {_SIDE.format('qid')}) AS kind FROM b_ok WHERE {_live} AND ok <> init_ok", RUNS, judged("b_runs", False))
 _NIL_CASES = f"""b_nil AS (SELECT run, id, gold, initial_qid AS initial, qid AS final, concat('Q', c % 50) AS rule, concat('Q', c % 50, '|Q', (c + 3) % 50) AS exact_matches, qid = 'NIL' AS agent_kept_nil,
  qid = gold AS agent_right, concat('Q', c % 50) = gold AS rule_right, qid = concat('Q', c % 50) AS same_answer FROM b_runs WHERE {_live} AND k % 5 IN (2, 3))"""
 oracle("nil_rule_analysis", "SELECT * FROM b_nil", RUNS, _NIL_CASES)
-oracle("nil_rule_summary", """SELECT run, count(*) AS fired, count(*) FILTER (agent_kept_nil) AS kept, count(*) FILTER (agent_kept_nil AND agent_right AND NOT rule_right) AS kept_nil_right, count(*) FILTER (agent_kept_nil AND NOT agent_right AND rule_right) AS kept_rule_right,
+oracle("nil_rule_summary", f"""SELECT *, {sign_p('agent_only', 'rule_only')} AS sign_p FROM (SELECT run, count(*) AS fired, count(*) FILTER (agent_kept_nil) AS kept, count(*) FILTER (agent_kept_nil AND agent_right AND NOT rule_right) AS kept_nil_right, count(*) FILTER (agent_kept_nil AND NOT agent_right AND rule_right) AS kept_rule_right,
  count(*) FILTER (agent_kept_nil AND NOT agent_right AND NOT rule_right) AS kept_both_wrong, count(*) FILTER (agent_kept_nil AND agent_right AND rule_right) AS kept_both_right, count(*) FILTER (NOT agent_kept_nil) AS switched,
  count(*) FILTER (NOT agent_kept_nil AND same_answer) AS switched_to_rule, count(*) FILTER (agent_right) AS agent_right, count(*) FILTER (rule_right) AS rule_right, count(*) FILTER (agent_right AND NOT rule_right) AS agent_only, count(*) FILTER (rule_right AND NOT agent_right) AS rule_only
- FROM b_nil GROUP BY run""", RUNS, _NIL_CASES)
+ FROM b_nil GROUP BY run)""", RUNS, _NIL_CASES)
 oracle("unseen_initial", """SELECT run, """ + ", ".join(f"""count(*) FILTER ({c}) AS {n}, count(*) FILTER ({c} AND shown AND NOT seen) AS {n}_unseen_initial, count(*) FILTER ({c} AND NOT shown) AS {n}_not_reviewed""" for n, c in (("fixed", "ok"), ("broken", "NOT ok"))) + f"""
  FROM (SELECT o.*, r.id IS NOT NULL AS shown, list_contains(string_split(r.options, '|'), o.initial_qid) AS seen FROM b_ok o LEFT JOIN b_review r ON o.id = r.id WHERE {_live} AND initial_qid <> qid AND ok <> init_ok AND o.id NOT IN (SELECT id FROM b_labels WHERE unclear)) GROUP BY run""",
        RUNS, REVIEW, LABELS, judged("b_runs", True))
@@ -92,11 +127,8 @@ oracle("errors_table", """SELECT r.run, r.id, r.gold, coalesce(g.p_name, '') AS
  CASE r.k % 5 WHEN 1 THEN 'TYPE' WHEN 2 THEN 'LABEL,NIL' WHEN 3 THEN 'NIL' WHEN 4 THEN 'TYPE,TYPE,LABEL' ELSE '' END AS checks_fired, coalesce(x.qid, '') AS alpha, coalesce(y.qid, '') AS partial
  FROM b_runs r LEFT JOIN part g ON r.gold = concat('Q', g.p_partkey) LEFT JOIN part a ON r.qid = concat('Q', a.p_partkey) LEFT JOIN b_runs x ON x.run = 'alpha' AND x.id = r.id LEFT JOIN b_runs y ON y.run = 'partial' AND y.id = r.id
  WHERE r.qid <> 'ERROR' AND r.qid <> r.gold""", RUNS)
-_P = "least(1, 2 * list_sum(list_transform(range(least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))))"
-oracle("exact_sign_p", f"SELECT g, b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE round(round({_P}, 6), 5) END AS p FROM (SELECT o_custkey % 100 AS g, count(*) FILTER (o_orderkey % 3 = 0) AS b, count(*) FILTER (o_orderkey % 5 = 0) AS c FROM orders GROUP BY 1)")
-_Z = "(1.96 * 1.96)"
-oracle("wilson_interval", f"""SELECT g, round_even(greatest(0.0, (p + {_Z} / (2 * n)) / d - h), 4) AS low, round_even(least(1.0, (p + {_Z} / (2 * n)) / d + h), 4) AS high FROM (SELECT *, 1.96 * sqrt(p * (1 - p) / n + {_Z} / (4 * n * n)) / d AS h FROM (
- SELECT g, n, (k / n)::DOUBLE AS p, 1 + {_Z}::DOUBLE / n AS d FROM (SELECT o_custkey % 100 AS g, count(*) FILTER (o_orderkey % 3 = 0) AS k, count(*) AS n FROM orders GROUP BY 1)))""")
+oracle("exact_sign_p", f"SELECT g, b, c, round({sign_p('b', 'c')}, 5) AS p FROM (SELECT o_custkey % 100 AS g, count(*) FILTER (o_orderkey % 3 = 0) AS b, count(*) FILTER (o_orderkey % 5 = 0) AS c FROM orders GROUP BY 1)")
+oracle("wilson_interval", f"SELECT g, {wilson('k', 'n')} FROM (SELECT o_custkey % 100 AS g, count(*) FILTER (o_orderkey % 3 = 0) AS k, count(*) AS n FROM orders GROUP BY 1)")
 
 # --- text ------------------------------------------------------------------------------------------------------------
 
@@ -149,7 +181,7 @@ oracle("corpus_profile", f"""SELECT measure, round(value, 2) AS value FROM (SELE
  UNION ALL SELECT 'mentions per sentence with mentions', round_even(m.n / m.docs, 3) FROM m UNION ALL SELECT concat('type ', type), round_even(c / m.n, 4) FROM (SELECT type, count(*) AS c FROM b_mentions GROUP BY type ORDER BY c DESC, type LIMIT 10), m)""",
        MENTION, f"m AS (SELECT count(*) AS n, count(*) FILTER (gold = 'NIL') AS nil, count(*) FILTER ({_SCRIPT} <> 'arabic') AS latin, count(DISTINCT doc_id) AS docs FROM b_mentions)",
        "s AS (SELECT count(*) AS n, count(*) FILTER (NOT regexp_matches(text, '[\\x{0600}-\\x{06FF}]')) AS plain, sum(length(text)) AS chars FROM documents WHERE regexp_matches(text, '\\S'))")
-oracle("coverage_check", "SELECT count(*) AS sampled, count(*) FILTER (doc_id % 5 <> 0) AS found, count(*) FILTER (doc_id % 5 <> 0 AND (doc_id % 7 <> 0 OR text = 'other')) AS same_text FROM (SELECT DISTINCT doc_id, text FROM labels JOIN documents USING (doc_id))")
+oracle("coverage_check", f"SELECT *, {rate('found', 'sampled')} AS coverage FROM (SELECT count(*) AS sampled, count(*) FILTER (doc_id % 5 <> 0) AS found, count(*) FILTER (doc_id % 5 <> 0 AND (doc_id % 7 <> 0 OR text = 'other')) AS same_text FROM (SELECT DISTINCT doc_id, text FROM labels JOIN documents USING (doc_id)))")
 oracle("split_by_doc", """SELECT id, CASE WHEN nth <= greatest(1, CAST(floor(total * 0.2) AS BIGINT)) THEN 'dev' ELSE 'test' END AS part FROM b_mentions JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('13-', doc_id)), doc_id) AS nth, count(*) OVER () AS total FROM (SELECT DISTINCT doc_id FROM b_mentions)) USING (doc_id)""", MENTION)
 oracle("sample_by_doc", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM b_mentions WHERE gold <> 'NIL') WHERE nth <= 3 ORDER BY md5(concat('13-', doc_id)), doc_id, nth LIMIT 200", MENTION)
 oracle("uniform_sample", "SELECT doc_id FROM documents ORDER BY md5(concat('13-', doc_id)), doc_id LIMIT 100")
@@ -192,6 +224,10 @@ _VERIFY = f"""b_ver AS (SELECT a.id, CASE WHEN a.k % 5 = 4 THEN ['FORMAT'] WHEN
  ELSE list_concat(CASE WHEN p.kind IN ('PER', 'ORG') AND NOT p.is_type THEN ['TYPE'] ELSE [] END, CASE WHEN NOT p.loose AND (a.k % 2 = 0 OR (p.kind IN ('PER', 'ORG') AND NOT p.is_type)) THEN ['LABEL'] ELSE [] END) END AS checks
  FROM b_asked a LEFT JOIN (SELECT DISTINCT id FROM b_pair WHERE {_STRONG}) s ON a.id = s.id LEFT JOIN b_pair p ON a.id = p.id AND p.pos = CASE a.k % 5 WHEN 1 THEN 0 WHEN 2 THEN 1 END)"""
 oracle("verify_answers", "SELECT id, array_to_string(checks, '|') AS checks, list_contains(checks, 'FORMAT') OR list_contains(checks, 'CANDIDATE') AS hard FROM b_ver", ASKED, CLASS, _PAIR, _VERIFY)
+_OWN = "(k % 5 = 4 OR (k % 5 = 0 AND len(checks) > 0))"  # decided anew, for the mention's own item, in the second round
+oracle("correction_loop", f"""SELECT *, qid <> initial_qid AS corrected FROM (SELECT id, CASE WHEN k % 5 = 1 OR {_OWN} THEN concat('Q', k) WHEN k % 5 = 2 THEN concat('Q', k + 1) ELSE 'NIL' END AS qid,
+ CASE k % 5 WHEN 1 THEN concat('Q', k) WHEN 2 THEN concat('Q', k + 1) WHEN 3 THEN 'Q999999999' ELSE 'NIL' END AS initial_qid, k % 5 = 3 AS flagged, (CASE WHEN k % 5 = 3 THEN 3 WHEN {_OWN} THEN 2 ELSE 1 END)::INTEGER AS rounds,
+ (CASE WHEN k % 5 = 3 THEN 1 ELSE 0 END)::INTEGER AS n_issues FROM (SELECT *, CAST(id AS BIGINT) AS k FROM b_ver))""", ASKED, CLASS, _PAIR, _VERIFY)
 oracle("coherence_batches", "SELECT doc_id, count(*) AS n_links, string_agg(gold, '|' ORDER BY pos) AS qids FROM b_mentions WHERE gold <> 'NIL' GROUP BY doc_id HAVING count(*) >= 2", MENTION)
 oracle("correction_hints", "SELECT event_type AS id, string_agg(concat('Q', user_id), '|' ORDER BY event_id) AS wrong FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS nth FROM events) WHERE nth <= 3 GROUP BY event_type")
 oracle("collect_cases", f"""SELECT run, id, initial_qid AS wrong, qid AS "right", CASE k % 5 WHEN 1 THEN 'TYPE' WHEN 2 THEN 'LABEL,NIL' WHEN 3 THEN 'NIL' WHEN 4 THEN 'TYPE' END AS checks, reason AS why FROM b_runs WHERE {_live} AND qid <> initial_qid AND NOT flagged""", RUNS)
@@ -205,28 +241,30 @@ _SORTED = "array_to_string(list_sort({0}), '|')"
 oracle("pooled_labels", f"SELECT id, unclear, {_SORTED.format('accepted')} AS accepted FROM b_labels", REVIEW, LABELS)
 _JUDGED = "status = 'done'"
 _WRONG = "status = 'done' AND NOT list_contains(string_split(accepted, '|'), gold)"
-oracle("pooled_summary", f'SELECT "group", count(*) AS rows, count(*) FILTER ({_JUDGED}) AS reviewed, count(*) FILTER ({_WRONG}) AS gold_wrong FROM b_review GROUP BY "group"', REVIEW)
+_WRONG_RATE = f"{rate('gold_wrong', 'reviewed')} AS rate, {wilson('gold_wrong', 'reviewed')}"
+oracle("pooled_summary", f'SELECT *, {_WRONG_RATE} FROM (SELECT "group", count(*) AS rows, count(*) FILTER ({_JUDGED}) AS reviewed, count(*) FILTER ({_WRONG}) AS gold_wrong FROM b_review GROUP BY "group")', REVIEW)
 _SINGLE_LABELS = """b_one AS (SELECT *, CASE k % 8 WHEN 0 THEN [gold] WHEN 1 THEN [gold] WHEN 2 THEN [agent] WHEN 3 THEN list_distinct([gold, agent]) WHEN 4 THEN CASE WHEN k % 16 = 4 THEN ['Q5'] ELSE []::VARCHAR[] END WHEN 6 THEN [search] END AS acc FROM b_single),
 b_labels AS (SELECT id, k % 8 = 5 AS unclear, acc AS accepted FROM b_one WHERE k % 8 <> 7)"""
 oracle("reviewed_labels", f"SELECT id, unclear, {_SORTED.format('accepted')} AS accepted FROM b_labels", SINGLE, _SINGLE_LABELS)
 _AUDIT = "starts_with(\"group\", '9')"
-oracle("reviewed_summary", f"""SELECT count(*) FILTER (NOT {_AUDIT}) AS disagreements, count(*) FILTER (NOT {_AUDIT} AND acc IS NOT NULL) AS reviewed, count(*) FILTER (NOT {_AUDIT} AND list_contains(acc, gold) AND len(acc) = 1) AS gold_right,
+oracle("reviewed_summary", f"""SELECT *, {rate('gold_wrong', 'reviewed')} AS gold_wrong_rate, {rate('audit_wrong', 'audit_reviewed')} AS audit_error_rate FROM (SELECT count(*) FILTER (NOT {_AUDIT}) AS disagreements, count(*) FILTER (NOT {_AUDIT} AND acc IS NOT NULL) AS reviewed, count(*) FILTER (NOT {_AUDIT} AND list_contains(acc, gold) AND len(acc) = 1) AS gold_right,
  count(*) FILTER (NOT {_AUDIT} AND acc IS NOT NULL AND NOT list_contains(acc, gold)) AS gold_wrong, count(*) FILTER (NOT {_AUDIT} AND list_contains(acc, gold) AND len(acc) > 1) AS both_acceptable, count(*) FILTER (NOT {_AUDIT} AND k % 8 = 5) AS unclear,
- count(*) FILTER ({_AUDIT} AND acc IS NOT NULL) AS audit_reviewed, count(*) FILTER ({_AUDIT} AND acc IS NOT NULL AND NOT list_contains(acc, gold)) AS audit_wrong FROM b_one""", SINGLE, _SINGLE_LABELS)
-oracle("rescore", f"SELECT run, {_COUNTS}, {_WINS} FROM b_ref GROUP BY run", RUNS, SINGLE, _SINGLE_LABELS, common(exclude=_NOT_UNCLEAR), judged("b_common", True), referenced())
-oracle("label_review", f"""SELECT kind, count(*) AS reviewed, count(*) FILTER ({_WRONG}) AS gold_wrong FROM b_kind GROUP BY kind UNION ALL SELECT 'all without dates', count(*), count(*) FILTER ({_WRONG}) FROM b_kind WHERE kind IN ('other NIL', 'other disagreements')""", REVIEW,
+ count(*) FILTER ({_AUDIT} AND acc IS NOT NULL) AS audit_reviewed, count(*) FILTER ({_AUDIT} AND acc IS NOT NULL AND NOT list_contains(acc, gold)) AS audit_wrong FROM b_one)""", SINGLE, _SINGLE_LABELS)
+oracle("rescore", f"SELECT * EXCLUDE (calls), {_PAIRS} FROM (SELECT run, {_COUNTS}, {_WINS}, {_CALLS} FROM b_ref GROUP BY run)", RUNS, SINGLE, _SINGLE_LABELS, common(exclude=_NOT_UNCLEAR), judged("b_common", True), referenced())
+oracle("label_review", f"""SELECT *, {_WRONG_RATE} FROM (SELECT kind, count(*) AS reviewed, count(*) FILTER ({_WRONG}) AS gold_wrong FROM b_kind GROUP BY kind UNION ALL SELECT 'all without dates', count(*), count(*) FILTER ({_WRONG}) FROM b_kind WHERE kind IN ('other NIL', 'other disagreements'))""", REVIEW,
        """b_kind AS (SELECT *, CASE WHEN "group" = 'audit' THEN 'audit of agreements' WHEN gold = 'NIL' AND (type IN ('DATE', 'TIME') OR mention = '1962') THEN 'dates labelled NIL' WHEN gold = 'NIL' THEN 'other NIL' ELSE 'other disagreements' END AS kind FROM b_review WHERE status = 'done')""")
 oracle("agreement_sample", "SELECT id, '' AS status, '' AS accepted, options FROM b_review WHERE status = 'done' ORDER BY md5(concat('7-', id)), id LIMIT 60", REVIEW)
 _SETS = f"""b_both AS (SELECT k, list_distinct(list_filter(string_split(accepted, '|'), lambda x: x <> '')) AS sa, CASE WHEN k % 4 = 0 THEN [nxt] WHEN k % 13 <= 5 THEN [gold] ELSE []::VARCHAR[] END AS sb, string_split(options, '|') AS o FROM b_review WHERE k % 13 <= 6),
 b_opt AS (SELECT k, unnest(list_distinct(list_concat(list_concat(o, sa), sb))) AS q FROM b_both)"""
-oracle("annotator_agreement", """SELECT (SELECT count(*) FROM b_both) AS rows, (SELECT count(*) FROM b_both WHERE list_sort(sa) = list_sort(sb)) AS exact, count(*) AS judgements, count(*) FILTER (list_contains(sa, q) = list_contains(sb, q)) AS equal,
- count(*) FILTER (list_contains(sa, q)) AS yes_a, count(*) FILTER (list_contains(sb, q)) AS yes_b FROM b_opt JOIN b_both USING (k)""", REVIEW, _SETS)
+_PE = "((yes_a / judgements) * (yes_b / judgements) + (1 - yes_a / judgements) * (1 - yes_b / judgements))"
+oracle("annotator_agreement", f"""SELECT *, {rate('exact', 'rows')} AS exact_agreement, {rate('equal', 'judgements')} AS observed_agreement, round_even((equal / judgements - {_PE}) / (1 - {_PE}), 4) AS cohen_kappa FROM (SELECT (SELECT count(*) FROM b_both) AS rows, (SELECT count(*) FROM b_both WHERE list_sort(sa) = list_sort(sb)) AS exact, count(*) AS judgements, count(*) FILTER (list_contains(sa, q) = list_contains(sb, q)) AS equal,
+ count(*) FILTER (list_contains(sa, q)) AS yes_a, count(*) FILTER (list_contains(sb, q)) AS yes_b FROM b_opt JOIN b_both USING (k))""", REVIEW, _SETS)
 _CORR = """b_corr AS (SELECT r.id, r.gold AS gold_original, r.text, CASE WHEN l.unclear THEN NULL ELSE coalesce(l.accepted, [r.gold]) END AS fixed, l.id IS NOT NULL AS judged,
  CASE WHEN l.unclear THEN 'unclear' WHEN l.accepted IS NOT NULL AND NOT list_contains(l.accepted, r.gold) THEN 'corrected' WHEN l.accepted IS NOT NULL AND v."group" = 'audit' THEN 'audited_confirmed'
  WHEN l.accepted IS NOT NULL THEN CASE WHEN len(l.accepted) = 1 THEN 'confirmed' ELSE 'alternatives_acceptable' END WHEN v.id IS NOT NULL THEN 'not_reviewed' ELSE 'unreviewed_agreement' END AS label_status
  FROM b_runs r LEFT JOIN b_review v ON r.id = v.id LEFT JOIN b_labels l ON r.id = l.id WHERE r.run = 'alpha')"""
 oracle("corrected_dataset", f"SELECT id, gold_original, {_SORTED.format('fixed')} AS gold_corrected, label_status, CASE WHEN judged THEN 'A' ELSE '' END AS annotator, sha1(text) AS text_sha1 FROM b_corr", RUNS, REVIEW, LABELS, _CORR)
-oracle("corrected_labels", "SELECT fixed IS NULL AS unclear, len(fixed) AS n_accepted, count(*) AS mentions FROM b_corr GROUP BY ALL", RUNS, REVIEW, LABELS, _CORR)
+oracle("corrected_labels", f"SELECT id, fixed IS NULL AS unclear, {_SORTED.format('fixed')} AS accepted FROM b_corr", RUNS, REVIEW, LABELS, _CORR)
 oracle("restore_texts", "SELECT CAST(doc_id AS STRING) AS doc_id, doc_id % 7 <> 0 AS restored, CASE WHEN doc_id % 7 <> 0 THEN length(text) END AS n_chars FROM documents")
 oracle("nil_label_timing", """SELECT w.id, array_to_string(w.qids, '|') AS accepted, coalesce(strftime(min(e.ts), '%Y-%m-%d'), '') AS earliest, CASE WHEN len(w.qids) = 0 THEN 'no QID accepted' WHEN min(e.ts) IS NULL THEN 'creation date unknown' WHEN strftime(min(e.ts), '%Y-%m-%d') < '2024-01-02' THEN 'item existed before cutoff' ELSE 'item created after cutoff' END AS status
  FROM (SELECT id, list_sort(list_filter(string_split(accepted, '|'), lambda x: regexp_matches(x, '^Q[0-9]+$'))) AS qids FROM b_review WHERE status = 'done' AND gold = 'NIL' AND NOT list_contains(string_split(accepted, '|'), 'NIL')) w LEFT JOIN events e ON list_contains(w.qids, concat('Q', e.user_id)) GROUP BY w.id, w.qids""", REVIEW)
@@ -279,3 +317,5 @@ oracle("generate_candidates", "SELECT mention, pos, qid, sitelinks FROM b_all",
 oracle("link_popularity", "SELECT a.id, coalesce(c.qid, 'NIL') AS qid FROM b_asked a LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY sitelinks DESC, pos) AS nth FROM b_all) WHERE nth = 1) c ON a.mention = c.mention", *_CANDS)
 oracle("link_exact_popularity", "SELECT a.id, coalesce(c.qid, 'NIL') AS qid FROM b_asked a LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY exact DESC, sitelinks DESC, pos) AS nth FROM b_match) WHERE nth = 1) c ON a.mention = c.mention", *_CANDS)
 oracle("needs_expansion", "SELECT m.mention, coalesce(c.n, 0) AS n_candidates, coalesce(c.n, 0) < 3 OR NOT coalesce(c.hit, false) AS weak FROM (SELECT DISTINCT mention FROM b_asked) m LEFT JOIN (SELECT mention, count(*) AS n, bool_or(loose) AS hit FROM b_match GROUP BY mention) c ON m.mention = c.mention", *_CANDS)
+oracle("candidate_evidence", f"""SELECT mention, string_agg(concat('[', pos - 1, '] ', qid, ' | ', label, ' | aliases: ', alias, ' | desc: made as ', kind, ' | type: ', lower(kind), ' | {FACTS['P17']}=', lower(kind), ' | wiki-links: ', sitelinks), chr(10) ORDER BY pos) AS evidence
+ FROM (SELECT c.*, k.label, k.alias, substring(k.class, 3) AS kind FROM b_all c JOIN b_kb k ON c.qid = k.qid) GROUP BY mention""", *_CANDS)

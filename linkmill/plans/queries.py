@@ -44,17 +44,14 @@ def joined(column: str) -> F.Column:
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
-_METRICS = ("n", "n_right", "n_initial_right", "fixed", "broken", "n_non_nil", "n_in_candidates", "n_said_nil", "n_gold_nil", "n_nil_right", "n_flagged", "errors")
-
-
 @query
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.run_metrics(b.runs(spark, sf_dir)).select("run", *_METRICS, F.round("avg_seconds", 3).alias("avg_seconds"))
+    return scoring.run_metrics(b.runs(spark, sf_dir))
 
 
 @query
 def metrics_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.metrics_by(b.runs(spark, sf_dir), "category").select("run", "group", *_METRICS)
+    return scoring.metrics_by(b.runs(spark, sf_dir), "category")
 
 
 @query
@@ -74,13 +71,10 @@ def answer_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.answer_correctness(b.runs(spark, sf_dir), labels).select("run", "id", "ok", "init_ok")
 
 
-_PAIRED = ("n", "n_right", "n_initial_right", "fixed", "broken", "wins", "losses")
-
-
 @query
 def paired_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = review.pooled_labels(b.review(spark, sf_dir))
-    return scoring.paired_table(b.runs(spark, sf_dir), "alpha", labels.filter("NOT unclear"), labels.filter("unclear"), n_boot=0).select("run", *_PAIRED)
+    return scoring.paired_table(b.runs(spark, sf_dir), "alpha", labels.filter("NOT unclear"), labels.filter("unclear"), n_boot=0).drop("diff_low", "diff_high")
 
 
 @query
@@ -90,18 +84,18 @@ def paired_table_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def paired_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.paired_by(b.runs(spark, sf_dir), "category", "alpha").select("group", "run", "n", "n_right", "n_initial_right", "fixed", "broken")
+    return scoring.paired_by(b.runs(spark, sf_dir), "category", "alpha")
 
 
 @query
 def by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.by_script(b.runs(spark, sf_dir), "alpha").select("group", "run", "n", "n_right", "n_initial_right", "fixed", "broken")
+    return scoring.by_script(b.runs(spark, sf_dir), "alpha")
 
 
 @query
 def within_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = review.pooled_labels(b.review(spark, sf_dir))
-    return scoring.within_run(b.runs(spark, sf_dir), labels.filter("NOT unclear"), labels.filter("unclear")).select("run", "n", "n_right", "n_initial_right", "fixed", "broken")
+    return scoring.within_run(b.runs(spark, sf_dir), labels.filter("NOT unclear"), labels.filter("unclear"))
 
 
 @query
@@ -111,17 +105,17 @@ def llm_only_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def multi_run_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.multi_run_summary(b.runs(spark, sf_dir), "alpha")[0].select("system", "tag", "n", "fixed", "broken", "wins", "losses")
+    return scoring.multi_run_summary(b.runs(spark, sf_dir), "alpha")[0]
 
 
 @query
 def multi_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.multi_run_summary(b.runs(spark, sf_dir), "alpha")[1].select("system", "runs", "fixed_total", "broken_total")
+    return scoring.multi_run_summary(b.runs(spark, sf_dir), "alpha")[1]
 
 
 @query
 def check_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.check_attribution(b.runs(spark, sf_dir)).select("run", "check", *scoring.CHECKED)
+    return scoring.check_attribution(b.runs(spark, sf_dir))
 
 
 @query
@@ -132,7 +126,7 @@ def gold_source_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def answer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.answer_changes(b.runs(spark, sf_dir)).groupBy("run", "change", "kind").agg(F.count("*").alias("mentions"))
+    return scoring.answer_changes(b.runs(spark, sf_dir))
 
 
 @query
@@ -142,7 +136,7 @@ def nil_rule_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nil_rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.nil_rule_summary(scoring.nil_rule_analysis(b.runs(spark, sf_dir))).drop("sign_p")
+    return scoring.nil_rule_summary(scoring.nil_rule_analysis(b.runs(spark, sf_dir)))
 
 
 @query
@@ -308,7 +302,7 @@ def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
     sample = b.table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.expr("CASE WHEN doc_id % 5 = 0 THEN -doc_id - 1 ELSE doc_id END").alias("doc_id"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE text END").alias("text"))
-    return corpus.coverage_check(sample, docs).select("sampled", "found", "same_text")
+    return corpus.coverage_check(sample, docs)
 
 
 @query
@@ -541,7 +535,7 @@ def pooled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pooled_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.pooled_summary(b.review(spark, sf_dir)).select("group", "rows", "reviewed", "gold_wrong")
+    return review.pooled_summary(b.review(spark, sf_dir))
 
 
 @query
@@ -551,19 +545,19 @@ def reviewed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reviewed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.reviewed_summary(b.single_review(spark, sf_dir)).drop("gold_wrong_rate", "audit_error_rate")
+    return review.reviewed_summary(b.single_review(spark, sf_dir))
 
 
 @query
 def rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.rescore(b.runs(spark, sf_dir), b.single_review(spark, sf_dir), "alpha", 0, pooled=False)[0].select("run", *_PAIRED)
+    return review.rescore(b.runs(spark, sf_dir), b.single_review(spark, sf_dir), "alpha", 0, pooled=False)[0].drop("diff_low", "diff_high")
 
 
 @query
 def label_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = b.review(spark, sf_dir)
     dates = sheet.filter(text.is_date_mention(F.col("type"), F.col("mention"))).select("id")
-    return review.label_review(sheet, dates).select("kind", "reviewed", "gold_wrong")
+    return review.label_review(sheet, dates)
 
 
 @query
@@ -573,7 +567,7 @@ def agreement_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def annotator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.annotator_agreement(b.review(spark, sf_dir), b.second_review(spark, sf_dir)).select("rows", "exact", "judgements", "equal", "yes_a", "yes_b")
+    return review.annotator_agreement(b.review(spark, sf_dir), b.second_review(spark, sf_dir))
 
 
 @query
@@ -585,7 +579,7 @@ def corrected_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def corrected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.runs(spark, sf_dir).filter("run = 'alpha'").selectExpr("id", "id AS doc_id", "text", "mention", "CAST(NULL AS INT) AS start", "CAST(NULL AS INT) AS end", "type", "category", "CAST(NULL AS INT) AS sitelinks", "gold")
-    return review.corrected_labels(review.corrected_dataset(rows, b.review(spark, sf_dir))).groupBy("unclear", F.size("accepted").cast("long").alias("n_accepted")).agg(F.count("*").alias("mentions"))
+    return review.corrected_labels(review.corrected_dataset(rows, b.review(spark, sf_dir))).select("id", "unclear", F.array_join("accepted", "|").alias("accepted"))
 
 
 @query
