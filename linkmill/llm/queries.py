@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, language, line_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from . import conversations, decontamination, fill_in_middle, html_text, language, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -54,11 +54,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.pieces(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_audits(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_line_dedup, op3_substring_dedup, op4_packing, op5_html_text,
         op6_simhash, op7_url_filter, op8_quality_rules, op9_toxicity, op10_language_id,
+        op11_fill_in_middle, op12_conversation_repair, op13_source_mixing,
     )
 }
-ORACLES = {"op2_line_dedup": line_dedup.SQL, "op7_url_filter": url_filter.sql()}
+ORACLES = {"op2_line_dedup": line_dedup.SQL, "op7_url_filter": url_filter.sql(), "op11_fill_in_middle": fill_in_middle.SQL, "op12_conversation_repair": conversations.SQL}
