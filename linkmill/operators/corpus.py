@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.stats import ratio
 from ..functions.text import ARABIC, is_date_mention, mention_script, name_tokens, norm_gold, norm_type
+from ..sources.numbering import numbered
 
 ITEM = r"^(?:https?://(?:www\.)?wikidata\.org/(?:wiki|entity)/)?(Q\p{Nd}+)$"
 
@@ -33,11 +37,18 @@ def _field(row: Column | None, roles: dict, name: str) -> Column:
     return row[field] if row is not None else F.col(field)
 
 
-def doc_name(roles: dict, text: Column) -> Column:
-    """The id field as a string; where it is missing or null, the text's hash. Rows have no numbers in a distributed table, and
-    the hash stays the same however the records are read."""
-    by_text = F.md5(F.coalesce(text.cast("string"), F.lit("")))
-    return F.coalesce(F.col(roles["id"]).cast("string"), by_text) if roles.get("id") else by_text
+def with_names(df: DataFrame, roles: dict) -> DataFrame:
+    """Adds ``doc_id``: the id field as a string; where it is missing or null, the record's number.
+
+    ``roles["number"]`` names a column of record numbers, as the readers give them; without one they are counted here
+    (:func:`linkmill.sources.numbering.numbered`), over all records, with an id or not, if any lacks one.
+    """
+    if roles.get("id") and (not df.schema[roles["id"]].nullable or df.filter(F.col(roles["id"]).isNull()).isEmpty()):
+        return df.withColumn("doc_id", F.col(roles["id"]).cast("string"))
+    if not roles.get("number"):
+        df, roles = numbered(df, "_record"), roles | {"number": "_record"}
+    number = F.col(roles["number"]).cast("string")
+    return df.withColumn("doc_id", F.coalesce(F.col(roles["id"]).cast("string"), number) if roles.get("id") else number)
 
 
 def _row(entity: Column | None, roles: dict, source: str | None) -> list[Column]:
@@ -50,48 +61,80 @@ def _row(entity: Column | None, roles: dict, source: str | None) -> list[Column]
 def mentions_from_nested(df: DataFrame, roles: dict, source: str | None = None) -> DataFrame:
     """One row per entity of each document; a missing mention is cut out by its offsets; rows without text or mention go.
 
-    A record without an id is named by its text (:func:`doc_name`).
+    A record without an id is named by its number (:func:`with_names`).
     """
-    docs = df.select(doc_name(roles, F.col(roles["text"])).alias("doc_id"), F.col(roles["text"]).alias("text"), F.posexplode(roles["entities"]).alias("k", "e"))
+    docs = with_names(df, roles).select("doc_id", F.col(roles["text"]).alias("text"), F.posexplode(roles["entities"]).alias("k", "e"))
     return docs.filter(r"text RLIKE '\\S'").select(*_row(F.col("e"), roles, source)).filter("mention <> ''")
 
 
 def mentions_from_flat(df: DataFrame, roles: dict, source: str | None = None) -> DataFrame:
-    """One row per record; a record without an id is named by its text (:func:`doc_name`)."""
-    docs = df.withColumns({"doc_id": doc_name(roles, F.col(roles["text"])), "text": F.col(roles["text"]), "k": F.lit(0)})
+    """One row per record; a record without an id is named by its number (:func:`with_names`), so records of one sentence keep apart."""
+    docs = with_names(df, roles).withColumns({"text": F.col(roles["text"]), "k": F.lit(0)})
     return docs.filter(r"text RLIKE '\\S'").select(*_row(None, roles, source)).filter("mention <> ''")
 
 
+_SPANS = "array<struct<start: int, end: int, type: string, q: string, mention: string>>"
+
+
+def _spans(tokens: pa.Array) -> pa.Array:
+    """The spans of rows of tagged tokens (structs of token ``t``, tag ``g`` and item ``q``), all rows of a batch at once.
+
+    Running lengths give every token's place; a span begins where a tag opens one and ends before the next token that opens one,
+    is outside or begins a row. Items are looked up in the sorted places of valid ones. Time and memory follow the tokens.
+    """
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+    flat = tokens.flatten()
+    t = pc.fill_null(pc.struct_field(flat, [0]), "")
+    g, q = pc.fill_null(pc.struct_field(flat, [1]), "O"), pc.struct_field(flat, [2])
+    n = len(flat)
+    after = np.cumsum(pc.utf8_length(t).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    firsts = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    base = np.concatenate([[0], after])[firsts][row] if n else np.zeros(0, np.int64)
+    end = after - 1 - base
+    start = np.concatenate([[0], after])[:-1] - base
+    mark, kind = pc.utf8_slice_codeunits(g, 0, 2), pc.utf8_slice_codeunits(g, 2)
+    among = lambda *marks: pc.is_in(mark, pa.array(marks)).to_numpy(zero_copy_only=False).astype(bool)
+    inside, begins = among("B-", "S-", "I-", "E-"), among("B-", "S-")
+    heads = np.zeros(n, dtype=bool)
+    heads[firsts[sizes > 0]] = True
+    goes_on = np.zeros(n, dtype=bool)
+    if n > 1:
+        goes_on[1:] = inside[:-1] & pc.equal(kind[1:], kind[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+    opens = inside & (begins | heads | ~goes_on)
+    first = np.flatnonzero(opens)
+    stops = np.append(np.flatnonzero(opens | ~inside | heads), n)
+    last = stops[np.searchsorted(stops, first, side="right")] - 1
+    items = np.flatnonzero(pc.fill_null(pc.match_substring_regex(pc.utf8_trim_whitespace(q), ITEM), False).to_numpy(zero_copy_only=False))
+    at = np.searchsorted(items, first)
+    item = np.append(items, n)[at]
+    found = pa.array(item, mask=item > last)
+    length = last - first + 1
+    order = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+    words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), t.take(pa.array(order, pa.int64())))
+    spans = pa.StructArray.from_arrays(
+        [pa.array(start[first], pa.int32()), pa.array(end[last], pa.int32()), kind.take(pa.array(first, pa.int64())).cast(pa.string()), q.take(found).cast(pa.string()), pc.binary_join(words, " ").cast(pa.string())],
+        ["start", "end", "type", "q", "mention"])
+    per_row = np.bincount(row[first], minlength=len(sizes)) if len(first) else np.zeros(len(sizes), dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), spans)
+
+
 def mentions_from_bio(df: DataFrame, roles: dict, source: str | None = None) -> DataFrame:
     """Spans of tagged tokens, with offsets in the tokens joined by spaces.
 
     ``B-`` and ``S-`` open a span, as do ``I-`` and ``E-`` after nothing or after another type; the span's item is the
-    first item id among its tokens. Spans are cut inside the row by one fold over its tokens: nothing is shuffled, the text
-    stays where it is, and rows with the same id don't mix. A record without an id is named by its text.
+    first item id among its tokens. Spans are cut inside the row, in Arrow batches and in time linear in the tokens
+    (:func:`_spans`): nothing is shuffled, the text stays where it is, and rows with the same id don't mix. A record without an
+    id is named by its number. Tokens without a tag are outside, tags without a token don't count; a null token is an empty one.
     """
-    text = F.array_join(roles["tokens"], " ")
-    tokens = F.arrays_zip(F.col(roles["tokens"]).alias("t"), F.col(roles["tags"]).alias("g"), F.col(roles["qids"]).alias("q"))
-    span = "struct<start: int, end: int, type: string, q: string>"
-    begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("kind"), F.array().cast(f"array<{span}>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        tag = F.coalesce(x["g"], F.lit("O"))
-        mark, kind = F.substring(tag, 1, 2), F.substring(tag, 3, 1 << 30)
-        inside = mark.isin("B-", "S-", "I-", "E-")
-        opens = mark.isin("B-", "S-") | (inside & ~F.coalesce(acc["kind"] == kind, F.lit(False)))
-        end = (acc["at"] + F.char_length(x["t"])).cast("int")
-        item = F.when(F.trim(x["q"]).rlike(ITEM), x["q"])
-        new = lambda start, kind, q: F.array(F.struct(start.alias("start"), end.alias("end"), kind.alias("type"), q.alias("q")).cast(span))
-        last = F.element_at(acc["spans"], -1)
-        longer = F.concat(F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1), new(last["start"], last["type"], F.coalesce(last["q"], item)))
-        spans = F.when(opens, F.concat(acc["spans"], new(acc["at"], kind, item))).when(inside, longer).otherwise(acc["spans"])
-        return F.struct((end + 1).cast("int").alias("at"), F.when(inside, kind).alias("kind"), spans.alias("spans"))
-
-    found = F.aggregate(tokens, begin, step, lambda acc: acc["spans"])
-    rows = df.select(doc_name(roles, text).alias("doc_id"), text.alias("text"), F.posexplode(found).alias("k", "s"))
-    return rows.select(
-        F.concat("doc_id", F.lit("-"), F.col("k")).alias("id"), "doc_id", "text", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("mention"), "s.type", "s.start", "s.end",
-        norm_gold(F.col("s.q")).alias("gold"), F.lit(source).cast("string").alias("source"))
+    words = [F.coalesce(F.col(roles[c]), F.array().cast("array<string>")) for c in ("tokens", "tags", "qids")]
+    text = F.array_join(F.transform(words[0], lambda t: F.coalesce(t, F.lit(""))), " ")
+    # zipped, as a lookup of tags by place would evaluate a computed column anew for every token
+    zipped = F.slice(F.arrays_zip(*[w.alias(c) for w, c in zip(words, "tgq", strict=True)]), F.lit(1), F.size(words[0]))
+    rows = with_names(df, roles).select("doc_id", text.alias("text"), zipped.alias("_tokens"))
+    rows = rows.select("doc_id", "text", F.posexplode(F.arrow_udf(_spans, _SPANS)("_tokens")).alias("k", "s"))
+    return rows.select(F.concat("doc_id", F.lit("-"), F.col("k")).alias("id"), "doc_id", "text", "s.mention", "s.type", "s.start", "s.end",
+                       norm_gold(F.col("s.q")).alias("gold"), F.lit(source).cast("string").alias("source"))
 
 
 def detect_roles(df: DataFrame, n: int = 300) -> dict:

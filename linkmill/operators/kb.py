@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import all_variants, edge_trim, has_latin, let, name_tokens, norm_type, normalize_text, search_variants, token_key
 from .lineage import cut_lineage
+from .merging import current_ids
 
 # Classes that define the entity types, and classes of pages that are no entities.
 _PLACES = ["Q2221906", "Q618123", "Q56061", "Q486972", "Q6256", "Q17334923", "Q1048835"]
@@ -39,7 +40,7 @@ def type_roots(spark: SparkSession, roots: dict[str, list[str]] | None = None) -
     return spark.createDataFrame([(t, r) for t, rs in (roots or TYPE_ROOTS).items() for r in rs], "type string, root string")
 
 
-def _claim_values(claims: Column, k: int) -> Column:
+def property_values(claims: Column, k: int) -> Column:
     """The first ``k`` values of a property's claims that aren't deprecated: ids, dates, texts and amounts as strings."""
     value = lambda c: c["mainsnak"]["datavalue"]
     live = F.filter(F.coalesce(claims, F.array().cast("array<struct<rank: string, mainsnak: struct<datavalue: struct<type: string, value: string>>>>")),
@@ -58,10 +59,10 @@ def _claim_values(claims: Column, k: int) -> Column:
 def ingest_entities(raw: DataFrame) -> DataFrame:
     """Entity records (:data:`linkmill.schemas.RAW_ENTITY`) to compact entities: names by language, classes, facts, number of site links."""
     names = lambda lang, k: F.coalesce(F.slice(F.transform(F.col("aliases")[lang], lambda a: a["value"]), 1, k), F.array().cast("array<string>"))
-    facts = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, FACTS)), F.array(*[_claim_values(F.col("claims")[p], 3) for p in FACTS])), lambda _, v: F.size(v) > 0)
+    facts = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, FACTS)), F.array(*[property_values(F.col("claims")[p], 3) for p in FACTS])), lambda _, v: F.size(v) > 0)
     return raw.select(
         F.col("id").alias("qid"), *[F.col("labels")[x]["value"].alias(f"label_{x}") for x in LANGS], *[F.col("descriptions")[x]["value"].alias(f"desc_{x}") for x in ("ar", "en")],
-        names("ar", 10).alias("aliases_ar"), names("en", 6).alias("aliases_en"), names("fr", 6).alias("aliases_fr"), _claim_values(F.col("claims")["P31"], 5).alias("p31"),
+        names("ar", 10).alias("aliases_ar"), names("en", 6).alias("aliases_en"), names("fr", 6).alias("aliases_fr"), property_values(F.col("claims")["P31"], 5).alias("p31"),
         facts.alias("facts"), F.coalesce(F.size(F.map_keys("sitelinks")), F.lit(0)).alias("sitelinks"), F.col("sitelinks")["arwiki"]["title"].alias("arwiki"))
 
 
@@ -78,18 +79,25 @@ def name_index(entities: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "name_norm", "qid").agg(F.min("name_key").alias("name_key"), F.bool_or("is_label").alias("is_label"), F.max("sitelinks").alias("sitelinks"))
 
 
-def search_names(queries: DataFrame, index: DataFrame, limit: int = 7) -> DataFrame:
+def search_names(queries: DataFrame, index: DataFrame, limit: int = 7, head: int = 3) -> DataFrame:
     """``lang, query`` and its hits ``qid, sitelinks, rank``: names that begin with the query, most site links first, at most ``limit``.
 
-    A name stands once under each of its prefixes, an entity once under each prefix of its names. Tasks keep the best
-    ``limit`` of a prefix before the exchange, so a prefix that many names share costs no more than others, and queries
-    meet at most ``limit`` rows by equality.
+    Queries come first. Under each of their first ``head`` characters (fewer where a query is shorter) stand the lengths that are
+    asked for, and a name gets a row for those of its prefixes alone that are as long; of these stay the ones that
+    some query is. So a name of a thousand characters costs a row a length asked under its first characters, never one a
+    character. An entity counts once under a prefix; tasks keep the best ``limit`` of a prefix before the exchange, so a
+    prefix that many names share costs no more than others.
     """
-    asked = queries.select("lang", "query", normalize_text(F.col("query")).alias("prefix")).filter("prefix <> ''").distinct()
-    prefixes = F.transform(F.sequence(F.lit(1), F.char_length("name_norm")), lambda n: F.substring("name_norm", F.lit(1), n))
-    held = index.groupBy("lang", "qid").agg(F.max("sitelinks").alias("sitelinks"), F.array_distinct(F.flatten(F.collect_list(prefixes))).alias("prefixes"))
+    asked = cut_lineage(queries.select("lang", "query", normalize_text(F.col("query")).alias("prefix")).filter("prefix <> ''").distinct())
+    wanted = asked.select("lang", "prefix").distinct()
+    lengths = wanted.groupBy("lang", F.substring("prefix", 1, head).alias("head")).agg(F.collect_set(F.char_length("prefix")).alias("lengths"))
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.char_length("name_norm"))), lambda n: F.substring("name_norm", F.lit(1), n))
+    names = index.select("lang", "qid", "sitelinks", "name_norm", F.explode(heads).alias("head")).join(lengths, ["lang", "head"])
+    fitting = F.filter("lengths", lambda n: n <= F.char_length("name_norm"))
+    held = names.select("lang", "qid", "sitelinks", F.explode(F.transform(fitting, lambda n: F.substring("name_norm", F.lit(1), n))).alias("prefix"))
+    held = held.join(wanted, ["lang", "prefix"], "left_semi").groupBy("lang", "prefix", "qid").agg(F.max("sitelinks").alias("sitelinks"))
     order = W.partitionBy("lang", "prefix").orderBy(F.col("sitelinks").desc(), "qid")
-    best = held.select("lang", F.explode("prefixes").alias("prefix"), "qid", "sitelinks").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    best = held.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return asked.join(best, ["lang", "prefix"]).select("lang", "query", "qid", "sitelinks", "rank")
 
 
@@ -147,16 +155,55 @@ def popularity_bucket(mentions: DataFrame, entities: DataFrame, head: int = 50,
     return linked.unionByName(nil)
 
 
+def _beyond(level: Column, strict: bool):
+    return (lambda n: n > level) if strict else (lambda n: n >= level)
+
+
+def overlaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Pairs of intervals of the same ``key`` that overlap: all columns of ``left`` (``key, start, end``) and of ``right`` (``key, _a, _b``).
+
+    An interval's *level* is the power of two that is as wide as it is; at its level and above it covers two bins at most. A pair
+    meets at the wider one's level, in the bin of the later start alone, which both cover: so each pair is made once. The
+    narrower one stands at those levels alone that the other side has in its text. What meets in a bin lies within a
+    bin's width, so what is joined grows with the true overlaps and not with the square of a text's intervals.
+    """
+    def placed(df: DataFrame, start: str, end: str) -> DataFrame:
+        width = F.greatest(F.col(end) - F.col(start), F.lit(1))
+        return df.withColumns({"_s": F.col(start), "_e": F.col(start) + width, "_level": F.ceil(F.log2(width)).cast("int")})
+
+    def binned(df: DataFrame, level: Column) -> DataFrame:
+        place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "_at")).cast("long")
+        return df.withColumn("_at", level).withColumn("_last", F.floor((F.col("_e") - 1) / F.pow(F.lit(2.0), "_at")).cast("long")).withColumn("_bin", F.explode(F.sequence(place("_s"), F.col("_last")))).drop("_last")
+
+    x, y = placed(left, "start", "end"), placed(right, "_a", "_b")
+    met = None
+    for own, other, strict in ((y, x, False), (x, y, True)):
+        levels = own.groupBy(F.col(key).alias("_k")).agg(F.collect_set("_level").alias("_levels"))
+        above = F.filter("_levels", _beyond(F.col("_level"), strict))
+        narrow = binned(other.join(levels, F.col(key) == F.col("_k")).drop("_k"), F.explode(above)).drop("_levels", "_level", "_e")
+        wide = binned(own, F.col("_level")).drop("_level", "_e")
+        # in both turns the right side's columns get new names, as the key and the bins stand on both
+        named = {c: f"{c}_2" for c in (key, "_s", "_at", "_bin")}
+        a, b = (narrow, wide.withColumnsRenamed(named)) if not strict else (wide, narrow.withColumnsRenamed(named))
+        at = F.pow(F.lit(2.0), "_at")
+        pairs = a.join(b, (F.col(key) == F.col(f"{key}_2")) & (F.col("_at") == F.col("_at_2")) & (F.col("_bin") == F.col("_bin_2")))
+        pairs = pairs.filter((F.col("_a") < F.col("end")) & (F.col("_b") > F.col("start")) & (F.col("_bin") == F.floor(F.greatest("_s", "_s_2") / at)))
+        pairs = pairs.drop("_s", "_at", "_bin", *named.values())
+        met = pairs if met is None else met.unionByName(pairs)
+    return met
+
+
 def assign_ner_types(mentions: DataFrame, spans: DataFrame) -> DataFrame:
     """Replaces ``type`` by that of the span (``text_key, start, end, entity_group, ord``) with the largest overlap; null without one.
 
-    Mentions (``id, text_key, text, mention, start, end``) and spans of a text meet on its key and overlap; ties go to the first span.
+    Mentions (``id, text_key, text, mention, start, end``) and spans meet where they overlap (:func:`overlaps`); ties go to the first
+    span. The best of a mention is a partial maximum before the exchange.
     """
-    m = mentions.withColumn("_s", F.coalesce("start", F.instr("text", F.col("mention")) - 1)).withColumn("_e", F.coalesce("end", F.col("_s") + F.char_length("mention")))
+    m = mentions.withColumn("_from", F.coalesce("start", F.instr("text", F.col("mention")) - 1)).withColumn("_to", F.coalesce("end", F.col("_from") + F.char_length("mention")))
     s = spans.select("text_key", F.col("start").alias("_a"), F.col("end").alias("_b"), "entity_group", "ord")
-    hits = m.select("id", "text_key", "_s", "_e").join(s, "text_key").filter("_a < _e AND _b > _s")
-    best = hits.groupBy("id").agg(F.max(F.struct((F.least("_e", "_b") - F.greatest("_s", "_a")).alias("overlap"), (-F.col("ord")).alias("first"), F.col("entity_group"))).alias("best"))
-    return m.drop("type", "_s", "_e").join(best.select("id", norm_type(F.col("best.entity_group")).alias("type")), "id", "left")
+    hits = overlaps(m.select("id", "text_key", F.col("_from").alias("start"), F.col("_to").alias("end")), s, "text_key")
+    best = hits.groupBy("id").agg(F.max(F.struct((F.least("end", "_b") - F.greatest("start", "_a")).alias("overlap"), (-F.col("ord")).alias("first"), F.col("entity_group"))).alias("best"))
+    return m.drop("type", "_from", "_to").join(best.select("id", norm_type(F.col("best.entity_group")).alias("type")), "id", "left")
 
 
 def first_created(revisions: DataFrame) -> DataFrame:
@@ -185,12 +232,14 @@ def label_match(mention: Column, exact: bool, unknown: bool | None = None) -> Co
     return let(F.struct(names.alias("names"), tried.alias("tried")), lambda x: compare(x["names"], x["tried"]))
 
 
-def generate_candidates(mentions: DataFrame, entities: DataFrame, wp_page: DataFrame, wp_redirect: DataFrame, wp_link: DataFrame, most: int = 10, least: int = 3, limit: int = 7, extra: DataFrame | None = None) -> DataFrame:
+def generate_candidates(mentions: DataFrame, entities: DataFrame, wp_page: DataFrame, wp_redirect: DataFrame, wp_link: DataFrame, most: int = 10, least: int = 3, limit: int = 7, extra: DataFrame | None = None,
+                        merged: DataFrame | None = None) -> DataFrame:
     """``mention, pos, qid, sitelinks``: ordered candidates of each distinct mention.
 
     Sources, in this order: for each primary variant its title and then its name hits; the same for fallback variants,
     only where fewer than ``least`` items are known so far; name hits in English and French for mentions with Latin
-    letters; ``extra`` queries (``mention, query, lang``). An item keeps its first place. Items of page classes and items
+    letters; ``extra`` queries (``mention, query, lang``). An item keeps its first place; ids that ``merged`` (:func:`linkmill.operators.merging.merged_ids`)
+    knows as old count as the item that they became, once. Items of page classes and items
     missing from the snapshot go; ``most`` stay; free places are filled from disambiguation pages by site links.
     Everything runs on distinct mentions, of which join results are capped before entities are read.
     """
@@ -205,7 +254,8 @@ def generate_candidates(mentions: DataFrame, entities: DataFrame, wp_page: DataF
     named = ways.join(search_names(ways.select("lang", "query"), index, limit).select("lang", "query", "qid", "rank"), ["lang", "query"]).select("mention", "tier", "nth", F.col("rank"), "qid")
     titled = resolve_titles(ways.filter("tier < 2").select("mention", "tier", "nth", F.col("query").alias("title")), wp_page, wp_redirect)
     direct = titled.filter("qid IS NOT NULL").select("mention", "tier", "nth", F.lit(0).alias("rank"), "qid")
-    rows = named.unionByName(direct).groupBy("mention", "qid").agg(F.min(F.struct("tier", "nth", "rank")).alias("at"))
+    now = lambda df: df if merged is None else current_ids(df, merged, "qid")
+    rows = now(named.unionByName(direct)).groupBy("mention", "qid").agg(F.min(F.struct("tier", "nth", "rank")).alias("at"))
     strong = F.count_if(F.col("at.tier") == 0).over(W.partitionBy("mention"))
     rows = rows.withColumn("_first", strong).filter((F.col("at.tier") != 1) | (F.col("_first") < least))
     bad = F.array(*map(F.lit, BAD_CLASSES))
@@ -214,7 +264,7 @@ def generate_candidates(mentions: DataFrame, entities: DataFrame, wp_page: DataF
     kept = rows.join(real, "qid").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("mention", "pos", "qid", "sitelinks")
     doubtful = titled.filter(F.coalesce("is_disambiguation", F.lit(False))).join(rows.select("mention", "_first").distinct(), "mention", "left").filter((F.col("tier") == 0) | (F.coalesce("_first", F.lit(0)) < least))
     more = doubtful.select("mention", F.col("final_title").alias("title")).distinct().join(disambiguation_links(doubtful.select(F.col("final_title").alias("title")), wp_link, wp_page), "title")
-    more = more.select("mention", "qid").distinct().join(real, "qid").join(kept.select("mention", "qid"), ["mention", "qid"], "left_anti")
+    more = now(more.select("mention", "qid")).distinct().join(real, "qid").join(kept.select("mention", "qid"), ["mention", "qid"], "left_anti")
     have = kept.groupBy("mention").agg(F.count("*").alias("have"))
     more = more.join(have, "mention", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     more = more.withColumn("pos", F.col("have") + F.row_number().over(W.partitionBy("mention").orderBy(F.desc("sitelinks"), "qid"))).filter(F.col("pos") <= most)

@@ -158,6 +158,21 @@ def titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return page, moved, link
 
 
+#: Redirects of ids: each part's to that of half its key, but 2 and 3 form a circle with 5, and old page ids (M and N) to the part's own.
+_REDIRECTS = """SELECT concat('P', p_partkey) AS old, concat('P', CASE p_partkey WHEN 2 THEN 5 WHEN 3 THEN 2 WHEN 5 THEN 3 ELSE CAST(floor(p_partkey / 2) AS BIGINT) END) AS new FROM part WHERE p_partkey > 0
+UNION ALL SELECT concat('M', p_partkey), concat('N', p_partkey) FROM part UNION ALL SELECT concat('N', p_partkey), concat('Q', p_partkey) FROM part"""
+REDIRECT_SQL = f"b_redirect AS ({_REDIRECTS})"
+
+
+def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_REDIRECTS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+def old_pages(page: DataFrame) -> DataFrame:
+    """Pages of which two thirds carry the id that their item had before it was merged."""
+    return page.withColumn("qid", F.expr("concat(CASE CAST(substring(qid, 2) AS BIGINT) % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'N' ELSE 'Q' END, substring(qid, 2))"))
+
+
 PAGE_SQL = """b_page AS (SELECT p_name AS title, concat('Q', min(p_partkey)) AS qid, p_name LIKE '%ring' AS is_disambiguation FROM part GROUP BY p_name),
 b_moved AS (SELECT p_brand AS from_title, min(p_name) AS to_title FROM part GROUP BY p_brand),
 b_link AS (SELECT a.p_name AS from_title, b.title AS to_title, length(b.title) AS pos FROM (SELECT DISTINCT p_name FROM part) a JOIN b_page b ON substring(b.title, 1, 2) = substring(a.p_name, 1, 2))"""

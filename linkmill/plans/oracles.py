@@ -205,6 +205,12 @@ oracle("label_match", f"""SELECT a.id, list_contains([{tokens('p.p_name')}, {tok
  list_has_all({tokens('p.p_name')}, {tokens('a.mention')}) OR list_has_all({tokens('p.p_brand')}, {tokens('a.mention')}) AS loose FROM b_asked a JOIN part p ON a.k = p.p_partkey""", ASKED)
 oracle("class_closure", """SELECT class, root FROM walk""", """edge AS (SELECT CAST(p_partkey AS STRING) AS class, CAST(p_partkey // 2 AS STRING) AS parent FROM part WHERE p_partkey <> p_partkey // 2 UNION SELECT '3', '6'),
 walk AS (SELECT r AS class, r AS root FROM (VALUES ('3'), ('5'), ('100')) t(r) UNION SELECT e.class, w.root FROM walk w JOIN edge e ON e.parent = w.class)""")
+oracle("merged_ids", """SELECT old, coalesce(max(CASE WHEN stop THEN here END), min_by(here, (length(here), here)) FILTER (on_circle)) AS current FROM (
+ SELECT w.old, w.here, n.new IS NULL AS stop, c.here IS NOT NULL AS on_circle FROM b_walk w LEFT JOIN b_next n ON w.here = n.old LEFT JOIN b_circle c ON w.here = c.here) GROUP BY old""", b.REDIRECT_SQL,
+       "b_next AS (SELECT old, new FROM b_redirect WHERE old <> new)", "b_walk AS (SELECT old, new AS here FROM b_next UNION SELECT w.old, n.new FROM b_walk w JOIN b_next n ON w.here = n.old)", "b_circle AS (SELECT here FROM b_walk WHERE old = here)")
+_HELD = "CASE WHEN regexp_matches({0}, '^Q[0-9]+$') AND TRY_CAST(substring({0}, 2) AS BIGINT) IN (SELECT p_partkey FROM part) THEN {0} WHEN {0} LIKE 'Q%' THEN concat('{1}', substring({0}, 2)) ELSE {0} END"
+oracle("current_run", f"""SELECT run, id, gold, qid, initial_qid, CASE WHEN list_contains(candidates, qid) THEN array_to_string(candidates, '|') ELSE concat(array_to_string(candidates, '|'), '|', qid) END AS candidates
+ FROM (SELECT run, id, {_HELD.format('gold', 'N')} AS gold, CASE WHEN length(id) % 2 = 0 THEN {_HELD.format('qid', 'M')} ELSE qid END AS qid, initial_qid, candidates FROM b_runs)""", RUNS)
 _KIND = "CASE a.type WHEN 'PERSON' THEN 'PER' WHEN 'B-ORG' THEN 'ORG' ELSE 'DATE' END"
 _IS = "CASE WHEN x.kind NOT IN ('PER', 'ORG') OR p.p_partkey IS NULL THEN NULL ELSE coalesce(c.type = x.kind, false) END"
 oracle("is_instance_of", f"SELECT x.id, x.gold AS qid, x.kind AS type, {_IS} AS is_type FROM (SELECT *, {_KIND} AS kind FROM b_asked a) x LEFT JOIN part p ON x.gold = concat('Q', p.p_partkey) LEFT JOIN b_class c ON c.class = concat('T_', p.p_type)", ASKED, CLASS)
@@ -290,7 +296,7 @@ oracle("read_rows", "SELECT id, mention, gold FROM b_mentions", MENTION)
 oracle("read_records", "SELECT doc_id, length(text) AS n_chars FROM documents")
 oracle("read_review", 'SELECT id, "group", options, sources, status, accepted, carried FROM b_review', REVIEW)
 ORACLES["stream_profile"] = ORACLES["corpus_profile"]
-oracle("stream_runs", "SELECT run, id, qid FROM b_runs", RUNS)
+oracle("stream_runs", "SELECT run, id, CASE WHEN qid <> 'ERROR' THEN qid ELSE 'Q1' END AS qid FROM b_runs UNION ALL SELECT run, id, qid FROM b_runs WHERE qid = 'ERROR' AND k % 3 <> 0", RUNS)
 oracle("stream_sample", "SELECT doc_id FROM documents ORDER BY md5(concat('13-', doc_id)), doc_id LIMIT 100")
 
 # --- longer chains ---------------------------------------------------------------------------------------------------

@@ -7,12 +7,11 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import stats, text
-from ..operators import corpus, kb, linking, review, scoring
+from ..operators import corpus, kb, linking, merging, review, scoring
 from ..schemas import POOLED_REVIEW
 from ..sources import readers
 from ..streaming import jobs
@@ -369,7 +368,25 @@ def disambiguation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def generate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kb.generate_candidates(b.asked(spark, sf_dir), b.entities(spark, sf_dir), *b.titles(spark, sf_dir))
+    """Candidates where pages still name two thirds of their items by ids that were merged into others."""
+    page, moved, link = b.titles(spark, sf_dir)
+    merged = merging.merged_ids(b.redirects(spark, sf_dir))
+    return kb.generate_candidates(b.asked(spark, sf_dir), b.entities(spark, sf_dir), b.old_pages(page), moved, link, merged=merged)
+
+
+@query
+def merged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.merged_ids(b.redirects(spark, sf_dir))
+
+
+@query
+def current_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that answer by old ids, in terms of current ones."""
+    old = lambda c: F.when(F.col(c).startswith("Q") & (F.length("id") % 2 == 0), F.concat(F.lit("M"), F.substring(c, 2, 20))).otherwise(F.col(c))
+    runs = b.runs(spark, sf_dir).withColumns({"qid": old("qid"), "gold": F.regexp_replace("gold", "^Q", "N")})
+    runs = runs.withColumn("candidates", F.array_union("candidates", F.array("qid")))
+    got = merging.current_run(runs, merging.merged_ids(b.redirects(spark, sf_dir)))
+    return got.select("run", "id", "gold", "qid", "initial_qid", F.array_join("candidates", "|").alias("candidates"))
 
 
 @query
@@ -695,14 +712,18 @@ def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, schema = _landed(b.runs(spark, sf_dir).select("run", "ord", "id", "qid"), spark)
-    jobs.stream_runs(spark, f"{folder}/in", schema, f"{folder}/table", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("run", "id", "qid")
+    """Runs that land in two goes: the second brings new answers, answers to what was answered before, and a file once more."""
+    rows = b.runs(spark, sf_dir).select("run", "ord", "id", "qid")
+    folder, schema = shared_folder(spark), rows.schema
+    first = F.col("ord") % 3 != 0
+    for part in (rows.filter(first), rows.withColumn("qid", F.when(first & (F.col("qid") != "ERROR"), "Q0").otherwise(F.when(F.col("qid") == "ERROR", "Q1").otherwise(F.col("qid"))))):
+        part.write.mode("append").json(f"{folder}/in")
+        jobs.stream_runs(spark, f"{folder}/in", schema, f"{folder}/table", f"{folder}/state", every=2).awaitTermination()
+    return jobs.read_runs_table(spark, f"{folder}/table", schema).select("run", "id", "qid")
 
 
 @query
 def stream_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, schema = _landed(b.table(spark, sf_dir, "documents").select("doc_id"), spark)
     jobs.stream_sample(spark, f"{folder}/in", schema, 100, "doc_id", f"{folder}/kept", f"{folder}/state").awaitTermination()
-    kept = spark.read.parquet(f"{folder}/kept")
-    return kept.withColumn("last", F.max("batch").over(W.partitionBy(F.lit(0)))).filter("batch = last").select("doc_id")
+    return jobs.read_sample(spark, f"{folder}/kept", schema, 100, "doc_id")

@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
-import ast
-import json
-import re
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RUN
+from .files import data_files
+from .formats import sentences
+from .numbering import in_order, numbered
 
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8"}
-SNIFFED = 4096
-ITEM = re.compile(r"^(?:https?://(?:www\.)?wikidata\.org/(?:wiki|entity)/)?(Q\d+)$")
-TAG = re.compile(r"^(?:O|[BIES]-.+)$")
-TAGGED = re.compile(rb"(?:^|\s)[BIES]-[A-Za-z]")
 
 
 def read_runs(spark: SparkSession, path: str, columns: list[str] | None = None, least: int | None = None) -> DataFrame:
-    """All run files of a folder: their rows with ``run`` (the name of the file, or of its folder) and ``ord`` (the row's place).
+    """All run files of a folder: their rows with ``run`` (the name of the file, or of its folder) and ``ord`` (the row's place,
+    counted over the files in order of their names and parts, so that of two records of a mention the later one is known).
 
     Development runs stay out; of a plain and a packed file of one run the packed one counts. ``columns`` prunes the
     schema before reading; with ``least``, runs with fewer rows that didn't fail are left out.
     """
     name = F.url_decode(F.regexp_extract("_metadata.file_path", r"/([^/]+?)\.jsonl(?:\.gz)?(?:/part-[^/]*)?$", 1))
     rows = spark.read.schema(RUN).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(path)
-    rows = rows.select(*(columns or ["*"]), name.alias("run"), F.endswith("_metadata.file_name", F.lit(".gz")).alias("_packed"), F.monotonically_increasing_id().alias("ord"))
+    rows = numbered(rows.select(*(columns or ["*"]), name.alias("run"), F.endswith("_metadata.file_name", F.lit(".gz")).alias("_packed")), "ord")
     rows = rows.filter("run <> '' AND NOT startswith(run, 'dev_')")
     use = rows.groupBy("run").agg(F.bool_or("_packed").alias("_packed"))
     rows = rows.join(use, ["run", "_packed"], "left_semi").drop("_packed")
@@ -60,201 +58,73 @@ def _as_struct(schema: str) -> str:
     return StructType.fromDDL(schema).simpleString().removeprefix("struct<").removesuffix(">")
 
 
-def _format(head: bytes) -> str:
-    """What a file is by its first bytes: gzip, zip, empty (white space only), json, html, conll (tabs or a tag) or unknown."""
-    if head.startswith(b"\x1f\x8b"):
-        return "gzip"
-    if head.startswith(b"PK\x03\x04"):
-        return "zip"
-    text = head.lstrip(b"\xef\xbb\xbf \t\r\n")
-    if not text:
-        return "empty"
-    marks = {b"[": "json", b"{": "json", b"<": "html"}
-    return marks.get(text[:1]) or ("conll" if b"\t" in text or TAGGED.search(text) else "unknown")
-
-
 def sniff_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, format`` of each file, judged by its first bytes (:func:`_format`).
-
-    Only the first bytes are judged, but Spark hands over whole files. Files of no bytes at all are not listed, as
-    Spark gives them no task.
-    """
-    head = F.substring(F.col("content"), 1, SNIFFED)
-    text = F.regexp_replace(F.decode(head, "ISO-8859-1"), r"^[\x{EF}\x{BB}\x{BF} \t\r\n]+", "")
-    first = F.substring(text, 1, 1)
-    kind = (F.when(F.startswith(F.hex(head), F.lit("1F8B")), "gzip").when(F.startswith(F.hex(head), F.lit("504B0304")), "zip").when(text == "", "empty")
-            .when(first.isin("[", "{"), "json").when(first == "<", "html").when(F.contains(text, F.lit("\t")) | text.rlike(r"(?:^|\s)[BIES]-[A-Za-z]"), "conll").otherwise("unknown"))
-    return spark.read.format("binaryFile").load(path).select("path", "length", kind.alias("format"))
+    """``path, length, format`` of each file, judged by its first bytes (:data:`linkmill.sources.formats.FORMATS`), of which no more are read.
 
-
-def _values(text: str, name: str) -> Iterator[dict]:
-    """The records of JSON values one after another.
-
-    Arrays give their objects. A value that stands alone in the file may be a wrapper (:func:`_unwrapped`); of several, each
-    object is a record as it is. Text that breaks off in its last fiftieth counts as far as it goes; any other break raises
-    with its place. A file that is one Python literal is read as such.
+    ``path`` is a file, a folder or a pattern. Files of no bytes are listed too, as empty.
     """
-    decode, end, found = json.JSONDecoder().raw_decode, len(text), 0
-
-    def after(at: int) -> int:
-        while at < end and text[at] in " \t\r\n,":
-            at += 1
-        return at
-
-    at = after(0)
-    try:
-        while at < end:
-            inside = text[at] == "["
-            if inside:
-                at = after(at + 1)
-            while at < end and not (inside and text[at] == "]"):
-                value, at = decode(text, at)
-                at = after(at)
-                alone = not inside and not found and at >= end
-                for record in [value] if isinstance(value, dict) and not alone else _unwrapped(value):
-                    found += 1
-                    yield record
-                if not inside:
-                    break
-            if inside:
-                at = after(at + 1)
-    except json.JSONDecodeError as e:
-        if found and e.pos > 0.98 * end:
-            return
-        if not found:
-            try:
-                value = ast.literal_eval(text.strip())
-            except (ValueError, SyntaxError, MemoryError, RecursionError):
-                pass
-            else:
-                yield from _unwrapped(value)
-                return
-        around = text[max(0, e.pos - 80) : e.pos + 80]
-        raise ValueError(f"{name}: invalid JSON at line {e.lineno}, column {e.colno}, after {found} records: {e.msg} in {around!r}") from None
-
-
-def _unwrapped(value: object) -> Iterator[dict]:
-    """The records of a value that stands alone: an object with a long text is one; else its longest list of objects, or its
-    values if all are objects, or itself."""
-    if isinstance(value, list):
-        yield from (x for x in value if isinstance(x, dict))
-    if not isinstance(value, dict):
-        return
-    inner = list(value.values())
-    lists = [x for x in inner if isinstance(x, list) and x and all(isinstance(y, dict) for y in x)]
-    if any(isinstance(x, str) and len(x) > 20 for x in inner) or not lists and not all(isinstance(x, dict) for x in inner):
-        yield value
-    else:
-        yield from max(lists, key=len) if lists else inner
-
-
-def _unpacked(data: bytes) -> bytes:
-    """Packed bytes as far as they go; others as they are."""
-    import gzip
-    import zlib
-
-    if not data.startswith(b"\x1f\x8b"):
-        return data
-    try:
-        return gzip.decompress(data)
-    except (OSError, EOFError, zlib.error):
-        return zlib.decompressobj(31).decompress(data)
-
-
-#: What keeps a file from being read, by its format.
-REFUSED = {
-    "zip": "is a ZIP archive, not a data file: unpack it first",
-    "html": "is an HTML web page, not data: a download has saved a login or error page",
-    "empty": "is empty", "unknown": "has no known format",
-}
-
-
-def _records_of(name: str, data: bytes) -> Iterator[dict]:
-    data = _unpacked(data)
-    kind = _format(data[:SNIFFED])
-    if kind in REFUSED or kind == "gzip":
-        raise ValueError(f"{name} {REFUSED.get(kind, 'is packed twice')}")
-    text = data.decode("utf-8-sig")
-    if kind == "json":
-        yield from _values(text, name)
-    else:
-        yield from _sentences(text)
+    return data_files(spark, path, "heads")
 
 
-def read_records(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
-    """Corpus records by what a file holds: JSON of any form (:func:`_values`), token lines (``tokens, tags, qids``), CSV and TSV (by
-    the path's ending), packed or not, with or without a byte order mark.
+def read_records(spark: SparkSession, path: str, schema: str, lines: bool = False, number: str | None = None) -> DataFrame:
+    """Corpus records by what a file holds: JSON of any form (:func:`linkmill.sources.formats.json_records`), token lines (``tokens, tags,
+    qids``), CSV and TSV (by the path's ending), packed or not, with or without a byte order mark.
 
     Archives, web pages, empty files, unknown formats and text that is broken before its end raise an error that names the
-    file. ``lines`` says that it is JSON lines, which Spark reads in pieces. Other forms are read a file a task; convert
-    large corpora to Parquet once.
+    file. ``lines`` says that it is JSON lines, which Spark reads in pieces; of other forms a file is a task, which reads it as a
+    stream and holds a record at a time, but for an object that wraps all records of its file. ``number`` adds a
+    column of record numbers, counted over all files in order of their paths.
     """
-    if lines:
-        return spark.read.schema(schema).json(path)
-    if path.removesuffix(".gz").endswith((".csv", ".tsv")):
-        return read_rows(spark, path, schema)
+    if lines or path.removesuffix(".gz").endswith((".csv", ".tsv")):
+        rows = spark.read.schema(schema).json(path) if lines else read_rows(spark, path, schema)
+        return numbered(rows, number) if number else rows
+    rows = data_files(spark, path, "records")
+    if number:
+        rows = in_order(rows, "path", "nth", number)
+    row = F.inline(F.array(F.from_json("json", schema)))
+    return rows.select(row, number) if number else rows.select(row)
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                out = []
-                for record in _records_of(name.rsplit("/", 1)[-1], bytes(data)):
-                    out.append(json.dumps(record, ensure_ascii=False, default=str))
-                    if len(out) == 5000:
-                        yield pd.DataFrame({"json": out})
-                        out = []
-                yield pd.DataFrame({"json": out}, dtype="object")
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(per_batch, "json string")
-    return rows.select(F.inline(F.array(F.from_json("json", schema))))
+_SENTENCE = "tokens array<string>, tags array<string>, qids array<string>"
+_SPLIT = "path string, start long, " + _SENTENCE
 
 
-def _sentences(text: str) -> Iterator[dict]:
-    """Token lines as records; columns have one role in a whole file here too (:func:`read_conll`)."""
-    split = _token_lines(text)
-    tags, qids = _roles([r for s in split for r in s])
-    for s in split:
-        items = [r[qids] if qids is not None and qids < len(r) and ITEM.match(r[qids]) else None for r in s]
-        yield {"tokens": [r[0] for r in s], "tags": [_cell(r, tags, "O") for r in s], "qids": items}
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of token files between blank lines to sentences; a piece may hold several if lines of white space part them."""
+    text, words = pa.string(), pa.list_(pa.string())
+    for b in batches:
+        for path, start, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            found = [(path, start, s["tokens"], s["tags"], s["qids"]) for s in sentences([piece.lstrip("\ufeff")])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (text, pa.int64(), words, words, words), strict=True)], ["path", "start", "tokens", "tags", "qids"])
 
 
-def _token_lines(text: str) -> list[list[list[str]]]:
-    """Sentences of token lines, each split into cells; comments are left out."""
-    split = [[line.split("\t") if "\t" in line else line.split() for line in s.splitlines() if line.strip() and not line.startswith("#")] for s in re.split(r"\n[^\S\n]*\n", text.replace("\r", ""))]
-    return [s for s in split if s]
-
-
-def _cell(row: list[str], c: int | None, empty: str | None) -> str | None:
-    return row[c] if c is not None and c < len(row) and row[c] else empty
-
-
-def _roles(rows: list[list[str]]) -> tuple[int | None, int | None]:
-    """The columns of tags (the first one, but the tokens', in which all cells are tags) and of item ids (the first other one with any)."""
-    width = max(map(len, rows), default=0)
-    cells = [[r[c] if c < len(r) else "" for r in rows] for c in range(width)]
-    tags = next((c for c in range(1, width) if all(TAG.match(x) for x in cells[c] if x) and any(cells[c])), None)
-    qids = next((c for c in range(1, width) if c != tags and any(ITEM.match(x) for x in cells[c])), None)
-    return tags, qids
-
-
-def read_conll(spark: SparkSession, path: str) -> DataFrame:
+def read_conll(spark: SparkSession, path: str, line_end: str | None = None) -> DataFrame:
     """``id, tokens, tags, qids`` of token files: a token a line, sentences between blank lines, ``#`` comments, ragged rows padded.
 
-    Roles of columns are found for each file, which is one task.
+    Roles of columns are found for each sentence; cells that are no item are null. ``id`` is the file's name and the sentence's
+    number in it. A blank line is Spark's record separator here, so sentences are rows and a large file is read by many tasks; numbers
+    come from counts of the splits (:mod:`.numbering`). ``line_end`` is the files' line end; without it the first bytes
+    of each file tell those that end lines by carriage return and line feed from the others.
     """
+    if line_end is None:
+        returns = [p for p, crlf in _line_ends(spark, path) if crlf]
+        ends = {"\n": ~F.col("_metadata.file_path").isin(returns) if returns else F.lit(True)} | ({"\r\n": F.col("_metadata.file_path").isin(returns)} if returns else {})
+    else:
+        ends = {line_end: F.lit(True)}
+    parts = []
+    for end, where in ends.items():
+        rows = spark.read.option("lineSep", "\n" + end).text(path).filter(where)
+        rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value").mapInArrow(_cut, _SPLIT)
+        parts.append(numbered(rows, "k", path="path", start="start", by_file=True))
+    name = F.concat(F.element_at(F.split("path", "/"), -1), F.lit("-"), F.col("k"))
+    return reduce(DataFrame.unionByName, parts).select(name.alias("id"), "tokens", "tags", "qids")
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for name, text in zip(pdf["path"], pdf["value"], strict=True):
-                split = _token_lines(text)
-                tags, qids = _roles([r for s in split for r in s])
-                for k, s in enumerate(split):
-                    out.append((f"{name.rsplit('/', 1)[-1]}-{k}", [r[0] for r in s], [_cell(r, tags, "O") for r in s], [_cell(r, qids, None) for r in s]))
-            yield pd.DataFrame(out, columns=["id", "tokens", "tags", "qids"])
 
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return rows.mapInPandas(per_batch, "id string, tokens array<string>, tags array<string>, qids array<string>")
+def _line_ends(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Whether each file's first line ends in carriage return and line feed; one row a file, of which Spark's driver holds a list anyway."""
+    first = data_files(spark, path, "lines")
+    return [(r["path"], r["crlf"]) for r in first.collect()]
 
 
 def read_review(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
@@ -275,4 +145,4 @@ def write_rows(df: DataFrame, path: str) -> None:
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Small result tables, each as one CSV file in a folder of its name."""
     for name, df in tables.items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        df.coalesce(1).write.mode("overwrite").options(header=True, quote='"', escape='"').csv(f"{path}/{name}")

@@ -1,21 +1,20 @@
 """Growing inputs: profiles, runs and samples kept up to date by Structured Streaming.
 
-The sources have no event time and no late rows, so nothing waits for a watermark; state is a table,
-never a window. Each job reads what is there and stops (``availableNow``); started again with the same checkpoint it
+The sources have no event time and no late rows, so nothing waits for a watermark. Results are tables of batches
+(:mod:`.tables`); what must be remembered of each mention is in Spark's state store. Each job reads what is there and stops (``availableNow``); started again with the same checkpoint it
 goes on where it was.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.text import mention_script
 from ..operators.corpus import ARABIC, draw, profile_measures
+from .tables import BatchTable
 
 
 def _source(spark: SparkSession, in_dir: str, schema: StructType | str, fmt: str) -> DataFrame:
@@ -40,63 +39,89 @@ def profile_counts(docs: DataFrame) -> DataFrame:
     return docs.filter(r"text RLIKE '\\S'").select(F.inline(F.concat(counters, types))).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def stream_profile(spark: SparkSession, in_dir: str, schema: StructType | str, table: str, checkpoint: str, fmt: str = "json") -> StreamingQuery:
-    """Adds the counters of each batch to the table ``table`` (a path), partitioned by batch; :func:`read_profile` sums them.
+def _profile(spark: SparkSession, table: str) -> BatchTable:
+    return BatchTable(spark, table, "kind string, key string, n long")
 
-    Each batch overwrites its own partition, so one that runs twice counts once.
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def stream_profile(spark: SparkSession, in_dir: str, schema: StructType | str, table: str, checkpoint: str, fmt: str = "json", every: int = 100) -> StreamingQuery:
+    """Adds the counters of each batch to the table ``table`` (a path); :func:`read_profile` sums them.
+
+    Each batch overwrites its own part, so one that runs twice counts once; every ``every`` batches they are summed into a snapshot.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        profile_counts(batch).coalesce(1).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")  # a row a counter and type
+        kept = _profile(batch.sparkSession, table)
+        kept.write(profile_counts(batch).coalesce(1), batch_id)  # a row a counter and type
+        if (batch_id + 1) % every == 0:
+            kept.compact(batch_id, _summed)
 
     return _source(spark, in_dir, schema, fmt).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_profile(spark: SparkSession, table: str) -> DataFrame:
     """``measure, value`` of all batches so far, as :func:`linkmill.operators.corpus.corpus_profile` gives them."""
-    rows = spark.read.schema("kind string, key string, n long").parquet(table).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = _summed(_profile(spark, table).read())
     one = rows.filter("kind = 'counter'").agg(*[F.coalesce(F.max(F.when(F.col("key") == c, F.col("n"))), F.lit(0)).alias(c) for c in _COUNTERS])
     return profile_measures(one, rows.filter("kind = 'type'").select(F.col("key").alias("t"), F.col("n").alias("c")), True)
 
 
-def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What earlier batches stored; None before the first one."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") < batch_id)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def newest_answers(rows: DataFrame) -> DataFrame:
+    """Of a stream of run rows the answer of each ``run, id``, with ``came``, when its batch came, and ``seen``, when the last one did.
 
-
-def new_answers(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """The batch's last answer to each mention of each run, without those that already have an answer that didn't fail."""
-    last = W.partitionBy("run", "id").orderBy((F.col("qid") == "ERROR").asc(), F.col("ord").desc())
-    rows = batch.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-    return rows if stored is None else rows.join(stored.filter("qid <> 'ERROR'").select("run", "id"), ["run", "id"], "left_anti")
+    The first batch's answer that didn't fail stays, the last one in that batch; without one the last failure. This is the stream's
+    state: one row a mention in the state store, of which a batch reads and writes those alone that it brings.
+    """
+    now = F.unix_micros(F.current_timestamp())  # in a stream one time a batch, the same if it runs again
+    good = F.coalesce(F.col("qid") != "ERROR", F.lit(False))
+    place = F.struct(good.alias("good"), F.when(good, -F.col("came")).otherwise(F.col("came")).alias("at"), "ord", "row")
+    rows = rows.select("run", "id", "qid", "ord", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"), now.alias("came"))
+    return rows.groupBy("run", "id").agg(F.max_by(F.struct("came", "row"), place).alias("best"), F.max("came").alias("seen"))
 
 
-def stream_runs(spark: SparkSession, in_dir: str, schema: StructType | str, table: str, checkpoint: str, fmt: str = "json") -> StreamingQuery:
-    """Appends new answers to the table ``table`` (a path), partitioned by batch; failed mentions are tried again.
+def stream_runs(spark: SparkSession, in_dir: str, schema: StructType | str, table: str, checkpoint: str, fmt: str = "json", every: int = 100) -> StreamingQuery:
+    """Appends new answers to the table ``table`` (a path), which :func:`read_runs_table` reads; failed mentions are tried again.
 
-    Each batch overwrites its own partition, so one that runs twice leaves the same rows. State is the table alone.
+    What was answered before is known to the stream's state (:func:`newest_answers`), so a batch reads nothing of the table, however
+    long it has grown. Each batch overwrites its own part, so one that runs twice leaves the same rows; every ``every`` batches
+    they are merged into a snapshot. For more mentions than executors hold in memory set
+    ``spark.sql.streaming.stateStore.providerClass`` to Spark's RocksDB provider before the first start.
     """
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, table, batch_id)
-        new_answers(batch, stored).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        kept = BatchTable(batch.sparkSession, table, kind)
+        new = batch.filter("best.came = seen").select(F.from_json("best.row", kind).alias("row")).select("row.*")
+        kept.write(new, batch_id)
+        if (batch_id + 1) % every == 0:
+            kept.compact(batch_id, files=batch.sparkSession.sparkContext.defaultParallelism)
 
-    return _source(spark, in_dir, schema, fmt).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    answers = newest_answers(_source(spark, in_dir, schema, fmt))
+    return answers.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_sample(spark: SparkSession, in_dir: str, schema: StructType | str, k: int, key: str, out: str, checkpoint: str, seed: int = 13, fmt: str = "json") -> StreamingQuery:
-    """The ``k`` rows with the smallest hashes of all so far, in a folder a batch under ``out``; the newest folder counts."""
+def read_runs_table(spark: SparkSession, table: str, schema: StructType | str) -> DataFrame:
+    return BatchTable(spark, table, schema).read()
+
+
+def stream_sample(spark: SparkSession, in_dir: str, schema: StructType | str, k: int, key: str, out: str, checkpoint: str, seed: int = 13, fmt: str = "json", every: int = 100) -> StreamingQuery:
+    """The ``k`` rows with the smallest hashes of all so far; :func:`read_sample` reads them.
+
+    The smallest of each batch's smallest are the smallest of all, so a batch writes its own and reads nothing.
+    """
+    smallest = lambda rows: rows.orderBy(draw(seed, key), key).limit(k)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        kept, rows = _stored(batch.sparkSession, out, batch_id), batch
-        newest = None if kept is None else kept.agg(F.max("batch")).first()[0]
-        if newest is not None:
-            rows = batch.unionByName(kept.filter(F.col("batch") == newest).drop("batch"))
-        rows.orderBy(draw(seed, key), key).limit(k).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        kept = BatchTable(batch.sparkSession, out, schema)
+        kept.write(smallest(batch), batch_id)
+        if (batch_id + 1) % every == 0:
+            kept.compact(batch_id, smallest)
 
     return _source(spark, in_dir, schema, fmt).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_sample(spark: SparkSession, out: str, schema: StructType | str, k: int, key: str, seed: int = 13) -> DataFrame:
+    return BatchTable(spark, out, schema).read().orderBy(draw(seed, key), key).limit(k)
