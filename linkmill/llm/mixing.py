@@ -17,6 +17,13 @@ MOST = 3
 #: Parts of the unit interval by which a source's documents are counted where copies are rounded.
 BINS = 1 << 14
 ROUNDS = 200
+#: Sources of which a table (under 100 bytes each) is sent to all tasks; more are joined by Spark's choice.
+FEW_SOURCES = 50_000
+
+
+def _beside(rows: DataFrame, small: DataFrame, name: str, few: bool, kind: str = "inner") -> DataFrame:
+    """``rows`` with the row of their source in ``small`` (which calls it ``name``)."""
+    return rows.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col(name)), kind)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -109,7 +116,7 @@ def _step(x: DataFrame, near: float) -> DataFrame:
     return x.select("source", "source_size", "target", "mean", tilt.alias("tilt"), F.col("_low").alias("low"), F.col("_high").alias("high"), (F.col("_done") | tight).alias("done"))
 
 
-def copies(rows: DataFrame, most: int = MOST, seed: int = 13) -> DataFrame:
+def copies(rows: DataFrame, most: int = MOST, seed: int = 13, few: bool = False) -> DataFrame:
     """``rows`` (``doc_id, source, size, row, rate, target``) with whole ``copies``, whose words come near the source's target.
 
     Every document gets its rate rounded down. One more goes to those whose hashed place, less the rate's fraction, is
@@ -127,7 +134,7 @@ def copies(rows: DataFrame, most: int = MOST, seed: int = 13) -> DataFrame:
     border = bins.filter("_bin < %d AND upto - more <= left AND upto > left" % BINS).select(F.col("source").alias("s"), F.col("_bin").alias("edge"), (F.col("left") - F.col("upto") + F.col("more")).alias("room"))
     all_in = bins.groupBy(F.col("source").alias("a")).agg(F.max("left").alias("left"), F.max("upto").alias("upto"))
     edge = all_in.join(border, F.col("a").eqNullSafe(F.col("s")), "left").select("a", F.coalesce("edge", F.when(F.col("left") >= F.col("upto"), BINS).otherwise(-1)).alias("edge"), "room")
-    found = rows.join(edge, F.col("source").eqNullSafe(F.col("a")))
+    found = _beside(rows, edge, "a", few)
     at_edge = found.filter("_bin = edge AND _bin < %d" % BINS)
     order = W.partitionBy("source").orderBy("_late", "doc_id", "row")
     upto = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
@@ -135,20 +142,19 @@ def copies(rows: DataFrame, most: int = MOST, seed: int = 13) -> DataFrame:
     rest = found.filter("_bin <> edge OR _bin = %d" % BINS).withColumn("_one", ((F.col("_bin") < F.col("edge")) & (F.col("_bin") < BINS)).cast("long"))
     taken = rest.unionByName(ranked).withColumn("copies", F.least(F.lit(most).cast("long"), F.col("_whole").cast("long") + F.col("_one")))
     names = [*(c for c in rows.columns if not c.startswith("_")), "copies"]
-    return _nearest(cut_lineage(taken.select(*names, "_late")), most).select(*names)
+    return _nearest(cut_lineage(taken.select(*names, "_late")), most, few).select(*names)
 
 
-def _nearest(taken: DataFrame, most: int) -> DataFrame:
+def _nearest(taken: DataFrame, most: int, few: bool) -> DataFrame:
     """One document of each source is taken once more, or less, if that brings the source's words nearer to its target: the one that brings them nearest."""
     miss = taken.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss")).select(F.col("source").alias("s"), "miss")
-    rows = taken.join(cut_lineage(miss), F.col("source").eqNullSafe(F.col("s")))
+    rows = _beside(taken, cut_lineage(miss), "s", few)
     turn = F.signum("miss").cast("long")
     able = (F.col("size") > 0) & F.when(turn > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
     off = F.abs(F.abs("miss") - F.col("size"))
     best = rows.filter(able & (off < F.abs("miss"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("_late"), F.col("doc_id"), F.col("row"), turn.alias("turn"))).alias("b"))
     best = cut_lineage(best.select(F.col("source").alias("s"), F.col("b.doc_id").alias("i"), F.col("b.row").alias("r"), "b.turn"))
-    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")) & F.col("row").eqNullSafe(F.col("r"))
-    hit = taken.join(best, same, "left")
+    hit = _beside(taken, best, "s", few, "left").withColumn("turn", F.when(F.col("doc_id").eqNullSafe(F.col("i")) & F.col("row").eqNullSafe(F.col("r")), F.col("turn")))
     # of rows that are the same in all, one turns
     first = F.row_number().over(W.partitionBy("source", "doc_id", "row").orderBy("copies")) == 1
     turned = hit.filter("turn IS NOT NULL").withColumn("copies", F.col("copies") + F.when(first & F.when(F.col("turn") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0), F.col("turn")).otherwise(0))
@@ -170,10 +176,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     aims = cut_lineage(targets(sources, weights, share, most))
     solved = tilts(counts, aims, most)
     both = cut_lineage(aims.join(solved.select(F.col("source").alias("s"), "mean", "tilt"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "mean", "tilt"))
-    rated = rows.join(both, F.col("source").eqNullSafe(F.col("s")))
+    few = both.count() <= FEW_SOURCES
+    rated = _beside(rows, both, "s", few)
     scaled = F.when(F.col("mean") > 0, F.col("size") / F.col("mean")).otherwise(0.0)
     rate = F.when(F.col("tilt") == float("inf"), float(most)).when(F.col("tilt") == float("-inf"), 0.0).otherwise(_rate(scaled, F.col("tilt"), most))
-    return copies(rated.select("doc_id", "source", "size", "row", "source_size", "target", rate.alias("rate")), most, seed).drop("row")
+    return copies(rated.select("doc_id", "source", "size", "row", "source_size", "target", rate.alias("rate")), most, seed, few).drop("row")
 
 
 def digest(result: DataFrame) -> DataFrame:
