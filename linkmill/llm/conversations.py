@@ -21,6 +21,11 @@ STATES = "-sua"
 NEXT = {("-", "s"): "s", ("-", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
 #: The role that a new or renamed row takes after each state.
 TURN = {"-": "user", "s": "user", "u": "assistant", "a": "user"}
+#: What it costs at most to go on from the first state as from the second: edits put in, and an s that must go after all.
+AS_FROM = {
+    ("-", "s"): 0, ("-", "u"): 5, ("-", "a"): 0, ("s", "-"): 12, ("s", "u"): 5, ("s", "a"): 10,
+    ("u", "-"): 7, ("u", "s"): 5, ("u", "a"): 5, ("a", "-"): 2, ("a", "s"): 0, ("a", "u"): 5,
+}
 
 
 def damage(conversations: DataFrame) -> DataFrame:
@@ -75,7 +80,8 @@ class Survivors:
 
     ``emit(edit, role, text)`` gets each settled edit. Of ways of the same cost that with the least string of edits counts, by
     whole strings: two of them reach a state with the same rows behind them, so neither string begins with the other.
-    Held are the rows since the last edit that all survivors share, and no more.
+    Held are the rows since the last edit that all survivors share, and no more. A state that can't win any more is no survivor
+    (:data:`AS_FROM`); else the way that deletes all rows would share nothing with the others, ever.
     """
 
     def __init__(self, emit):
@@ -120,8 +126,17 @@ class Survivors:
                 ways.append((NEXT[s, role[:1]], c + KEEP + more, node, "K", role, text))
             ways.append((NEXT[s, TURN[s][0]], c + REROLE + more, node, "R", TURN[s], text))
         self._move(ways, False)
+        self._drop_hopeless()
         self._settle()
 
+    def _drop_hopeless(self) -> None:
+        """Takes out states that cost more than to reach another one and go on from there as from them; they would hold the tree open."""
+        for s, (c, node) in list(self.best.items()):
+            if any(c > other + AS_FROM[x, s] for x, (other, _) in self.best.items() if x != s):
+                del self.best[s]
+                node.states -= 1
+                node.release()
+
     def _settle(self) -> None:
         while not self.root.states and len(self.root.kids) == 1:
             (self.root,) = self.root.kids
