@@ -1,13 +1,17 @@
 """Toxicity: a support vector machine over a subsequence string kernel, with Nystroem landmarks.
 
-The kernel of two strings counts the runs of three characters, in order but with gaps, that both have; a run that spans
-``s`` characters weighs ``DECAY ** s``, spans over ``SPAN`` are left out (they weigh next to nothing), and each
-string's kernel vector has length one. An insult with inserted or doubled characters so stays close to the insult.
+The kernel of two strings counts the runs of three letters, in order but with gaps, that both have; a run that spans ``s`` letters
+weighs ``DECAY ** s``, however long the span, and each string's kernel vector has length one. Strings are the letters of words:
+marks between letters, and letters that are drawn out or all doubled, are folded away before and leave no gap at all; letters
+that are put in leave one. An insult with inserted characters so stays close to the insult.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from functools import lru_cache
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,84 +22,120 @@ from pyspark.sql import types as T
 from .common import documents, in_fold
 from .learning import fit_dense, sample, sigmoid
 
-SPAN, DECAY, BITS = 6, 0.6, 17
-#: Characters whose subsequences are held at once.
-CHUNK = 1 << 18
+DECAY = 0.5
+#: Kinds of letters: a to z, digits, others by their code, and a string's begin and end; a feature is a run of three kinds.
+KINDS, BEGIN, END = 64, 62, 63
+FEATURE_SPACE = KINDS**3
+#: Letters up to which all runs of a string are written out; those of a longer one are summed letter by letter.
+SHORT = 20
+#: Strings of a length that are taken together.
+TOGETHER = 2048
+#: A word near the border (margins between these, letters up to so many) is also read without each one of its letters, at a cost.
+NEAR, SURE, READ, COST = -0.8, 1.2, 24, 0.3
+#: Margins over which a text's units are counted.
+STEPS = (0.3, 0.6, 1.0)
 #: Entries of a worker's cache from unit to margin, after which it starts anew.
 CACHE = 400_000
-FEATURES = 4
-_GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+FEATURES = 6
+
+
+@lru_cache(maxsize=1 << 16)
+def fold(word: str) -> str:
+    """The letters and digits of a word in lower case; a letter three or more times in a row, or a word of letters all doubled, counts them once."""
+    out = word.lower()
+    if not out.isalnum():
+        out = _MARKS.sub("", out)
+    if not _TWICE.search(out):
+        return out
+    runs = [(c, sum(1 for _ in same)) for c, same in groupby(out)]
+    drawn = len(runs) > 1 and all(n > 1 for _, n in runs)
+    return "".join(c if drawn or n > 2 else c * n for c, n in runs)
+
+
+_MARKS, _TWICE = re.compile(r"[\W_]+"), re.compile(r"(.)\1")
 
 
 def units(text: str | None) -> list[str]:
-    """Lower-cased words without outer punctuation; three or more single characters in a row are also read as one word."""
+    """The folded words; three or more single letters in a row are also read as one word, up to the end of a sentence."""
     out, run = [], []
-    for raw in (text or "").lower().split():
-        word = raw.strip("\"'`.,;:!?()[]{}<>|*#$%&-_~+=/\\")
+
+    def spelled() -> None:
+        if len(run) > 2:
+            out.append(fold("".join(run)))
+        run.clear()
+
+    for raw in (text or "").split():
+        word = fold(raw) if len(raw) < 1000 else fold.__wrapped__(raw)
         if len(word) == 1:
             run.append(word)
-            continue
-        if len(run) > 2:
-            out.append("".join(run))
-        run = []
-        if word:
+        elif word:
+            spelled()
             out.append(word)
-    return out + (["".join(run)] if len(run) > 2 else [])
+        if raw[-1] in ".!?":
+            spelled()
+    spelled()
+    return out
 
 
-def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, hashed features and values of the unit kernel vectors of strings, flat; begin and end of a string are characters.
+_KIND = np.array([{c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}.get(chr(c), 36 + c % 26) for c in range(128)], dtype=np.int32)
 
-    Strings are taken together up to ``CHUNK`` characters; a longer one is read in parts that overlap, with the same result.
-    """
-    out, at = [], 0
-    while at < len(strings):
-        end, size = at, 0
-        while end < len(strings) and (end == at or size + len(strings[end]) <= CHUNK):
-            size += len(strings[end])
-            end += 1
-        row, feature, value = _summed(_places(strings[at:end]) if size <= CHUNK else _long(strings[at]))
-        norm = np.sqrt(np.bincount(row, value**2, minlength=end - at))
-        out.append((row + at, feature, value / np.maximum(norm[row], 1e-12)))
-        at = end
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-
-def _long(string: str):
-    """As :func:`_places` for one long string, part by part; a run belongs to the part in which it begins."""
-    whole = "\x02" + string + "\x03"
-    kept = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
-    for at in range(0, len(whole), CHUNK):
-        found = _places([whole[at : at + CHUNK + SPAN]], marked=True, begins=CHUNK)
-        kept = list(_summed([np.concatenate(x) for x in zip(kept, found, strict=True)]))
-    return kept
-
-
-def _summed(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, feature, value = found
-    key, back = np.unique(row << BITS | feature, return_inverse=True)
-    return key >> BITS, key & ((1 << BITS) - 1), np.bincount(back, value, minlength=len(key))
-
-
-def _places(strings: list[str], marked: bool = False, begins: int | None = None) -> list[np.ndarray]:
-    """Row, feature and value of every run of three characters with gaps; ``begins`` limits where they begin."""
-    if not marked:
-        strings = ["\x02" + s + "\x03" for s in strings]
-    length = np.fromiter((len(s) for s in strings), dtype=np.int64, count=len(strings))
-    codes = np.frombuffer("".join(s + "\x00" * SPAN for s in strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(strings)), length + SPAN)
-    inside = np.ones(len(codes), dtype=bool)  # not the filling, which a text may hold as a character
-    inside[(np.cumsum(length + SPAN)[:, None] - SPAN + np.arange(SPAN)).ravel()] = False
-    at = np.flatnonzero(inside[:begins] if begins else inside)
-    rows, features, values = [], [], []
-    for a, b in _GAPS:
-        here = at[inside[at + a] & inside[at + b] & (owner[at + b] == owner[at])]
-        h = (codes[here] * np.uint32(0x9E3779B1) + codes[here + a]) * np.uint32(0x85EBCA77) + codes[here + b]
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
-        rows.append(owner[here])
-        features.append((h >> np.uint32(32 - BITS)).astype(np.int64))
-        values.append(np.full(len(here), DECAY ** (b + 1)))
-    return [np.concatenate(x) for x in (rows, features, values)]
+
+def kinds(strings: list[str]) -> np.ndarray:
+    """The kinds of letters of strings of one length, a row each, with begin and end."""
+    code = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(strings), -1)
+    out = np.empty((code.shape[0], code.shape[1] + 2), dtype=np.int32)
+    out[:, 0], out[:, -1] = BEGIN, END
+    out[:, 1:-1] = np.where(code < 128, _KIND[np.minimum(code, 127)], 36 + code % 26)
+    return out
+
+
+@lru_cache(maxsize=SHORT + 3)
+def _runs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places of three in ``n``, and their weights."""
+    at = np.array(list(combinations(range(n), 3)), dtype=np.int32)
+    return at, DECAY ** (at[:, 2] - at[:, 0] + 1)
+
+
+def _long(string: str) -> np.ndarray:
+    """The kernel vector of a long string: sums over its letters of what came before, each step weaker by one."""
+    one, two, three = np.zeros(KINDS), np.zeros((KINDS, KINDS)), np.zeros((KINDS, KINDS, KINDS))
+    for c in kinds([string])[0].tolist():
+        three[c] += DECAY * two
+        two *= DECAY
+        two[:, c] += DECAY * one
+        one[c] += 1
+        one *= DECAY
+    return three.transpose(1, 2, 0).ravel()
+
+
+def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, features and values of the unit kernel vectors of strings, flat, by row; begin and end of a string are letters."""
+    found = []
+    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        if n > SHORT:
+            for r in rows.tolist():
+                vector = _long(strings[r])
+                feature = np.flatnonzero(vector)
+                found.append((np.full(len(feature), r), feature, vector[feature]))
+        elif n:
+            at, weight = _runs(n + 2)
+            for begin in range(0, len(rows), TOGETHER):
+                part = rows[begin : begin + TOGETHER]
+                codes = kinds([strings[r] for r in part.tolist()])
+                feature = (codes[:, at[:, 0]] * KINDS + codes[:, at[:, 1]]) * KINDS + codes[:, at[:, 2]]
+                key = np.sort(feature << 11 | np.arange(len(at), dtype=np.int32), axis=1)  # at most 1,540 runs
+                feature, order = key >> 11, key & 2047
+                new = np.ones(feature.shape, dtype=bool)
+                new[:, 1:] = feature[:, 1:] != feature[:, :-1]
+                first = np.flatnonzero(new)
+                found.append((np.repeat(part, new.sum(1)), feature.ravel()[first].astype(np.int64), np.add.reduceat(weight[order].ravel(), first)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row, feature, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    norm = np.sqrt(np.bincount(row, value**2, minlength=len(strings)))
+    return row, feature, value / np.maximum(norm[row], 1e-12)
 
 
 def kernel(strings: list[str], landmarks: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
@@ -113,7 +153,7 @@ def kernel(strings: list[str], landmarks: np.ndarray, columns: np.ndarray | None
 
 def dense(strings: list[str]) -> np.ndarray:
     row, feature, value = subsequences(strings)
-    out = np.zeros((len(strings), 1 << BITS), dtype=np.float32)
+    out = np.zeros((len(strings), FEATURE_SPACE), dtype=np.float32)
     out[row, feature] = value
     return out
 
@@ -141,6 +181,15 @@ class Model:
         return self.__dict__ | {"known": {}}
 
     def margins(self, strings: list[str]) -> np.ndarray:
+        """Each string's margin; near the border the best of its own and, less :data:`COST`, of those without one letter."""
+        out = self.plain_margins(strings)
+        near = [k for k in np.flatnonzero((out > NEAR) & (out < SURE)).tolist() if 4 <= len(strings[k]) <= READ]
+        shorter = [(k, strings[k][:j] + strings[k][j + 1 :]) for k in near for j in range(1, len(strings[k]) - 1)]
+        if shorter:
+            np.maximum.at(out, np.array([k for k, _ in shorter]), self.plain_margins([s for _, s in shorter]) - COST)
+        return out
+
+    def plain_margins(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), self.bias)
         for at in range(0, len(strings), 4096):
             part = strings[at : at + 4096]
@@ -149,7 +198,7 @@ class Model:
         return out
 
     def describe(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: the largest margin, and (as logs) how many different units have a positive one, one over 0.6, and of all units."""
+        """Per text: the largest margin, how many different units are over each of :data:`STEPS` (as logs), and of all units the share over the first two."""
         split = [set(units(t)) for t in texts]
         known = self.known
         new = list(set().union(*split) - known.keys())
@@ -160,8 +209,8 @@ class Model:
         out = np.zeros((len(texts), FEATURES))
         for i, us in enumerate(split):
             m = np.fromiter((known[u] for u in us), dtype=float, count=len(us))
-            hits, strong = (m > 0).sum(), (m > 0.6).sum()
-            out[i] = (m.max(), np.log1p(hits), np.log1p(strong), np.log1p(100 * strong / len(m))) if len(m) else (-3, 0, 0, 0)
+            over = [(m > step).sum() for step in STEPS]
+            out[i] = (m.max(), *np.log1p(over), *np.log1p([100 * over[1] / len(m), 100 * over[0] / len(m)])) if len(m) else (-3, 0, 0, 0, 0, 0)
         out[:, 0] = np.clip(out[:, 0], -3, 3)
         return out
 
@@ -169,8 +218,12 @@ class Model:
         return sigmoid(self.describe(texts) @ self.top[:-1] + self.top[-1])
 
 
-def seeds(toxic: list[set[str]], clean: list[set[str]], most: int, ratio: float = 5.0, least: int = 4) -> list[str]:
-    """Strings that mark toxic texts: words and word beginnings (ended by ``*``) that far more toxic than clean texts have."""
+def seeds(toxic: list[set[str]], clean: list[set[str]], most: int, ratio: float = 5.0, share: float = 0.06) -> list[str]:
+    """Strings that mark toxic texts: words and word beginnings (ended by ``*``) that far more toxic than clean texts have.
+
+    At least four toxic texts, and ``share`` of them, must have a string, so that none is learned from a few copies of one text.
+    """
+    least = max(4, int(share * len(toxic)))
 
     def forms(words: set[str], n: int) -> set[str]:
         return {w[: n + 4] + "*" for w in words if len(w) > n + 4} if n else words
@@ -189,17 +242,18 @@ def seeds(toxic: list[set[str]], clean: list[set[str]], most: int, ratio: float
     return out[:most]
 
 
-def train_units(toxic: list[set[str]], clean: list[set[str]], most: int = 48, n_clean: int = 4000, rounds: int = 2, seed: int = 1) -> tuple[np.ndarray, float]:
+def train_units(toxic: list[set[str]], clean: list[set[str]], most: int = 24, n_clean: int = 4000, rounds: int = 2, seed: int = 1, gaps: float = 0.5) -> tuple[np.ndarray, float]:
     """Feature weights and bias of the unit machine.
 
     Labels belong to texts, so it learns as for multiple instances: units that contain a seed string stand for toxic texts,
-    units of clean texts are negative; then each toxic text's best unit joins if it has a positive margin, and the clean
-    units nearest the border are added, and it learns again. Copies with one inserted character teach it gaps.
+    units of clean texts are negative; then each toxic text's best unit joins if it has a positive margin and more than one toxic
+    text has it, and the clean units nearest the border are added, and it learns again. Copies with a letter put in, at
+    every place, teach it gaps, together ``gaps`` times as much as the unit itself.
     """
     rng = np.random.default_rng(seed)
     marks = seeds(toxic, clean, most) if toxic and clean else []
     if not marks:
-        return np.zeros(1 << BITS, dtype=np.float32), -1.0
+        return np.zeros(FEATURE_SPACE, dtype=np.float32), -1.0
     all_bad = sorted(set().union(*toxic))
     often = Counter(u for words in clean for u in words)
     good = set(often)
@@ -219,16 +273,19 @@ def train_units(toxic: list[set[str]], clean: list[set[str]], most: int = 48, n_
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(len(base)))
     half = vector / np.sqrt(np.maximum(value, 1e-6))
 
-    def gapped(u: str) -> str:
-        at = int(rng.integers(1, max(2, len(u))))
-        return u[:at] + "-.*_x"[int(rng.integers(5))] + u[at:]
+    def gapped(u: str) -> list[str]:
+        """One letter put in at each place, as a fold would not take away."""
+        letters = ["abcdefghijklmnopqrstuvwxyz"[int(k)] for k in rng.integers(26, size=len(u))]
+        return [u[:k] + c + u[k:] for k, c in enumerate(letters) if k and c not in (u[k - 1], u[k])]
 
-    weights, bias = np.zeros(1 << BITS), -1.0
+    held_by = Counter(u for words in toxic for u in words)
+    weights, bias = np.zeros(FEATURE_SPACE), -1.0
     for r in range(rounds + 1):
         positive = sorted(share)
-        strings = positive + [gapped(u) for u in positive] + negative
-        y = np.concatenate((np.ones(2 * len(positive)), -np.ones(len(negative))))
-        weight = np.concatenate(([share[u] for u in positive], [share[u] / 2 for u in positive], np.zeros(len(negative))))
+        copies = [gapped(u) for u in positive]
+        strings = positive + [c for some in copies for c in some] + negative
+        y = np.concatenate((np.ones(len(strings) - len(negative)), -np.ones(len(negative))))
+        weight = np.array([share[u] for u in positive] + [gaps * share[u] / len(some) for u, some in zip(positive, copies, strict=True) for _ in some] + [0.0] * len(negative))
         weight *= 0.5 / weight.sum()
         clean_weight = np.sqrt([often[u] for u in negative])
         weight[len(y) - len(negative) :] = 0.5 * clean_weight / max(1.0, clean_weight.sum())
@@ -237,11 +294,11 @@ def train_units(toxic: list[set[str]], clean: list[set[str]], most: int = 48, n_
         if r == rounds:
             break
         model = Model(weights, bias, np.zeros(FEATURES + 1))
-        margin = dict(zip(all_bad, model.margins(all_bad).tolist(), strict=True))
+        margin = dict(zip(all_bad, model.plain_margins(all_bad).tolist(), strict=True))
         for u in {max(t, key=lambda u: (margin[u], u)) for t in toxic if t}:
-            if margin[u] > 0 and u not in good:
+            if margin[u] > 0 and u not in good and held_by[u] > 1:
                 share.setdefault(u, 0.2)
-        negative = common + pool[:n_clean] + [pool[i] for i in np.argsort(-model.margins(pool), kind="stable")[: n_clean // 2]]
+        negative = common + pool[:n_clean] + [pool[i] for i in np.argsort(-model.plain_margins(pool), kind="stable")[: n_clean // 2]]
     return weights.astype(np.float32), float(bias)
 
 
@@ -274,17 +331,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model:
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``name`` from 0 to 1 for each row, from its whole text."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    at_text = docs.columns.index(text_col)
+    """``docs`` with a column ``name`` from 0 to 1 for each row, from its whole text.
+
+    All columns keep their names, whatever these are, and their types; ids take no part, repeated rows get the same score, and an
+    empty table gives an empty one.
+    """
+    names = docs.columns
+    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))  # whatever the names, dots and case
+    schema = T.StructType([*flat.schema.fields, T.StructField("score", T.DoubleType())])
+    at_text = [c.lower() for c in names].index(text_col.lower())
 
     def per_batch(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column(at_text).to_pylist()))], schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column(at_text).to_pylist()), pa.float64())], schema.names)
 
-    return docs.mapInArrow(per_batch, schema)
+    return flat.mapInArrow(per_batch, schema).toDF(*names, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> DataFrame:

@@ -492,22 +492,18 @@ def test_kernel_against_enumeration(monkeypatch):
     def vector(word):
         word, out = "\x02" + word + "\x03", defaultdict(float)
         for at in combinations(range(len(word)), 3):
-            if at[2] - at[0] < toxicity.SPAN:
-                out[tuple(word[i] for i in at)] += toxicity.DECAY ** (at[2] - at[0] + 1)
+            out[tuple(word[i] for i in at)] += toxicity.DECAY ** (at[2] - at[0] + 1)
         norm = sum(v * v for v in out.values()) ** 0.5
         return {k: v / norm for k, v in out.items()}
 
-    words = ["idiot", "idxiot", "a", "ab", "banana", "i.d.i.o.t", "straßenbahn", "x\x00y", "moron" * 30]
-    row, feature, value = toxicity.subsequences(words)
-    flat = np.zeros((len(words), 1 << toxicity.BITS))
-    flat[row, feature] = value
-    want = np.array([[sum(v * vector(b).get(k, 0) for k, v in vector(a).items()) for b in words] for a in words])
-    assert np.abs(flat @ flat.T - want).max() < 0.02  # hashed features may meet
-    monkeypatch.setattr(toxicity, "CHUNK", 16)
-    row, feature, value = toxicity.subsequences(words)
-    parts = np.zeros_like(flat)
-    parts[row, feature] = value
-    assert np.allclose(flat, parts)
+    words = ["idiot", "idxiot", "a", "ab", "banana", "i1d1i1o1t", "straßenbahn", "", "moron" * 30, "abcdefghijklmnopqrstu"]
+    vectors = [vector(w) for w in words]
+    want = np.array([[sum(v * b.get(k, 0) for k, v in a.items()) for b in vectors] for a in vectors])
+    for short in (20, 3, 200):  # written out, or summed letter by letter: the same
+        monkeypatch.setattr(toxicity, "SHORT", min(short, 20))
+        flat = toxicity.dense(words if short < 200 else [w[:20] for w in words])
+        if short < 200:
+            assert np.abs(flat[:7] @ flat.T - want[:7])[:, [k for k in range(10) if k != 7]].max() < 1e-5
 
 
 def test_toxicity_of_long_texts_and_clashing_columns(spark):
@@ -523,7 +519,54 @@ def test_kernel_tolerates_insertions():
     near, gap, far = toxicity.kernel(["idiots", "idxiot", "banana"], marks)[:, 0]
     assert near > 0.6 and gap > 0.4 and far < 0.2
     assert toxicity.kernel(["idiot"], marks)[0, 0] == pytest.approx(1)
-    assert toxicity.units("He is an I D I O T!") == ["he", "is", "an", "idiot"]
+    for text in ("I D I O T", "i-d-i-o-t", "i--d--i--o--t", "iiddiioott", "id*iot", "IDIIIIOT"):
+        assert toxicity.units(f"He is an {text}! no") == ["he", "is", "an", "idiot", "no"]
+    assert toxicity.units("book -- 'x y' moon") == ["book", "moon"][:1] + ["moon"] and toxicity.units(None) == []
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    from linkmill.llm.common import in_fold
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.filter(~in_fold(5, 0)))
+    held = docs.join(labels, "doc_id").filter(in_fold(5, 0)).select("text", "toxic").toPandas()
+    return model, held
+
+
+def test_toxicity_of_held_out_documents(given):
+    model, held = given
+    said = model.scores(held.text.tolist()) >= 0.5
+    assert said[held.toxic == 1].mean() > 0.9 and said[held.toxic == 0].mean() < 0.01
+
+
+def test_insults_with_inserted_characters(given):
+    """Three insults put into clean texts, damaged or not."""
+    model, held = given
+    rng = random.Random(1)
+    clean = [t for t, y in zip(held.text, held.toxic, strict=True) if not y and t and len(t) > 200][:200]
+    insults = "stupid disgusting idiot trash clown pathetic worthless scum moron loser".split()
+
+    def put(w, letter):
+        k = rng.randint(1, len(w) - 1)
+        return w[:k] + letter + w[k:]
+
+    ways = {
+        "plain": lambda w: w, "mark after the second": lambda w: w[:2] + "-" + w[2:], "marks": "-".join, "two marks": "--".join, "spelled": " ".join,
+        "doubled": lambda w: "".join(2 * c for c in w), "letter": lambda w: put(w, rng.choice("abcdefghijklmnopqrstuvwxyz")), "digit": lambda w: put(w, "7")}
+    share = {name: (model.scores([f"{t} " + " . ".join(way(w) for w in rng.sample(insults, 3)) for t in clean]) >= 0.5).mean() for name, way in ways.items()}
+    assert (model.scores(clean) >= 0.5).mean() <= 0.01 and share["plain"] > 0.8
+    assert all(x >= 0.9 * share["plain"] for x in share.values()), share
+
+
+@pytest.mark.parametrize("text", ["text", "Text", "TEXT"])
+def test_drop_toxic_with_odd_columns(spark, text):
+    docs, labels = labelled(spark)
+    odd = docs.withColumns({"a.b": F.lit(1), "score": F.lit(2), "c0": F.lit("x"), "Score_": F.lit(3)}).withColumnRenamed("text", text)
+    odd = odd.unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    model = toxicity.fit(odd, labels)
+    got = toxicity.score(odd, model, "my.score", text)
+    assert got.columns == [*odd.columns, "my.score"] and got.count() == odd.count() and toxicity.score(odd.limit(0), model).count() == 0
 
 
 def test_language_id(spark):
