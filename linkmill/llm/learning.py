@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .common import mix
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_classes: int = 500) -> DataFrame:
     """``doc_id, text`` and ``label`` of at most ``per_class`` documents of each class: those with the smallest id hashes.
 
+    Of more than ``most_classes`` classes those with the most ids are learned (ties by name), so a column of junk labels doesn't grow the sample.
+
     ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``label``. An id counts once, with its largest label and, of
     several texts, that with the smallest hash. Ids and labels that are null, and ids without a document, are left out
     before ranking. So the bound holds whatever repeats, and every class with documents is filled.
@@ -22,9 +24,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> Da
     """
     ids = labels.select("doc_id", label).na.drop().groupBy("doc_id").agg(F.max(label).alias(label))
     ids = ids.join(docs.filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    classes = ids.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).select(label)
+    ids = ids.join(F.broadcast(classes), label, "left_semi")  # most_classes rows at most
     order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).drop("nth")
-    found = docs.filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")  # per_class rows of each class at most
+    found = docs.filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")  # per_class rows of each of most_classes at most
     return found.groupBy("doc_id", label).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
