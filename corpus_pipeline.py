@@ -15,14 +15,22 @@ from linkmill.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a toxicity score of 0.5 or more; null and empty texts stay."""
+    """Drops documents with a toxicity score of 0.5 or more.
+
+    Null and empty texts stay. Each row is judged by its text alone, so repeated rows go or stay together and ids may be null; an
+    empty table gives an empty one. Without labels of both kinds nothing is known and the share of toxic labels decides.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~in_fold(5, 0)))
     name = free_name(docs, "score")
     return toxicity.score(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each text by the lines that it keeps."""
+    """Replaces each text by the lines that it keeps; all rows stay.
+
+    Null texts stay null, empty ones empty. Rows of one id with different texts are judged each by its own lines, repeated rows
+    alike; lines under a null id may be dropped but don't count as a document. An empty table gives an empty one.
+    """
     return line_dedup.drop_lines(docs)
 
 
@@ -54,7 +62,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens.
+
+    Null and empty texts are the closing id alone. Each row is a document, so repeated rows and rows without an id are all packed;
+    an empty table gives an empty one. Columns other than id and text take no part.
+    """
     return packing.pack(docs, vocabulary())
 
 
