@@ -123,10 +123,11 @@ oracle("unseen_initial", """SELECT run, """ + ", ".join(f"""count(*) FILTER ({c}
  FROM (SELECT o.*, r.id IS NOT NULL AS shown, list_contains(string_split(r.options, '|'), o.initial_qid) AS seen FROM b_ok o LEFT JOIN b_review r ON o.id = r.id WHERE {_live} AND initial_qid <> qid AND ok <> init_ok AND o.id NOT IN (SELECT id FROM b_labels WHERE unclear)) GROUP BY run""",
        RUNS, REVIEW, LABELS, judged("b_runs", True))
 oracle("error_summary", "SELECT * FROM (SELECT run, message, mentions, row_number() OVER (PARTITION BY run ORDER BY mentions DESC, message) AS nth FROM (SELECT run, substring(reason, 1, 160) AS message, count(*) AS mentions FROM b_runs WHERE qid = 'ERROR' GROUP BY ALL)) WHERE nth <= 3", RUNS)
-oracle("errors_table", """SELECT r.run, r.id, r.gold, coalesce(g.p_name, '') AS gold_label, r.qid AS agent, CASE WHEN a.p_partkey IS NULL THEN '' ELSE concat('made as ', a.p_type) END AS agent_desc, list_contains(r.candidates, r.gold) AS gold_in_candidates,
- CASE r.k % 5 WHEN 1 THEN 'TYPE' WHEN 2 THEN 'LABEL,NIL' WHEN 3 THEN 'NIL' WHEN 4 THEN 'TYPE,TYPE,LABEL' ELSE '' END AS checks_fired, coalesce(x.qid, '') AS alpha, coalesce(y.qid, '') AS partial
- FROM b_runs r LEFT JOIN part g ON r.gold = concat('Q', g.p_partkey) LEFT JOIN part a ON r.qid = concat('Q', a.p_partkey) LEFT JOIN b_runs x ON x.run = 'alpha' AND x.id = r.id LEFT JOIN b_runs y ON y.run = 'partial' AND y.id = r.id
- WHERE r.qid <> 'ERROR' AND r.qid <> r.gold""", RUNS)
+oracle("errors_table", """SELECT r.run, r.id, r.gold, coalesce(g.p_name, '') AS gold_label, r.qid AS agent, CASE WHEN a.item IS NULL THEN '' ELSE concat('made as ', a.p_type) END AS agent_desc, list_contains(r.candidates, r.gold) AS gold_in_candidates,
+ CASE r.k % 5 WHEN 1 THEN 'TYPE' WHEN 2 THEN 'LABEL,NIL' WHEN 3 THEN 'NIL' WHEN 4 THEN 'TYPE,TYPE,LABEL' ELSE '' END AS checks_fired, coalesce(s.alpha, '') AS alpha, coalesce(s.partial, '') AS partial
+ FROM b_wrong r LEFT JOIN b_item g ON r.gold = g.item LEFT JOIN b_item a ON r.qid = a.item LEFT JOIN b_said s ON s.id = r.id""", RUNS.replace("AS (", "AS MATERIALIZED (", 1),
+       "b_wrong AS MATERIALIZED (SELECT run, id, k, gold, qid, candidates FROM b_runs WHERE qid <> 'ERROR' AND qid <> gold)", "b_item AS MATERIALIZED (SELECT concat('Q', p_partkey) AS item, p_name, p_type FROM part)",
+       "b_said AS MATERIALIZED (SELECT id, max(CASE WHEN run = 'alpha' THEN qid END) AS alpha, max(CASE WHEN run = 'partial' THEN qid END) AS partial FROM b_runs WHERE run IN ('alpha', 'partial') GROUP BY id)")
 oracle("exact_sign_p", f"SELECT g, b, c, round({sign_p('b', 'c')}, 5) AS p FROM (SELECT o_custkey % 100 AS g, count(*) FILTER (o_orderkey % 3 = 0) AS b, count(*) FILTER (o_orderkey % 5 = 0) AS c FROM orders GROUP BY 1)")
 oracle("wilson_interval", f"SELECT g, {wilson('k', 'n')} FROM (SELECT o_custkey % 100 AS g, count(*) FILTER (o_orderkey % 3 = 0) AS k, count(*) AS n FROM orders GROUP BY 1)")
 
@@ -169,6 +170,8 @@ oracle("doc_context", """SELECT id, concat(CASE WHEN a > 0 THEN '…' ELSE '' EN
 
 oracle("mentions_from_nested", "SELECT concat(doc_id, '-', row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) AS id, doc_id, mention, type, gold FROM b_mentions", MENTION)
 oracle("mentions_from_flat", "SELECT concat(id, '-0') AS id, mention, type, gold FROM b_mentions", MENTION)
+oracle("mentions_without_ids", "SELECT concat(row_number() OVER (ORDER BY doc_id) - 1, '-0') AS id, 'sentence' AS mention, concat('Q', doc_id) AS gold FROM documents")
+oracle("last_answers", "SELECT id, CASE WHEN k % 4 = 0 THEN 'Q_new' ELSE qid END AS qid FROM b_runs WHERE run = 'alpha' AND (k % 4 = 0 OR qid <> 'ERROR')", RUNS)
 _BIO = """b_tok AS (SELECT doc_id, word, pos - 1 AS pos FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM documents))),
 b_tag AS (SELECT *, CASE pos % 7 WHEN 0 THEN 'B-PER' WHEN 1 THEN 'I-PER' WHEN 3 THEN 'I-LOC' WHEN 4 THEN 'E-ORG' WHEN 6 THEN 'S-LOC' ELSE 'O' END AS tag, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b0 FROM b_tok),
 b_open AS (SELECT *, sum(CASE WHEN pos % 7 IN (0, 3, 4, 6) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM b_tag WHERE tag <> 'O'),
@@ -292,6 +295,7 @@ b_pool AS (SELECT b.*, r.status AS pstatus, r.accepted AS paccepted, r.annotator
 # --- sources and streams ---------------------------------------------------------------------------------------------
 
 oracle("read_runs", """SELECT CASE run WHEN 'alpha' THEN 'alpha' ELSE 'gamma@r2' END AS run, count(*) AS n, count(*) FILTER (qid = 'ERROR') AS errors, count(*) FILTER (k % 5 > 0) AS traced FROM b_runs WHERE run IN ('alpha', 'full_beta') GROUP BY 1""", RUNS)
+oracle("sniff_files", "SELECT kind, format, count(*) AS files FROM (SELECT DISTINCT p_partkey % 40 AS nth, ['lines', 'packed', 'pages', 'tokens', 'blank'][CAST(p_partkey % 5 AS INT) + 1] AS kind, ['json', 'gzip', 'html', 'conll', 'empty'][CAST(p_partkey % 5 AS INT) + 1] AS format FROM part) GROUP BY ALL")
 oracle("read_rows", "SELECT id, mention, gold FROM b_mentions", MENTION)
 oracle("read_records", "SELECT doc_id, length(text) AS n_chars FROM documents")
 oracle("read_review", 'SELECT id, "group", options, sources, status, accepted, carried FROM b_review', REVIEW)

@@ -248,8 +248,7 @@ def doc_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mentions_from_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.mentions(spark, sf_dir).groupBy("doc_id", "text").agg(F.sort_array(F.collect_list(F.struct("pos", "mention", "gold", "type"))).alias("entities"))
-    rows = corpus.mentions_from_nested(docs, {"id": "doc_id", "text": "text", "entities": "entities", "mention": "mention", "qid": "gold", "type": "type"})
+    rows = corpus.mentions_from_nested(b.annotated(spark, sf_dir), {"id": "doc_id", "text": "text", "entities": "entities", "mention": "mention", "qid": "gold", "type": "type"})
     return rows.select("id", "doc_id", "mention", "type", "gold")
 
 
@@ -258,6 +257,26 @@ def mentions_from_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.mentions_from_flat(b.mentions(spark, sf_dir).drop("doc_id"), {"id": "id", "text": "text", "mention": "mention", "qid": "gold", "type": "type"}).select("id", "mention", "type", "gold")
 
 
+@query
+def mentions_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines in several part files, read back: each record, whatever repeats, is named by its number over all files."""
+    folder = shared_folder(spark)
+    docs = b.table(spark, sf_dir, "documents").selectExpr("doc_id", "'the same sentence' AS text", "concat('Q', doc_id) AS qid")
+    docs.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").select("text", F.lit("sentence").alias("mention"), "qid").write.json(folder)
+    rows = readers.read_records(spark, folder, "text string, mention string, qid string", lines=True, number="n")
+    return corpus.mentions_from_flat(rows, {"id": None, "text": "text", "mention": "mention", "qid": "qid", "number": "n"}).select("id", "mention", "gold")
+
+
+@query
+def last_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run in part files of which later ones answer again what earlier ones did: the last record of each mention by the readers' order."""
+    folder = shared_folder(spark)
+    rows = b.runs(spark, sf_dir).filter("run = 'alpha'").select("id", "qid", F.col("ord").alias("k"))
+    again = rows.filter("k % 4 = 0").withColumns({"qid": F.lit("Q_new"), "k": F.col("k") + (1 << 40)})
+    rows.unionByName(again).repartitionByRange(5, "k").sortWithinPartitions("k").drop("k").write.json(f"{folder}/again.jsonl")
+    return scoring.answered_by_all(readers.read_runs(spark, folder, ["id", "qid"])).select("id", "qid")
+
+
 @query
 def mentions_from_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.mentions_from_bio(_bio(spark, sf_dir), {"id": "doc_id", "tokens": "tokens", "tags": "tags", "qids": "qids"}).drop("text", "source")
@@ -272,7 +291,7 @@ def _bio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def detect_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guesses from a bounded head of each layout, applied to all of it: mentions by layout."""
-    nested = b.mentions(spark, sf_dir).groupBy("doc_id", "text").agg(F.collect_list(F.struct(F.col("mention").alias("entity"), F.col("gold").alias("wikidata"), F.col("type").alias("label"))).alias("entities"))
+    nested = b.annotated(spark, sf_dir, mention="entity", gold="wikidata", type="label")
     bio = _bio(spark, sf_dir)
     flat = b.mentions(spark, sf_dir).select("id", F.col("text").alias("context"), F.col("mention").alias("span"), F.col("gold").alias("qid"), F.col("type").alias("ner"))
     parts = [corpus.mentions_from_nested(nested, corpus.detect_roles(nested), "nested"), corpus.mentions_from_bio(bio, corpus.detect_roles(bio), "bio"), corpus.mentions_from_flat(flat, corpus.detect_roles(flat), "flat")]
@@ -668,13 +687,15 @@ def read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sniff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as files of five kinds, forty in all, and what their first bytes say."""
     folder = shared_folder(spark)
-    rows = b.mentions(spark, sf_dir).select("id", "mention")
-    rows.write.json(f"{folder}/plain")
-    rows.write.json(f"{folder}/packed", compression="gzip")
-    b.table(spark, sf_dir, "pages").select("html").write.text(f"{folder}/pages")
-    parts = [readers.sniff_files(spark, f"{folder}/{n}/part-*").select(F.lit(n).alias("folder"), "format") for n in ("plain", "packed", "pages")]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    part = b.table(spark, sf_dir, "part").withColumn("nth", F.col("p_partkey") % 40)
+    kinds = {"lines": F.to_json(F.struct("p_partkey", "p_name")), "packed": F.to_json(F.struct("p_name")), "pages": F.concat(F.lit("<p>"), "p_name"), "tokens": F.concat_ws("\t", F.lit("x"), "p_name"), "blank": F.lit("  ")}
+    for k, (kind, line) in enumerate(kinds.items()):
+        rows = part.filter(F.col("p_partkey") % 5 == k).select("nth", line.alias("value")).repartition(1)
+        rows.write.partitionBy("nth").text(f"{folder}/{kind}", compression="gzip" if kind == "packed" else "none")
+    found = readers.sniff_files(spark, f"{folder}/*/nth=*/part-*")
+    return found.groupBy(F.element_at(F.split("path", "/"), -3).alias("kind"), "format").agg(F.count("*").alias("files"))
 
 
 @query
@@ -704,8 +725,8 @@ def _landed(rows: DataFrame, spark: SparkSession) -> tuple[str, StructType]:
 
 @query
 def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.mentions(spark, sf_dir).groupBy("doc_id").agg(F.min("text").alias("text"), F.collect_list(F.struct("mention", "type", "gold")).alias("mentions"))
-    folder, schema = _landed(docs.select("text", "mentions"), spark)
+    docs = b.annotated(spark, sf_dir).select("text", F.transform("entities", lambda e: F.struct(e["mention"].alias("mention"), e["type"].alias("type"), e["gold"].alias("gold"))).alias("mentions"))
+    folder, schema = _landed(docs, spark)
     jobs.stream_profile(spark, f"{folder}/in", schema, f"{folder}/table", f"{folder}/state").awaitTermination()
     return jobs.read_profile(spark, f"{folder}/table").select("measure", F.round("value", 2).alias("value"))
 

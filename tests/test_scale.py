@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from linkmill.operators import corpus, kb, merging
+from linkmill.operators import corpus, kb, linking, merging
 from linkmill.sources import formats, readers
 from linkmill.sources.numbering import numbered
 from linkmill.streaming import jobs
@@ -244,6 +244,25 @@ def test_small_tables_are_written_as_csv(spark, tmp_path):
     assert [p.suffix for p in (tmp_path / "one").glob("*.csv")] == [".csv"] and spark.read.csv(str(tmp_path / "two"), header=True, quote='"', escape='"').first()[0] == 'a,"b"'
 
 
+# --- links and flags -------------------------------------------------------------------------------------------------
+
+
+def test_links_of_classes_that_are_no_names_are_left_out(spark):
+    links = spark.createDataFrame([("A", 0, "x y z", w, w, 2 * k, 2 * k + 1) for k, w in enumerate("xyz")], "doc_id string, para int, text string, anchor string, target string, start int, end int")
+    titles = spark.createDataFrame([("x", "Q1"), ("y", "Q2"), ("z", "Q3")], "target string, gold string")
+    closure = spark.createDataFrame([("person", "Q5"), ("writer", "Q5")], "class string, root string")
+    instances = spark.createDataFrame([("Q1", "writer"), ("Q1", "hobby"), ("Q2", "hobby")], "qid string, class string")
+    assert {r.gold for r in corpus.build_link_set(links, titles, closure, instances, 10).collect()} == {"Q1", "Q3"}  # Q3's class isn't known
+    assert {r.gold for r in corpus.build_link_set(links, titles, None, None, 10).collect()} == {"Q1", "Q2", "Q3"}
+
+
+def test_flags_of_a_batch_come_back_to_their_mentions(spark):
+    answers = spark.createDataFrame([("d", "1-0", 0, "Paris", "Q90"), ("d", "1-1", 1, "Lyon", "Q456"), ("d", "1-2", 2, "x", "NIL"), ("e", "2-0", 0, "alone", "Q1")], "doc_id string, id string, pos int, mention string, qid string").withColumns({"type": F.lit("LOC"), "text": F.lit("t")})
+    flags = spark.createDataFrame([("d", 1, None), ("d", 7, "no such place"), ("e", 0, "not in a batch"), ("d", 0, "wrong town")], "doc_id string, pos int, reason string")
+    got = linking.coherence_flags(linking.coherence_batches(answers), flags).collect()
+    assert {r.id: r.reason for r in got} == {"1-0": "wrong town", "1-1": "inconsistent with the other entities in the text"}
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 RUN = "run string, ord long, id string, qid string"
