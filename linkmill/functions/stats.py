@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+import hashlib
+from math import ceil, exp, floor, lgamma, log, log1p, sqrt
 
 import numpy as np
 import pandas as pd
@@ -51,12 +52,44 @@ def wilson_interval(k: Column | str, n: Column | str, z: float = 1.96) -> Column
     return F.struct(F.when(n != 0, F.bround(low, 4)).alias("low"), F.when(n != 0, F.bround(high, 4)).alias("high"))
 
 
+def uniform_draws(n: int, *key: object) -> np.ndarray:
+    """``n`` pairs of uniform numbers: 52 bits each of the md5 of the key and a counter, so that any engine draws the same."""
+    heads = [hashlib.md5("-".join(map(str, (*key, i))).encode()).hexdigest() for i in range(n)]
+    return np.array([(int(h[:13], 16), int(h[13:26], 16)) for h in heads], dtype=float).reshape(n, 2) / 2.0**52
+
+
+def binomial_quantiles(n: int, p: float, u: np.ndarray) -> np.ndarray:
+    """The least k for each ``u`` whose binomial distribution function is above it; sums run over twelve deviations around the mean."""
+    if n == 0 or p <= 0:
+        return np.zeros(len(u), dtype=np.int64)
+    if p >= 1:
+        return np.full(len(u), n)
+    spread = 12 * sqrt(n * p * (1 - p)) + 12
+    low, high = max(0, floor(n * p - spread)), min(n, ceil(n * p + spread))
+    k = np.arange(low, high)
+    first = lgamma(n + 1) - lgamma(low + 1) - lgamma(n - low + 1) + low * log(p) + (n - low) * log1p(-p)
+    terms = first + np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1)) + log(p) - log1p(-p))])
+    return np.minimum(low + np.searchsorted(np.cumsum(np.exp(terms)), u, side="right"), high)
+
+
+def resampled_differences(wins: int, losses: int, n: int, n_boot: int, seed: int) -> np.ndarray:
+    """Wins less losses in ``n_boot`` resamples of ``n`` pairs: how many of them differ at all, and how many of those are wins."""
+    u = uniform_draws(n_boot, seed, wins, losses, n)
+    differ = binomial_quantiles(n, (wins + losses) / n, u[:, 0])
+    won = np.zeros(n_boot, dtype=np.int64)
+    for d in np.unique(differ).tolist():
+        at = differ == d
+        won[at] = binomial_quantiles(d, wins / (wins + losses) if d else 0.0, u[at, 1])
+    return 2 * won - differ
+
+
 def bootstrap_ci(n_boot: int = 2000, seed: int = 13):
     """A function of (wins, losses, n): ``low, high`` of the percentile interval of the accuracy difference.
 
-    Paired differences are only -1, 0 and 1, so a resample of the mentions is one multinomial draw of (wins, losses,
-    ties): the cost follows the number of resamples and not of mentions. The draw depends on the seed and the counts
-    alone. Null without mentions or resamples.
+    Paired differences are only -1, 0 and 1, so a resample of the mentions is one multinomial draw of (wins, losses, ties), made of
+    two binomial ones: the cost follows the number of resamples and the spread of the counts, not the mentions. Draws invert the
+    distribution functions at numbers that depend on seed, counts and the resample alone (:func:`uniform_draws`), so they
+    are the same wherever they are made. Null without mentions or resamples.
     """
 
     @F.pandas_udf("low double, high double")
@@ -66,10 +99,8 @@ def bootstrap_ci(n_boot: int = 2000, seed: int = 13):
             if not m or not n_boot:
                 out.append((None, None))
                 continue
-            rng = np.random.default_rng([seed, int(w), int(x), int(m)])
-            draw = rng.multinomial(int(m), [w / m, x / m, max(0.0, 1 - (w + x) / m)], size=n_boot)
-            found = np.sort((draw[:, 0] - draw[:, 1]) / m)
-            out.append((float(found[int(0.025 * n_boot)]), float(found[int(0.975 * n_boot) - 1])))
+            found = np.sort(resampled_differences(int(w), int(x), int(m), n_boot, seed))
+            out.append((found[int(0.025 * n_boot)] / m, found[int(0.975 * n_boot) - 1] / m))
         return pd.DataFrame(out, columns=["low", "high"], dtype="float64")
 
     return interval

@@ -38,6 +38,29 @@ def wilson(k: str, n: str) -> str:
     return f"{side('greatest', '-', 0)} AS low, {side('least', '+', 1)} AS high"
 
 
+def resampled(source: str, n_boot: int = 2000, seed: int = 13) -> list[str]:
+    """``b_ci``: the percentile interval of wins less losses over n for each ``wins, losses, n`` of ``source``, as the library draws it."""
+    spread = "(12 * sqrt({n} * {p} * (1 - {p})) + 12)"
+
+    def table(name: str, rows: str) -> list[str]:
+        """``name``: the distribution functions of ``rows`` (``key, n, p``), with a place before the first one."""
+        s = spread.format(n="n", p="p")
+        term = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(greatest(p, 1e-300)) + (n - k) * ln(greatest(1 - p, 1e-300)))"
+        return [f"{name}_at AS (SELECT *, greatest(0, floor(n * p - {s}))::BIGINT AS lo, least(n, ceil(n * p + {s}))::BIGINT AS hi FROM ({rows}))",
+                f"{name}_k AS (SELECT key, n, p, hi, unnest(range(lo, hi + 1)) AS k FROM {name}_at)",
+                f"{name} AS (SELECT key, hi, k, sum(CASE WHEN p <= 0 THEN (CASE WHEN k = 0 THEN 1 ELSE 0 END) WHEN p >= 1 THEN (CASE WHEN k = n THEN 1 ELSE 0 END) ELSE {term} END) OVER (PARTITION BY key ORDER BY k) AS cdf FROM {name}_k UNION ALL SELECT key, hi, lo - 1, -1 FROM {name}_at)"]
+
+    return [
+        f"b_counts AS (SELECT DISTINCT wins, losses, n, concat(wins, '-', losses, '-', n) AS c FROM {source} WHERE n > 0)",
+        f"b_hash AS (SELECT *, i, md5(concat('{seed}-', c, '-', i)) AS h FROM b_counts, range({n_boot}) t(i))",
+        "b_draw AS (SELECT * EXCLUDE (h), ('0x' || substring(h, 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u1, ('0x' || substring(h, 14, 13))::BIGINT / 4503599627370496::DOUBLE AS u2 FROM b_hash)",
+        *table("b_one", "SELECT c AS key, n, (wins + losses)::DOUBLE / n AS p FROM b_counts"),
+        "b_differ AS (SELECT d.*, least(o.k + 1, o.hi) AS differ FROM b_draw d ASOF JOIN b_one o ON d.c = o.key AND d.u1 >= o.cdf)",
+        *table("b_two", "SELECT DISTINCT concat(c, '/', differ) AS key, differ AS n, CASE WHEN differ > 0 THEN wins::DOUBLE / (wins + losses) ELSE 0 END AS p FROM b_differ"),
+        "b_won AS (SELECT d.*, least(o.k + 1, o.hi) AS won FROM b_differ d ASOF JOIN b_two o ON concat(d.c, '/', d.differ) = o.key AND d.u2 >= o.cdf)",
+        f"b_ci AS (SELECT wins, losses, n, l[{int(0.025 * n_boot) + 1}]::DOUBLE / n AS low, l[{int(0.975 * n_boot)}]::DOUBLE / n AS high FROM (SELECT wins, losses, n, list_sort(list(2 * won - differ)) AS l FROM b_won GROUP BY ALL))"]
+
+
 def common(source: str = "b_runs", by: str = "", exclude: str = "") -> str:
     """``b_common``: the answers of complete runs to mentions that all of them answered, inside each value of ``by``."""
     g = f"{by}, " if by else ""
@@ -90,6 +113,8 @@ oracle("common_mentions", "SELECT DISTINCT id FROM b_common", RUNS, common())
 oracle("common_mention_counts", "SELECT *, n_union - n_common AS n_dropped FROM (SELECT (SELECT count(*) FROM b_kept) AS n_runs, (SELECT count(DISTINCT id) FROM b_in) AS n_union, (SELECT count(DISTINCT id) FROM b_common) AS n_common)", RUNS, REVIEW, LABELS, common(exclude=_NOT_UNCLEAR))
 oracle("answer_correctness", "SELECT run, id, ok, init_ok FROM b_ok", RUNS, REVIEW, LABELS, judged("b_runs", True))
 oracle("paired_table", f"SELECT * EXCLUDE (calls), {_PAIRS} FROM (SELECT run, {_COUNTS}, {_WINS}, {_CALLS} FROM b_ref GROUP BY run)", RUNS, REVIEW, LABELS, common(exclude=_NOT_UNCLEAR), judged("b_common", True), referenced())
+oracle("paired_table_intervals", f"SELECT p.* EXCLUDE (calls), {_PAIRS}, i.low AS diff_low, i.high AS diff_high FROM b_paired p JOIN b_ci i USING (wins, losses, n)", RUNS, common(), judged("b_common", False), referenced(),
+       f"b_paired AS (SELECT run, {_COUNTS}, {_WINS}, {_CALLS} FROM b_ref GROUP BY run)", *resampled("b_paired"))
 _GROUPED = "b_src AS (SELECT *, category AS g FROM b_runs WHERE category <> '')"
 _SCRIPT = "CASE WHEN regexp_matches(mention, '[A-Za-z]') AND regexp_matches(mention, '[\\x{0600}-\\x{06FF}]') THEN 'mixed' WHEN regexp_matches(mention, '[A-Za-z]') THEN 'latin' ELSE 'arabic' END"
 for name, source in (("paired_by", _GROUPED), ("by_script", f"b_src AS (SELECT *, {_SCRIPT} AS g FROM b_runs)")):
@@ -128,6 +153,8 @@ oracle("errors_table", """SELECT r.run, r.id, r.gold, coalesce(g.p_name, '') AS
  FROM b_wrong r LEFT JOIN b_item g ON r.gold = g.item LEFT JOIN b_item a ON r.qid = a.item LEFT JOIN b_said s ON s.id = r.id""", RUNS.replace("AS (", "AS MATERIALIZED (", 1),
        "b_wrong AS MATERIALIZED (SELECT run, id, k, gold, qid, candidates FROM b_runs WHERE qid <> 'ERROR' AND qid <> gold)", "b_item AS MATERIALIZED (SELECT concat('Q', p_partkey) AS item, p_name, p_type FROM part)",
        "b_said AS MATERIALIZED (SELECT id, max(CASE WHEN run = 'alpha' THEN qid END) AS alpha, max(CASE WHEN run = 'partial' THEN qid END) AS partial FROM b_runs WHERE run IN ('alpha', 'partial') GROUP BY id)")
+oracle("bootstrap_ci", "SELECT o_orderpriority, low, high FROM b_src JOIN b_ci USING (wins, losses, n)",
+       "b_src AS (SELECT o_orderpriority, count(*) FILTER (o_orderkey % 7 = 0) AS wins, count(*) FILTER (o_orderkey % 7 = 1) AS losses, count(*) AS n FROM orders GROUP BY ALL)", *resampled("b_src"))
 oracle("exact_sign_p", f"SELECT g, b, c, round({sign_p('b', 'c')}, 5) AS p FROM (SELECT o_custkey % 100 AS g, count(*) FILTER (o_orderkey % 3 = 0) AS b, count(*) FILTER (o_orderkey % 5 = 0) AS c FROM orders GROUP BY 1)")
 oracle("wilson_interval", f"SELECT g, {wilson('k', 'n')} FROM (SELECT o_custkey % 100 AS g, count(*) FILTER (o_orderkey % 3 = 0) AS k, count(*) AS n FROM orders GROUP BY 1)")
 

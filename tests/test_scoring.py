@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkmill.functions.stats import bootstrap_ci, exact_sign_p, sign_p, wilson_interval
+from linkmill.functions.stats import binomial_quantiles, bootstrap_ci, exact_sign_p, resampled_differences, sign_p, wilson_interval
 from linkmill.operators import scoring
 from linkmill.schemas import RUN
 
@@ -37,6 +38,29 @@ def test_bootstrap(spark):
     assert got[1:] == [(0.0, 0.0), (None, None)]
 
 
+def test_binomial_quantiles_by_exact_sums():
+    from fractions import Fraction
+    from math import comb
+
+    rng = np.random.default_rng(1)
+    for n, w in ((1, 1), (5, 2), (40, 39), (200, 1), (7, 0), (9, 9), (300, 150)):
+        p, u = Fraction(w, n), rng.random(200)
+        below = np.cumsum([float(comb(n, k) * p**k * (1 - p) ** (n - k)) for k in range(n + 1)])
+        assert binomial_quantiles(n, w / n, u).tolist() == [min(n, int((below <= x).sum())) for x in u]
+    assert binomial_quantiles(0, 0.5, np.array([0.3])).tolist() == [0]
+    big = binomial_quantiles(10**9, 0.3, np.array([0.0, 0.5, 1 - 2**-52]))
+    assert abs(int(big[1]) - 300_000_000) < 5 and abs(int(big[0]) - int(big[1])) < 14 * 14_500 and big[2] > big[1]
+
+
+def test_resamples_are_like_resampled_pairs():
+    pairs = np.array([1] * 40 + [-1] * 25 + [0] * 135)
+    rng = np.random.default_rng(2)
+    drawn = np.array([rng.choice(pairs, len(pairs)).sum() for _ in range(4000)])
+    ours = resampled_differences(40, 25, 200, 4000, 13)
+    assert abs(ours.mean() - 15) < 0.6 and abs(ours.std() - drawn.std()) < 0.4
+    assert (resampled_differences(40, 25, 200, 100, 13) == ours[:100]).all() and (ours[:100] != resampled_differences(40, 25, 200, 100, 14)).any()
+
+
 def test_common_mentions_and_pairs(spark):
     rows = [{"run": "a", "id": str(i), "gold": "Q1", "qid": "Q1" if i < 8 else "Q2"} for i in range(10)]
     rows += [{"run": "b", "id": str(i), "gold": "Q1", "qid": "ERROR" if i == 9 else "Q1"} for i in range(10)]
