@@ -158,6 +158,18 @@ def titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return page, moved, link
 
 
+_LINKS = """SELECT CAST(l_orderkey % 997 AS STRING) AS doc_id, CAST(l_orderkey * 10 + l_linenumber AS INT) AS para, concat('line ', l_linenumber, ' of ', l_orderkey, repeat(' and so on', CAST(l_partkey % 150 AS INT))) AS text,
+concat('name ', l_suppkey % 9) AS anchor, CASE WHEN l_partkey % 3 = 0 THEN concat('Name ', l_suppkey % 9, ' (place)') ELSE concat('title ', l_partkey % 40) END AS target, CAST(l_partkey % 1000 AS INT) AS start, CAST(l_partkey % 1000 + 6 AS INT) AS end FROM lineitem"""
+_LINK_TITLES = "SELECT target, CASE WHEN target LIKE 'title 1%' THEN NULL ELSE concat('Q', length(target) * 100 + CAST(regexp_extract(target, '([0-9]+)', 1) AS INT) % 11) END AS gold FROM (SELECT DISTINCT target FROM {links})"
+LINK_SQL = f"b_links AS ({_LINKS.replace(' AS end', ' AS "end"')}), b_titles AS ({_LINK_TITLES.format(links='b_links')})"
+
+
+def links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines as links of articles, aliases and plain ones, and the items of their titles, of which some are unknown."""
+    found = spark.sql(_LINKS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    return found, spark.sql(_LINK_TITLES.replace("{links}", "{found}"), found=found)
+
+
 #: Redirects of ids: each part's to that of half its key, but 2 and 3 form a circle with 5, and old page ids (M and N) to the part's own.
 _REDIRECTS = """SELECT concat('P', p_partkey) AS old, concat('P', CASE p_partkey WHEN 2 THEN 5 WHEN 3 THEN 2 WHEN 5 THEN 3 ELSE CAST(floor(p_partkey / 2) AS BIGINT) END) AS new FROM part WHERE p_partkey > 0
 UNION ALL SELECT concat('M', p_partkey), concat('N', p_partkey) FROM part UNION ALL SELECT concat('N', p_partkey), concat('Q', p_partkey) FROM part"""

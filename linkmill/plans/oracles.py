@@ -211,6 +211,14 @@ oracle("corpus_profile", f"""SELECT measure, round(value, 2) AS value FROM (SELE
  UNION ALL SELECT 'mentions per sentence with mentions', round_even(m.n / m.docs, 3) FROM m UNION ALL SELECT concat('type ', type), round_even(c / m.n, 4) FROM (SELECT type, count(*) AS c FROM b_mentions GROUP BY type ORDER BY c DESC, type LIMIT 10), m)""",
        MENTION, f"m AS (SELECT count(*) AS n, count(*) FILTER (gold = 'NIL') AS nil, count(*) FILTER ({_SCRIPT} <> 'arabic') AS latin, count(DISTINCT doc_id) AS docs FROM b_mentions)",
        "s AS (SELECT count(*) AS n, count(*) FILTER (NOT regexp_matches(text, '[\\x{0600}-\\x{06FF}]')) AS plain, sum(length(text)) AS chars FROM documents WHERE regexp_matches(text, '\\S'))")
+_PLAIN = f"{tokens('anchor')} = {tokens('bare')}"
+oracle("build_link_set", """SELECT concat(doc_id, '#', k - 1) AS id, doc_id, sha1(substring(text, cut + 1, 900)) AS text, anchor AS mention, (start - cut)::INT AS start, ("end" - cut)::INT AS "end", gold, target AS target_title, CASE WHEN alias THEN 'alias' ELSE 'title' END AS surface
+ FROM (SELECT *, CASE WHEN length(text) > 900 THEN greatest(0, least(start - 450, length(text) - 900)) ELSE 0 END AS cut FROM b_four WHERE k <= 4) ORDER BY md5(concat('13-', doc_id)), doc_id, k LIMIT 1500""", b.LINK_SQL,
+       f"""b_rows AS (SELECT *, NOT ({_PLAIN}) AS alias, md5(concat_ws('-', '13', doc_id, para, start, anchor)) AS place FROM (SELECT l.*, t.gold, regexp_replace(l.target, '\\s*\\(.*?\\)\\s*$', '') AS bare FROM b_links l JOIN b_titles t ON l.target = t.target WHERE t.gold IS NOT NULL AND right(t.gold, 1) NOT IN ('3', '7')))""",
+       """b_toss AS (SELECT *, row_number() OVER (PARTITION BY doc_id, alias ORDER BY toss) AS nth FROM (SELECT doc_id, toss, ('0x' || substring(md5(concat('14-', doc_id, '-', toss)), 1, 8))::BIGINT / 4294967296::DOUBLE < 0.7 AS alias
+ FROM (SELECT doc_id, unnest(range(1, count(*) * 2 + 17)) AS toss FROM b_rows GROUP BY doc_id)))""",
+       "b_turn AS (SELECT r.*, coalesce(t.toss, r.nth + 1048576) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, alias ORDER BY place) AS nth FROM b_rows) r LEFT JOIN b_toss t USING (doc_id, alias, nth))",
+       "b_once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gold ORDER BY turn, place) AS again FROM b_turn) WHERE again = 1)", "b_four AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, place) AS k FROM b_once)")
 oracle("coverage_check", f"SELECT *, {rate('found', 'sampled')} AS coverage FROM (SELECT count(*) AS sampled, count(*) FILTER (doc_id % 5 <> 0) AS found, count(*) FILTER (doc_id % 5 <> 0 AND (doc_id % 7 <> 0 OR text = 'other')) AS same_text FROM (SELECT DISTINCT doc_id, text FROM labels JOIN documents USING (doc_id)))")
 oracle("split_by_doc", """SELECT id, CASE WHEN nth <= greatest(1, CAST(floor(total * 0.2) AS BIGINT)) THEN 'dev' ELSE 'test' END AS part FROM b_mentions JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('13-', doc_id)), doc_id) AS nth, count(*) OVER () AS total FROM (SELECT DISTINCT doc_id FROM b_mentions)) USING (doc_id)""", MENTION)
 oracle("sample_by_doc", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM b_mentions WHERE gold <> 'NIL') WHERE nth <= 3 ORDER BY md5(concat('13-', doc_id)), doc_id, nth LIMIT 200", MENTION)

@@ -305,6 +305,16 @@ def link_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def build_link_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A silver set of links of which items of classes that are no names are left out."""
+    links, titles = b.links(spark, sf_dir)
+    instances = titles.filter("gold IS NOT NULL").select(F.col("gold").alias("qid"), F.when(F.substring("gold", -1, 1).isin("3", "7"), "hobby").otherwise("writer").alias("class")).distinct()
+    closure = spark.sql("SELECT 'person' AS class, 'Q5' AS root UNION ALL SELECT 'writer', 'Q5'")
+    got = corpus.build_link_set(links, titles, closure, instances, 1500)
+    return got.select("id", "doc_id", F.sha1("text").alias("text"), "mention", "start", "end", "gold", "target_title", "surface")
+
+
+@query
+def links_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = link_mentions(spark, sf_dir)
     titles = links.select("target").distinct().select("target", F.concat(F.lit("Q"), F.pmod(F.crc32(F.col("target").cast("binary")), F.lit(1000))).alias("gold"))
     return corpus.build_link_set(links, titles, None, None, 10_000).drop("text")
