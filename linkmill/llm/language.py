@@ -147,7 +147,7 @@ def language_id(docs: DataFrame, per_lang: int = 400) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, lang_pred, score, sure``.
 
     Learns from documents whose crc32 of the id as text leaves 0 or 2 by 3, predicts for all from their whole texts.
-    ``und`` with score 0 if the text is null, has no letter, or nothing could be learned; otherwise always a learned
+    Of equally likely languages the first by name counts. ``und`` with score 0 if the text is null, has no letter, or nothing could be learned; otherwise always a learned
     language, and ``sure`` is false where the calibrated probability stays under the rejection threshold. Null ``lang`` is
     never learned. Repeated rows get the same result; an empty table gives an empty one.
     """
