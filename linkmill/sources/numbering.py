@@ -13,6 +13,9 @@ from ..operators.lineage import cut_lineage
 FEW_SPLITS = 500_000
 
 
+_MOVED = "the files were split otherwise when their rows were counted: set spark.sql.files.minPartitionNum, which else follows the number of executors"
+
+
 def numbered(df: DataFrame, name: str = "record", path: str | None = None, start: str | None = None, by_file: bool = False) -> DataFrame:
     """Adds ``name``: each row's place, from 0, among all rows of the files that ``df`` was read from, or ``by_file`` in its own file.
 
@@ -34,8 +37,9 @@ def numbered(df: DataFrame, name: str = "record", path: str | None = None, start
     first = _with_sums(splits, by_file).select(F.xxhash64("_path").alias("_p"), F.col("_start").alias("_s"), "_first", "_n", "_before")
     first = F.broadcast(first) if splits.count() <= FEW_SPLITS else first
     place = F.col("_nth") - F.col("_first")
-    rows = rows.join(first, (F.xxhash64("_path") == F.col("_p")) & (F.col("_start") == F.col("_s")))
-    checked = F.when((place >= 0) & (place < F.col("_n")), F.col("_before") + place).otherwise(F.raise_error(F.lit("the files were split otherwise when their rows were counted")).cast("long"))
+    rows = rows.join(first, (F.xxhash64("_path") == F.col("_p")) & (F.col("_start") == F.col("_s")), "left")
+    # splits of which none was counted would have no number: better no result than a wrong one
+    checked = F.when((place >= 0) & (place < F.col("_n")), F.col("_before") + place).otherwise(F.raise_error(F.lit(_MOVED)).cast("long"))
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], checked.alias(name))
 
 

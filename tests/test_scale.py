@@ -40,6 +40,14 @@ def test_numbers_follow_files_and_not_tasks(spark, tmp_path, small_splits):
         assert [r.mention for r in rows.orderBy("n").collect()] == want and sorted(r.n for r in rows.collect()) == list(range(len(want)))
 
 
+def test_files_split_anew_between_the_passes_raise(spark, tmp_path, small_splits):
+    lines_of(tmp_path, [500, 500])
+    rows = numbered(spark.read.schema("mention string").json(str(tmp_path)), "n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3001")
+    with pytest.raises(Exception, match="split otherwise"):
+        rows.collect()
+
+
 def test_numbers_of_rows_that_are_in_no_file(spark):
     rows = numbered(spark.range(1000).repartition(7).withColumn("a.b", F.lit(1)), "n")
     assert sorted(r.n for r in rows.collect()) == list(range(1000)) and rows.columns == ["id", "a.b", "n"]
