@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, documents
 
 END = np.array([1], dtype="<u4").tobytes()
-#: Entries of a worker's caches from words to ids, after which they start anew.
+#: Entries of each of a worker's caches from words to ids. When half of them are filled, the half before is forgotten.
 CACHE = 300_000
 #: Punctuation that the vocabulary always splits from a letter or digit before it, as one run.
 _SUFFIX = b"*$#%&!.,|;:?"
@@ -23,6 +23,23 @@ _SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+\Z")
 _tokens: dict[str, Tokens] = {}
 
 
+class Recent:
+    """A bounded cache of two halves: what is asked for moves to the new one, so words that come again and again are never encoded anew."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def lacking(self, words: set[bytes]) -> set[bytes]:
+        """Those of ``words`` that aren't known; the others stand in ``new`` from now on."""
+        left = words.difference(self.new)
+        if len(self.new) + len(left) > CACHE // 2:
+            self.new, self.old, left = {}, self.new, words
+        again = left.intersection(self.old)
+        self.new.update((w, self.old[w]) for w in again)
+        return left - again
+
+
 class Tokens:
     """Ids of texts. The vocabulary drops white space and never joins across it, so words are looked up one by one.
 
@@ -30,14 +47,17 @@ class Tokens:
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        # simple words are composed, lower-case and one unit each already, so white space alone parts them
+        self.plain = Tokenizer.from_file(vocabulary)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(names.values()) + 1, dtype=bool)  # ids that end a unit
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.known, self.parts = Recent(), Recent()
 
     @staticmethod
     def words(text: str | None) -> list[bytes]:
@@ -58,34 +78,26 @@ class Tokens:
         return word, b""
 
     def encode(self, words: list[bytes]) -> None:
-        """Adds words to ``parts``. Simple ones go through the tokenizer many at a time, told apart by the ids that close them."""
+        """Adds words to ``parts``, its new half. Simple ones go through the tokenizer many at a time, told apart by the ids that close them."""
         simple = [w for w in words if _SIMPLE.match(w)]
-        for at in range(0, len(simple), 2000):
-            some = simple[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+        for at in range(0, len(simple), 200):
+            some = simple[at : at + 200]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
             raw, begin = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist(), strict=True):
-                self.parts[w] = raw[begin:end]
+                self.parts.new[w] = raw[begin:end]
                 begin = end
         rest = [w for w in words if not _SIMPLE.match(w)]
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        self.parts.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, encoded, strict=True))
+        self.parts.new.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, encoded, strict=True))
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the closing id."""
         split = [self.words(t) for t in texts]
-        known, parts = self.known, self.parts
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set().union(*split)
-        cut = {w: self.split(w) for w in new}
-        fresh = {p for pair in cut.values() for p in pair if p}.difference(parts)
-        if len(parts) + len(fresh) > CACHE:
-            parts.clear()
-            fresh = {p for pair in cut.values() for p in pair if p}
-        self.encode(list(fresh))
+        cut = {w: self.split(w) for w in self.known.lacking(set().union(*split))}
+        self.encode(list(self.parts.lacking({p for pair in cut.values() for p in pair if p})))
+        known, parts = self.known.new, self.parts.new
         parts[b""] = b""
         known.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
         return [b"".join([known[w] for w in words]) + END for words in split]

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
@@ -151,6 +151,19 @@ def test_tokens_of_all_letters_before_punctuation():
     assert not wrong
 
 
+def test_frequent_words_stay_known_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 40)
+    tokens, encoded = packing.Tokens(vocabulary()), Counter()
+    encode = tokens.encode
+    monkeypatch.setattr(tokens, "encode", lambda words: (encoded.update(words), encode(words)))
+    letters = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
+    texts = [f"often {a}{b}. {b}{a}x!" for a in letters for b in letters[:9]]
+    for t in texts:
+        assert np.frombuffer(tokens.of([t])[0], "<u4").tolist() == tokens.tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        assert max(len(c) for half in (tokens.known, tokens.parts) for c in (half.new, half.old)) <= 40
+    assert encoded[b"often"] == 1
+
+
 @pytest.mark.parametrize("per_bucket", [3, 100_000])
 def test_packing_of_repeated_rows_and_many_buckets(docs, per_bucket):
     rows = packing.pack(docs, vocabulary(), size=64, per_bucket=per_bucket).collect()
