@@ -22,16 +22,18 @@ def read_runs(spark: SparkSession, path: str, columns: list[str] | None = None,
     counted over the files in order of their names and parts, so that of two records of a mention the later one is known).
 
     Development runs stay out; of a plain and a packed file of one run the packed one counts. ``columns`` prunes the
-    schema before reading; with ``least``, runs with fewer rows that didn't fail are left out.
+    schema before reading; with ``least``, runs with fewer rows that didn't fail are left out. What is known of each run goes
+    to all tasks (a row a run, of which the driver lists the files anyway): a join by run would give a task all rows of one.
     """
     name = F.url_decode(F.regexp_extract("_metadata.file_path", r"/([^/]+?)\.jsonl(?:\.gz)?(?:/part-[^/]*)?$", 1))
     rows = spark.read.schema(RUN).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(path)
     rows = numbered(rows.select(*(columns or ["*"]), name.alias("run"), F.endswith("_metadata.file_name", F.lit(".gz")).alias("_packed")), "ord")
     rows = rows.filter("run <> '' AND NOT startswith(run, 'dev_')")
     use = rows.groupBy("run").agg(F.bool_or("_packed").alias("_packed"))
-    rows = rows.join(use, ["run", "_packed"], "left_semi").drop("_packed")
+    rows = rows.join(F.broadcast(use), ["run", "_packed"], "left_semi").drop("_packed")
     if least is not None:
-        rows = rows.join(rows.filter("qid <> 'ERROR'").groupBy("run").count().filter(F.col("count") >= least), "run", "left_semi")
+        enough = rows.filter("qid <> 'ERROR'").groupBy("run").count().filter(F.col("count") >= least)
+        rows = rows.join(F.broadcast(enough), "run", "left_semi")
     return rows
 
 

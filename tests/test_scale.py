@@ -333,3 +333,58 @@ def test_streams_compact_as_they_go(spark, tmp_path):
     assert {r.measure: r.value for r in jobs.read_profile(spark, table).collect()}["mentions"] == 10
     kept = {r.text for r in jobs.read_sample(spark, str(tmp_path / "kept"), "text string", 3, "text").collect()}
     assert kept == {r.text for r in corpus.uniform_sample(spark.createDataFrame([(f"text {k}",) for k in range(5)], "text string"), 3, "text").collect()}
+
+
+# --- larger tables ---------------------------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_chosen_without_their_texts(spark):
+    links = spark.range(400).selectExpr("CAST(id % 3 AS STRING) AS doc_id", "CAST(id AS INT) AS para", "concat('the text ', id) AS text", "'name' AS anchor", "concat('t', id % 9) AS target", "4 AS start", "8 AS end")
+    links = links.unionByName(links.filter("para < 9"))  # repeated rows
+    titles = spark.range(9).selectExpr("concat('t', id) AS target", "concat('Q', id) AS gold")
+    got = corpus.build_link_set(links, titles, None, None, 7)
+    assert "Window" not in plan_of(got)  # the texts are read for the chosen links alone
+    rows = got.collect()
+    assert len(rows) == 7 and len({(r.doc_id, r.gold) for r in rows}) == 7
+    texts = {r.text: r for r in links.collect()}
+    assert all(r.target_title == texts[r.text].target and r.doc_id == texts[r.text].doc_id for r in rows)
+
+
+def test_contexts_of_mentions_are_those_of_each_alone(spark):
+    from linkmill.functions import text
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(30):
+        words = [rnd.choice(["aé", "é", "نهر", "b😀", "xx"]) for _ in range(rnd.randint(0, 40))]
+        t = " ".join(words) if i else None
+        spans = [(f"{i}-{k}", rnd.choice([*words, "none", "", None]), rnd.choice([None, 0, 3, 7]), rnd.choice([None, 4, 5, 900])) for k in range(20)]
+        rows.append((t, [(a, t[s:e] if t and s is not None and e is not None and rnd.random() < 0.5 else m, s, e) for a, m, s, e in spans]))
+    docs = spark.createDataFrame(rows, "text string, mentions array<struct<id: string, mention: string, start: int, end: int>>")
+    each = docs.select("text", F.inline("mentions")).select("id", text.doc_context(F.col("text"), F.col("mention"), F.col("start"), F.col("end"), 6).alias("context"))
+    assert sorted(map(str, corpus.mention_contexts(docs, 6).collect())) == sorted(map(str, each.collect()))
+
+
+def test_contexts_of_a_long_text_take_time_by_its_words(spark):
+    docs = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda n: F.concat(F.lit("word"), n % 3000)), " ").alias("text"))
+    entity = lambda w, i: F.struct(i.cast("string").alias("id"), w.alias("mention"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    began = time.time()
+    assert corpus.mention_contexts(docs.select("text", F.transform(F.split("text", " "), entity).alias("mentions"))).filter("context LIKE '%⟦word7⟧%'").count() >= 33
+    assert time.time() - began < 20
+
+
+def test_rows_are_not_dealt_out_by_run(spark, tmp_path):
+    from linkmill.operators import scoring
+
+    runs = spark.range(60).selectExpr("concat('r', id % 3) AS run", "id AS ord", "CAST(id % 20 AS STRING) AS id", "'Q1' AS qid")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables whose size Spark can't tell beforehand
+    try:
+        runs.filter("run = 'r0'").select("id", "qid").write.json(str(tmp_path / "r0.jsonl"))
+        for rows in (scoring.answered_by_all(runs), readers.read_runs(spark, str(tmp_path), ["id", "qid"], least=1)):
+            assert "SortMergeJoin [run" not in plan_of(rows) and rows.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
