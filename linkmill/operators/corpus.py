@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import numpy as np
@@ -17,7 +18,10 @@ from pyspark.sql import types as T
 from ..functions.stats import ratio
 from ..functions.text import ARABIC, is_date_mention, mention_script, name_tokens, norm_gold, norm_type
 from ..sources.numbering import numbered
+from .lineage import cut_lineage
 
+#: Titles of links that are sent to all tasks (some 100 bytes each); more are joined by Spark's choice.
+FEW_TITLES = 100_000
 ITEM = r"^(?:https?://(?:www\.)?wikidata\.org/(?:wiki|entity)/)?(Q\p{Nd}+)$"
 
 
@@ -273,28 +277,47 @@ def build_link_set(links: DataFrame, titles: DataFrame, closure: DataFrame | Non
     (``instances`` of classes outside ``closure``) are out, each item counts once an article, at most
     ``max_per_article`` links an article stay, long texts are cropped around the mention, and the ``n`` first documents'
     rows by hash remain (a top-k, no sort of all).
+
+    Links are chosen without their texts, which are read again for the ``n`` chosen ones alone. Of an article's aliases, and
+    of its plain links, only the first of each item and the first ``max_per_article`` of these can be chosen, so no more meet
+    the coins. Words of names are found once for each title and each different anchor. Both go to all tasks up to
+    :data:`FEW_TITLES`, as many links may have one target; beyond that Spark joins.
     """
-    rows = links.join(titles.select("target", "gold").filter("gold IS NOT NULL"), "target")
+    known = titles.select("target", "gold").filter("gold IS NOT NULL")
     if closure is not None and instances is not None:
         typed = instances.join(closure.select("class").distinct().withColumn("named", F.lit(True)), "class", "left")
         barred = typed.groupBy("qid").agg(F.bool_or(F.coalesce("named", F.lit(False))).alias("named")).filter("NOT named")
-        rows = rows.join(barred.select(F.col("qid").alias("gold")), "gold", "left_anti")
-    plain = F.array_join(name_tokens(F.col("anchor")), " ") == F.array_join(name_tokens(F.regexp_replace("target", r"\s*\(.*?\)\s*$", "")), " ")
-    rows = rows.withColumns({"alias": ~plain, "place": draw(seed, "doc_id", "para", "start", "anchor")})
+        known = known.join(barred.select(F.col("qid").alias("gold")), "gold", "left_anti")
+    words = lambda c: F.array_join(name_tokens(c), " ")
+    key = ["doc_id", "para", "start", "end", "anchor", "target"]
+    few = lambda df: F.broadcast(df) if df.count() <= FEW_TITLES else df
+    known = cut_lineage(known.withColumn("_title", words(F.regexp_replace("target", r"\s*\(.*?\)\s*$", ""))))
+    rows = cut_lineage(links.select(*key).join(few(known), "target"))
+    anchors = cut_lineage(rows.select("anchor").distinct().select(F.col("anchor").alias("_anchor"), words(F.col("anchor")).alias("_words")))
+    rows = rows.join(few(anchors), F.col("anchor").eqNullSafe(F.col("_anchor")))
+    rows = rows.select(*key, "gold", (F.col("_words") != F.col("_title")).alias("alias"), draw(seed, "doc_id", "para", "start", "anchor").alias("place"))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "alias").orderBy("place")).cast("long"))
+    rows = rows.groupBy("doc_id", "alias", "gold").agg(F.count("*").alias("links"), F.min_by(F.struct("nth", "place", *key[1:]), "nth").alias("first"))
+    rows = rows.select("doc_id", "alias", "gold", "first.*", F.sum("links").over(W.partitionBy("doc_id")).alias("total"))
+    rows = rows.withColumn("again", F.row_number().over(W.partitionBy("doc_id", "alias").orderBy("nth"))).filter(F.col("again") <= max_per_article)
     # the j-th alias stands at the j-th head of the article's coins, the j-th plain link at the j-th tail
-    per = rows.groupBy("doc_id").agg(F.count("*").alias("total"))
-    coins = per.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("total").cast("int") * 2 + 16)).alias("toss"))
-    coins = coins.withColumn("alias", F.conv(F.substring(draw(seed + 1, "doc_id", "toss"), 1, 8), 16, 10).cast("double") / float(1 << 32) < alias_frac)
-    coins = coins.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "alias").orderBy("toss")))
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "alias").orderBy("place")))
-    rows = rows.join(coins, ["doc_id", "alias", "nth"], "left").withColumn("turn", F.coalesce(F.col("toss"), F.col("nth") + (1 << 20)))
+    head = lambda toss: F.conv(F.substring(draw(seed + 1, "doc_id", toss.cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32) < alias_frac
+    all_tosses = F.col("total").cast("int") * 2 + 16
+    nth_toss = lambda upto: F.get(F.filter(F.sequence(F.lit(1), upto), lambda toss: head(toss) == F.col("alias")), (F.col("nth") - 1).cast("int"))
+    # the first tosses nearly always suffice; all are tossed only where they don't
+    rows = rows.withColumn("turn", F.coalesce(nth_toss(F.least(all_tosses, F.col("nth").cast("int") * 8 + 64)), nth_toss(all_tosses), F.col("nth") + (1 << 20)))
     once = rows.withColumn("again", F.row_number().over(W.partitionBy("doc_id", "gold").orderBy("turn", "place"))).filter("again = 1")
     once = once.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy("turn", "place"))).filter(F.col("k") <= max_per_article)
+    once = cut_lineage(once.select(*key, "gold", "alias", "k").orderBy(draw(seed, "doc_id"), "doc_id", "k").limit(n))
+    asked = once.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    found = links.join(F.broadcast(asked), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]))  # n rows
+    found = found.groupBy(*[f"_{c}" for c in key]).agg(F.min("text").alias("text"))
+    once = once.join(found, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]))
     left = F.when(F.char_length("text") > crop, F.greatest(F.lit(0), F.least(F.col("start") - crop // 2, F.char_length("text") - crop))).otherwise(0)
     out = once.withColumn("cut", left).select(
         F.concat("doc_id", F.lit("#"), F.col("k") - 1).alias("id"), "doc_id", F.expr(f"substring(text, cut + 1, {crop})").alias("text"), F.col("anchor").alias("mention"),
         (F.col("start") - F.col("cut")).cast("int").alias("start"), (F.col("end") - F.col("cut")).cast("int").alias("end"), "gold", F.col("target").alias("target_title"), F.when(F.col("alias"), "alias").otherwise("title").alias("surface"), "k")
-    return out.orderBy(draw(seed, "doc_id"), "doc_id", "k").limit(n).drop("k")
+    return out.orderBy(draw(seed, "doc_id"), "doc_id", "k").drop("k")
 
 
 def corpus_profile(rows: DataFrame, docs: DataFrame | None = None) -> DataFrame:
