@@ -141,6 +141,50 @@ def mentions_from_bio(df: DataFrame, roles: dict, source: str | None = None) ->
                        norm_gold(F.col("s.q")).alias("gold"), F.lit(source).cast("string").alias("source"))
 
 
+def _around(text: str | None, mention: str | None, start: int | None, end: int | None, first: dict[str, int], chars: int) -> str | None:
+    """What :func:`linkmill.functions.text.doc_context` says of one mention; ``first`` keeps where the text's mentions occur first."""
+    if text is None or mention is None:
+        return None
+    s = e = None
+    if start is not None and end is not None:
+        at = start if start >= 0 else max(0, len(text) + start + 1) if start < -1 else 0
+        if text[at : at + max(0, end - start)] == mention:
+            s, e = start, end
+    if s is None:
+        if mention not in first:
+            first[mention] = text.find(mention)
+        s = first[mention]
+        e = s + len(mention)
+    if s < 0:
+        return text[: 2 * chars]
+    a, b = max(0, s - chars), min(len(text), e + chars)
+    return f"{'…' if a > 0 else ''}{text[a:s]}⟦{text[s:e]}⟧{text[e:b]}{'…' if b < len(text) else ''}"
+
+
+def mention_contexts(docs: DataFrame, chars: int = 350) -> DataFrame:
+    """``id, context`` of all mentions of documents (``text, mentions``, an array of structs ``id, mention, start, end``).
+
+    The context is :func:`linkmill.functions.text.doc_context`'s. A text stays with its mentions and goes to Python once, where a
+    place in it costs the same wherever it lies, and each different mention is searched for once: beside each of its mentions
+    a text would be read as often as it has words.
+    """
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, found = [], []
+            for i in range(b.num_rows):
+                text, first = b.column(0)[i].as_py(), {}
+                for m in b.column(1)[i].as_py() or ():
+                    ids.append(m["id"])
+                    found.append(_around(text, m["mention"], m["start"], m["end"], first, chars))
+                if len(ids) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["id", "context"])
+                    ids, found = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["id", "context"])
+
+    rows = docs.select(F.col("text").cast("string"), F.col("mentions").cast("array<struct<id: string, mention: string, start: int, end: int>>"))
+    return rows.mapInArrow(per_batch, "id string, context string")
+
+
 def detect_roles(df: DataFrame, n: int = 300) -> dict:
     """Guesses layout and fields from the first ``n`` records: one wide aggregate over that bounded sample, one row back.
 
