@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -169,17 +170,16 @@ def mention_contexts(docs: DataFrame, chars: int = 350) -> DataFrame:
     a text would be read as often as it has words.
     """
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, found = [], []
-            for i in range(b.num_rows):
-                text, first = b.column(0)[i].as_py(), {}
-                for m in b.column(1)[i].as_py() or ():
-                    ids.append(m["id"])
-                    found.append(_around(text, m["mention"], m["start"], m["end"], first, chars))
-                if len(ids) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["id", "context"])
-                    ids, found = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["id", "context"])
+        for b in (whole.slice(at, 16) for whole in batches for at in range(0, whole.num_rows, 16)):
+            sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_pylist()
+            flat = b.column(1).flatten()
+            ids = pc.struct_field(flat, [0])
+            mentions = zip(*(pc.struct_field(flat, [i]).to_pylist() for i in (1, 2, 3)), strict=True)
+            found = []
+            for text, n in zip(b.column(0).to_pylist(), sizes, strict=True):
+                first: dict[str, int] = {}
+                found += [_around(text, *m, first, chars) for m in islice(mentions, n)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.string())], ["id", "context"])
 
     rows = docs.select(F.col("text").cast("string"), F.col("mentions").cast("array<struct<id: string, mention: string, start: int, end: int>>"))
     return rows.mapInArrow(per_batch, "id string, context string")
