@@ -388,3 +388,11 @@ def test_rows_are_not_dealt_out_by_run(spark, tmp_path):
             assert "SortMergeJoin [run" not in plan_of(rows) and rows.count() > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_long_sentence_of_token_lines_takes_time_by_its_tokens():
+    rows = [f"w{i}\tO\t{'-' if i % 9 else 'Q5'}" if i % 7 else f"w{i}" for i in range(60_000)]
+    began = time.time()
+    got = formats.sentence(rows)
+    assert time.time() - began < 10
+    assert len(got["tokens"]) == 60_000 and got["tags"] == ["O"] * 60_000 and got["qids"][9] == "Q5" and got["qids"][0] is None
