@@ -6,7 +6,10 @@ extra columns may have any name.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Returns what a task's Python has freed to the system: workers are kept for later stages, whose memory it would take."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 # --- words as arrays -------------------------------------------------------------------------------------------------
 
 _IS_WHITE = np.zeros(256, dtype=np.int8)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, in_fold
+from .common import documents, give_back, in_fold
 from .learning import fit_dense, sample, sigmoid
 
 DECAY = 0.5
@@ -28,8 +28,8 @@ KINDS, BEGIN, END = 64, 62, 63
 FEATURE_SPACE = KINDS**3
 #: Letters up to which all runs of a string are written out; those of a longer one are summed letter by letter.
 SHORT = 20
-#: Strings of a length that are taken together.
-TOGETHER = 2048
+#: Strings of a length that are taken together, and strings whose kernel vectors stand in memory at once (up to 1,540 runs each).
+TOGETHER, AT_ONCE = 256, 512
 #: A word near the border (margins between these, letters up to so many) is also read without each one of its letters, at a cost.
 NEAR, SURE, READ, COST = -0.8, 1.2, 24, 0.3
 #: Margins over which a text's units are counted.
@@ -191,10 +191,11 @@ class Model:
 
     def plain_margins(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), self.bias)
-        for at in range(0, len(strings), 4096):
-            part = strings[at : at + 4096]
-            row, feature, value = subsequences(part)
-            out[at : at + len(part)] += np.bincount(row, value * self.weights[feature], minlength=len(part))
+        order = np.argsort(np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)), kind="stable")  # few lengths in each part
+        for at in range(0, len(strings), AT_ONCE):
+            part = order[at : at + AT_ONCE]
+            row, feature, value = subsequences([strings[k] for k in part.tolist()])
+            out[part] += np.bincount(row, value * self.weights[feature], minlength=len(part))
         return out
 
     def describe(self, texts: list[str | None]) -> np.ndarray:
@@ -346,6 +347,9 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column(at_text).to_pylist()), pa.float64())], schema.names)
+        model.known.clear()
+        fold.cache_clear()
+        give_back()
 
     return flat.mapInArrow(per_batch, schema).toDF(*names, name)
 

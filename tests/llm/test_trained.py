@@ -2,13 +2,14 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkmill.llm import language, learning, quality
+from linkmill.llm import language, learning, quality, toxicity
 from linkmill.llm.common import in_fold, word_hashes, word_spans
 
 SF = "/root/testdata/sf0.1"
@@ -53,3 +54,14 @@ def test_samples_are_bounded_in_classes_and_in_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     got = Counter(r.lang for r in learning.sample(docs.select("doc_id", "text"), docs, "lang", 50, most_classes=20).collect())
     assert got["de"] == got["fr"] == 50 and len(got) == 20
+
+
+def test_margins_take_a_bounded_memory():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(size=toxicity.FEATURE_SPACE).astype(np.float32), 0.1, np.ones(toxicity.FEATURES + 1))
+    strings = ["".join(rng.choice(list("abcdefghij"), 20)) for _ in range(4096)]
+    tracemalloc.start()
+    got = model.plain_margins(strings)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert all(got[k] == model.plain_margins([strings[k]])[0] for k in range(0, 4096, 512))
