@@ -39,3 +39,11 @@ def test_context(spark):
     df = spark.createDataFrame([("a" * 400 + "PSG" + "b" * 10, "PSG", None, None), ("PSG won", "PSG", 0, 3), ("none", "PSG", 1, 2), ("x PSG", "PSG", 0, 3)], "t string, m string, s int, e int")
     got = [r[0] for r in df.select(t.doc_context(F.col("t"), F.col("m"), F.col("s"), F.col("e"), 5)).collect()]
     assert got == ["…aaaaa⟦PSG⟧bbbbb…", "⟦PSG⟧ won", "none", "x ⟦PSG⟧"]
+
+
+def test_tidy_mentions_are_left_as_trimming_leaves_them(spark):
+    odd = ["", " ", "x", "الكتاب", "«وال كتاب»", "a\u0085", " a", "a \n", "كِتاب", "ab.", "(ab", "a b", "a  b", " ab", "ab ", "a.b", "٣:", "ab-", "-ab", "﻿ab", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string")
+    trimmed = rows.select("x", t.edge_trim(t.strip_marks(F.col("x"))).alias("y"), F.coalesce(F.col("x").rlike(t.UNTIDY), F.lit(False)).alias("untidy")).collect()
+    assert all(r.untidy or r.y == (r.x or "") for r in trimmed) and sum(not r.untidy for r in trimmed) >= 6
+    assert rows.filter(t.search_variants(F.col("x"))["primary"] != t.search_variants(t.edge_trim(t.strip_marks(F.col("x"))))["primary"]).isEmpty()
