@@ -81,8 +81,20 @@ def mentions_from_flat(df: DataFrame, roles: dict, source: str | None = None) ->
 _SPANS = "array<struct<start: int, end: int, type: string, q: string, mention: string>>"
 
 
+#: Tokens of a batch whose spans are cut at once; a row stays whole.
+TOKENS = 1 << 17
+
+
 def _spans(tokens: pa.Array) -> pa.Array:
-    """The spans of rows of tagged tokens (structs of token ``t``, tag ``g`` and item ``q``), all rows of a batch at once.
+    """The spans of a batch of rows, in slices of about :data:`TOKENS` tokens: a batch has a fixed number of rows, of any length."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+    cuts = np.flatnonzero(np.diff((ends - 1) // TOKENS, prepend=0)) if len(ends) else []
+    edges = [0, *(int(c) for c in cuts if c), len(tokens)]
+    return pa.concat_arrays([_spans_of(tokens.slice(a, z - a)) for a, z in zip(edges, edges[1:], strict=False)])
+
+
+def _spans_of(tokens: pa.Array) -> pa.Array:
+    """The spans of rows of tagged tokens (structs of token ``t``, tag ``g`` and item ``q``), all rows at once.
 
     Running lengths give every token's place; a span begins where a tag opens one and ends before the next token that opens one,
     is outside or begins a row. Items are looked up in the sorted places of valid ones. Time and memory follow the tokens.

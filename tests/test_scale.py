@@ -7,6 +7,7 @@ import time
 import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,3 +397,24 @@ def test_a_long_sentence_of_token_lines_takes_time_by_its_tokens():
     got = formats.sentence(rows)
     assert time.time() - began < 10
     assert len(got["tokens"]) == 60_000 and got["tags"] == ["O"] * 60_000 and got["qids"][9] == "Q5" and got["qids"][0] is None
+
+
+def test_spans_of_a_full_batch_are_cut_in_slices():
+    rows = [[{"t": f"w{i}", "g": ("B-PER", "I-PER", "O", "I-LOC")[(i + k) % 4], "q": f"Q{i}" if i % 3 == 0 else "-"} for i in range(n)] for k, n in enumerate([0, 500, 3, 700, 0] * 200)]
+    tokens = pa.array([*rows, None], pa.list_(pa.struct([("t", pa.string()), ("g", pa.string()), ("q", pa.string())])))
+    tracemalloc.start()
+    got = corpus._spans(tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(tokens) and peak < 20 << 20  # a quarter of a million tokens
+    at = [1, 2, 3, 500, 601, 703, 998, 1000]
+    assert [got[k].as_py() for k in at] == [corpus._spans(tokens.slice(k, 1))[0].as_py() for k in at]
+    assert corpus._spans(tokens.slice(0, 0)).to_pylist() == []
+
+
+def test_token_rows_are_dealt_out_and_heads_of_them_are_not(spark):
+    from linkmill.plans import bindings, queries
+
+    sf = "/root/testdata/sf0.001"
+    assert "REPARTITION_BY_NUM" in plan_of(queries._bio(spark, sf))
+    assert "REPARTITION_BY_NUM" not in plan_of(queries._bio(spark, sf, deal=False)) + plan_of(bindings.mentions(spark, sf, deal=False))
