@@ -12,7 +12,7 @@ MARKS = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]"
 PUNCTUATION = r"""["'«»“”()\[\]{}<>\x{060C},.:;\x{061B}!?\x{061F}\-_/\\|]"""
 LEFT_EDGE = r"""^["'«»“”(\[\s]+"""
 RIGHT_EDGE = r"""["'«»“”)\]\s.,\x{060C}:;\x{061B}!?\x{061F}]+$"""
-#: Any text without this is what :func:`strip_marks` and :func:`edge_trim` would leave of it; most words are, and one look is a fifth of the work.
+#: Any text without this is what :func:`strip_marks` and :func:`edge_trim` would leave of it: one look instead of five replacements.
 UNTIDY = rf"""(?U){MARKS}|^["'«»“”(\[\s]|["'«»“”)\]\s.,\x{{060C}}:;\x{{061B}}!?\x{{061F}}]$"""
 FOLD_FROM, FOLD_TO = "إأآٱىةؤئ", "اااايهوي"
 ARTICLE = "ال"
