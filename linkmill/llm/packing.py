@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,37 +16,74 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, documents
 
 END = np.array([1], dtype="<u4").tobytes()
-#: Entries of each of a worker's caches from words to ids. When half of them are filled, the half before is forgotten.
-CACHE = 300_000
-#: Punctuation that the vocabulary always splits from a letter or digit before it, as one run.
-_SUFFIX = b"*$#%&!.,|;:?"
+#: Simple words that a worker holds with their ids, twice as many as others. When half of them are filled, the half before is forgotten.
+CACHE = 600_000
+#: Bytes of text whose words are looked up together; a row stays whole.
+TOGETHER = 4 << 20
 #: Words of these are one unit of the vocabulary each; no composition or case changes them.
-_SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+\Z")
+_SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+\Z")
+#: What the vocabulary's alphabet of bytes has for those bytes of simple words that are no letters by themselves.
+_ALPHABET = {chr(b): chr(256 + k) for b, k in ((0x9F, 65), (0xA0, 66), (0xAD, 67))}
+_LETTER, _DIGIT, _MARK, _APOSTROPHE = 1, 2, 3, 4
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_KIND[[c for c in range(128) if chr(c).isdigit()]] = _DIGIT
+_KIND[ord("'")] = _APOSTROPHE
+#: Kinds between which units always end. An apostrophe may begin a unit with the letters behind it, and joins the marks before it.
+_ENDS = np.zeros((5, 5), dtype=bool)
+_ENDS[[_LETTER, _LETTER, _LETTER, _DIGIT, _DIGIT, _DIGIT, _MARK, _MARK], [_DIGIT, _MARK, _APOSTROPHE, _LETTER, _MARK, _APOSTROPHE, _LETTER, _DIGIT]] = True
+_ENDS = _ENDS.ravel()
 _tokens: dict[str, Tokens] = {}
 
 
+def apart(data: bytes) -> bytes:
+    """The text in lower case, A-Z and the letters of Latin-1, with a space wherever one of these or an ASCII character ends a unit of the
+    vocabulary. Others stay as they are: they may be composed or lower-cased to a mark, which joins the marks behind it."""
+    values = np.frombuffer(data.lower(), dtype=np.uint8)
+    kind = _KIND[values]
+    lead = np.flatnonzero(values == 0xC3)
+    if len(lead):
+        after = values[lead + 1]
+        letter = (after != 0x97) & (after != 0xB7)  # the signs of multiplication and division
+        kind[lead[letter]] = kind[lead[letter] + 1] = _LETTER
+        values = values.copy()
+        values[lead[letter & (after < 0x9F)] + 1] += 0x20
+    return np.insert(values, np.flatnonzero(_ENDS[kind[:-1] * 5 + kind[1:]]) + 1, 32).tobytes()
+
+
+def _odd(word: bytes) -> bool:
+    """Whether the word may hold a special token, which has case, or a mark (U+0300 to U+037F), which the vocabulary composes first: T with
+    a diaeresis has no composed capital, t has."""
+    return b"<" in word or b"\xcc" in word or b"\xcd" in word
+
+
+def _simple(word: bytes) -> bool:
+    return word.isalpha() and word.islower() or _SIMPLE.match(word) is not None
+
+
 class Recent:
     """A bounded cache of two halves: what is asked for moves to the new one, so words that come again and again are never encoded anew."""
 
-    def __init__(self):
+    def __init__(self, share: int = 1):
+        self.share = share
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def lacking(self, words: set[bytes]) -> set[bytes]:
-        """Those of ``words`` that aren't known; the others stand in ``new`` from now on."""
-        left = words.difference(self.new)
-        if len(self.new) + len(left) > CACHE // 2:
+    def lacking(self, words: list[bytes]) -> list[bytes]:
+        """Those of ``words``, all different, that aren't known; the others stand in ``new`` from now on."""
+        left = [w for w in words if w not in self.new]
+        if len(self.new) + len(left) > CACHE // self.share // 2:
             self.new, self.old, left = {}, self.new, words
-        again = left.intersection(self.old)
-        self.new.update((w, self.old[w]) for w in again)
-        return left - again
+        old = self.old
+        again = {w: old[w] for w in left if w in old}
+        self.new |= again
+        return [w for w in left if w not in again] if again else left
 
 
 class Tokens:
-    """Ids of texts. The vocabulary drops white space and never joins across it, so words are looked up one by one.
-
-    New words are looked up again without closing punctuation and case, which the vocabulary splits off and ignores.
-    """
+    """Ids of texts. The vocabulary drops white space and never joins across it, so words are looked up one by one, cut where its
+    units end (:func:`apart`). Simple words (``known``) and others (``parts``) are kept apart."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -53,54 +92,59 @@ class Tokens:
         # simple words are composed, lower-case and one unit each already, so white space alone parts them
         self.plain = Tokenizer.from_file(vocabulary)
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(names.values()) + 1, dtype=bool)  # ids that end a unit
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.known, self.parts = Recent(), Recent()
+        self.known, self.parts = Recent(), Recent(2)
 
     @staticmethod
-    def words(text: str | None) -> list[bytes]:
-        """The words with A-Z lower-cased, but for those that may hold a special token, which has case, or a mark (U+0300 to U+033F), which
-        the vocabulary composes first: T with a diaeresis has no composed capital, t has."""
+    def words(text: str | None) -> bytes:
+        """The text with all its words cut by :func:`apart`, but for the odd ones."""
         data = (text or "").encode()
-        if b"<" not in data and b"\xcc" not in data:
-            return data.lower().split()
-        return [w if b"<" in w or b"\xcc" in w else w.lower() for w in data.split()]
-
-    @staticmethod
-    def split(word: bytes) -> tuple[bytes, bytes]:
-        """The word without closing punctuation, and that. Only ASCII letters and digits, and words of Latin letters, are safe before the cut:
-        other letters may be composed or lower-cased to a mark, which the vocabulary joins to the punctuation."""
-        base = word.rstrip(_SUFFIX)
-        if len(base) < len(word) and base and b"<" not in word and (base[-1:].isalnum() or _SIMPLE.match(base)):
-            return base, word[len(base) :]
-        return word, b""
+        if not _odd(data):
+            return apart(data)
+        return b" ".join(b" ".join(some) if odd else apart(b" ".join(some)) for odd, some in groupby(data.split(), _odd))
 
     def encode(self, words: list[bytes]) -> None:
-        """Adds words to ``parts``, its new half. Simple ones go through the tokenizer many at a time, told apart by the ids that close them."""
-        simple = [w for w in words if _SIMPLE.match(w)]
+        """Adds words to the new halves. Simple ones go through the tokenizer many at a time, told apart by the ids that close them."""
+        simple = [w for w in words if _simple(w)]
         for at in range(0, len(simple), 200):
             some = simple[at : at + 200]
-            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            line = b" ".join(some).decode("latin-1")
+            for byte, letter in _ALPHABET.items():
+                line = line.replace(byte, letter)
+            ids = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
             raw, begin = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist(), strict=True):
-                self.parts.new[w] = raw[begin:end]
+                self.known.new[w] = raw[begin:end]
                 begin = end
-        rest = [w for w in words if not _SIMPLE.match(w)]
+        rest = list(set(words).difference(simple)) if len(simple) < len(words) else []
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         self.parts.new.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, encoded, strict=True))
 
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words."""
+        left = self.known.lacking(words)
+        others = [w for w in left if not _simple(w)]
+        rest = set(others)
+        self.encode([w for w in left if w not in rest] + self.parts.lacking(others))
+        known, parts = self.known.new, self.parts.new
+        return [known[w] if w in known else parts[w] for w in words]
+
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the closing id."""
-        split = [self.words(t) for t in texts]
-        cut = {w: self.split(w) for w in self.known.lacking(set().union(*split))}
-        self.encode(list(self.parts.lacking({p for pair in cut.values() for p in pair if p})))
-        known, parts = self.known.new, self.parts.new
-        parts[b""] = b""
-        known.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
-        return [b"".join([known[w] for w in words]) + END for words in split]
+        split = pc.ascii_split_whitespace(pa.array([self.words(t) for t in texts], pa.large_binary()).cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self.ids(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        if not len(ids):
+            return [END for _ in texts]
+        _, ends, data = ids.buffers()
+        data = data or pa.py_buffer(b"")
+        ends = np.frombuffer(ends, dtype=np.int64)[ids.offset :]
+        at = ends[np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
+        return [data[a:b].to_pybytes() + END for a, b in zip(at, at[1:], strict=False)]
 
 
 def tokens_of(vocabulary: str) -> Tokens:
@@ -110,6 +154,16 @@ def tokens_of(vocabulary: str) -> Tokens:
     return _tokens[vocabulary]
 
 
+def together(batch: pa.RecordBatch):
+    """Slices of ``batch`` (ids and texts) with about :data:`TOGETHER` bytes of text; a row stays whole."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """``start, length`` of the pieces of ``n`` ids: full ones, then the rest."""
     return [(at, min(size, n - at)) for at in range(0, n, size)]
@@ -124,16 +178,14 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, with_ids: bool =
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = tokens_of(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                rows = []
-                for doc, ids in zip(b.column(0).to_pylist(), tokens.of(b.column(1).to_pylist()), strict=True):
-                    for start, n in cut(len(ids) // 4, size):
-                        part = ids[4 * start : 4 * (start + n)]
-                        rows.append((doc, start, n, zlib.crc32(part), len(ids) // 4, *[np.frombuffer(part, "<u4").tolist()] * with_ids))
-                columns = [pa.array(c, pa.list_(pa.int64()) if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for b in (part for whole in batches for part in together(whole)):
+            rows = []
+            for doc, ids in zip(b.column(0).to_pylist(), tokens.of(b.column(1).to_pylist()), strict=True):
+                for start, n in cut(len(ids) // 4, size):
+                    part = ids[4 * start : 4 * (start + n)]
+                    rows.append((doc, start, n, zlib.crc32(part), len(ids) // 4, *[np.frombuffer(part, "<u4").tolist()] * with_ids))
+            columns = [pa.array(c, pa.list_(pa.int64()) if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     return documents(docs).mapInArrow(per_batch, schema)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -164,6 +165,31 @@ def test_frequent_words_stay_known_when_the_cache_is_full(monkeypatch):
     assert encoded[b"often"] == 1
 
 
+def test_words_are_encoded_without_the_marks_around_them(monkeypatch):
+    tokens, encoded = packing.Tokens(vocabulary()), Counter()
+    encode = tokens.encode
+    monkeypatch.setattr(tokens, "encode", lambda words: (encoded.update(words), encode(words)))
+    text = "(often, often-Often ÉTÉ. 'été' STRAßE; straße7 often/été [été] T\u0344"
+    assert np.frombuffer(tokens.of([text])[0], "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    assert {w.decode() for w in encoded if len(w) > 2} == {"often", "été", "straße", "'été", "T\u0344"} and max(encoded.values()) == 1
+
+
+def test_tokens_of_random_characters():
+    rng = np.random.default_rng(5)
+    alphabet = [*"abstSTRVEDLM''.,-_=<>|!;~`09éÉßÞ÷×İŒœΣσ½²中々’ \n\t\u00a0\u0085\u0300\u0308\u0323\u0338\u0340\u0344\u0345\u037e", "'s", "'ll", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "  "]
+    texts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 40, 20_000)]
+    tokens = packing.Tokens(vocabulary())
+    want = tokens.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert not [t for t, ids, w in zip(texts, tokens.of(texts), want, strict=True) if np.frombuffer(ids, "<u4").tolist() != w.ids + [1]]
+
+
+def test_together_keeps_rows_whole_and_in_order(monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["", "abcd", None, "efghijk", "x" * 50, "", "y"])], ["doc_id", "text"])
+    parts = list(packing.together(batch))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4], [5, 6]] and not list(packing.together(batch.slice(0, 0)))
+
+
 @pytest.mark.parametrize("per_bucket", [3, 100_000])
 def test_packing_of_repeated_rows_and_many_buckets(docs, per_bucket):
     rows = packing.pack(docs, vocabulary(), size=64, per_bucket=per_bucket).collect()
