@@ -202,9 +202,9 @@ def simhash_pairs(folded: DataFrame, tokens: DataFrame) -> DataFrame:
     Only sets that share a token of their prefixes are indexed; no other can be similar to any.
     """
     rows = folded.join(tokens.select("sid").distinct(), "sid", "left_semi").select("sid", "fp")
-    heads = rows.groupBy("fp").agg(F.min("sid").alias("head"))
+    heads = cut_lineage(rows.groupBy("fp").agg(F.min("sid").alias("head")))
     equal = rows.join(heads, "fp").filter("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
-    linked = joining_links(heads.select("fp"))
+    linked = _settled(joining_links(heads.select("fp")))
     of = lambda s: heads.select(F.col("fp").alias(s), F.col("head").alias(f"{s}_head"))
     linked = linked.join(of("a"), "a").join(of("b"), "b").select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
     return equal.unionByName(linked)
@@ -257,7 +257,8 @@ def near_copies(docs: DataFrame, words: int = 5, share: tuple[int, int] = SHARE,
     facts = [F.any_value(c).alias(c) for c in ("n", "fp", "prefix", "often", "last")]
     folded = _settled(found.groupBy("sid").agg(*facts, least))
     tokens = _settled(shared_tokens(folded))
-    near = possible(led_pairs(tokens, leaders), folded, share).unionByName(simhash_pairs(folded, tokens))
+    # each by itself: of one plan for all the driver would hold every step, planned anew after each exchange
+    near = _settled(possible(led_pairs(tokens, leaders), folded, share)).unionByName(simhash_pairs(folded, tokens))
     joined = links(docs, folded, near, words, share)
     parts = cut_lineage(connected_components(joined))
     left = cut_lineage(left_pairs(tokens, parts, folded, share, hot, block))

@@ -318,15 +318,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), b.column(1), b.column(2)], ["u", "y", "h"])
 
     found = rows.select("text", "toxic", F.xxhash64("doc_id").alias("h")).mapInArrow(per_batch, "u array<string>, y int, h long")
-    rows = [(r["h"], r["y"], set(r["u"])) for r in found.toArrow().sort_by("h").to_pylist()]
     prior = labels.agg(F.avg("toxic")).first()[0] or 0.0
+    model = learned([(r["y"], set(r["u"])) for r in found.toArrow().sort_by("h").to_pylist()], prior)
+    model.known.clear()
+    fold.cache_clear()
+    give_back()  # the driver goes on to other jobs
+    return model
+
+
+def learned(rows: list[tuple[int, set[str]]], prior: float) -> Model:
+    """The model of labels and words of documents, in an order of their own; ``prior`` is the share of toxic labels."""
     learn = [r for k, r in enumerate(rows) if k % 3 < 2]
-    weights, bias = train_units([u for _, y, u in learn if y], [u for _, y, u in learn if not y])
+    weights, bias = train_units([u for y, u in learn if y], [u for y, u in learn if not y])
     model = Model(weights, bias, np.append(np.zeros(FEATURES), np.log((prior + 1e-3) / (1 - prior + 1e-3))))
     for scale in ([r for k, r in enumerate(rows) if k % 3 == 2], rows):
-        y = np.array([y for _, y, _ in scale], dtype=float)
+        y = np.array([y for y, _ in scale], dtype=float)
         if len(set(y.tolist())) == 2:
-            model.top = fit_dense(model.describe([" ".join(sorted(u)) for *_, u in scale]), y, l2=1e-3, prior=prior)
+            model.top = fit_dense(model.describe([" ".join(sorted(u)) for _, u in scale]), y, l2=1e-3, prior=prior)
             break
     return model
 

@@ -1,11 +1,13 @@
 """Near copies of the pipeline against all pairs."""
 
 import random
+import re
 
 import pytest
 
 import corpus_pipeline
-from linkmill.llm import near_copies
+from linkmill.llm import components, near_copies, simhash
+from linkmill.llm.common import cut_lineage
 
 
 def brute(rows, words=5):
@@ -85,3 +87,12 @@ def test_stage_judges_rows(spark):
     assert kept.columns == df.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, text), (1, rows[1][1]), (None, "alone here"), (3, None)]))
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_no_plan_holds_many_steps(spark, monkeypatch):
+    sizes = []
+    count = lambda df: len(re.findall(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString()))
+    for module in (near_copies, components, simhash):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: (sizes.append(count(df)), cut_lineage(df))[1])
+    near_copies.near_copies(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    assert max(sizes) < 16

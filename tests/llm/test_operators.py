@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontamination, html_text, language, line_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from linkmill.llm import components, decontamination, html_text, language, line_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from linkmill.llm.common import cut_lineage
 from linkmill.llm.components import connected_components
 from linkmill.llm.html_pages import labelled_pages
 from linkmill.llm.queries import vocabulary
@@ -287,6 +288,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df: (rounds.append(1), cut_lineage(df))[1])
+    for edges, most in (([(1, i) for i in range(2, 40)] + [(50, 60)], 1), ([(1, 5), (2, 5), (2, 6)], 2)):
+        rounds.clear()
+        got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
+        assert got == {n: 50 if n > 49 else 1 for e in edges for n in e} and len(rounds) <= 1 + most
+
+
 ITEM = "The quick brown fox jumps over the lazy dog while seven wizards quietly boil forty purple turnips"
 
 
