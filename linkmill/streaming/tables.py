@@ -51,7 +51,7 @@ class BatchTable:
     def snapshot(self, upto: int, merge: Callable[[DataFrame], DataFrame] | None = None, files: int = 1) -> None:
         """Writes all rows up to batch ``upto`` as a snapshot, which no reader sees yet."""
         rows = self.read()
-        (merge(rows) if merge else rows).repartition(files).write.mode("overwrite").parquet(f"{self.path}/snapshots/upto={upto}")
+        (merge(rows).repartition(files) if merge else rows.coalesce(files)).write.mode("overwrite").parquet(f"{self.path}/snapshots/upto={upto}")
 
     def commit(self, upto: int) -> None:
         """From here on readers go by the snapshot."""

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkmill.operators import corpus, kb, linking, merging
+from linkmill.plans import queries
 from linkmill.sources import formats, readers
 from linkmill.sources.numbering import numbered
 from linkmill.streaming import jobs
@@ -295,6 +296,24 @@ def test_state_is_read_by_what_a_batch_brings(spark, tmp_path):
     assert len(stored) == 2003 and stored["7"] == "Q1" and {stored[f"new{k}"] for k in range(3)} == {"Q3"}
 
 
+def test_state_of_runs_is_on_disk_and_packed(spark, tmp_path, monkeypatch):
+    schema = "run string, ord long, id string, qid string, row string, m map<string,int>"
+    source = tmp_path / "in"
+    source.mkdir()
+    line = {"run": "a", "ord": 2, "id": "1", "qid": "Q1", "row": "x", "m": {"k": 1}}
+    (source / "1.json").write_text("".join(json.dumps(x) + "\n" for x in (line, line | {"ord": 1, "qid": "Q2"}, {"run": "a", "ord": 5, "id": "2"})))
+    stream = jobs.stream_runs(spark, str(source), schema, str(tmp_path / "table"), str(tmp_path / "state"))
+    stream.awaitTermination()
+    assert any(k.startswith("rocksdb") for k in stream.recentProgress[-1].stateOperators[0].customMetrics)
+    assert not set(jobs.ON_DISK) & set(spark.conf.getAll)
+    stored = jobs.read_runs_table(spark, str(tmp_path / "table"), schema)
+    assert sorted((tuple(r) for r in stored.collect()), key=lambda r: r[2]) == [("a", 2, "1", "Q1", "x", {"k": 1}), ("a", 5, "2", None, None, None)]
+
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: str(tmp_path / "query"))
+    assert queries.stream_runs(spark, "/root/testdata/sf0.001").count()
+    assert {p.suffix for p in (tmp_path / "query" / "in").glob("part-*")} == {".gz"}
+
+
 def test_snapshots_of_many_batches(spark, tmp_path):
     table = BatchTable(spark, str(tmp_path / "t"), "n long")
     for k in range(25):
