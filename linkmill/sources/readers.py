@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut_lineage
 from ..schemas import RUN
 from .files import data_files
 from .formats import sentences
@@ -54,6 +55,30 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def common_rows(one: DataFrame, other: DataFrame, key: str, slices: int = 4096) -> DataFrame:
+    """Rows of ``one`` that ``other`` has too, as often as both have them; columns go by their names, nulls are alike.
+
+    Rows fall into slices by the hash of ``key``, and counts and sums over the rows' hashes (128 bits) tell slices that are alike from
+    others. So a row a slice and task is moved, and of the rows themselves those alone whose slice differs.
+    """
+    columns = one.columns
+    place = F.pmod(F.xxhash64(key), F.lit(slices))
+
+    def sums(rows: DataFrame) -> DataFrame:
+        whole = [F.xxhash64(F.lit(k), *columns, *map(F.isnull, columns)) for k in (1, 2)]  # a null alone doesn't change a hash
+        rows = rows.select(place.alias("_slice"), *[h.alias(f"_h{k}") for k, h in enumerate(whole)])
+        halves = [f(h) for h in ("_h0", "_h1") for f in (lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))]
+        return rows.groupBy("_slice").agg(F.count("*").alias("_n"), *[F.sum(h).alias(f"_s{k}") for k, h in enumerate(halves)])
+
+    both = sums(one).unionByName(sums(other))
+    odd = cut_lineage(both.groupBy(*both.columns).count().filter("count < 2").select("_slice").distinct())
+    if odd.isEmpty():
+        return one
+    odd = F.broadcast(odd)  # at most a number a slice
+    each = [rows.select(*columns).join(odd, place == F.col("_slice"), "left_semi") for rows in (one, other)]
+    return one.join(odd, place == F.col("_slice"), "left_anti").unionByName(each[0].intersectAll(each[1]))
+
+
 def _as_struct(schema: str) -> str:
     from pyspark.sql.types import StructType
 

@@ -355,6 +355,31 @@ def test_streams_compact_as_they_go(spark, tmp_path):
     assert kept == {r.text for r in corpus.uniform_sample(spark.createDataFrame([(f"text {k}",) for k in range(5)], "text string"), 3, "text").collect()}
 
 
+def words_of(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / name / "documents.parquet"))
+    return str(tmp_path / name)
+
+
+def test_rows_of_two_files_meet_without_being_moved(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: str(tmp_path / "out"))
+    rows = queries.read_rows(spark, words_of(spark, tmp_path, "in", [(k, f'a "quoted, {k}\nline b') for k in range(40)] + [(7, "again"), (7, "again")]))
+    assert "Exchange" not in plan_of(rows)
+    found = Counter((r.id, r.mention) for r in rows.collect())
+    assert len(found) == 40 * 4 + 1 and found["7-1", "again"] == 2 and found["7-3", "7\nline"] == 1  # ids that come again don't multiply
+    assert {p.suffix for p in (tmp_path / "out" / "rows.csv").glob("part-*")} == {".gz"}
+
+
+def test_common_rows(spark):
+    rows = [("1", "a", None), ("1", "a", None), ("2", None, "a"), ("3", "x", "y"), (None, "n", "n"), *[(f"k{i}", "m", "g") for i in range(200)]]
+    same = [("1", "a", None), ("2", "a", None), ("3", "x", "z"), (None, "n", "n"), *rows[5:]]
+    one, other = (spark.createDataFrame(x, "id string, m string, g string") for x in (rows, same))
+    want = Counter(rows) & Counter(same)
+    for slices in (1, 16, 4096):
+        assert Counter(map(tuple, readers.common_rows(one, other.select("g", "m", "id"), "id", slices).collect())) == want
+        assert Counter(map(tuple, readers.common_rows(one, one, "id", slices).collect())) == Counter(rows)
+    assert not readers.common_rows(one, other.limit(0), "id").count() and not readers.common_rows(one.limit(0), other, "id").count()
+
+
 # --- larger tables ---------------------------------------------------------------------------------------------------
 
 
