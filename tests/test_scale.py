@@ -369,6 +369,17 @@ def test_rows_of_two_files_meet_without_being_moved(spark, tmp_path, monkeypatch
     assert {p.suffix for p in (tmp_path / "out" / "rows.csv").glob("part-*")} == {".gz"}
 
 
+def test_contexts_move_no_entities(spark, tmp_path):
+    rows = [(k, f"the {k} th of  many texts") for k in range(40)]
+    whole = queries.doc_context(spark, words_of(spark, tmp_path, "pieces", rows))
+    assert "Exchange" not in plan_of(whole)
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    one = queries.doc_context(spark, str(tmp_path / "one"))  # fewer pieces than cores: the texts alone are dealt out
+    assert (below := plan_of(one).partition("Exchange")[2]) and "transform" not in below
+    found = [sorted(map(tuple, rows.collect())) for rows in (whole, one)]
+    assert found[0] == found[1] and len(found[0]) == 240 and ("7-6", "the 7 th of  ⟦many⟧ texts") in found[0]
+
+
 def test_common_rows(spark):
     rows = [("1", "a", None), ("1", "a", None), ("2", None, "a"), ("3", "x", "y"), (None, "n", "n"), *[(f"k{i}", "m", "g") for i in range(200)]]
     same = [("1", "a", None), ("2", "a", None), ("3", "x", "z"), (None, "n", "n"), *rows[5:]]
