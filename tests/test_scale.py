@@ -380,6 +380,15 @@ def test_contexts_move_no_entities(spark, tmp_path):
     assert found[0] == found[1] and len(found[0]) == 240 and ("7-6", "the 7 th of  ⟦many⟧ texts") in found[0]
 
 
+def test_texts_land_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: str(tmp_path / "out"))
+    rows = [(k, "some words of a text, " * 50) for k in range(400)]
+    got = {r.measure: r.value for r in queries.stream_profile(spark, words_of(spark, tmp_path, "in", rows)).collect()}
+    assert got["sentences"] == 400 and got["mentions"] == 400 * 250
+    landed = list((tmp_path / "out" / "in").glob("part-*"))
+    assert {p.suffix for p in landed} == {".gz"} and sum(p.stat().st_size for p in landed) < 400 * 250 * 10
+
+
 def test_common_rows(spark):
     rows = [("1", "a", None), ("1", "a", None), ("2", None, "a"), ("3", "x", "y"), (None, "n", "n"), *[(f"k{i}", "m", "g") for i in range(200)]]
     same = [("1", "a", None), ("2", "a", None), ("3", "x", "z"), (None, "n", "n"), *rows[5:]]
